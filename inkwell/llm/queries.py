@@ -64,12 +64,17 @@ targets AS (
          CASE WHEN f.source_size > 0 THEN round(least(f.most, f.weight * l.share) / f.source_size, 9) ELSE 1.0 END AS rate
   FROM filled f, level l),
 placed AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, t.rate, floor(t.rate) AS whole,
+  SELECT d.doc_id, d.size, d.missing, d.s, t.source_size, t.target, t.rate, floor(t.rate) AS whole,
          (row_number() OVER (PARTITION BY d.missing, d.s ORDER BY d.size, d.doc_id) - 1)::DOUBLE AS i
-  FROM sized d JOIN targets t USING (missing, s))
-SELECT doc_id, size, source_size, round(target, 6) AS target,
-       ((whole + floor((i + 1) * (rate - whole) + 0.5) - floor(i * (rate - whole) + 0.5))::BIGINT * size)::BIGINT AS taken
-FROM placed
+  FROM sized d JOIN targets t USING (missing, s)),
+tried AS (
+  SELECT missing, s, k / 32.0::DOUBLE AS phase,
+         abs(sum((whole + floor((i + 1) * (rate - whole) + k / 32.0::DOUBLE) - floor(i * (rate - whole) + k / 32.0::DOUBLE))::BIGINT * size) - any_value(target)) AS error
+  FROM placed, range(32) r(k) GROUP BY missing, s, k),
+best AS (SELECT missing, s, arg_min(phase, (error, phase)) AS phase FROM tried GROUP BY missing, s)
+SELECT doc_id, size, source_size, round(p.target, 6) AS target,
+       ((whole + floor((i + 1) * (rate - whole) + b.phase) - floor(i * (rate - whole) + b.phase))::BIGINT * size)::BIGINT AS taken
+FROM placed p JOIN best b USING (missing, s)
 """,
     "op9_warc": """
 WITH p AS (

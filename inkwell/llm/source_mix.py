@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from inkwell.llm.common import cut, partitions, skew_join
 
+#: Phases of the systematic rounding that are tried for each source.
+PHASES = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,7 +51,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
 
     size: words of the text (null or empty: 0).  A null source is a source of its own, last in order.  ``copies`` rounds the
     rate systematically along the documents of a source in order of (size, key): the k-th running total of copies is the
-    rounded running total of rates, so a source's words differ from its target by about one document.  The order comes from a
+    running total of rates, rounded at one of 32 phases, whichever brings the source's words nearest to its target.  The order comes from a
     range partitioning on (source, size, key) with one prefix sum over partitions, so a source of any size is spread over many
     tasks.  Repeated rows count each time; equal rows may swap places.  An empty table gives an empty result."""
     spark = docs.sparkSession
@@ -62,11 +64,18 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     rates = balance_rates(source_targets(totals, weights, cap)).select("skey", "source_size", "target", "rate")
     before = F.sum("n").over(Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     runs = runs.select("skey", "part", "n", (F.coalesce(before, F.lit(0)) - F.col("start")).alias("shift")).join(rates.hint("shuffle_hash"), "skey")
-    runs = cut(runs.withColumn("run", F.struct("skey", "part")).drop("skey", "part"))
-    out = skew_join(ranged.withColumn("run", F.struct("skey", "part")), runs, "run", "n")
+    runs = cut(runs.withColumn("run", F.struct("skey", "part")).drop("part"))
+    ranged = ranged.withColumn("run", F.struct("skey", "part")).drop("skey", "part")
     i, whole = F.col("at") + F.col("shift"), F.floor("rate")
-    part = F.col("rate") - whole
-    out = out.withColumn("copies", (whole + F.floor((i + 1) * part + 0.5) - F.floor(i * part + 0.5)).cast("long"))
+
+    def copies(phase):
+        part = F.col("rate") - whole
+        return (whole + F.floor((i + 1) * part + phase) - F.floor(i * part + phase)).cast("long")
+
+    tried = skew_join(ranged, runs, "run", "n").groupBy("skey").agg(F.first("target").alias("target"), *[F.sum(copies(F.lit(p / PHASES)) * F.col("size")).alias(f"p{p}") for p in range(PHASES)])
+    errors = F.array(*[F.abs(F.col(f"p{p}") - F.col("target")) for p in range(PHASES)])
+    phases = tried.select("skey", ((F.array_position(errors, F.array_min(errors)) - 1) / PHASES).alias("phase"))
+    out = skew_join(ranged, cut(runs.join(phases.hint("shuffle_hash"), "skey")), "run", "n").withColumn("copies", copies(F.col("phase")))
     return out.select(F.col("key").alias(key), "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
