@@ -180,3 +180,47 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
         raise RuntimeError("connected components did not settle")
     parts = edges.groupBy("u").agg(F.min("v").alias("component"))
     return parts.select(F.col("u").alias("id"), "component").union(parts.select(F.col("component").alias("id"), "component").distinct())
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows and more out of a partition sorted by ``key``; no group is parted between two of them."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count < rows:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = table.column(key).to_numpy()
+        last = int(np.searchsorted(keys, keys[-1]))
+        if last:
+            yield table.slice(0, last)
+            table = table.slice(last).combine_chunks()
+        held, count = table.to_batches(), table.num_rows
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def fixed_binary(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """Rows of a binary column whose values all have ``width`` bytes, as a matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.binary())
+    if not len(column):
+        return np.zeros((0, width), np.uint8)
+    column = column.cast(pa.large_binary())
+    _, off, data = column.buffers()
+    start = np.frombuffer(off, np.int64)[column.offset]
+    return np.frombuffer(data, np.uint8)[start : start + len(column) * width].reshape(len(column), width)
+
+
+def binary_rows(matrix: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    raw = np.ascontiguousarray(matrix)
+    width = raw.shape[1] * raw.itemsize
+    offs = np.arange(raw.shape[0] + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), raw.shape[0], [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(raw.tobytes())])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import decontaminate, language, source_mix, toxicity, warc
+from inkwell.llm import decontaminate, language, near_duplicates, source_mix, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.fit_toxicity(docs, labels.where(~language.held_out("doc_id", 3, 1)))
@@ -41,7 +45,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op5_toxicity, op6_source_mix, op8_decontaminate, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_near_duplicates, op5_toxicity, op6_source_mix, op8_decontaminate, op9_warc)}
 
 ORACLE_SQL = {
     "op6_source_mix": r"""
