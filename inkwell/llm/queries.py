@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import decontaminate, language, near_duplicates, source_mix, toxicity, warc
+from inkwell.llm import decontaminate, fertility, language, near_duplicates, source_mix, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fertility.quality(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "fallback_share", "token_entropy", "script")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -45,7 +50,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_near_duplicates, op5_toxicity, op6_source_mix, op8_decontaminate, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_near_duplicates, op5_toxicity, op6_source_mix, op7_fertility, op8_decontaminate, op9_warc)}
 
 ORACLE_SQL = {
     "op6_source_mix": r"""
