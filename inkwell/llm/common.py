@@ -224,3 +224,57 @@ def binary_rows(matrix: np.ndarray) -> pa.Array:
     width = raw.shape[1] * raw.itemsize
     offs = np.arange(raw.shape[0] + 1, dtype=np.int32) * width
     return pa.Array.from_buffers(pa.binary(), raw.shape[0], [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Integers as bytes: 8 for the least, then 4 for each difference from it (or 8, where they don't fit)."""
+    base = int(values.min()) if len(values) else 0
+    fits = len(values) == 0 or int(values.max()) - base < 2**32
+    return np.array([base], np.int64).tobytes() + (values - base).astype(np.uint32 if fits else np.int64).tobytes()
+
+
+def widen(raw: bytes, count: int) -> np.ndarray:
+    base, wide = np.frombuffer(raw, np.int64, 1)[0], len(raw) - 8 > 4 * count
+    return np.frombuffer(raw, np.int64 if wide else np.uint32, count, 8).astype(np.int64) + base
+
+
+def pack(keys: np.ndarray, buckets: int, **columns: np.ndarray) -> pa.RecordBatch:
+    """Rows (bucket, n, one binary for each column): what stands under a key goes, as arrays, to the bucket of its hash.
+
+    A shuffle of these moves a few large rows instead of many small ones.  int64 columns are narrowed."""
+    bucket = (mix(keys) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    which, first = np.unique(bucket[order], return_index=True)
+    ends = np.append(first[1:], len(order))
+    out = [pa.array(which.astype(np.int32)), pa.array((ends - first).astype(np.int32))]
+    for values in columns.values():
+        sorted_values = values[order]
+        out.append(pa.array([narrow(sorted_values[a:b]) if values.dtype == np.int64 else np.ascontiguousarray(sorted_values[a:b]).tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()))
+    return pa.RecordBatch.from_arrays(out, ["bucket", "n", *columns])
+
+
+def packed_schema(*columns: str) -> str:
+    return "bucket int, n int, " + ", ".join(f"{c} binary" for c in columns)
+
+
+def by_bucket(packed: DataFrame) -> DataFrame:
+    return packed.repartition(partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
+
+
+def unpack(batches: Iterator[pa.RecordBatch], **kinds) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """(bucket, its columns as arrays) of a partition sorted by bucket."""
+
+    def joined(rows: list[dict]) -> dict[str, np.ndarray]:
+        return {c: np.concatenate([widen(r[c], r["n"]) if kind == np.int64 else np.frombuffer(r[c], kind) for r in rows]) for c, kind in kinds.items()}
+
+    at, held = None, []
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i].as_py() for c in ("bucket", "n", *kinds)}
+            if held and row["bucket"] != at:
+                yield at, joined(held)
+                held = []
+            at = row["bucket"]
+            held.append(row)
+    if held:
+        yield at, joined(held)
