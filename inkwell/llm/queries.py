@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import decontaminate, fertility, language, near_duplicates, source_mix, substring_dedup, toxicity, warc
+from inkwell.llm import decontaminate, fertility, language, line_dedup, near_duplicates, source_mix, substring_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(_table(spark, sf_dir, "documents")).drop("spans", "kept")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("text"))
+    out = line_dedup.dedup_lines(docs.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +60,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op4_near_duplicates, op5_toxicity, op6_source_mix, op7_fertility, op8_decontaminate, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_line_dedup, op4_near_duplicates, op5_toxicity, op6_source_mix, op7_fertility, op8_decontaminate, op9_warc)}
 
 ORACLE_SQL = {
     "op6_source_mix": r"""
