@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import decontaminate, fertility, language, line_dedup, near_duplicates, source_mix, substring_dedup, toxicity, warc
+from inkwell.llm import decontaminate, fertility, language, line_dedup, near_duplicates, pitman_yor, source_mix, substring_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_line_dedup, op4_near_duplicates, op5_toxicity, op6_source_mix, op7_fertility, op8_decontaminate, op9_warc)}
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", language.held_out("doc_id", 5, 1))
+    model = pitman_yor.fit(docs.where("not held_out"))
+    out = pitman_yor.score(docs.withColumn("train", ~F.col("held_out")), model)
+    return out.select("doc_id", language.held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_line_dedup, op4_near_duplicates, op5_toxicity, op6_source_mix, op7_fertility, op8_decontaminate, op9_warc, op10_pitman_yor)}
 
 ORACLE_SQL = {
     "op6_source_mix": r"""
