@@ -80,7 +80,9 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
 
 
 def apply_mix(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs``, each as often as its number of copies; rows of 0 copies go.  Columns stay as they are."""
-    plan = mix_sources(docs, key=key, **how).select(F.col(key).alias("__key"), "copies").where("copies > 0").dropDuplicates(["__key"])
+    """The rows of ``docs``, each as often as its number of copies, numbered in ``copy`` from 1; rows of 0 copies go.
+
+    Rows of one key are taken alike, as often as the first of them."""
+    plan = mix_sources(docs, key=key, **how).select(F.col(key).alias("__key"), "copies").groupBy("__key").agg(F.max("copies").alias("__copies")).where("__copies > 0")
     joined = docs.join(plan.hint("shuffle_hash"), docs[key].eqNullSafe(F.col("__key")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import mix, prefix_hash, span_hash, text_blocks, word_spans
 
-BITS, MAX_LABELLED = 20, 40_000
+BITS, MAX_LABELLED = 20, 10_000
 #: Pairs of terms for groups of people, each other's counterfactual.
 IDENTITY_PAIRS = (
     ("women", "men"), ("woman", "man"), ("female", "male"), ("black", "white"), ("muslim", "christian"), ("muslims", "christians"),
