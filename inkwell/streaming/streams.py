@@ -78,11 +78,12 @@ def ingest(stream: DataFrame, table: str, checkpoint: str, seq: str = "seq"):
 
 
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that has landed and reads back what it wrote below ``folder``; in complete and update mode the last row of a batch counts."""
+    """Runs a stream over all that has landed and reads back what it wrote below ``folder``; in complete mode that is the last state, in update mode all rows that changed."""
     spark = stream.sparkSession
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     else:
-        query = stream.writeStream.foreachBatch(lambda b, n: b.withColumn("__batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/b={n}")).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
+        query = stream.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/{n:06d}" if mode == "update" else f"{folder}/out/all")).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema if mode == "append" else stream.schema.add("__batch", "int")).parquet(f"{folder}/out")
+    out = spark.read.schema(stream.schema).parquet(f"{folder}/out" if mode == "append" else f"{folder}/out/*")
+    return out
