@@ -6,8 +6,9 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents are taken in blocks of about this many bytes, so that a task's memory does not follow its batch.
@@ -147,11 +148,11 @@ def skew_join(big: DataFrame, small: DataFrame, key: str, weight: str, hot_rows:
 
     Keys of at least ``max(hot_rows, total / most_hot)`` rows number ``most_hot`` at most, whatever the input, so they are
     broadcast and their rows stay where they are; all other keys are shuffled.  ``weight`` is dropped."""
-    total = small.agg(F.sum(weight)).first()[0] or 0
-    least = max(hot_rows, total // most_hot)
-    hot, cold = small.where(F.col(weight) >= least).drop(weight), small.where(F.col(weight) < least).drop(weight)
-    if total < hot_rows or hot.isEmpty():
+    total, most = small.agg(F.sum(weight), F.max(weight)).first()
+    least = max(hot_rows, (total or 0) // most_hot)
+    if (most or 0) < least:
         return big.join(small.drop(weight).hint("shuffle_hash"), key, how)
+    hot, cold = small.where(F.col(weight) >= least).drop(weight), small.where(F.col(weight) < least).drop(weight)
     mark = F.broadcast(hot.select(key))
     return big.join(F.broadcast(hot), key).unionByName(big.join(mark, key, "left_anti").join(cold.hint("shuffle_hash"), key, how))
 
@@ -160,28 +161,70 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     """(id, component) of every id in an edge; component is the smallest id that can be reached.
 
     Alternating large-star and small-star steps: each node's neighbours are joined to its smallest one, so that after a
-    number of rounds that grows with the logarithm of the size only stars are left.  All steps are grouped aggregates and
-    joins; nothing is gathered on the driver but a count and a sum."""
-    edges = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    number of rounds that grows with the logarithm of the size only stars are left.  Minima come from partial aggregates, and
+    the sort-merge joins that bring them back are those that adaptive execution splits where one node has most edges.  The
+    driver sees a count and a sum each round."""
+    edges = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = None
     for _ in range(rounds):
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("w"))
-        least = least.select("u", F.least("u", "m").alias("m"), "w")
-        large = skew_join(both, least, "u", "w").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("w"))
-        small = skew_join(large, down, "u", "w").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = cut(small)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before == now:
             break
-        before = now
+        before, tasks = now, now[0] // 100_000 + 1  # small graphs need few tasks
+        edges = edges.coalesce(tasks)
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(tasks)
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        ends = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+        edges = cut(large.join(down.hint("merge"), "u").select(F.explode(ends).alias("e")).select("e.*").where("u <> v").distinct().coalesce(tasks))
     else:
         raise RuntimeError("connected components did not settle")
     parts = edges.groupBy("u").agg(F.min("v").alias("component"))
     return parts.select(F.col("u").alias("id"), "component").union(parts.select(F.col("component").alias("id"), "component").distinct())
 
 
+def maybe_in(ids: DataFrame, bits: int = 26) -> np.ndarray:
+    """A Bloom filter of the ids in column ``id``: a bitmap of 2**bits bits (8 MB), whatever their number.
+
+    It tells most rows apart before a join; where it is full it lets all pass, and the join decides as ever."""
+    h = F.xxhash64("id")
+    places = ids.select(F.explode(F.array(*[F.call_function("shiftrightunsigned", h, F.lit(64 - bits if k else 0)).bitwiseAND(F.lit((1 << bits) - 1)) for k in (0, 1)])).alias("p"))
+    words = places.groupBy(F.call_function("shiftright", "p", F.lit(6)).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def passes(bitmap: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Which of the xxhash64 values may belong to the filter's ids."""
+    bits = int(len(bitmap)).bit_length() - 1 + 6
+    h, good = hashed.view(np.uint64), np.ones(len(hashed), dtype=bool)
+    for shift in (0, 64 - bits):
+        p = (h >> np.uint64(shift)) & np.uint64((1 << bits) - 1)
+        good &= (bitmap[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) > 0
+    return good
+
+
+def likely_in(ids: DataFrame, key: Column) -> Column:
+    """Whether a row's key may be among ``ids`` (id): false ones surely aren't, so they needn't be shuffled to a join with them."""
+    held = ids.sparkSession.sparkContext.broadcast(maybe_in(ids))
+
+    @F.pandas_udf("boolean")
+    def test(hashed: pd.Series) -> pd.Series:
+        return pd.Series(passes(held.value, hashed.to_numpy()))
+
+    return test(F.xxhash64(key.cast("long")))
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``docs`` less the rows whose key is in ``gone`` (id); only rows that may be there are shuffled."""
+    gone = cut(gone.select(F.col("id").cast("long").alias("id")).distinct())
+    maybe = likely_in(gone, docs[key])
+    near = docs.where(maybe)
+    return docs.where(~maybe).unionByName(near.join(gone.hint("shuffle_hash"), near[key] == F.col("id"), "left_anti"))
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.Table]:
     """Tables of about ``rows`` rows and more out of a partition sorted by ``key``; no group is parted between two of them."""
     held: list[pa.RecordBatch] = []
@@ -258,7 +301,8 @@ def packed_schema(*columns: str) -> str:
 
 
 def by_bucket(packed: DataFrame) -> DataFrame:
-    return packed.repartition(partitions(packed.sparkSession), "bucket").sortWithinPartitions("bucket")
+    """Each bucket in the partition of its number; there are as many buckets as shuffle partitions."""
+    return packed.repartitionById(partitions(packed.sparkSession), F.col("bucket")).sortWithinPartitions("bucket")
 
 
 def unpack(batches: Iterator[pa.RecordBatch], **kinds) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
