@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import lower_ascii, text_blocks, word_hashes, word_spans
+from inkwell.llm.common import lower_ascii, text_blocks, without, word_hashes, word_spans
 
 #: What parts words: every ASCII character but letters and digits (after lower-casing also A-Z can't occur).
 _PARTS = np.zeros(256, dtype=bool)
@@ -166,8 +166,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """``docs`` without the rows that are contaminated; columns stay as they are."""
-    bad = find_contamination(docs, benchmark, key, **how).where("contaminated").select(F.col(key).alias("__key")).distinct()
-    return docs.join(bad.hint("shuffle_hash"), docs[key].eqNullSafe(F.col("__key")), "left_anti")
+    return without(docs, find_contamination(docs, benchmark, key, **how).where("contaminated").select(F.col(key).alias("id")), key)
 
 
 def items_digest(ids: list[int]) -> str:

@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import binary_rows, connected_components, cut, fixed_binary, lower_ascii, mix, partitions, shingles, skew_join, text_blocks, whole_groups, word_hashes, word_spans
+from inkwell.llm.common import binary_rows, connected_components, cut, fixed_binary, likely_in, lower_ascii, mix, partitions, shingles, skew_join, text_blocks, whole_groups, without, word_hashes, word_spans
 
-#: Minwise tokens of each document; trees; largest node that is compared exhaustively; levels of branching before blocks.
-TOKENS, TREES, LEAF, LEVELS = 128, 12, 256, 4
-#: Pairs below MAYBE in the sketch are no candidates (seven deviations below 0.75 by one byte a token); pairs from SURE on are taken as one cluster when pairs are listed.
-MAYBE, SURE = 0.49, 0.9
+#: Minwise tokens of each document, and those of them that paths are chosen by; trees; largest node that is compared exhaustively; levels of branching before blocks; documents compared in one block.
+TOKENS, PATHS, TREES, LEAF, LEVELS, BLOCK = 128, 32, 12, 256, 1, 512
+#: Pairs below MAYBE in the sketch are no candidates (seven deviations below 0.75 by one byte a token).
+MAYBE = 0.49
 
 
 def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -47,7 +47,7 @@ def minwise(hashed: np.ndarray, first: np.ndarray, tokens: int = TOKENS) -> np.n
 
 
 def sketch(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(id, n, digest, tokens): set size, a digest of the whole set and its minwise tokens, for every row."""
+    """(id, n, digest, tokens, low): set size, a digest of the whole set, its minwise tokens for paths and one byte of each for comparisons."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,16 +57,16 @@ def sketch(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 digest = np.stack([n.astype(np.uint64), total[first[1:]] - total[first[:-1]], other[first[1:]] - other[first[:-1]]], axis=1)
                 low = np.zeros((to - at, TOKENS), np.uint32)
                 low[n > 0] = minwise(hashed, first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n, pa.int64()), binary_rows(digest), binary_rows(low)], ["id", "n", "digest", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n, pa.int64()), binary_rows(digest), binary_rows(low[:, :PATHS]), binary_rows(low.astype(np.uint8))], ["id", "n", "digest", "tokens", "low"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, digest binary, tokens binary")
+    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, digest binary, tokens binary, low binary")
 
 
 def _children(node: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place of the row, child node): a node picks one minwise token, and a second one with chance 1/3, so 4/3 at a similarity of 3/4 on the mean."""
     pick = mix(node + np.uint64(0x51ED27))
-    one = (pick % np.uint64(TOKENS)).astype(np.int64)
-    two = (one + 1 + ((pick >> np.uint64(20)) % np.uint64(TOKENS - 1)).astype(np.int64)) % TOKENS
+    one = (pick % np.uint64(PATHS)).astype(np.int64)
+    two = (one + 1 + ((pick >> np.uint64(20)) % np.uint64(PATHS - 1)).astype(np.int64)) % PATHS
     more = np.flatnonzero((pick >> np.uint64(40)) % np.uint64(3) == 0)
     rows = np.arange(len(node))
     at, which = np.concatenate([rows, more]), np.concatenate([one, two[more]])
@@ -78,25 +78,36 @@ def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=-1) - 1 / 256) / (1 - 1 / 256)
 
 
+def _join(parent: list[int], i: int, j: int) -> bool:
+    """Union of two members' sets; whether they were apart."""
+    while parent[i] != i:
+        parent[i] = i = parent[parent[i]]
+    while parent[j] != j:
+        parent[j] = j = parent[parent[j]]
+    if i == j:
+        return False
+    parent[max(i, j)] = min(i, j)
+    return True
+
+
+def _labelled(labels: np.ndarray, none: int | None = None) -> list[int]:
+    """A union-find over members in which equal labels are together from the start."""
+    parent, seen = list(range(len(labels))), {}
+    for i, x in enumerate(labels.tolist()):
+        if x != none:
+            parent[i] = seen.setdefault(x, i)
+    return parent
+
+
 def compare_leaf(ids: np.ndarray, low: np.ndarray, flags: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-    """Candidate pairs of a small node, compared exhaustively.
-
-    Pairs that are both SURE copies of an earlier member (or share a flag, which says so for the node above) are joined
-    through it and not listed.  side: 2 for the whole node, else only pairs of side 0 with side 1."""
-    if len(ids) == 2:
-        return [(ids[0], ids[1])] if (flags[0] == 0 or flags[0] != flags[1]) and ids[0] != ids[1] and (side[0] == 2 or side[0] != side[1]) and _alike(low[0], low[1]) >= MAYBE else []
-    order = np.argsort(ids, kind="stable")
-    ids, low, flags, side = ids[order], low[order], flags[order], side[order]
+    """Candidate pairs of a small node, compared exhaustively; of those that close a circle none is listed.
+
+    Members with one flag are together already.  side: 2 for the whole node, else only pairs of side 0 with side 1."""
     s = _alike(low[:, None, :], low[None, :, :])
-    want = np.triu(s >= MAYBE, 1) & (ids[:, None] != ids[None, :])
-    want &= (flags[:, None] == 0) | (flags[:, None] != flags[None, :])
-    want &= (side[:, None] == 2) | (side[:, None] != side[None, :])
-    if (side == 2).all():
-        for i in range(len(ids)):
-            copies = np.flatnonzero(want[i] & (s[i] >= SURE))
-            if len(copies) > 1:
-                want[np.ix_(copies, copies)] = False
-    return [(ids[i], ids[j]) for i, j in zip(*np.nonzero(want), strict=True)]
+    i, j = np.nonzero(np.triu((s >= MAYBE) & ((side[:, None] == 2) | (side[:, None] != side[None, :])), 1))
+    order = np.argsort(-s[i, j], kind="stable")
+    parent = _labelled(flags, 0)
+    return [(ids[a], ids[b]) for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True) if _join(parent, a, b)]
 
 
 def _compare(rows: DataFrame) -> DataFrame:
@@ -129,17 +140,17 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(sketches: DataFrame, trees: int = TREES, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
-    """Pairs (a, b), a < b, that some tree brings together and whose sketches may be similar enough.
+    """Pairs (a, b), a < b, that connect whatever some tree brings together and whose sketches may be similar enough.
 
-    ``sketches`` (id, tokens) holds one row for each distinct set.  In every tree a document goes to the children that its
+    ``sketches`` (id, tokens, low) holds one row for each distinct set.  In every tree a document goes to the children that its
     node's selected minwise tokens name.  Nodes of up to ``leaf`` members are compared exhaustively.  A larger node first
-    compares all members with its pivot, the least id: SURE copies are linked to it and carry its flag on, so a node of copies of
-    one pivot ends there however large it is; the rest branches.  What is still large after ``levels`` levels is compared in
+    compares all members with its pivot, the least id without a flag: those that may be similar to it are linked to it and carry its flag on, so a
+    node of one cluster ends there however large it is; the rest branches.  What is still large after ``levels`` levels is compared in
     blocks of at most about ``leaf`` members, with nothing left out."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tokens = batch.column(0).to_numpy(), fixed_binary(batch.column(1), 4 * TOKENS).view(np.uint32)
+            ids, tokens = batch.column(0).to_numpy(), fixed_binary(batch.column(1), 4 * PATHS).view(np.uint32)
             for tree in range(trees):
                 root = np.full(len(ids), mix(np.array([tree + 1], np.uint64))[0], np.uint64)
                 at, child = _children(root, tokens)
@@ -148,27 +159,25 @@ def candidate_pairs(sketches: DataFrame, trees: int = TREES, leaf: int = LEAF, l
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, ids, pivot = (batch.column(k).to_numpy() for k in range(3))
-            tokens, own = (fixed_binary(batch.column(k), 4 * TOKENS).view(np.uint32) for k in (3, 4))
-            s = _alike(tokens.astype(np.uint8), own.astype(np.uint8))
-            flag = np.where(s >= SURE, (mix(node.view(np.uint64)) | np.uint64(1)).view(np.int64), 0)
+            tokens = fixed_binary(batch.column(3), 4 * PATHS).view(np.uint32)
+            s = _alike(*(fixed_binary(batch.column(k), TOKENS) for k in (4, 5)))
+            flag = np.where(s >= MAYBE, (mix(node.view(np.uint64)) | np.uint64(1)).view(np.int64), 0)
             at, child = _children(node.view(np.uint64), tokens)
             n = len(at)
             yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[at]), pa.array(flag[at]), pa.array(np.zeros(n, bool))], ["node", "id", "flag", "pair"])
             near = np.flatnonzero((s >= MAYBE) & (ids != pivot))
             yield pa.RecordBatch.from_arrays([pa.array(pivot[near]), pa.array(ids[near]), pa.array(np.zeros(len(near), np.int64)), pa.array(np.ones(len(near), bool))], ["node", "id", "flag", "pair"])
 
-    spark = sketches.sparkSession
-    low = sketches.select("id", F.col("tokens"))
-    rows = _sized(low.select("id", "tokens").mapInArrow(grow, "node long, id long, flag long"))
+    rows = _sized(sketches.select("id", "tokens").mapInArrow(grow, "node long, id long, flag long"))
     leaves, pairs = [rows.where(F.col("size") <= leaf)], []
     large = rows.where(F.col("size") > leaf)
     for _ in range(levels):
         if large.isEmpty():
             break
-        pivots = large.groupBy("node").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("w"))
-        pivots = pivots.join(low.select(F.col("id").alias("pivot"), F.col("tokens").alias("own")).hint("shuffle_hash"), "pivot")
-        full = skew_join(large.join(low.hint("merge"), "id"), cut(pivots), "node", "w")
-        both = cut(full.select("node", "id", "pivot", "tokens", "own").mapInArrow(split, "node long, id long, flag long, pair boolean"))
+        pivots = large.groupBy("node").agg(F.coalesce(F.min(F.when(F.col("flag") == 0, F.col("id"))), F.min("id")).alias("pivot"), F.count(F.lit(1)).alias("w"))
+        pivots = pivots.join(sketches.select(F.col("id").alias("pivot"), F.col("low").alias("own")).hint("shuffle_hash"), "pivot")
+        full = skew_join(large.join(sketches.hint("merge"), "id"), cut(pivots), "node", "w")
+        both = cut(full.select("node", "id", "pivot", "tokens", "low", "own").mapInArrow(split, "node long, id long, flag long, pair boolean"))
         pairs.append(both.where("pair").select(F.col("node").alias("a"), F.col("id").alias("b")))
         rows = _sized(both.where("not pair").select("node", "id", "flag"))
         leaves.append(rows.where(F.col("size") <= leaf))
@@ -182,62 +191,118 @@ def candidate_pairs(sketches: DataFrame, trees: int = TREES, leaf: int = LEAF, l
         own = F.pmod(F.xxhash64("id"), blocks).cast("int")
         dealt = large.withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
         small = small.unionByName(dealt.select(F.xxhash64("node", F.least("own", "k"), F.greatest("own", "k")).alias("node"), "id", "flag", F.when(F.col("own") == F.col("k"), 2).when(F.col("own") < F.col("k"), 0).otherwise(1).alias("side")))
-    one_byte = low.mapInArrow(_bytes, "id long, low binary")
-    pairs.append(_compare(small.join(one_byte.hint("merge"), "id").select("node", "id", "flag", "side", "low")))
+    pairs.append(_compare(small.join(sketches.select("id", "low").hint("merge"), "id").select("node", "id", "flag", "side", "low")))
     out = pairs[0]
     for more in pairs[1:]:
         out = out.unionByName(more)
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sketch for comparisons: the low byte of every minwise token."""
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), binary_rows(fixed_binary(batch.column(1), 4 * TOKENS).view(np.uint32).astype(np.uint8))], ["id", "low"])
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int, star: int = 500) -> DataFrame:
-    """The pairs whose whole sets meet 100 * intersection >= percent * union.
+def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """(id, items): the whole sets of the documents in ``ids`` (id).  Texts stay where they are: a Bloom filter of bounded size
+    picks them, sets of others that it lets through fall out in later joins."""
 
-    Each set is made once from its text and goes to the pairs in which it is the larger id; pairs come together by their smaller
-    id, at most about ``star`` of them at a time, with that id's own set."""
-    pairs = pairs.withColumn("salt", F.lit(0))
-    many = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > star)
-    many = cut(many.select("a", F.ceil(F.col("n") / star).cast("int").alias("salts"), F.col("n").alias("w")))
-    pairs = cut(skew_join(pairs.drop("salt"), many, "a", "w", how="left").select("a", "b", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("b"), F.col("salts"))).otherwise(F.lit(0)).cast("int").alias("salt")))
-    # who needs the set of which document: (id, group, whether it is the group's centre)
-    uses = pairs.select(F.col("b").alias("id"), "a", "salt").union(pairs.select(F.col("a").alias("id"), "a", "salt").distinct())
-    wanted = uses.groupBy("id").agg(F.collect_list(F.struct("a", "salt")).alias("groups"))
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted.hint("shuffle_hash"), "id")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, hashed, first in shingle_sets(batch.column(2), size):
+            for at, to, hashed, first in shingle_sets(batch.column(1), size):
                 raw = [hashed[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(raw, pa.binary())], ["id", "groups", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(raw, pa.binary())], ["id", "items"])
+
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+    return cut(rows.where(likely_in(ids, F.col("id"))).mapInArrow(make, "id long, items binary"))
+
+
+def _with_sets(sets: DataFrame, uses: DataFrame) -> DataFrame:
+    """(block, id, label, items): the set of each document for every block in ``uses`` (id, block, label)."""
+    wanted = uses.groupBy("id").agg(F.collect_list(F.struct("block", "label")).alias("uses"))
+    return sets.join(wanted.hint("shuffle_hash"), "id").select("id", F.explode("uses").alias("u"), "items").select("u.block", "id", "u.label", "items")
+
+
+def link_block(ids: list[int], labels: np.ndarray, items: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Pairs of a block whose whole sets meet 100 * intersection >= percent * union, most similar sketches first.
+
+    Equal labels are linked already; a pair that links would close a circle with is not looked at."""
+    sizes = np.array([len(x) for x in items])
+    fits = 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
+    if len(ids) > 8:
+        low = np.concatenate([minwise(x, np.array([0, len(x)])) for x in items]).astype(np.uint8)
+        s = np.array([_alike(low[k], low) for k in range(len(ids))])
+    else:
+        s = np.ones((len(ids), len(ids)))
+    i, j = np.nonzero(np.triu(fits & (s >= MAYBE), 1))
+    order = np.argsort(-s[i, j], kind="stable")
+    parent, out = _labelled(labels), []
+    find = lambda k: k if parent[k] == k else find(parent[k])
+    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+        if find(a) != find(b):
+            common = len(np.intersect1d(items[a], items[b], assume_unique=True))
+            if 100 * common >= percent * (len(items[a]) + len(items[b]) - common):
+                _join(parent, a, b)
+                out.append((ids[a], ids[b]))
+    return out
 
-    dealt = texts.select("id", "groups", "text").mapInArrow(sets, "id long, groups array<struct<a:long,salt:int>>, items binary")
-    dealt = dealt.select("id", F.explode("groups").alias("g"), "items").select("g.a", "g.salt", "id", "items")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, own = None, None
+def _link(blocks: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of all blocks (block, id, label, items)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close() -> pa.RecordBatch:
+            found = np.array(link_block([h[0] for h in held], np.array([h[1] for h in held]), [h[2] for h in held], percent) if len(held) > 1 else [], np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        at, held = None, []
         for batch in batches:
-            out = []
-            for a, salt, i, items in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                other = np.frombuffer(items, np.uint64)
-                if i == a:
-                    centre, own = (a, salt), other
-                elif centre == (a, salt):
-                    common = len(np.intersect1d(own, other, assume_unique=True))
-                    if 100 * common >= percent * (len(own) + len(other) - common):
-                        out.append((a, i))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
-
-    parts = partitions(docs.sparkSession)
-    return dealt.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "id").mapInArrow(check, "a long, b long").distinct()
-
-
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+            for block, i, label, items in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if held and block != at:
+                    yield close()
+                    held = []
+                at = block
+                if not held or held[-1][0] != i:
+                    held.append((i, label, np.frombuffer(items, np.uint64)))
+        if held:
+            yield close()
+
+    return blocks.repartition(partitions(blocks.sparkSession), "block").sortWithinPartitions("block", "id").mapInArrow(run, "a long, b long")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b), confirmed on whole sets, that connect what the links among all candidates connect.
+
+    Candidate pairs make clusters.  A cluster of up to ``block`` documents is compared in one place, and each set moves there
+    once.  In a larger one the candidate pairs themselves are confirmed first; then all that isn't linked with the cluster's
+    largest part is compared with every member, in blocks: no pair is left out, but pairs of one part need no second look."""
+    clusters = cut(connected_components(pairs))
+    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("w"))
+    sized = cut(skew_join(clusters, cut(sizes.withColumn("members", F.col("w"))), "component", "w"))
+    sets = _sets(docs, sized.select("id"), key, text, size)
+    small = sized.where(F.col("members") <= block).select("id", F.xxhash64("component").alias("block"), F.col("id").alias("label"))
+    links = _link(_with_sets(sets, small), percent)
+    large = sized.where(F.col("members") > block).select("id", F.col("component").alias("cluster"), "members")
+    if large.isEmpty():
+        return links
+    own = pairs.join(large.select(F.col("id").alias("b")).hint("shuffle_hash"), "b", "left_semi").withColumn("block", F.xxhash64("a", "b"))
+    ends = own.select(F.explode(F.array("a", "b")).alias("id"), "block").withColumn("label", F.col("id"))
+    sure = cut(_link(_with_sets(sets, ends), percent))
+    parts = connected_components(sure).withColumnRenamed("component", "part")
+    parts = cut(large.join(parts.hint("merge"), "id", "left").withColumn("part", F.coalesce("part", "id")))
+    main = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("w"))
+    parts = cut(skew_join(parts, cut(main), "cluster", "w"))
+    rest = parts.where("part <> main")
+    if rest.isEmpty():
+        return links.unionByName(sure)
+    # blocks of rest x blocks of all members, dealt by hash
+    half = block // 2
+    wide = rest.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).select("cluster", F.ceil(F.col("n") / half).cast("int").alias("down"), F.col("n").alias("w"))
+    wide = cut(wide)
+    across = F.ceil(F.col("members") / half).cast("int")
+    key_of = lambda r, c: F.xxhash64("cluster", r, c)
+    rows = skew_join(rest, wide, "cluster", "w").withColumn("r", F.pmod(F.xxhash64("id"), F.col("down")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), across - 1)))
+    columns = skew_join(parts, wide.join(cut(main).select("cluster", F.col("w").alias("all")).hint("shuffle_hash"), "cluster").drop("w").withColumnRenamed("all", "w"), "cluster", "w").withColumn("c", F.pmod(F.xxhash64("id", F.lit(1)), across).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("down") - 1)))
+    uses = rows.unionByName(columns.select(*rows.columns)).select("id", key_of("r", "c").alias("block"), F.col("part").alias("label")).distinct()
+    return links.unionByName(sure).unionByName(_link(_with_sets(sets, uses), percent))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of ``docs``; component_id is the least key that links reach.
 
     Words are what blanks part, with A-Z lower-cased; a document's set are its distinct runs of ``size`` words, a shorter text's
@@ -248,9 +313,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     keyed = rows.where("id is not null")
     sets = cut(keyed.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("w")))
     first = sets.select(F.col("least").alias("id"), F.col("digest").alias("d"))
-    distinct = keyed.join(first.hint("shuffle_hash"), "id").where("digest = d").dropDuplicates(["id"]).select("id", "tokens")
-    pairs = cut(candidate_pairs(cut(distinct)))
-    links = confirm(pairs, docs, key, text, size, percent)
+    distinct = keyed.join(first.hint("shuffle_hash"), "id").where("digest = d").dropDuplicates(["id"]).select("id", "tokens", "low")
+    pairs = cut(candidate_pairs(cut(distinct), leaf=leaf))
+    links = confirm(pairs, docs, key, text, size, percent, block)
     parts = connected_components(links).withColumnRenamed("id", "least")
     where = cut(sets.join(parts.hint("shuffle_hash"), "least", "left").select("digest", F.coalesce("component", "least").alias("component"), "w"))
     linked = skew_join(rows.select("id", "n", "digest"), where, "digest", "w", how="left")
@@ -261,5 +326,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """One row of each group stays: ``docs`` without the rows whose component has a smaller key; columns stay as they are."""
-    gone = near_duplicates(docs, key, **how).where("not kept").select(F.col(key).alias("__key")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs[key] == F.col("__key"), "left_anti")
+    return without(docs, near_duplicates(docs, key, **how).where("not kept").select(F.col(key).alias("id")), key)
