@@ -139,7 +139,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     small = [short(c) for c in full]
     pairs = [(small[i], short(np.frombuffer(r["twin"], np.int32))) for i, r in enumerate(rows) if r["twin"] is not None]
     k = len(chosen)
-    margins, fold = np.zeros(len(rows)), np.arange(len(rows)) % 2
+    margins, fold = np.zeros(len(rows)), np.zeros(len(rows), np.int64)
+    for label in (0, 1):  # either label in both folds
+        fold[y == label] = np.arange(int((y == label).sum())) % 2
     for f in (0, 1):
         own = [c for c, g in zip(small, fold, strict=True) if g != f]
         w, b = fit_logistic(own, y[fold != f], pairs, k)
