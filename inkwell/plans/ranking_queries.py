@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import scoring
 from inkwell.functions import text as X
-from inkwell.operators import edition, packing, ranking, taste
+from inkwell.operators import edition, merge, packing, ranking, taste
 from inkwell.operators.graph import cut
 from inkwell.plans.tables import AS_OF_ITEMS, ITEMS_SQL, items, table
+from inkwell.sources import dumps
 
 QUERIES, ORACLE = {}, {}
 GROUPS = [
@@ -287,3 +288,36 @@ def x23_x24_critic(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = F.element_at(F.array(*map(F.lit, ("然而", "震惊 内幕", "据悉", "", ""))), (F.col("doc_id") % 5 + 1).cast("int"))
     c = scoring.cached_critic(F.when(F.col("doc_id") % 4 == 0, '{"score": 12, "reason": "r"}').otherwise("not json"), mark, F.col("text"))
     return d.select("doc_id", c.alias("c")).select("doc_id", F.round("c.score", 6).alias("score"), "c.source")
+
+
+@query("""SELECT 'a' || doc_id AS id, 0.28::DOUBLE AS priority, split_part(text, chr(10), 1) AS title FROM documents WHERE len(string_split(text, chr(10))) < 2
+  UNION ALL SELECT 'a' || doc_id || '-' || lpad(i::VARCHAR, 2, '0'), round(0.28::DOUBLE - i * 0.001, 4), string_split(text, chr(10))[i] FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE len(string_split(text, chr(10))) >= 2)""")
+def u10_split_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("id"), F.lit(0.28).alias("priority"), F.substring_index("text", "\n", 1).alias("title"), F.split("text", "\n", -1).alias("entries"))
+    return merge.split_lists(d).select("id", "priority", "title")
+
+
+@query("""WITH p AS (SELECT doc_id % 200 AS k, list(length(text) ORDER BY doc_id) AS n FROM documents GROUP BY ALL)
+  SELECT doc_id, length(left(text, 100)) <= 500 AND list_max(n) > length(left(text, 100)) AS restored FROM documents JOIN p ON k = doc_id WHERE length(text) > 0""")
+def u9_j3_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    stubs = d.where("doc_id < 200").select("doc_id", F.col("doc_id").alias("content_hash"), F.left("text", F.lit(100)).alias("content"))
+    payloads = d.groupBy((F.col("doc_id") % 200).alias("content_hash")).agg(F.collect_list("text").alias("texts"))
+    return merge.restore_bodies(stubs, payloads).select("doc_id", "restored")
+
+
+@query("""WITH c AS (SELECT doc_id AS pos, 'BV' || doc_id % 150 AS bvid FROM documents), f AS (SELECT bvid, min(pos) AS pos FROM c GROUP BY bvid)
+  SELECT pos, 'https://www.bilibili.com/video/' || bvid AS url, ['t' || pos % 3, 'x'] AS tags FROM f WHERE bvid IN (SELECT 'BV' || item_id FROM benchmark)""")
+def s4_s8_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    catalog = d.select(F.col("doc_id").alias("pos"), F.concat(F.lit("BV"), (F.col("doc_id") % 150).cast("string")).alias("bvid"), F.col("lang").alias("title"), F.lit("http://c/1.jpg").alias("cover"), F.concat(F.lit("t"), (F.col("doc_id") % 3).cast("string"), F.lit(", x")).alias("tags"))
+    tokens = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("BV"), F.col("item_id").cast("string")).alias("token"))
+    return dumps.find_videos(dumps.video_items(catalog), tokens).select("pos", "url", "tags")
+
+
+@query("""SELECT doc_id, 'src_' || doc_id || '_' || lang AS slug, CASE WHEN doc_id % 2 = 0 THEN '昨天 07:00' ELSE '' END AS label, 'zhihu' AS kind, source AS name FROM documents""")
+def x7_x30_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    line = F.concat(F.col("source"), F.lit(" · ZHIHU"), F.when(F.col("doc_id") % 2 == 0, " · 昨天 07:00").otherwise(""), F.lit(" · sim 0.3 ·"))
+    b = X.byline(line)
+    return table(spark, sf_dir, "documents").select("doc_id", X.slugify(F.concat(F.lit(" Src "), n, F.lit("/"), F.col("lang"), F.lit("!"))).alias("slug"), b["published_label"].alias("label"), b["source_type"].alias("kind"), b["source_name"].alias("name"))
