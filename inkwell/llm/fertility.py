@@ -22,7 +22,7 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 SCRIPTS = (("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x77F), ("indic", 0x900, 0xDFF), ("thai", 0xE00, 0xE7F), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF))
 #: Per script: least and most characters per token, most byte-fallback share, least token entropy as a share of log2(tokens).
 BANDS = {
-    "latin": (2.0, 9.0, 0.05, 0.35), "greek": (0.7, 6.0, 0.2, 0.35), "cyrillic": (0.7, 6.0, 0.2, 0.35), "hebrew": (0.5, 5.0, 0.3, 0.3), "arabic": (0.5, 5.0, 0.3, 0.3), "indic": (0.25, 4.0, 0.7, 0.25), "thai": (0.25, 4.0, 0.7, 0.25),
+    "latin": (1.85, 9.0, 0.05, 0.25), "greek": (0.7, 6.0, 0.2, 0.35), "cyrillic": (0.7, 6.0, 0.2, 0.35), "hebrew": (0.5, 5.0, 0.3, 0.3), "arabic": (0.5, 5.0, 0.3, 0.3), "indic": (0.25, 4.0, 0.7, 0.25), "thai": (0.25, 4.0, 0.7, 0.25),
     "kana": (0.4, 3.0, 0.5, 0.3), "han": (0.4, 3.0, 0.6, 0.3), "hangul": (0.3, 3.0, 0.8, 0.3), "other": (0.2, 9.0, 1.0, 0.25), "none": (0.8, 9.0, 0.2, 0.35),
 }
 NAMES = (*dict.fromkeys(s for s, _, _ in SCRIPTS), "other", "none")
