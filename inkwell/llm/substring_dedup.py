@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,11 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import by_bucket, cut, mix, pack, packed_schema, partitions, powers, prefix_hash, skew_join, span_hash, text_blocks, unpack
+from inkwell.llm.common import by_bucket, cut, ensure_checkpoints, likely_in, mix, pack, packed_schema, partitions, powers, prefix_hash, skew_join, span_hash, text_blocks, unpack, without
 
 LENGTH, GRAM = 100, 40
 #: Occurrences of one anchor that are sorted together; more are dealt into groups first.
 GROUP = 5_000
+#: Bytes of a bucket that are sorted at a time.
+CHUNK_BYTES = 1_000_000
+#: Bytes of text that anchors are looked for in at a time.
+TEXT_BYTES = 500_000
 _INDEX_BITS = 24
 
 
@@ -223,6 +228,21 @@ def _spans_by_doc(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Rec
 _FIELDS = {"key": np.uint64, "part": np.int32, "doc": np.int64, "lo": np.int64, "starts": np.uint8, "shift": np.uint8, "bytes": np.uint8}
 
 
+def _chunks(columns: dict[str, np.ndarray], length: int, most: int = CHUNK_BYTES) -> Iterator[dict[str, np.ndarray]]:
+    """A bucket in parts of about ``most`` bytes, a key's occurrences together: what is sorted at a time is bounded."""
+    count = -(-len(columns["bytes"]) // most)
+    if count <= 1:
+        yield columns
+        return
+    size = columns["starts"].astype(np.int64) + length - 1
+    begin, part = np.cumsum(size) - size, mix(columns["key"] + np.uint64(0x5D588B65)) % np.uint64(count)
+    for k in range(count):
+        own = np.flatnonzero(part == k)
+        if len(own):
+            at = np.repeat(begin[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(int(size[own].sum()))
+            yield {c: columns["bytes"][at] if c == "bytes" else v[own] for c, v in columns.items()}
+
+
 def _pack_strings(buckets: int, key, part, doc, lo, starts, shift, data, begin, length: int) -> pa.RecordBatch:
     """Occurrences with their bytes, dealt into buckets by key."""
     size = starts.astype(np.int64) + length - 1
@@ -242,7 +262,7 @@ def _sort(packed: DataFrame, length: int, buckets: int) -> DataFrame:
     """Rows (doc, spans, ...) of removed spans, and rows (bucket, ...) of strings for a further round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, columns in unpack(batches, **_FIELDS):
+        for columns in (part for _, whole in unpack(batches, **_FIELDS) for part in _chunks(whole, length)):
             doc, start, end, left = sort_bucket(columns, length)
             if len(doc):
                 yield _spans_by_doc(doc, start, end)
@@ -263,23 +283,23 @@ def _sort(packed: DataFrame, length: int, buckets: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc, spans) of the distinct documents in ``docs`` (doc, text): start and end of every run to remove, as packed integers.
 
-    Only strings whose anchor occurs again anywhere can repeat.  A first pass ships anchor hashes alone and finds those; a
+    Only strings whose anchor occurs again anywhere can repeat.  A first pass ships half hashes of anchors alone and finds those; a
     second one ships the bytes about them, an anchor's occurrences to one bucket, where the suffix sort decides.  An anchor of
     more than GROUP occurrences is dealt into parts: each part drops what it has twice, and the first strings of all parts
     meet again under a hash of their own, so no task gets a large group whole."""
     spark = docs.sparkSession
-    buckets = 8 * partitions(spark)
+    buckets = partitions(spark)
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            found = [(ids[at + row], h) for at, _, data, offs in text_blocks(batch.column(1)) for row, h, *_ in [anchors(data, offs, length)]]
+            found = [(ids[at + row], h) for at, _, data, offs in text_blocks(batch.column(1), TEXT_BYTES) for row, h, *_ in [anchors(data, offs, length)]]
             if found:
                 doc, h = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pack(h, buckets, h=h, doc=doc)
+                yield pack(h, buckets, h=_short(h), doc=doc)
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, c in unpack(batches, h=np.uint64, doc=np.int64):
+        for _, c in unpack(batches, h=np.uint32, doc=np.int64):
             order = np.argsort(c["h"])
             h = c["h"][order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -293,22 +313,25 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array([h[a:b].tobytes() + np.minimum(counts[a:b], 2**32 - 1).astype(np.uint32).tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary())], ["doc", "again"])
 
     counted = by_bucket(docs.select("doc", "text").mapInArrow(hashes, packed_schema("h", "doc"))).mapInArrow(again, "doc long, again binary")
+    place = f"{ensure_checkpoints(spark)}/anchors-{uuid.uuid4().hex}"
+    counted.write.parquet(place)
+    counted = spark.read.parquet(place)
     wanted = counted.groupBy("doc").agg(F.collect_list("again").alias("again"))
-    texts = docs.join(wanted.hint("shuffle_hash"), "doc").select("doc", "text", "again")
+    texts = docs.where(likely_in(counted.select(F.col("doc").alias("id")), F.col("doc"))).join(wanted.hint("shuffle_hash"), "doc").select("doc", "text", "again")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, again_ = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            for at, to, data, offs in text_blocks(batch.column(1)):
+            for at, to, data, offs in text_blocks(batch.column(1), TEXT_BYTES):
                 row, h, lo, hi, place = anchors(data, offs, length)
                 split = np.searchsorted(row, np.arange(to - at + 1))
                 keep, counts = [], []
                 for r in range(to - at):
-                    raw = [(np.frombuffer(x, np.uint64, len(x) // 12), np.frombuffer(x, np.uint32, len(x) // 12, len(x) // 12 * 8)) for x in again_[at + r]]
+                    raw = [(np.frombuffer(x, np.uint32, len(x) // 8), np.frombuffer(x, np.uint32, len(x) // 8, len(x) // 2)) for x in again_[at + r]]
                     known, often = (np.concatenate(x) for x in zip(*raw, strict=True))
                     order = np.argsort(known)
                     known, often = known[order], often[order]
-                    own = h[split[r] : split[r + 1]]
+                    own = _short(h[split[r] : split[r + 1]])
                     place_in = np.minimum(np.searchsorted(known, own), len(known) - 1)
                     hit = known[place_in] == own
                     keep.append(np.flatnonzero(hit) + split[r])
@@ -328,6 +351,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return spans
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """Half of an anchor's hash, enough to look for anchors that may occur again; the suffix sort sees the whole."""
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
 def _salted(h: np.ndarray, part: np.ndarray) -> np.ndarray:
     return np.where(part > 0, mix(h + part.astype(np.uint64)), h)
 
@@ -345,10 +373,13 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     firsts = long.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("w"))
     repeated = cut(firsts.where("w > 1"))
     copies = cut(skew_join(long.select("doc", "digest"), repeated, "digest", "w").where("doc <> first").select("doc").distinct())
-    singles = long.select("doc", "text").join(copies.hint("shuffle_hash"), "doc", "left_anti") if not copies.isEmpty() else long.select("doc", "text")
+    singles = without(long.select("doc", "text"), copies.select(F.col("doc").alias("id")), "doc")
     spans = repeated_spans(singles, length).groupBy("doc").agg(F.collect_list("spans").alias("spans"))
     facts = spans.withColumn("copy", F.lit(False)).unionByName(copies.select("doc", F.array().cast("array<binary>").alias("spans"), F.lit(True).alias("copy")))
-    joined = rows.join(facts.hint("shuffle_hash"), "doc", "left").select("doc", "text", "spans", "copy")
+    facts = cut(facts)
+    maybe = likely_in(facts.select(F.col("doc").alias("id")), F.col("doc"))
+    joined = rows.where(maybe).join(facts.hint("shuffle_hash"), "doc", "left").select("doc", "text", "spans", "copy")
+    joined = joined.unionByName(rows.where(~maybe).select("doc", "text", F.lit(None).cast("array<binary>").alias("spans"), F.lit(None).cast("boolean").alias("copy")))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
