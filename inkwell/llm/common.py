@@ -8,11 +8,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents are taken in blocks of about this many bytes, so that a task's memory does not follow its batch.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -137,10 +137,14 @@ def ensure_checkpoints(spark: SparkSession) -> str:
     return have.get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there; it survives the loss of executors."""
+def cut(df: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and go on from there; it survives the loss of executors.
+
+    The rows are counted on the way, and go on in about one task for each ``rows_per_task``, so small tables need few tasks."""
     ensure_checkpoints(df.sparkSession)
-    return df.checkpoint(True)
+    seen = Observation()
+    out = df.observe(seen, F.count(F.lit(1)).alias("rows")).checkpoint(True)
+    return out.coalesce(int(seen.get["rows"]) // rows_per_task + 1)
 
 
 def skew_join(big: DataFrame, small: DataFrame, key: str, weight: str, hot_rows: int = 20_000, most_hot: int = 2_000, how: str = "inner") -> DataFrame:
@@ -220,9 +224,9 @@ def likely_in(ids: DataFrame, key: Column) -> Column:
 def without(docs: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     """``docs`` less the rows whose key is in ``gone`` (id); only rows that may be there are shuffled."""
     gone = cut(gone.select(F.col("id").cast("long").alias("id")).distinct())
-    maybe = likely_in(gone, docs[key])
+    maybe, named = likely_in(gone, docs[key]), gone.withColumnRenamed("id", "__gone")
     near = docs.where(maybe)
-    return docs.where(~maybe).unionByName(near.join(gone.hint("shuffle_hash"), near[key] == F.col("id"), "left_anti"))
+    return docs.where(~maybe).unionByName(near.join(named.hint("shuffle_hash"), near[key] == F.col("__gone"), "left_anti"))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 20_000) -> Iterator[pa.Table]:

@@ -209,7 +209,7 @@ def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(raw, pa.binary())], ["id", "items"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    return cut(rows.where(likely_in(ids, F.col("id"))).mapInArrow(make, "id long, items binary"))
+    return cut(rows.where(likely_in(ids, F.col("id"))).mapInArrow(make, "id long, items binary"), 2_000)
 
 
 def _with_sets(sets: DataFrame, uses: DataFrame) -> DataFrame:
