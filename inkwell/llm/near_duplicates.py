@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import binary_rows, connected_components, cut, fixed_binary, likely_in, lower_ascii, mix, partitions, shingles, skew_join, text_blocks, whole_groups, without, word_hashes, word_spans
+from inkwell.llm.common import binary_rows, connected_components, cut, fixed_binary, likely_in, lower_ascii, mix, partitions, released, shingles, skew_join, text_blocks, whole_groups, without, word_hashes, word_spans
 
 #: Minwise tokens of each document, and those of them that paths are chosen by; trees; largest node that is compared exhaustively; levels of branching before blocks; documents compared in one block.
 TOKENS, PATHS, TREES, LEAF, LEVELS, BLOCK = 128, 32, 12, 256, 1, 512
@@ -59,7 +59,7 @@ def sketch(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 low[n > 0] = minwise(hashed, first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n, pa.int64()), binary_rows(digest), binary_rows(low[:, :PATHS]), binary_rows(low.astype(np.uint8))], ["id", "n", "digest", "tokens", "low"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, digest binary, tokens binary, low binary")
+    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(released(run), "id long, n long, digest binary, tokens binary, low binary")
 
 
 def _children(node: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +130,7 @@ def _compare(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out.min(axis=1)), pa.array(out.max(axis=1))], ["a", "b"]) if len(out) else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
 
     parts = partitions(rows.sparkSession)
-    return rows.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _sized(rows: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def candidate_pairs(sketches: DataFrame, trees: int = TREES, leaf: int = LEAF, l
             near = np.flatnonzero((s >= MAYBE) & (ids != pivot))
             yield pa.RecordBatch.from_arrays([pa.array(pivot[near]), pa.array(ids[near]), pa.array(np.zeros(len(near), np.int64)), pa.array(np.ones(len(near), bool))], ["node", "id", "flag", "pair"])
 
-    rows = _sized(sketches.select("id", "tokens").mapInArrow(grow, "node long, id long, flag long"))
+    rows = _sized(sketches.select("id", "tokens").mapInArrow(released(grow), "node long, id long, flag long"))
     leaves, pairs = [rows.where(F.col("size") <= leaf)], []
     large = rows.where(F.col("size") > leaf)
     for _ in range(levels):
@@ -177,7 +177,7 @@ def candidate_pairs(sketches: DataFrame, trees: int = TREES, leaf: int = LEAF, l
         pivots = large.groupBy("node").agg(F.coalesce(F.min(F.when(F.col("flag") == 0, F.col("id"))), F.min("id")).alias("pivot"), F.count(F.lit(1)).alias("w"))
         pivots = pivots.join(sketches.select(F.col("id").alias("pivot"), F.col("low").alias("own")).hint("shuffle_hash"), "pivot")
         full = skew_join(large.join(sketches.hint("merge"), "id"), cut(pivots), "node", "w")
-        both = cut(full.select("node", "id", "pivot", "tokens", "low", "own").mapInArrow(split, "node long, id long, flag long, pair boolean"))
+        both = cut(full.select("node", "id", "pivot", "tokens", "low", "own").mapInArrow(released(split), "node long, id long, flag long, pair boolean"))
         pairs.append(both.where("pair").select(F.col("node").alias("a"), F.col("id").alias("b")))
         rows = _sized(both.where("not pair").select("node", "id", "flag"))
         leaves.append(rows.where(F.col("size") <= leaf))
@@ -209,7 +209,7 @@ def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(raw, pa.binary())], ["id", "items"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    return cut(rows.where(likely_in(ids, F.col("id"))).mapInArrow(make, "id long, items binary"), 2_000)
+    return cut(rows.where(likely_in(ids, F.col("id"))).mapInArrow(released(make), "id long, items binary"), 2_000)
 
 
 def _with_sets(sets: DataFrame, uses: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def _link(blocks: DataFrame, percent: int) -> DataFrame:
         if held:
             yield close()
 
-    return blocks.repartition(partitions(blocks.sparkSession), "block").sortWithinPartitions("block", "id").mapInArrow(run, "a long, b long")
+    return blocks.repartition(partitions(blocks.sparkSession), "block").sortWithinPartitions("block", "id").mapInArrow(released(run), "a long, b long")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int, block: int = BLOCK) -> DataFrame:

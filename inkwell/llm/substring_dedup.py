@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import by_bucket, cut, ensure_checkpoints, likely_in, mix, pack, packed_schema, partitions, powers, prefix_hash, skew_join, span_hash, text_blocks, unpack, without
+from inkwell.llm.common import by_bucket, cut, ensure_checkpoints, likely_in, mix, pack, packed_schema, partitions, powers, prefix_hash, released, skew_join, span_hash, text_blocks, unpack, without
 
 LENGTH, GRAM = 100, 40
 #: Occurrences of one anchor that are sorted together; more are dealt into groups first.
@@ -277,7 +277,7 @@ def _sort(packed: DataFrame, length: int, buckets: int) -> DataFrame:
 
     schema = "doc long, spans binary, bucket int, n int, " + ", ".join(f"{c}_ binary" for c in _FIELDS)
     renamed = lambda batches: (b.rename_columns(["doc", "spans", "bucket", "n", *(f"{c}_" for c in _FIELDS)]) for b in run(batches))
-    return by_bucket(packed).mapInArrow(renamed, schema)
+    return by_bucket(packed).mapInArrow(released(renamed), schema)
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -312,7 +312,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             ends = np.append(begin[1:], len(doc))
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), pa.array([h[a:b].tobytes() + np.minimum(counts[a:b], 2**32 - 1).astype(np.uint32).tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary())], ["doc", "again"])
 
-    counted = by_bucket(docs.select("doc", "text").mapInArrow(hashes, packed_schema("h", "doc"))).mapInArrow(again, "doc long, again binary")
+    counted = by_bucket(docs.select("doc", "text").mapInArrow(released(hashes), packed_schema("h", "doc"))).mapInArrow(released(again), "doc long, again binary")
     place = f"{ensure_checkpoints(spark)}/anchors-{uuid.uuid4().hex}"
     counted.write.parquet(place)
     counted = spark.read.parquet(place)
@@ -343,7 +343,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     part = np.where(parts > 1, 1 + (mix(doc.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64), 0)
                     yield _pack_strings(buckets, _salted(h[keep], part), part, doc, start - offs[row[keep]], hi[keep] - start + 1, place[keep] - start, data, start, length)
 
-    found = cut(_sort(texts.mapInArrow(contexts, packed_schema(*_FIELDS)), length, buckets))
+    found = cut(_sort(texts.mapInArrow(released(contexts), packed_schema(*_FIELDS)), length, buckets))
     spans = found.where("spans is not null").select("doc", "spans")
     more = found.where("spans is null").select("bucket", "n", *[F.col(f"{c}_").alias(c) for c in _FIELDS])
     if not more.isEmpty():
@@ -398,4 +398,4 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], ["doc", *out])
 
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
-    return joined.mapInArrow(finish, schema).withColumnRenamed("doc", key)
+    return joined.mapInArrow(released(finish), schema).withColumnRenamed("doc", key)
