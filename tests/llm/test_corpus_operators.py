@@ -131,6 +131,46 @@ def test_lines(spark):
     assert got == sorted(want, key=str)
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
+
+
+def test_edit_similarity_equals_brute_force():
+    rng = random.Random(6)
+    for _ in range(400):
+        a = [rng.choice("abcdeé ") for _ in range(rng.randrange(0, 90))]
+        b = list(a)
+        for _ in range(rng.randrange(0, 24)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(2)] = [rng.choice("abcdeé ")] * rng.randrange(2)
+        a, b = "".join(a), "".join(b)
+        assert line_dedup.edit_similarity(a, b) == (edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9)
+
+
+def test_lines_with_one_or_two_words_changed(spark):
+    """Recall against brute-force edit similarity on lines of 8 to 60 words: every pair that differs in one or two words."""
+    rng = random.Random(5)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 11))) for _ in range(400)]
+    rows, want = [], set()
+    for i in range(120):
+        words = [rng.choice(vocab) for _ in range(8 + i * 52 // 119)]
+        near = list(words)
+        for k in rng.sample(range(len(words)), 1 + i % 2):
+            near[k] = rng.choice(vocab)
+        a, b = " ".join(words), " ".join(near)
+        rows += [(i, a), (1000 + i, b)]
+        if edits(a, b) <= 0.2 * max(len(a), len(b)):
+            want.add(1000 + i)
+    assert len(want) > 100
+    got = {r.doc_id for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).where("removed > 0").collect()}
+    assert got == want
+
+
 def test_line_blocks_find_all_near_signatures():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 40).astype(np.uint64)
