@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,13 @@ def text_blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int
         at = to
 
 
+def lowered_blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As ``text_blocks``, with the text of each block in lower case; no more than a block is copied at a time."""
+    for at, to, _, _ in text_blocks(column, size):
+        for _, _, data, offs in text_blocks(pc.utf8_lower(column.slice(at, to - at)), 1 << 62):
+            yield at, to, data, offs
+
+
 def word_spans(data: np.ndarray, offs: np.ndarray, separator: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first word of each row and one more) of the maximal runs of non-separators within rows."""
     n = len(data)
@@ -137,6 +145,12 @@ def released(run):
     return wrapped
 
 
+def in_slices(batch: pa.RecordBatch, text: int, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``size`` bytes of its text column each, so that what is made of them stays small."""
+    for at, to, _, _ in text_blocks(batch.column(text), size):
+        yield batch.slice(at, to - at)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -154,8 +154,8 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
 
 
 def held_out(key: str, of: int, remainder: int):
-    """Whether crc32 of the key as text leaves this remainder."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % of == remainder
+    """Whether crc32 of the key as text leaves this remainder; a null key does not."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % of == remainder, F.lit(False))
 
 
 def language_of_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
