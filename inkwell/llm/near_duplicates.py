@@ -11,10 +11,18 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import binary_rows, connected_components, cut, fixed_binary, likely_in, lower_ascii, mix, partitions, released, shingles, skew_join, text_blocks, whole_groups, without, word_hashes, word_spans
 
-#: Minwise tokens of each document, and those of them that paths are chosen by; trees; largest node that is compared exhaustively; levels of branching before blocks; documents compared in one block.
-TOKENS, PATHS, TREES, LEAF, LEVELS, BLOCK = 128, 32, 12, 256, 1, 512
-#: Pairs below MAYBE in the sketch are no candidates (seven deviations below 0.75 by one byte a token).
-MAYBE = 0.49
+#: Minwise tokens of each document, and those of them that paths are chosen by; trees; largest node that is compared exhaustively.
+TOKENS, PATHS, TREES, LEAF = 128, 48, 12, 256
+#: Levels of branching, two fresh tokens each.  Below MAYBE a node's size falls by half a level, so no node comes that far.
+LEVELS = PATHS // 2
+#: Candidates by sketch (seven deviations below 0.75 by one byte a token), and what is compared with a pivot on whole sets (five below).
+MAYBE, LIKELY = 0.49, 0.56
+#: Documents that are compared on whole sets in one place; documents of a pivot's task.
+BLOCK, STAR = 512, 256
+#: Most members of a node with labels, and most pairs of members with different labels, that are compared exhaustively.
+WIDE, ACROSS = 8_192, 2_000_000
+#: A cluster of more than BLOCK documents is compared part by part if that moves a set at most so often; else leaf by leaf.
+COPIES = 16
 
 
 def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -62,13 +70,15 @@ def sketch(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(released(run), "id long, n long, digest binary, tokens binary, low binary")
 
 
-def _children(node: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the row, child node): a node picks one minwise token, and a second one with chance 1/3, so 4/3 at a similarity of 3/4 on the mean."""
-    pick = mix(node + np.uint64(0x51ED27))
-    one = (pick % np.uint64(PATHS)).astype(np.int64)
-    two = (one + 1 + ((pick >> np.uint64(20)) % np.uint64(PATHS - 1)).astype(np.int64)) % PATHS
-    more = np.flatnonzero((pick >> np.uint64(40)) % np.uint64(3) == 0)
+_PLACES = np.array([np.random.default_rng([20240102, t]).permutation(PATHS) for t in range(256)])  # for each tree, in which order tokens are used
+
+
+def _children(node: np.ndarray, tree: np.ndarray, level: int, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the row, child node): a node picks one minwise token that its path hasn't used, and with chance 1/3 a second
+    one, so that at a similarity of 3/4 one child on the mean has both documents."""
+    one, two = _PLACES[tree, 2 * level], _PLACES[tree, 2 * level + 1]
     rows = np.arange(len(node))
+    more = np.flatnonzero((mix(node + np.uint64(0x51ED27)) >> np.uint64(40)) % np.uint64(3) == 0)
     at, which = np.concatenate([rows, more]), np.concatenate([one, two[more]])
     return at, mix(node[at] ^ mix(tokens[at, which].astype(np.uint64) + (which.astype(np.uint64) << np.uint64(32))))
 
@@ -90,216 +100,298 @@ def _join(parent: list[int], i: int, j: int) -> bool:
     return True
 
 
-def _labelled(labels: np.ndarray, none: int | None = None) -> list[int]:
+def _labelled(labels: np.ndarray) -> list[int]:
     """A union-find over members in which equal labels are together from the start."""
-    parent, seen = list(range(len(labels))), {}
-    for i, x in enumerate(labels.tolist()):
-        if x != none:
-            parent[i] = seen.setdefault(x, i)
-    return parent
-
-
-def compare_leaf(ids: np.ndarray, low: np.ndarray, flags: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-    """Candidate pairs of a small node, compared exhaustively; of those that close a circle none is listed.
-
-    Members with one flag are together already.  side: 2 for the whole node, else only pairs of side 0 with side 1."""
-    s = _alike(low[:, None, :], low[None, :, :])
-    i, j = np.nonzero(np.triu((s >= MAYBE) & ((side[:, None] == 2) | (side[:, None] != side[None, :])), 1))
-    order = np.argsort(-s[i, j], kind="stable")
-    parent = _labelled(flags, 0)
-    return [(ids[a], ids[b]) for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True) if _join(parent, a, b)]
+    seen: dict[int, int] = {}
+    return [seen.setdefault(x, i) for i, x in enumerate(labels.tolist())]
+
+
+def compare_leaf(ids: np.ndarray, low: np.ndarray, labels: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Candidate pairs of a node, compared exhaustively, and which members are in any.
+
+    Members with one label are linked already, so their pairs are none, and those of the most frequent label meet only the
+    others.  Of pairs that close a circle of pairs none is listed."""
+    names, own, sizes = np.unique(labels, return_inverse=True, return_counts=True)
+    most = int(sizes.argmax())
+    rows = np.flatnonzero(own != most) if sizes[most] > 1 else np.arange(len(ids))
+    met, root = np.zeros(len(ids), dtype=bool), np.arange(len(ids))
+    out: list[tuple[int, int]] = []
+    for part in np.array_split(rows, max(1, len(rows) * len(ids) // 250_000)):
+        near = (_alike(low[part, None, :], low[None, :, :]) >= MAYBE) & (own[part, None] != own[None, :])
+        for i in np.flatnonzero(near.any(axis=1)).tolist():
+            a, others = part[i], np.flatnonzero(near[i])
+            met[a] = met[others] = True
+            roots, at = np.unique(root[others], return_index=True)
+            apart = roots != root[a]
+            if apart.any():
+                out += [(ids[a], ids[b]) for b in others[at[apart]].tolist()]
+                root[np.isin(root, roots)] = root[a]
+    return out, met
 
 
 def _compare(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of the nodes in ``rows`` (node, id, flag, side, low)."""
+    """For the nodes in ``rows`` (node, id, label, low) the candidate pairs (node null, a, b), and every member that is in one by
+    its node (node, a: the id, b: its label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "node"):
-            node, ids, flags, side = (table.column(c).to_numpy() for c in ("node", "id", "flag", "side"))
+            node, ids, labels = (table.column(c).to_numpy() for c in ("node", "id", "label"))
             low = fixed_binary(table.column("low"), TOKENS)
             cut_at = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
             sizes = np.diff(cut_at)
             pairs = cut_at[:-1][sizes == 2]
-            good = (ids[pairs] != ids[pairs + 1]) & ((flags[pairs] == 0) | (flags[pairs] != flags[pairs + 1])) & ((side[pairs] == 2) | (side[pairs] != side[pairs + 1]))
-            pairs = pairs[good]
+            pairs = pairs[labels[pairs] != labels[pairs + 1]]
             pairs = pairs[_alike(low[pairs], low[pairs + 1]) >= MAYBE]
             found = [np.stack([ids[pairs], ids[pairs + 1]], axis=1)]
+            members = [pairs, pairs + 1]
             for a, b in zip(cut_at[:-1][sizes > 2], cut_at[1:][sizes > 2], strict=True):
-                found.append(np.array(compare_leaf(ids[a:b], low[a:b], flags[a:b], side[a:b]), np.int64).reshape(-1, 2))
-            out = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(out.min(axis=1)), pa.array(out.max(axis=1))], ["a", "b"]) if len(out) else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+                own, met = compare_leaf(ids[a:b], low[a:b], labels[a:b])
+                if own:
+                    found.append(np.array(own, np.int64))
+                    members.append(a + np.flatnonzero(met))
+            out, at = np.concatenate(found), np.concatenate(members)
+            none = pa.nulls(len(out), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(out.min(axis=1, initial=2**62)), pa.array(out.max(axis=1, initial=-(2**62)))], ["node", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(ids[at]), pa.array(labels[at])], ["node", "a", "b"])
 
     parts = partitions(rows.sparkSession)
-    return rows.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(released(run), "a long, b long").distinct()
+    return rows.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(released(run), "node long, a long, b long")
 
 
 def _sized(rows: DataFrame) -> DataFrame:
-    """Nodes of at least two members that are not all copies of one pivot, with their size."""
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("flag").alias("f0"), F.max("flag").alias("f1")).where("size > 1 and not (f0 = f1 and f0 <> 0)")
+    """Nodes with members of more than one label, with their size."""
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
     return cut(skew_join(rows, cut(sizes.select("node", "size", F.col("size").alias("w"))), "node", "w"))
 
 
-def candidate_pairs(sketches: DataFrame, trees: int = TREES, leaf: int = LEAF, levels: int = LEVELS) -> DataFrame:
-    """Pairs (a, b), a < b, that connect whatever some tree brings together and whose sketches may be similar enough.
+class Texts:
+    """Where whole sets come from: the documents' texts, which stay where they are until a Bloom filter picks them."""
 
-    ``sketches`` (id, tokens, low) holds one row for each distinct set.  In every tree a document goes to the children that its
-    node's selected minwise tokens name.  Nodes of up to ``leaf`` members are compared exhaustively.  A larger node first
-    compares all members with its pivot, the least id without a flag: those that may be similar to it are linked to it and carry its flag on, so a
-    node of one cluster ends there however large it is; the rest branches.  What is still large after ``levels`` levels is compared in
-    blocks of at most about ``leaf`` members, with nothing left out."""
+    def __init__(self, docs: DataFrame, key: str, text: str, size: int, percent: int):
+        self.rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+        self.size, self.percent = size, percent
 
-    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, tokens = batch.column(0).to_numpy(), fixed_binary(batch.column(1), 4 * PATHS).view(np.uint32)
-            for tree in range(trees):
-                root = np.full(len(ids), mix(np.array([tree + 1], np.uint64))[0], np.uint64)
-                at, child = _children(root, tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[at]), pa.array(np.zeros(len(at), np.int64))], ["node", "id", "flag"])
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, items): the whole sets of the documents in ``ids`` (id); others that the filter lets through fall out in joins."""
+        size = self.size
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, ids, pivot = (batch.column(k).to_numpy() for k in range(3))
-            tokens = fixed_binary(batch.column(3), 4 * PATHS).view(np.uint32)
-            s = _alike(*(fixed_binary(batch.column(k), TOKENS) for k in (4, 5)))
-            flag = np.where(s >= MAYBE, (mix(node.view(np.uint64)) | np.uint64(1)).view(np.int64), 0)
-            at, child = _children(node.view(np.uint64), tokens)
-            n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(ids[at]), pa.array(flag[at]), pa.array(np.zeros(n, bool))], ["node", "id", "flag", "pair"])
-            near = np.flatnonzero((s >= MAYBE) & (ids != pivot))
-            yield pa.RecordBatch.from_arrays([pa.array(pivot[near]), pa.array(ids[near]), pa.array(np.zeros(len(near), np.int64)), pa.array(np.ones(len(near), bool))], ["node", "id", "flag", "pair"])
-
-    rows = _sized(sketches.select("id", "tokens").mapInArrow(released(grow), "node long, id long, flag long"))
-    leaves, pairs = [rows.where(F.col("size") <= leaf)], []
-    large = rows.where(F.col("size") > leaf)
-    for _ in range(levels):
-        if large.isEmpty():
-            break
-        pivots = large.groupBy("node").agg(F.coalesce(F.min(F.when(F.col("flag") == 0, F.col("id"))), F.min("id")).alias("pivot"), F.count(F.lit(1)).alias("w"))
-        pivots = pivots.join(sketches.select(F.col("id").alias("pivot"), F.col("low").alias("own")).hint("shuffle_hash"), "pivot")
-        full = skew_join(large.join(sketches.hint("merge"), "id"), cut(pivots), "node", "w")
-        both = cut(full.select("node", "id", "pivot", "tokens", "low", "own").mapInArrow(released(split), "node long, id long, flag long, pair boolean"))
-        pairs.append(both.where("pair").select(F.col("node").alias("a"), F.col("id").alias("b")))
-        rows = _sized(both.where("not pair").select("node", "id", "flag"))
-        leaves.append(rows.where(F.col("size") <= leaf))
-        large = rows.where(F.col("size") > leaf)
-    small = leaves[0]
-    for more in leaves[1:]:
-        small = small.unionByName(more)
-    small = small.select("node", "id", "flag", F.lit(2).alias("side"))
-    if not large.isEmpty():
-        blocks = F.ceil(F.col("size") / leaf).cast("int")
-        own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        dealt = large.withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        small = small.unionByName(dealt.select(F.xxhash64("node", F.least("own", "k"), F.greatest("own", "k")).alias("node"), "id", "flag", F.when(F.col("own") == F.col("k"), 2).when(F.col("own") < F.col("k"), 0).otherwise(1).alias("side")))
-    pairs.append(_compare(small.join(sketches.select("id", "low").hint("merge"), "id").select("node", "id", "flag", "side", "low")))
-    out = pairs[0]
-    for more in pairs[1:]:
-        out = out.unionByName(more)
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, to, hashed, first in shingle_sets(batch.column(1), size):
+                    raw = [hashed[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(raw, pa.binary())], ["id", "items"])
 
+        return cut(self.rows.where(likely_in(ids, F.col("id"))).mapInArrow(released(make), "id long, items binary"), 2_000)
 
-def _sets(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(id, items): the whole sets of the documents in ``ids`` (id).  Texts stay where they are: a Bloom filter of bounded size
-    picks them, sets of others that it lets through fall out in later joins."""
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, to, hashed, first in shingle_sets(batch.column(1), size):
-                raw = [hashed[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(raw, pa.binary())], ["id", "items"])
+def _with_sets(sets: DataFrame, uses: DataFrame, hot_rows: int = 20_000, most_hot: int = 2_000) -> DataFrame:
+    """(block, id, label, items): the set of each document for every block in ``uses`` (id, block, label).
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    return cut(rows.where(likely_in(ids, F.col("id"))).mapInArrow(released(make), "id long, items binary"), 2_000)
+    Sets of documents that a great many blocks need, such as a pivot's, go to all tasks (at most ``most_hot``); others meet their
+    uses in a shuffle."""
+    uses = cut(uses)
+    counts = uses.groupBy("id").agg(F.count(F.lit(1)).alias("w"))
+    total, most = counts.agg(F.sum("w"), F.max("w")).first()
+    least = max(hot_rows, (total or 0) // most_hot)
+    items = sets.groupBy("id").agg(F.min("items").alias("items")).hint("merge")
+    if (most or 0) < least:
+        out = uses.join(items, "id")
+    else:
+        hot = F.broadcast(cut(counts.where(F.col("w") >= least).select("id")))
+        out = uses.join(hot, "id", "left_anti").join(items, "id").unionByName(uses.join(F.broadcast(sets.join(hot, "id", "left_semi").dropDuplicates(["id"])), "id"))
+    return out.select("block", "id", "label", "items")
 
 
-def _with_sets(sets: DataFrame, uses: DataFrame) -> DataFrame:
-    """(block, id, label, items): the set of each document for every block in ``uses`` (id, block, label)."""
-    wanted = uses.groupBy("id").agg(F.collect_list(F.struct("block", "label")).alias("uses"))
-    return sets.join(wanted.hint("shuffle_hash"), "id").select("id", F.explode("uses").alias("u"), "items").select("u.block", "id", "u.label", "items")
+def _meets(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets without repeats."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def link_block(ids: list[int], labels: np.ndarray, items: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Pairs of a block whose whole sets meet 100 * intersection >= percent * union, most similar sketches first.
+    """Pairs of a block whose whole sets meet 100 * intersection >= percent * union.
 
-    Equal labels are linked already; a pair that links would close a circle with is not looked at."""
+    Equal labels are linked already; of links that close a circle none is listed.  All intersections of a member come from one
+    count over the members that hold its items."""
+    if len(ids) == 2:
+        return [(ids[0], ids[1])] if labels[0] != labels[1] and _meets(items[0], items[1], percent) else []
     sizes = np.array([len(x) for x in items])
-    fits = 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
-    if len(ids) > 8:
-        low = np.concatenate([minwise(x, np.array([0, len(x)])) for x in items]).astype(np.uint8)
-        s = np.array([_alike(low[k], low) for k in range(len(ids))])
-    else:
-        s = np.ones((len(ids), len(ids)))
-    i, j = np.nonzero(np.triu(fits & (s >= MAYBE), 1))
-    order = np.argsort(-s[i, j], kind="stable")
+    which, code = np.unique(np.concatenate(items), return_inverse=True)
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    by_item = owner[np.argsort(code, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(which)))])
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    names, own, many = np.unique(labels, return_inverse=True, return_counts=True)
+    most = int(many.argmax())
     parent, out = _labelled(labels), []
-    find = lambda k: k if parent[k] == k else find(parent[k])
-    for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
-        if find(a) != find(b):
-            common = len(np.intersect1d(items[a], items[b], assume_unique=True))
-            if 100 * common >= percent * (len(items[a]) + len(items[b]) - common):
-                _join(parent, a, b)
+    for a in np.flatnonzero(own != most).tolist() if many[most] > 1 else range(len(ids)):
+        c = code[begin[a] : begin[a + 1]]
+        n = first[c + 1] - first[c]
+        at = np.repeat(first[c] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        common = np.bincount(by_item[at], minlength=len(ids))
+        for b in np.flatnonzero((100 * common >= percent * (sizes[a] + sizes - common)) & (own != own[a])).tolist():
+            if _join(parent, a, b):
                 out.append((ids[a], ids[b]))
     return out
 
 
-def _link(blocks: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of all blocks (block, id, label, items)."""
+def _link(blocks: DataFrame, percent: int, star: bool = False) -> DataFrame:
+    """Links (a, b) of all blocks (block, id, label, items); of stars only those of the member of label -1 with each other one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close() -> pa.RecordBatch:
-            found = np.array(link_block([h[0] for h in held], np.array([h[1] for h in held]), [h[2] for h in held], percent) if len(held) > 1 else [], np.int64).reshape(-1, 2)
+            ids, labels, items = [h[0] for h in held], np.array([h[1] for h in held]), [h[2] for h in held]
+            if star:
+                found = [(ids[0], i) for i, x in zip(ids[1:], items[1:], strict=True) if _meets(items[0], x, percent)] if labels[0] == -1 else []
+            else:
+                found = link_block(ids, labels, items, percent) if len(held) > 1 else []
+            found = np.array(found, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
         at, held = None, []
         for batch in batches:
-            for block, i, label, items in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for k in range(batch.num_rows):
+                block, i, label = (batch.column(c)[k].as_py() for c in range(3))
                 if held and block != at:
                     yield close()
                     held = []
                 at = block
                 if not held or held[-1][0] != i:
-                    held.append((i, label, np.frombuffer(items, np.uint64)))
+                    held.append((i, label, np.frombuffer(batch.column(3)[k].as_py(), np.uint64)))
         if held:
             yield close()
 
-    return blocks.repartition(partitions(blocks.sparkSession), "block").sortWithinPartitions("block", "id").mapInArrow(released(run), "a long, b long")
+    order = ("block", "label", "id") if star else ("block", "id")
+    return blocks.repartition(partitions(blocks.sparkSession), "block").sortWithinPartitions(*order).mapInArrow(released(run), "a long, b long")
+
+
+def _relabel(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """``rows`` with the component of its links as every document's label."""
+    parts = cut(connected_components(links).withColumnRenamed("component", "now"))
+    return rows.join(parts.hint("merge"), "id", "left").withColumn("label", F.coalesce("now", "label")).drop("now")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b), confirmed on whole sets, that connect what the links among all candidates connect.
+def linked_pairs(sketches: DataFrame, texts: Texts, trees: int = TREES, leaf: int = LEAF, levels: int = LEVELS, block: int = BLOCK) -> DataFrame:
+    """Links (a, b), confirmed on whole sets, that connect whatever some tree brings together and whose sets are similar enough.
+
+    ``sketches`` (id, tokens, low) holds one row for each distinct set.  In every tree a document goes to the children that its
+    node's selected minwise tokens name.  A node of up to ``leaf`` members is compared exhaustively.  In a larger one the member
+    that stands in most large nodes is the pivot: all others that their sketches call likely are compared with it on whole sets,
+    and what is linked gets one label.  A node with few pairs of different labels left is compared exhaustively too, one without
+    any ends; the others branch, without their pivot.
+
+    Leaves give candidates by sketch.  Candidates make clusters: one of up to ``block`` documents is compared in one place on whole
+    sets; in a larger one the leaves are, which moves a set once for each tree at most.  Pairs that were never brought together by a
+    tree are the only ones missed."""
 
-    Candidate pairs make clusters.  A cluster of up to ``block`` documents is compared in one place, and each set moves there
-    once.  In a larger one the candidate pairs themselves are confirmed first; then all that isn't linked with the cluster's
-    largest part is compared with every member, in blocks: no pair is left out, but pairs of one part need no second look."""
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tokens = batch.column(0).to_numpy(), fixed_binary(batch.column(1), 4 * PATHS).view(np.uint32)
+            for tree in range(trees):
+                root = np.full(len(ids), mix(np.array([tree + 1], np.uint64))[0], np.uint64)
+                at, child = _children(root, np.full(len(ids), tree), 0, tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(np.full(len(at), tree, np.int16)), pa.array(ids[at])], ["node", "tree", "id"])
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = _alike(*(fixed_binary(batch.column(k), TOKENS) for k in (2, 3)))
+            near = np.flatnonzero(s >= LIKELY)
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(near)) for k in (0, 1, 4)], ["pivot", "id", "parts"])
+
+    def branch(level: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                node, tree = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+                at, child = _children(node, tree, level, fixed_binary(batch.column(4), 4 * PATHS).view(np.uint32))
+                at_ = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), *(batch.column(k).take(at_) for k in (1, 2, 3))], ["node", "tree", "id", "label"])
+
+        return run
+
+    rows = sketches.select("id", "tokens").mapInArrow(released(grow), "node long, tree short, id long").withColumn("label", F.col("id"))
+    rows = _sized(rows)
+    leaves, links = [rows.where(F.col("size") <= leaf).select("node", "id", "label")], []
+    large = rows.where(F.col("size") > leaf)
+    tested = None
+    for level in range(1, levels):
+        if large.isEmpty():
+            break
+        seen = large.groupBy("id").agg(F.count(F.lit(1)).alias("seen"))
+        pivots = large.join(seen.hint("merge"), "id").groupBy("node").agg(F.max_by("id", F.struct("seen", -F.col("id"))).alias("pivot"), F.max_by("label", F.struct("seen", -F.col("id"))).alias("own"), F.count(F.lit(1)).alias("w"))
+        large = cut(skew_join(large, cut(pivots), "node", "w"))
+        asked = large.where("label <> own").select("pivot", "id").distinct()
+        if tested is not None:
+            asked = asked.join(tested.hint("merge"), ["pivot", "id"], "left_anti")
+        asked = cut(asked)
+        tested = asked if tested is None else cut(tested.unionByName(asked))
+        low = sketches.select("id", "low")
+        weights = cut(asked.groupBy("pivot").agg(F.count(F.lit(1)).alias("w"), F.ceil(F.count(F.lit(1)) / STAR).alias("parts")))
+        owns = weights.join(low.select(F.col("id").alias("pivot"), F.col("low").alias("own_low")).hint("merge"), "pivot")
+        near = skew_join(asked.join(low.hint("merge"), "id"), cut(owns), "pivot", "w").select("pivot", "id", "low", "own_low", "parts").mapInArrow(released(likely), "pivot long, id long, parts long")
+        near = cut(near.select("pivot", "id", F.xxhash64("pivot", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")))
+        if not near.isEmpty():
+            uses = near.select("id", "block", F.lit(0).cast("long").alias("label")).unionByName(near.select(F.col("pivot").alias("id"), "block", F.lit(-1).cast("long").alias("label")).distinct())
+            links.append(cut(_link(_with_sets(texts.sets(uses.select("id").distinct()), uses), texts.percent, star=True)))
+            large = _relabel(large, _all(links))
+        near_done = large.where("id <> pivot").groupBy("node", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("node")
+        done = near_done.agg(F.sum("n").alias("w"), ((F.pow(F.sum("n"), 2) - F.sum(F.pow("n", 2))) / 2).alias("across"))
+        large = cut(skew_join(large.drop("size", "own"), cut(done.withColumn("size", F.col("w"))), "node", "w"))
+        fits = (F.col("size") <= WIDE) & (F.col("across") <= ACROSS)
+        leaves.append(large.where(fits & (F.col("id") != F.col("pivot")) & (F.col("across") > 0)).select("node", "id", "label"))
+        large = large.where(~fits)
+        rest = large.where("id <> pivot").select("node", "tree", "id", "label").join(sketches.select("id", "tokens").hint("merge"), "id").select("node", "tree", "id", "label", "tokens")
+        if large.isEmpty():
+            break
+        rows = _sized(rest.mapInArrow(released(branch(level)), "node long, tree short, id long, label long"))
+        leaves.append(rows.where(F.col("size") <= leaf).select("node", "id", "label"))
+        large = rows.where(F.col("size") > leaf)
+    small = _all(leaves)
+    if not large.isEmpty():  # what no token tells apart is compared all the same, in blocks of pairs of parts
+        parts = F.ceil(F.col("size") / (leaf // 2)).cast("int")
+        dealt = large.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), parts - 1)))
+        small = small.unionByName(dealt.select(F.xxhash64("node", F.least("own", "k"), F.greatest("own", "k")).alias("node"), "id", "label"))
+    if links:
+        small = _relabel(small, _all(links))
+    found = cut(_compare(small.join(sketches.select("id", "low").hint("merge"), "id").select("node", "id", "label", "low")))
+    pairs, members = found.where("node is null").select("a", "b").distinct(), found.where("node is not null").select("node", F.col("a").alias("id"), F.col("b").alias("label"))
     clusters = cut(connected_components(pairs))
     sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("w"))
     sized = cut(skew_join(clusters, cut(sizes.withColumn("members", F.col("w"))), "component", "w"))
-    sets = _sets(docs, sized.select("id"), key, text, size)
-    small = sized.where(F.col("members") <= block).select("id", F.xxhash64("component").alias("block"), F.col("id").alias("label"))
-    links = _link(_with_sets(sets, small), percent)
-    large = sized.where(F.col("members") > block).select("id", F.col("component").alias("cluster"), "members")
-    if large.isEmpty():
-        return links
-    own = pairs.join(large.select(F.col("id").alias("b")).hint("shuffle_hash"), "b", "left_semi").withColumn("block", F.xxhash64("a", "b"))
-    ends = own.select(F.explode(F.array("a", "b")).alias("id"), "block").withColumn("label", F.col("id"))
-    sure = cut(_link(_with_sets(sets, ends), percent))
-    parts = connected_components(sure).withColumnRenamed("component", "part")
-    parts = cut(large.join(parts.hint("merge"), "id", "left").withColumn("part", F.coalesce("part", "id")))
-    main = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("w"))
-    parts = cut(skew_join(parts, cut(main), "cluster", "w"))
-    rest = parts.where("part <> main")
-    if rest.isEmpty():
-        return links.unionByName(sure)
-    # blocks of rest x blocks of all members, dealt by hash
-    half = block // 2
-    wide = rest.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).select("cluster", F.ceil(F.col("n") / half).cast("int").alias("down"), F.col("n").alias("w"))
-    wide = cut(wide)
-    across = F.ceil(F.col("members") / half).cast("int")
-    key_of = lambda r, c: F.xxhash64("cluster", r, c)
-    rows = skew_join(rest, wide, "cluster", "w").withColumn("r", F.pmod(F.xxhash64("id"), F.col("down")).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), across - 1)))
-    columns = skew_join(parts, wide.join(cut(main).select("cluster", F.col("w").alias("all")).hint("shuffle_hash"), "cluster").drop("w").withColumnRenamed("all", "w"), "cluster", "w").withColumn("c", F.pmod(F.xxhash64("id", F.lit(1)), across).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("down") - 1)))
-    uses = rows.unionByName(columns.select(*rows.columns)).select("id", key_of("r", "c").alias("block"), F.col("part").alias("label")).distinct()
-    return links.unionByName(sure).unionByName(_link(_with_sets(sets, uses), percent))
+    labels = members.groupBy("id").agg(F.min("label").alias("label"))
+    sets = texts.sets(sized.select("id"))
+    sized = cut(sized.join(labels.hint("merge"), "id"))
+    uses = sized.where(F.col("members") <= block).select("id", F.xxhash64("component").alias("block"), "label")
+    wide = sized.where(F.col("members") > block)
+    if not wide.isEmpty():
+        uses = uses.unionByName(_wide_blocks(wide, members, block // 2))
+    links.append(_link(_with_sets(sets, uses), texts.percent))
+    return _all(links)
+
+
+def _wide_blocks(wide: DataFrame, members: DataFrame, part: int) -> DataFrame:
+    """(id, block, label): where documents of large clusters ``wide`` (id, component, members, label) meet on whole sets.
+
+    Those of a cluster's most frequent label are linked, so the rest meets all, in pairs of parts of about ``part`` documents.
+    Where that would move sets more than COPIES times, the documents meet in the leaves that made them candidates."""
+    counts = wide.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("component")
+    main = counts.agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("w"))
+    main = main.withColumn("down", F.ceil((F.col("w") - F.when(F.col("most") > 1, F.col("most")).otherwise(0)) / part).cast("int")).withColumn("across", F.ceil(F.col("w") / part).cast("int"))
+    wide = cut(skew_join(wide, cut(main), "component", "w"))
+    few, many = wide.where(F.col("down") <= COPIES), wide.where(F.col("down") > COPIES)
+    r, c = F.pmod(F.xxhash64("id"), F.col("down")).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("across")).cast("int")
+    rows = few.where((F.col("label") != F.col("main")) | (F.col("most") == 1)).withColumn("r", r).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("across") - 1)))
+    columns = few.where(F.col("down") > 0).withColumn("c", c).withColumn("r", F.explode(F.sequence(F.lit(0), F.col("down") - 1)))
+    parts = rows.select("id", F.xxhash64("component", "r", "c").alias("block"), "label").unionByName(columns.select("id", F.xxhash64("component", "r", "c").alias("block"), "label")).distinct()
+    return parts.unionByName(members.join(many.select("id").hint("merge"), "id", "left_semi").select("id", F.col("node").alias("block"), "label"))
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
@@ -314,8 +406,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     sets = cut(keyed.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("w")))
     first = sets.select(F.col("least").alias("id"), F.col("digest").alias("d"))
     distinct = keyed.join(first.hint("shuffle_hash"), "id").where("digest = d").dropDuplicates(["id"]).select("id", "tokens", "low")
-    pairs = cut(candidate_pairs(cut(distinct), leaf=leaf))
-    links = confirm(pairs, docs, key, text, size, percent, block)
+    links = linked_pairs(cut(distinct), Texts(docs, key, text, size, percent), leaf=leaf, block=block)
     parts = connected_components(links).withColumnRenamed("id", "least")
     where = cut(sets.join(parts.hint("shuffle_hash"), "least", "left").select("digest", F.coalesce("component", "least").alias("component"), "w"))
     linked = skew_join(rows.select("id", "n", "digest"), where, "digest", "w", how="left")
