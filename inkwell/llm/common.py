@@ -151,6 +151,15 @@ def in_slices(batch: pa.RecordBatch, text: int, size: int = BLOCK_BYTES) -> Iter
         yield batch.slice(at, to - at)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or ``name_2`` and so on where ``df`` has a column of that name already."""
+    taken, out, n = {c.lower() for c in df.columns}, name, 1
+    while out.lower() in taken:
+        n += 1
+        out = f"{name}_{n}"
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import lower_ascii, text_blocks, without, word_hashes, word_spans
+from inkwell.llm.common import lower_ascii, released, text_blocks, without, word_hashes, word_spans
 
 #: What parts words: every ASCII character but letters and digits (after lower-casing also A-Z can't occur).
 _PARTS = np.zeros(256, dtype=bool)
 _PARTS[:128] = True
 _PARTS[48:58] = False
 _PARTS[97:123] = False
-WINDOW, SHARD_BYTES, BENCHMARK_BYTES = 13, 8_000_000, 32_000_000
+WINDOW, SHARD_BYTES, BENCHMARK_BYTES = 13, 8_000_000, 4_000_000
 MATCH = "array<struct<item_id:long,item_word:int,doc_word:int,words:int>>"
 RESULT = f"doc_id long, n_words long, hit_words array<int>, items array<long>, matches {MATCH}"
 
@@ -32,22 +31,31 @@ def words_of(column: pa.Array, size: int = SHARD_BYTES):
 
 
 class TestSuffixes:
-    """The benchmark's side: a vocabulary, every item's words as ids, and all its suffixes and windows as byte strings."""
+    """The benchmark's side: a vocabulary, and the windows of all items as packed keys, each distinct one once, with its owners."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
         hashed = [(i, next(words_of(pa.array([t or ""])), (0, 0, np.zeros(0, np.uint64), None))[2]) for i, t in items if i is not None]
         hashed = [(i, h) for i, h in hashed if len(h)]
         self.window = window
         self.vocabulary = np.unique(np.concatenate([h for _, h in hashed])) if hashed else np.zeros(0, np.uint64)
-        self.ids = [(i, self.encode(h)) for i, h in hashed]
+        self.items = np.array([i for i, _ in hashed], np.int64)
+        self.bits = max(1, int(len(self.vocabulary)).bit_length())
         self.shortest = min([min(window, len(h)) for _, h in hashed], default=0)
-        self.longest = max([len(h) for _, h in hashed], default=0)
-        #: window bytes -> (item, offset of the window in it)
-        self.windows: dict[bytes, list[tuple[int, int]]] = {}
-        for n, (_, word) in enumerate(self.ids):
-            raw, width = word.astype(">u4").tobytes(), min(window, len(word))
-            for o in range(len(word) - width + 1):
-                self.windows.setdefault(raw[4 * o : 4 * (o + width)], []).append((n, o))
+        #: for each width of windows: (width, their keys, first owner of each and one more, owners' items, owners' offsets)
+        self.windows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        sizes = np.array([len(h) for _, h in hashed], np.int64)
+        widths = np.minimum(sizes, window)
+        flat = np.concatenate([self.encode(h) for _, h in hashed]) if hashed else np.zeros(0, np.int64)
+        begin = np.cumsum(sizes) - sizes
+        for width in np.unique(widths).tolist():
+            which = np.flatnonzero(widths == width)
+            count = sizes[which] - width + 1
+            item = np.repeat(which, count)
+            offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            keys = self.pack(np.append(flat, 0), begin[item] + offset, width)
+            order = np.lexsort(keys.T[::-1])
+            new = np.flatnonzero(np.append(True, (keys[order][1:] != keys[order][:-1]).any(axis=1)))
+            self.windows.append((width, keys[order[new]], np.append(new, len(order)), item[order], offset[order]))
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
         """Word ids from 1; 0 for a word that no item holds."""
@@ -56,83 +64,111 @@ class TestSuffixes:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at + 1, 0)
 
+    def pack(self, ids: np.ndarray, places: np.ndarray, width: int, pad: int = 0) -> np.ndarray:
+        """The first ``width`` words from each place as rows of numbers that compare as the words do; ``pad`` fills a window."""
+        per = 64 // self.bits
+        out = np.zeros((len(places), -(-self.window // per)), np.uint64)
+        for k in range(self.window):
+            word = ids[np.minimum(places + k, len(ids) - 1)].astype(np.uint64) if k < width else np.uint64(pad)
+            out[:, k // per] |= word << np.uint64(self.bits * (per - 1 - k % per))
+        return out
 
-def suffix_array(ids: np.ndarray, row: np.ndarray, shortest: int, longest: int) -> tuple[list[bytes], np.ndarray]:
-    """The shard's suffixes in order, with their places.
+    def last(self, keys: np.ndarray, width: int) -> np.ndarray:
+        """The largest key of a window that begins with the ``width`` words of each."""
+        return keys | self.pack(np.zeros(1, np.int64), np.zeros(1, np.int64), width, (1 << self.bits) - 1)
 
-    A suffix ends with its document, at the first word that no item holds, or after ``longest`` words (no match is longer);
-    those of fewer than ``shortest`` words can't hold a window and are left out."""
-    n = len(ids)
-    if not n or not shortest:
-        return [], np.zeros(0, np.int64)
-    stop = np.ones(n + 1, dtype=bool)
-    stop[:n] = ids == 0
-    breaks = np.zeros(n + 1, dtype=bool)
-    breaks[1:n] = row[1:] != row[:-1]
-    ends = np.flatnonzero(stop | breaks)
+
+def suffix_array(ids: np.ndarray, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the shard's suffixes in order, their keys).
+
+    ``ids`` has a 0 after every document and for words that no item holds, so no match runs past either.  Suffixes are compared by
+    as many words as a window has; those that meet a 0 before the shortest window's end can't hold one and are left out."""
+    if not tests.shortest:
+        return np.zeros(0, np.int64), np.zeros((0, 1), np.uint64)
+    stops = np.append(np.flatnonzero(ids == 0), len(ids))
     places = np.flatnonzero(ids > 0)
-    end = ends[np.searchsorted(ends, places, side="right")]
-    long = end - places >= shortest
-    places, end = places[long], np.minimum(end[long], places[long] + longest)
-    raw = ids.astype(">u4").tobytes()
-    keys = [raw[4 * p : 4 * e] for p, e in zip(places.tolist(), end.tolist(), strict=True)]
-    order = sorted(range(len(keys)), key=keys.__getitem__)
-    return [keys[i] for i in order], places[np.array(order, dtype=np.int64)]
-
-
-def longest_common(a: bytes, b: bytes) -> int:
-    """Words that two suffixes share at their beginning."""
-    n = min(len(a), len(b)) // 4
-    x, y = np.frombuffer(a, ">u4", n), np.frombuffer(b, ">u4", n)
-    differ = np.flatnonzero(x != y)
-    return int(differ[0]) if len(differ) else n
-
-
-def search_shard(keys: list[bytes], places: np.ndarray, tests: TestSuffixes) -> Iterator[tuple[int, int, int, int]]:
-    """(place, window words, item number, item offset) for every occurrence of every window: two binary searches each."""
-    for window, owners in tests.windows.items():
-        lo = bisect_left(keys, window)
-        if lo == len(keys) or not keys[lo].startswith(window):
-            continue
-        hi = bisect_left(keys, window + b"\xff\xff\xff\xff", lo)
-        for k in range(lo, hi):
-            for n, o in owners:
-                yield int(places[k]), len(window) // 4, n, o
-
-
-def scan(batches: Iterator[pa.RecordBatch], tests: TestSuffixes) -> Iterator[pa.RecordBatch]:
+    places = places[stops[np.searchsorted(stops, places)] - places >= tests.shortest]
+    keys = tests.pack(np.append(ids, 0), places, tests.window)
+    order = np.lexsort(keys.T[::-1])
+    return places[order], keys[order]
+
+
+def search(keys: np.ndarray, wanted: np.ndarray, after: bool) -> np.ndarray:
+    """For each wanted key the number of sorted keys before it (or, with ``after``, not behind it): binary searches, all at once."""
+    lo, hi = np.zeros(len(wanted), np.int64), np.full(len(wanted), len(keys))
+    while (lo < hi).any():
+        mid = np.minimum((lo + hi) >> 1, max(len(keys) - 1, 0))
+        less, same = np.zeros(len(wanted), bool), np.ones(len(wanted), bool)
+        for c in range(wanted.shape[1]):
+            have = keys[mid, c]
+            less |= same & (have < wanted[:, c])
+            same &= have == wanted[:, c]
+        go = (less | (same & after)) & (lo < hi)
+        lo, hi = np.where(go, mid + 1, lo), np.where(go | (lo >= hi), hi, mid)
+    return lo
+
+
+def ranges(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, number in it) of all numbers in consecutive ranges."""
+    n = end - begin
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + begin[which]
+
+
+def search_shard(ids: np.ndarray, tests: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each word of the shard is in an occurrence of a window, the longest matches: place, words, item number, offset)."""
+    places, keys = suffix_array(ids, tests)
+    cover = np.zeros(len(ids) + 1, np.int32)
+    found = [np.zeros((0, 4), np.int64)]
+    for width, wanted, first, item, offset in tests.windows if len(places) else []:
+        lo, hi = search(keys, wanted, False), search(keys, tests.last(wanted, width), True)
+        window, at = ranges(lo, hi)
+        place = places[at]
+        np.add.at(cover, place, 1)
+        np.add.at(cover, place + width, -1)
+        k, owner = ranges(first[window], first[window + 1])
+        found.append(np.stack([place[k], np.full(len(k), width), item[owner], offset[owner]], axis=1))
+    hits = np.concatenate(found)
+    # windows that follow one another on one diagonal of an item are one longest match
+    hits = hits[np.lexsort((hits[:, 0], hits[:, 0] - hits[:, 3], hits[:, 2]))]
+    follows = (hits[1:, 2] == hits[:-1, 2]) & (hits[1:, 0] == hits[:-1, 0] + 1) & (hits[1:, 3] == hits[:-1, 3] + 1)
+    begins = np.flatnonzero(np.append(True, ~follows)) if len(hits) else np.zeros(0, np.int64)
+    ends = np.append(begins[1:], len(hits))[: len(begins)] - 1
+    matches = hits[begins]
+    matches[:, 1] = hits[ends, 0] + hits[ends, 1] - matches[:, 0]
+    return np.cumsum(cover[:-1]) > 0, matches
+
+
+def scan(batches: Iterator[pa.RecordBatch], blocks: list[TestSuffixes]) -> Iterator[pa.RecordBatch]:
+    """For each row what any block of the benchmark finds in it."""
     for batch in batches:
-        keys_of = batch.column(0).to_pylist()
+        keys_of = batch.column(0)
         for at, to, hashes, first in words_of(batch.column(1)):
-            row = np.repeat(np.arange(to - at), np.diff(first))
-            keys, places = suffix_array(tests.encode(hashes), row, tests.shortest, tests.longest)
-            found: dict[int, dict[tuple[int, int], dict[int, int]]] = {}
-            hits: dict[int, set[int]] = {}
-            for place, width, n, o in search_shard(keys, places, tests):
-                r = int(row[place])
-                word = place - int(first[r])
-                hits.setdefault(r, set()).update(range(word, word + width))
-                # windows that follow one another on one diagonal are one longest match
-                found.setdefault(r, {}).setdefault((n, word - o), {})[o] = width
-            out = []
-            for r in range(to - at):
-                matches, items = [], set()
-                for (n, shift), offsets in found.get(r, {}).items():
-                    item = tests.ids[n][0]
-                    items.add(item)
-                    for o in sorted(offsets):
-                        if o - 1 not in offsets:
-                            end = o
-                            while end + 1 in offsets:
-                                end += 1
-                            matches.append({"item_id": item, "item_word": o, "doc_word": o + shift, "words": end + offsets[end] - o})
-                out.append({"doc_id": keys_of[at + r], "n_words": int(first[r + 1] - first[r]), "hit_words": sorted(hits.get(r, ())), "items": sorted(items), "matches": matches})
-            yield pa.RecordBatch.from_pylist(out, schema=_ARROW)
-
-
-_ARROW = pa.schema(
-    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("hit_words", pa.list_(pa.int32())), ("items", pa.list_(pa.int64())), ("matches", pa.list_(pa.struct([("item_id", pa.int64()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("words", pa.int32())])))]
-)
+            rows = to - at
+            row = np.repeat(np.arange(rows), np.diff(first))
+            spot = np.arange(len(row)) + row  # a 0 follows every row's words
+            hit = np.zeros(len(row) + rows, dtype=bool)
+            found = [np.zeros((0, 4), np.int64)]
+            for tests in blocks:
+                ids = np.zeros(len(row) + rows, np.int64)
+                ids[spot] = tests.encode(hashes)
+                own, matches = search_shard(ids, tests)
+                hit |= own
+                matches[:, 2] = tests.items[matches[:, 2]]
+                found.append(matches)
+            all_matches = np.concatenate(found)
+            begin = first[:-1] + np.arange(rows)
+            owner = np.searchsorted(begin, all_matches[:, 0], side="right") - 1
+            order = np.lexsort((all_matches[:, 3], all_matches[:, 0], all_matches[:, 2], owner))
+            all_matches, owner = all_matches[order], owner[order]
+            at_row = np.searchsorted(owner, np.arange(rows + 1))
+            words = np.flatnonzero(hit[spot])
+            word_row = row[words]
+            hit_words = pa.ListArray.from_arrays(pa.array(np.searchsorted(word_row, np.arange(rows + 1)).astype(np.int32)), pa.array((words - first[word_row]).astype(np.int32)))
+            items = [np.unique(all_matches[a:b, 2]).tolist() if b > a else [] for a, b in zip(at_row[:-1].tolist(), at_row[1:].tolist(), strict=True)]
+            pieces = pa.StructArray.from_arrays([pa.array(all_matches[:, 2]), pa.array(all_matches[:, 3].astype(np.int32)), pa.array((all_matches[:, 0] - begin[owner]).astype(np.int32)), pa.array(all_matches[:, 1].astype(np.int32))], ["item_id", "item_word", "doc_word", "words"])
+            listed = pa.ListArray.from_arrays(pa.array(at_row.astype(np.int32)), pieces)
+            yield pa.RecordBatch.from_arrays([keys_of.slice(at, rows).cast(pa.int64()), pa.array(np.diff(first), pa.int64()), hit_words, pa.array(items, pa.list_(pa.int64())), listed], ["doc_id", "n_words", "hit_words", "items", "matches"])
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", window: int = WINDOW, block_bytes: int = BENCHMARK_BYTES) -> DataFrame:
@@ -141,31 +177,28 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     Every task builds a suffix array over each shard of about 8 MB of its documents and binary-searches all test windows in it;
     windows in a row make up the longest verbatim matches (item, place in the item, place in the document, words).  Nothing of
     the documents is shuffled.  The benchmark is the stated query set: it's measured first and sent out in blocks of at most
-    ``block_bytes``; with more than one block, results are merged by document.
+    about ``block_bytes``; each row meets all blocks where it is.
 
     Null text has no words.  Items without words or without an id match nothing; items of one id count once.  Without items
-    no document is contaminated."""
+    no document is contaminated.  Null keys and repeated rows have results like any other; an empty table gives an empty result;
+    other columns are not looked at."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    rows = docs.select(F.col(key).alias("doc_id"), "text")
-    sc, parts = docs.sparkSession.sparkContext, []
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), "text")
+    sc, held = docs.sparkSession.sparkContext, []
     for b in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        tests = sc.broadcast(TestSuffixes([tuple(r) for r in own.collect()], window))
-        parts.append(rows.mapInArrow(lambda batches, tests=tests: scan(batches, tests.value), RESULT))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    if blocks > 1:
-        flat = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hit_words", "items")]
-        out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *flat, F.flatten(F.collect_list("matches")).alias("matches"))
+        held.append(sc.broadcast(TestSuffixes([tuple(r) for r in own.collect()], window)))
+    out = rows.mapInArrow(released(lambda batches: scan(batches, [h.value for h in held])), RESULT)
     out = out.withColumn("n_hit", F.size("hit_words").cast("long"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).withColumnRenamed("doc_id", key)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` without the rows that are contaminated; columns stay as they are."""
+    """``docs`` without the rows that are contaminated; columns stay as they are.
+
+    Rows with a null key stay; rows that share a key with a contaminated one go with it; an empty table stays empty."""
     return without(docs, find_contamination(docs, benchmark, key, **how).where("contaminated").select(F.col(key).alias("id")), key)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import mix, text_blocks
+from inkwell.llm.common import cut, lowered_blocks, mix, released
 
 DIM = 8192
 #: ASCII letters stay (lower case); every other ASCII character is one space; bytes of other letters stay.
@@ -22,8 +22,7 @@ _FOLD[128:] = np.arange(128, 256)
 
 def ngram_counts(column: pa.Array, dim: int = DIM) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, matrix of hashed byte-trigram counts) of blocks of at most 256 rows; trigrams of blanks only don't count."""
-    lowered = pa.array([None if t is None else t.lower() for t in column.to_pylist()], pa.large_string())
-    for at, to, data, offs in text_blocks(lowered):
+    for at, to, data, offs in lowered_blocks(column):
         folded = np.concatenate([_FOLD[data], np.full(2, 32, np.uint8)])
         b = folded.astype(np.uint32)
         code = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
@@ -59,7 +58,7 @@ def document_frequency(docs: DataFrame, text: str = "text", dim: int = DIM) -> t
                 held += (counts > 0).sum(axis=0)
         yield pa.RecordBatch.from_arrays([pa.array([*range(dim), dim], pa.int32()), pa.array([*held, n], pa.int64())], ["gram", "n"])
 
-    rows = docs.select(text).mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(text).mapInArrow(released(count), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(dim + 1, np.int64)
     for r in rows:
         out[r["gram"]] = r["n"]
@@ -100,13 +99,20 @@ def fit_languages(labelled: DataFrame, key: str = "doc_id", text: str = "text",
 
     Document frequencies are counted over all rows.  The clusters are fitted on at most ``per_language`` rows of each language,
     those of least hash: the bounded sample of labelled rows.  A centroid's radius is the given quantile of its members'
-    distances, widened by half.  Without labelled rows the model has no language and predicts ``und``."""
+    distances, widened by half.  Without labelled rows the model has no language and predicts ``und``.
+
+    Ties of hash go by key; rows that share a key are sampled together; null and empty texts of a language count like any other;
+    other columns are not looked at; texts of any length count whole."""
     labelled = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
     n, df = document_frequency(labelled, text)
     idf = np.log((1 + n) / (1 + df)) + 1
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(key)), F.col(key))
-    ids = labelled.select(key, lang).withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select(key)
-    sample = labelled.select(key, text, lang).join(F.broadcast(ids), key, "left_semi")
+    # the least hashes of each language; a bar by its number of rows leaves about four times as many to be ranked
+    own = labelled.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(F.col(key)).alias("h"))
+    bars = cut(own.groupBy("lang").agg((F.lit(-(2.0**63)) + F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.count(F.lit(1))) * F.lit(2.0**64)).alias("bar")))
+    few = own.join(F.broadcast(bars), "lang").where(F.col("h") <= F.col("bar")).drop("bar")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "key"))
+    ids = few.withColumn("place", place).where(F.col("place") <= per_language).select(F.col("key").alias(key))
+    sample = labelled.select(key, text, lang).join(F.broadcast(ids.distinct()), key, "left_semi")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +120,7 @@ def fit_languages(labelled: DataFrame, key: str = "doc_id", text: str = "text",
                 raw = [np.concatenate([np.flatnonzero(r), r[np.flatnonzero(r)].astype(np.int64)]).astype(np.int32).tobytes() for r in counts]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(raw)), pa.array(raw, pa.binary())], ["lang", "cells"])
 
-    rows = sample.select(text, lang).mapInArrow(vectors, "lang string, cells binary").collect()
+    rows = sample.select(text, lang).mapInArrow(released(vectors), "lang string, cells binary").collect()
     by: dict[str, list[np.ndarray]] = {}
     for r in rows:
         cells = np.frombuffer(r["cells"], np.int32)
@@ -136,7 +142,9 @@ def fit_languages(labelled: DataFrame, key: str = "doc_id", text: str = "text",
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score, rejected): the language of the nearest centroid and its cosine; ``rejected`` if that is too far.
 
-    A text that is null or has no letter, and any text where nothing was learned, is ``und`` with score 0, rejected."""
+    A text that is null or has no letter, and any text where nothing was learned, is ``und`` with score 0, rejected.  Of centroids that
+    are equally near the first counts (languages in order of name).  Null keys and repeated rows are judged like any other, each for
+    itself; an empty table gives an empty result; other columns are not looked at."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +158,7 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array([m.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], pa.string()), pa.array([float(c) if k else 0.0 for c, k in zip(cosine, known, strict=True)], pa.float64()), pa.array([bool(f) or not k for f, k in zip(far, known, strict=True)], pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double, rejected boolean").withColumnRenamed("doc_id", key)
+    return rows.mapInArrow(released(predict), "doc_id long, lang_pred string, score double, rejected boolean").withColumnRenamed("doc_id", key)
 
 
 def held_out(key: str, of: int, remainder: int):

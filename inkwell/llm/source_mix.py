@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.llm.common import cut, partitions, skew_join
+from inkwell.llm.common import cut, fresh, partitions, skew_join
 
 #: Phases of the systematic rounding that are tried for each source.
 PHASES = 32
@@ -82,7 +82,9 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
 def apply_mix(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """The rows of ``docs``, each as often as its number of copies, numbered in ``copy`` from 1; rows of 0 copies go.
 
-    Rows of one key are taken alike, as often as the first of them."""
-    plan = mix_sources(docs, key=key, **how).select(F.col(key).alias("__key"), "copies").groupBy("__key").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    joined = docs.join(plan.hint("shuffle_hash"), docs[key].eqNullSafe(F.col("__key")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias("copy"))
+    ``copy`` is called ``copy_2`` where ``docs`` has a column of that name, and so on.  Rows of one key, and those of a null key,
+    are taken alike, as often as the one taken most.  An empty table stays empty."""
+    own, times = fresh(docs, "key_of_mix"), fresh(docs, "times")
+    plan = mix_sources(docs, key=key, **how).select(F.col(key).alias(own), "copies").groupBy(own).agg(F.max("copies").alias(times)).where(F.col(times) > 0)
+    joined = docs.join(plan.hint("shuffle_hash"), docs[key].eqNullSafe(F.col(own)))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))).alias(fresh(docs, "copy")))

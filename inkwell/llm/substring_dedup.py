@@ -43,7 +43,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     limit = (1 << _INDEX_BITS) - 2 * length
     if len(data) > limit:
         for r in range(len(offs) - 1):
-            for s in range(int(offs[r]), int(offs[r + 1]), limit - length):
+            for s in range(int(offs[r]), int(offs[r + 1]), limit - length + 1):
                 end = min(s + limit, int(offs[r + 1]))
                 _, h, lo, hi, a = anchors(data[s:end], np.array([0, end - s]), length, gram)
                 parts.append((np.full(len(h), r), h, lo + s, hi + s, a + s))
@@ -305,6 +305,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             counts = np.repeat(*[np.diff(np.append(first, len(h)))] * 2)
             many = counts > 1
+            if not many.any():
+                continue
             doc, h, counts = c["doc"][order][many], h[many], counts[many]
             order = np.lexsort((h, doc))
             doc, h, counts = doc[order], h[order], counts[order]

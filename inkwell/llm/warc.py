@@ -7,17 +7,19 @@ import struct
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, ensure_checkpoints, partitions, skew_join
+from inkwell.llm.common import cut, ensure_checkpoints, in_slices, partitions, released, skew_join
 
 #: Fixed values of the format: the skippable frame that holds a dictionary, Zstandard's own magic number.
 DICTIONARY_FRAME = 0x184D2A5D
 ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 RECORDS = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, intact boolean, archive string"
+_NAMES = [c.split()[0] for c in RECORDS.split(", ")]
+_KINDS = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]] for c in RECORDS.split(", ")]
 
 
 def _target(url: str | None) -> str:
@@ -25,7 +27,7 @@ def _target(url: str | None) -> str:
 
 
 def _urn(page_id) -> str:
-    return "<urn:page:null>" if page_id is None or page_id != page_id else f"<urn:page:{int(page_id)}>"
+    return "<urn:page:null>" if page_id is None else f"<urn:page:{page_id}>"
 
 
 def _page(urn: str | None) -> int | None:
@@ -120,20 +122,20 @@ def write_archives(pages: DataFrame, folder: str | None = None, roll_bytes: int
     made below spark.checkpoint.dir."""
     folder = folder or f"{ensure_checkpoints(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, held, size, count = TaskContext.get(), [], 0, 0
         store, root = _open(folder)
         store.create_dir(root, recursive=True)
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             name, data = f"{root}/{task.partitionId():06d}-{task.taskAttemptId()}-{count:04d}.warc.zst", write_archive(held, **how)
             with store.open_output_stream(name) as out:
                 out.write(data)
-            return pd.DataFrame({"archive": [name], "records": [len(held)], "bytes": [len(data)]})
+            return pa.RecordBatch.from_pydict({"archive": [name], "records": [len(held)], "bytes": [len(data)]})
 
-        for frame in frames:
-            for page_id, url, html, digest, refers in zip(*(frame[c] for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
-                held.append(format_record(None if pd.isna(page_id) else page_id, url, (html or "").encode(), digest, None if pd.isna(refers) else refers, date))
+        for part in (p for batch in batches for p in in_slices(batch, 2)):
+            for page_id, url, html, digest, refers in zip(*(part.column(c).to_pylist() for c in range(5)), strict=True):
+                held.append(format_record(page_id, url, (html or "").encode(), digest, refers, date))
                 size += len(held[-1])
                 if size >= roll_bytes:
                     yield close()
@@ -141,16 +143,16 @@ def write_archives(pages: DataFrame, folder: str | None = None, roll_bytes: int
         if held:
             yield close()
 
-    return cut(plan_records(pages).mapInPandas(write, "archive string, records long, bytes long"))
+    return cut(plan_records(pages).mapInArrow(released(write), "archive string, records long, bytes long"))
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per record of the archives in ``manifest``: what its headers say, and whether a response's payload has its digest."""
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _open(folder)[0]
-        for frame in frames:
-            for name in frame["archive"]:
+        for batch in batches:
+            for name in batch.column("archive").to_pylist():
                 with store.open_input_stream(name) as data:
                     raw = data.read()
                 rows = []
@@ -159,16 +161,15 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     digest, kind = warc["WARC-Payload-Digest"].partition(":")[2], warc["WARC-Type"]
                     whole = kind == "revisit" or hashlib.sha256(payload).hexdigest() == digest
                     rows.append((_page(warc["WARC-Record-ID"]), warc["WARC-Target-URI"], kind, int(http["Content-Length"]), digest, _page(warc.get("WARC-Refers-To")), whole, name.rpartition("/")[2]))
-                out = pd.DataFrame(rows, columns=["page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "intact", "archive"])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
 
-    return manifest.repartition(partitions(manifest.sparkSession)).mapInPandas(read, RECORDS)
+    return manifest.repartition(partitions(manifest.sparkSession)).mapInArrow(released(read), RECORDS)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, **how) -> DataFrame:
     """Writes ``pages`` (page_id, url, html) as archives and reads them back: one row per page.
 
     Null html is an empty payload; a null page_id is kept as null and never referred to unless a smaller one is missing;
-    repeated rows give repeated records; an empty table gives no archive and no row."""
+    repeated rows give repeated records, each for itself; other columns of ``pages`` are left out; pages of any length are one record; an empty table gives no archive and no row."""
     folder = folder or f"{ensure_checkpoints(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     return read_archives(write_archives(pages, folder, **how), folder)
