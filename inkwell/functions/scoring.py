@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkwell.functions.fixed import BOARD_SOURCES, CRITIC_DATA, CRITIC_HIGH, CRITIC_LOW, CRITIC_NEWS, WEIGHTS
+from inkwell.functions.fixed import BOARD_SOURCES, CRITIC_ANGLES, CRITIC_DATA, CRITIC_HIGH, CRITIC_LOW, CRITIC_NEWS, CRITIC_SAYS, WEIGHTS
 from inkwell.functions.text import col
 
 
@@ -80,8 +80,9 @@ def critic(title, body) -> Column:
     s = 4.0 + F.least(F.lit(2.5), 0.45 * F.size(high)) + F.when(text.rlike(CRITIC_DATA), 1.2).otherwise(0.0) - F.least(F.lit(3.0), 1.2 * F.size(low))
     s = s - F.when((F.size(news) > 0) & (F.size(high) == 0), 1.0).otherwise(0.0) - F.when(n < 80, 1.5).when(n > 8000, 0.4).otherwise(0.0)
     raw = F.greatest(F.lit(0.0), F.least(F.lit(10.0), s))
-    reason = F.when(F.size(high) > 0, "有反例/前提/边界,启发式加分").when(F.size(low) > 0, "命中低分特征").otherwise("中性资讯")
-    angle = F.when(F.size(high) > 0, F.concat(F.lit("触及:"), F.get(high, F.lit(0)))).when(F.size(low) > 0, "像营销或标题党").otherwise("未检测出明确假设挑战")
+    some, bad = F.size(high) > 0, F.size(low) > 0
+    reason = F.when(some, CRITIC_SAYS[0]).when(bad, CRITIC_SAYS[1]).otherwise(CRITIC_SAYS[2])
+    angle = F.when(some, F.concat(F.lit(CRITIC_ANGLES[0]), F.get(high, F.lit(0)))).when(bad, CRITIC_ANGLES[1]).otherwise(CRITIC_ANGLES[2])
     return F.struct(raw.alias("raw"), (raw / 10).alias("score"), reason.alias("reason"), angle.alias("angle"))
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from inkwell.functions.fixed import BLANK, ESSENTIAL_PARAMS, HOSTS, SECTION_KINDS, SOURCE_BY_HOST, TITLE_NOISE, TRACKING_EXACT, TRACKING_PREFIXES
+from inkwell.functions.fixed import (
+    BLANK, BOILERPLATE_BEGINS, BOILERPLATE_HAS, CATEGORIES, DAILY_BACKGROUND, DAILY_COLLECTOR, DAILY_END, DAILY_ENTRY, DAILY_NAME, DAILY_TITLE,
+    ESSENTIAL_PARAMS, HOSTS, SOURCE_GUESSES, SOURCES, TITLE_NOISE, TRACKING_EXACT, TRACKING_PREFIXES, WECHAT_FEED,
+)
 
 
 def col(c: Column | str) -> Column:
@@ -225,15 +228,22 @@ def article_kind(section, role, markdown) -> Column:
 
 
 def source_of(url: Column | str) -> Column:
-    """A guess of the source from the host."""
-    out = F.when(F.lit(False), "")
-    for part, name in SOURCE_BY_HOST:
-        out = out.when(F.lower(col(url)).contains(part), name)
+    """A guess of the source from what a link holds; rss where nothing tells."""
+    u, out = F.coalesce(col(url), F.lit("")), F.when(F.lit(False), "")
+    for name, parts in SOURCE_GUESSES:
+        known = F.lit(False)
+        for part in parts:
+            known |= F.lower(u).contains(part)
+        out = out.when(known | u.contains(WECHAT_FEED) if name == "wechat_mp" else known, name)
     return out.otherwise("rss")
 
 
+def kind_of(url: Column | str) -> Column:
+    return F.when(source_of(url) == "bilibili", "video").otherwise("article")
+
+
 def category_of(source: Column | str) -> Column:
-    return F.coalesce(mapping(SECTION_KINDS)[col(source)], F.lit("other"))
+    return F.coalesce(mapping(CATEGORIES)[col(source)], F.lit("other"))
 
 
 def format_bytes(n: Column | str) -> Column:
@@ -241,13 +251,14 @@ def format_bytes(n: Column | str) -> Column:
     return F.when(b < 1024, F.format_string("%.0f B", b)).when(b < 1024**2, F.format_string("%.1f KB", b / 1024)).when(b < 1024**3, F.format_string("%.1f MB", b / 1024**2)).otherwise(F.format_string("%.1f GB", b / 1024**3))
 
 
-def byline(line: Column | str, sources: tuple[str, ...] = tuple(SECTION_KINDS)) -> Column:
-    """(published_label, source_type, source_name) of parts that dots part."""
+def byline(line: Column | str, sources: tuple[str, ...] = SOURCES) -> Column:
+    """(published_label, source_type, source_name) of parts that dots part: the first date, the first source, and all that is left."""
     parts = F.filter(F.transform(F.split(F.coalesce(col(line), F.lit("")), "·"), strip), lambda p: p != "")
     dated = lambda p: p.rlike(r"^(今天|昨天|\d{4}年)")
     label = F.coalesce(F.get(F.filter(parts, dated), F.lit(0)), F.lit(""))
     kind = F.coalesce(F.get(F.filter(parts, lambda p: F.lower(p).isin(*sources) & ~dated(p)), F.lit(0)), F.lit(""))
-    names = F.filter(parts, lambda p: (p != label) & (p != kind) & (p != "总分") & ~p.startswith("sim ") & ~p.contains("挑战了"))
+    own = lambda p, i: (i + 1 == F.array_position(parts, label)) | (i + 1 == F.array_position(parts, kind))
+    names = F.filter(parts, lambda p, i: ~own(p, i) & (p != "总分") & ~p.startswith("sim ") & ~p.contains("挑战了"))
     return F.struct(label.alias("published_label"), F.lower(kind).alias("source_type"), F.array_join(names, " ").alias("source_name"))
 
 
@@ -256,8 +267,102 @@ def is_activity(source, title, collector) -> Column:
     return (col(source) == "zhihu") & (F.coalesce(col(title), F.lit("")).rlike("赞同了(回答|想法|文章)?|关注了|喜欢了") | F.coalesce(col(collector), F.lit("")).endswith("_动态"))
 
 
-def title_longer_than_body(title, body) -> Column:
-    return char_count(html_to_text(title)) > char_count(body)
+def is_daily(source, title, collector) -> Column:
+    """The daily digest of an institution, not a text of one author."""
+    own = (col(source) == "zhihu") & one_line(html_to_text(title)).contains(DAILY_TITLE)
+    return F.coalesce(col(collector), F.lit("")).contains(DAILY_COLLECTOR) | F.coalesce(own, F.lit(False))
+
+
+def display_title(source, title, collector) -> Column:
+    """The title in print: one line of plain text; the daily digest has a name of its own."""
+    return F.when(is_daily(source, title, collector), DAILY_NAME).otherwise(one_line(html_to_text(title)))
+
+
+def expand_daily_title(title, body) -> Column:
+    """The questions that a digest answers, eight at most, from its body; its own title where there are fewer than two."""
+    region = F.substring_index(F.coalesce(col(body), F.lit("")), DAILY_END, 1)
+    found = F.transform(F.regexp_extract_all(region, F.lit(DAILY_ENTRY), 1), strip)
+    found = F.filter(found, lambda h: ~h.contains(DAILY_END) & ~h.startswith(DAILY_BACKGROUND))
+    heads = F.filter(F.transform(found, lambda h: strip(F.regexp_extract(h, rf"(?s)^(.*?)(?:\s*{DAILY_BACKGROUND}|$)", 1))), lambda h: F.char_length(h) >= 8)
+    return F.when(F.size(heads) >= 2, F.array_join(F.slice(heads, 1, 8), "；")).otherwise(col(title))
+
+
+def newspaper_body(kind, content, summary, source, title, collector) -> Column:
+    """The body in print: a daily digest's begins with its catalog."""
+    body = readable_body(kind, content, summary, source)
+    catalog = expand_daily_title(one_line(html_to_text(title)), body)
+    lead = F.concat(F.lit("**"), catalog, F.lit("**"))
+    return F.when(~is_daily(source, title, collector) | (catalog == ""), body).when(body == "", lead).otherwise(F.concat(lead, F.lit("\n\n"), body))
+
+
+def title_longer_than_body(source, title, collector, body) -> Column:
+    """Advertisements have all of their text in the title, as it's printed."""
+    return char_count(display_title(source, title, collector)) > char_count(body)
+
+
+def trim_boilerplate(markdown: Column | str) -> Column:
+    """All lines before the first that is a disclaimer or an offer."""
+    lines = F.split(F.regexp_replace(F.coalesce(col(markdown), F.lit("")), r"\r\n?", "\n"), "\n")
+    plain = F.transform(lines, strip)
+    ends = F.transform(plain, lambda s: s.startswith(BOILERPLATE_BEGINS[0]) | s.startswith(BOILERPLATE_BEGINS[1]) | s.contains(BOILERPLATE_HAS))
+    at = F.array_position(ends, True)
+    return strip(F.array_join(F.when(at > 0, F.slice(lines, F.lit(1), at.cast("int") - 1)).otherwise(lines), "\n"))
+
+
+def first_paragraph(markdown: Column | str, limit: int = 140) -> Column:
+    """The first lines of plain text up to a blank line or ``limit`` characters, as one line; headings, quotes and images are passed over."""
+    lines = F.transform(F.split(F.regexp_replace(F.coalesce(col(markdown), F.lit("")), r"\r\n?", "\n"), "\n"), strip)
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(False).alias("over"))
+
+    def step(s: Column, line: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(line, r"\[([^\]]+)\]\([^)]+\)", "$1"), r"\*", "")
+        skipped = s["over"] | line.startswith("#") | line.startswith(">") | line.startswith("![")
+        added = F.struct(F.concat(s["text"], F.lit(" "), bare).alias("text"), (s["n"] + F.char_length(bare)).alias("n"), (s["n"] + F.char_length(bare) >= limit).alias("over"))
+        blank = F.struct(s["text"].alias("text"), s["n"].alias("n"), (s["over"] | (s["text"] != "")).alias("over"))
+        return F.when(line == "", blank).when(skipped, s).otherwise(added)
+
+    text = one_line(F.aggregate(lines, start, step, lambda s: s["text"]))
+    return F.when(F.char_length(text) > limit, F.concat(F.left(text, F.lit(limit - 1)), F.lit("…"))).otherwise(text)
+
+
+def item_slug(title: Column | str, content_hash: Column | str, n: Column | None = None) -> Column:
+    """A file name for an item: word characters and hyphens of its title's beginning, or its key's, after its number."""
+    raw = F.left(F.coalesce(F.nullif(col(title), F.lit("")), col(content_hash)), F.lit(40))
+    own = F.regexp_replace(F.replace(raw, F.lit(" "), F.lit("-")), r"(?U)[^\w一-鿿\-]+", "")
+    slug = F.when(own == "", F.left(col(content_hash), F.lit(8))).otherwise(own)
+    return slug if n is None else F.concat(F.lpad(n.cast("string"), 2, "0"), F.lit("-"), slug)
+
+
+def is_stub(content: Column | str, summary: Column | str, most: int = 500) -> Column:
+    """Content that is its summary or a beginning of it, or was cut at ``most`` characters."""
+    c, s = strip(F.coalesce(col(content), F.lit(""))), strip(F.coalesce(col(summary), F.lit("")))
+    n = F.char_length(c)
+    return (n > 0) & (n <= most) & (((s != "") & s.startswith(c)) | (n == most))
+
+
+def longer_text(content: Column | str, summary: Column | str) -> Column:
+    """The longer of two bodies, content where they are as long; null where both are blank."""
+    c, s = strip(F.coalesce(col(content), F.lit(""))), strip(F.coalesce(col(summary), F.lit("")))
+    return F.nullif(F.when((F.char_length(c) >= F.char_length(s)) & (c != ""), c).otherwise(s), F.lit(""))
+
+
+def payload_text(payload: Column | str) -> Column:
+    """The longest plain text, without a footer, that a landed feed entry (JSON) holds; of equal ones the first."""
+    p = F.from_json(col(payload), "content array<string>, content_encoded string, summary string, description string")
+    blobs = F.concat(F.coalesce(p["content"], F.array().cast("array<string>")), F.array(p["content_encoded"], p["summary"], p["description"]))
+    bare = F.transform(F.array_compact(blobs), lambda b: F.when(b.startswith("{"), F.coalesce(F.get_json_object(b, "$.value"), F.lit(""))).otherwise(b))
+    texts = F.transform(bare, lambda b, i: F.struct(F.char_length(strip_footer(html_to_text(b))).alias("n"), (-i).alias("i"), strip_footer(html_to_text(b)).alias("t")))
+    return F.coalesce(F.array_max(texts)["t"], F.lit(""))
+
+
+def is_photo_host(url: Column | str, hosts: str) -> Column:
+    return F.coalesce(col(url), F.lit("")).rlike(hosts)
+
+
+def is_printable(width, height, side: int) -> Column:
+    """Photos whose shorter side is long enough for print; a size that isn't a number is none."""
+    w, h = col(width).try_cast("int"), col(height).try_cast("int")
+    return F.coalesce((w >= side) & (h >= side), F.lit(False))
 
 
 def is_blank(c: Column | str) -> Column:

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark) -> str:
+    """Where all executors can read and write: the folder of spark.checkpoint.dir, or one below the warehouse where none is set."""
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    return own.rstrip("/") if own else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Goes on from a checkpoint in the folder of spark.checkpoint.dir (a temporary one where none is set, on one machine)."""
+    """Goes on from a checkpoint in the shared folder, so the loss of an executor costs nothing that was done before."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="inkwell-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(True)
 
 
@@ -34,26 +41,63 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     raise RuntimeError("components did not settle")
 
 
-def greedy_fold(nodes: DataFrame, edges: DataFrame, rounds: int = 200) -> DataFrame:
+def greedy_fold(nodes: DataFrame, edges: DataFrame, together: int = 50_000) -> DataFrame:
     """(id, leader) of a greedy pass over ``nodes`` (id, place) in order of place: a node that no kept neighbour precedes is kept
-    and takes its undecided neighbours; leader is the kept node, its own if it is kept.
+    and takes its undecided neighbours; leader is the first kept neighbour, its own id if it is kept.
 
-    Rounds run in parallel: a node whose undecided neighbours all come later is kept, their neighbours fold into the first kept
-    one.  Every round decides at least the first undecided node; on real data a few rounds do."""
+    Components of up to ``together`` edges are passed over in one task each, node by node.  Larger ones are decided in parallel rounds:
+    a node whose undecided neighbours all come later is kept, their neighbours fold into the first kept one, until none is undecided."""
     place = nodes.select("id", "place")
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
-    both = both.join(place.select(F.col("id").alias("a"), F.col("place").alias("pa")), "a").join(place.select(F.col("id").alias("b"), F.col("place").alias("pb")), "b")
+    both = both.join(place.select(F.col("id").alias("a"), F.col("place").alias("pa")).hint("merge"), "a").join(place.select(F.col("id").alias("b"), F.col("place").alias("pb")).hint("merge"), "b")
     both = cut(both)
-    decided = cut(place.join(both.select(F.col("a").alias("id")).distinct(), "id", "left_anti").select("id", F.col("id").alias("leader")))
-    open_ = both
-    for _ in range(rounds):
-        if open_.limit(1).count() == 0:
-            left = place.select("id").join(decided, "id", "left_anti")
-            return decided.unionByName(left.select("id", F.col("id").alias("leader")))
-        kept = open_.groupBy("a").agg(F.min("pb").alias("first"), F.min("pa").alias("pa")).where("pa < first").select(F.col("a").alias("k"), "pa")
-        kept = cut(kept)
-        folded = both.join(kept.select(F.col("k").alias("a")), "a").join(decided.select(F.col("id").alias("b")), "b", "left_anti").groupBy("b").agg(F.min_by("a", "pa").alias("leader"))
-        decided = cut(decided.unionByName(kept.select(F.col("k").alias("id"), F.col("k").alias("leader"))).unionByName(folded.select(F.col("b").alias("id"), "leader")))
+    alone = place.join(both.select(F.col("a").alias("id")).distinct().hint("merge"), "id", "left_anti").select("id", F.col("id").alias("leader"))
+    labels = cut(components(both.select(F.col("a").alias("id")).distinct(), both))
+    marked = both.join(labels.select(F.col("id").alias("a"), "label").hint("merge"), "a")
+    sizes = cut(marked.groupBy("label").agg(F.count(F.lit(1)).alias("n")))
+    small = marked.join(sizes.where(F.col("n") <= 2 * together).hint("merge"), "label", "left_semi")
+    large = cut(marked.join(sizes.where(F.col("n") > 2 * together).hint("merge"), "label", "left_semi").drop("label"))
+    return alone.unionByName(_one_by_one(small, dict(place.dtypes)["id"])).unionByName(_in_rounds(large))
+
+
+def _one_by_one(edges: DataFrame, kind: str) -> DataFrame:
+    """The sequential pass within each component (label) of ``edges`` (label, a, b, pa)."""
+    rows = edges.groupBy("label", "a").agg(F.min("pa").alias("place"), F.collect_list("b").alias("near"))
+    rows = rows.repartition("label").sortWithinPartitions("label", "place").select("label", "a", "near")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leader = None, {}
+        for batch in batches:
+            ids, found = [], []
+            for label, own, near in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if label != at:
+                    at, leader = label, {}
+                if own not in leader:
+                    leader[own] = own
+                    for other in near:
+                        leader.setdefault(other, own)
+                ids.append(own)
+                found.append(leader[own])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(1).type), pa.array(found, batch.schema.field(1).type)], ["id", "leader"])
+
+    return rows.mapInArrow(run, f"id {kind}, leader {kind}")
+
+
+def _in_rounds(both: DataFrame) -> DataFrame:
+    """The same for edges (a, b, pa, pb) in either direction, all nodes at a time."""
+    nodes = both.select(F.col("a").alias("id")).distinct()
+    if both.isEmpty():
+        return nodes.select("id", F.col("id").alias("leader"))
+    decided, open_ = None, both
+    while not open_.isEmpty():
+        kept = cut(open_.groupBy("a").agg(F.min("pb").alias("first"), F.min("pa").alias("pa")).where("pa < first").select(F.col("a").alias("k"), "pa"))
+        near = both.join(kept.select(F.col("k").alias("a")).hint("merge"), "a")
+        if decided is not None:
+            near = near.join(decided.select(F.col("id").alias("b")).hint("merge"), "b", "left_anti")
+        folded = near.groupBy("b").agg(F.min_by("a", "pa").alias("leader")).select(F.col("b").alias("id"), "leader")
+        new = kept.select(F.col("k").alias("id"), F.col("k").alias("leader")).unionByName(folded)
+        decided = cut(new if decided is None else decided.unionByName(new))
         gone = decided.select("id")
-        open_ = cut(open_.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti"))
-    raise RuntimeError("greedy fold did not settle")
+        open_ = cut(open_.join(gone.select(F.col("id").alias("a")).hint("merge"), "a", "left_anti").join(gone.select(F.col("id").alias("b")).hint("merge"), "b", "left_anti"))
+    left = nodes.join(decided.select("id").hint("merge"), "id", "left_anti")
+    return decided.unionByName(left.select("id", F.col("id").alias("leader")))

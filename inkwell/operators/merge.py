@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions.fixed import KINDS, SOURCES
-from inkwell.functions.text import char_count, is_blank, normalize_paragraphs
+from inkwell.functions.text import is_blank, is_stub, payload_text, strip
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -95,14 +95,18 @@ def longer(old: Column, new: Column) -> Column:
 
 
 def restore_bodies(items: DataFrame, payloads: DataFrame, stub: int = 500) -> DataFrame:
-    """Content that is a stub of at most ``stub`` characters and begins the summary or a payload text gives way to the longest text of its payload.
+    """Content that is a stub (the summary, a beginning of it, or exactly ``stub`` characters) gives way to the longest plain text of
+    its landed payload, where that is longer.  ``restored`` marks such rows.
 
-    ``payloads`` (content_hash, texts array<string>)."""
-    best = F.array_max(F.transform("texts", lambda t: F.struct(F.char_length(normalize_paragraphs(t)).alias("n"), normalize_paragraphs(t).alias("t"))))
-    held = payloads.select("content_hash", best.alias("__best"))
-    short = (F.char_length(F.coalesce("content", F.lit(""))) <= stub) & (F.col("__best.n") > F.char_length(F.coalesce("content", F.lit(""))))
-    out = items.join(held, "content_hash", "left")
-    return out.withColumn("restored", F.coalesce(short, F.lit(False))).withColumn("content", F.when(short, F.col("__best.t")).otherwise(F.col("content"))).drop("__best")
+    ``payloads`` (content_hash, payload), JSON of feed entries.  Only payloads of stubs are joined and read; of several payloads of
+    a key the longest text counts, by a partial aggregate."""
+    stubs = items.where(is_stub("content", "summary", stub)).select("content_hash").distinct()
+    best = payloads.join(stubs, "content_hash", "left_semi").select("content_hash", payload_text("payload").alias("t"))
+    best = best.groupBy("content_hash").agg(F.max_by("t", F.struct(F.char_length("t"), "t")).alias("__best"))
+    out = items.join(best, "content_hash", "left")
+    better = is_stub("content", "summary", stub) & (F.char_length(strip(F.coalesce("__best", F.lit("")))) > F.char_length(strip("content")))
+    out = out.withColumn("restored", F.coalesce(better, F.lit(False)))
+    return out.withColumn("content", F.when(F.col("restored"), F.col("__best")).otherwise(F.col("content"))).drop("__best")
 
 
 def split_lists(articles: DataFrame, entries: str = "entries") -> DataFrame:
@@ -133,8 +137,3 @@ def append_unseen(existing: DataFrame, incoming: DataFrame, key: str, order: lis
 
 def drop_used(items: DataFrame, used: DataFrame) -> DataFrame:
     return items.join(used.select("content_hash"), "content_hash", "left_anti")
-
-
-def stub_of(content: Column, summary: Column) -> Column:
-    """Whether content adds nothing to its summary."""
-    return char_count(content) <= char_count(summary)

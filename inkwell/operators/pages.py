@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.functions.text import col, html_to_text, normalize_paragraphs
+from inkwell.functions.fixed import DECORATION, DECORATION_CLASS, NAVIGATION, PHOTO_HOSTS
+from inkwell.functions.text import col, html_to_text, is_photo_host, is_printable, longer_text, normalize_paragraphs
 
-# fixed values: words of navigation, and what marks an image as decoration
-NAVIGATION = "登录|注册|首页|下载APP|相关推荐|热门评论|版权所有|ICP备|隐私政策|关于我们|导航|分享到|点击查看|打开APP"
-DECORATION = r"(?i)avatar|emoji|qrcode|qr[_-]?code|icon|logo|badge|spacer|pixel|1x1|placeholder|tracking|mmhead|user[-_]head|profile_avatar|wx_fmt=gif|formula|equation|latex|/s50|/s64|_s\.jpg|_is\.jpg|share_card|js_next_card"
 PHOTO_SIDE, MOST_IMAGES = 160, 8
 
 
@@ -36,37 +34,95 @@ def tier(length: Column, score: Column, least: int = 200, accept_short: Column |
     return F.when((length >= least) & (score >= 0.35), "full").when((length >= 150) & (score >= 0.25), "partial").when(short & (length >= 80) & (score >= 0.2), "partial").otherwise("meta_only")
 
 
-def extract(pages: DataFrame, fallback: str | None = None, least: int = 200) -> DataFrame:
-    """``pages`` with text, score and tier; where the page's text isn't enough, a ``fallback`` column of 80 characters or more takes its place."""
-    text = html_to_text("html")
-    out = pages.withColumn("text", text).withColumn("score", quality_score("text")).withColumn("tier", tier(F.char_length("text"), F.col("score"), least))
-    if fallback:
-        own = normalize_paragraphs(fallback)
+def extract(pages: DataFrame, fallback: str | None = None, summary: str | None = None, least: int = 200) -> DataFrame:
+    """``pages`` with text, score, tier and outcome.
+
+    Where the page's text isn't enough, the longer of the ``fallback`` and ``summary`` columns takes its place if it has 80
+    characters.  outcome: error where a column ``error`` is set, blocked where ``status`` is 401, 403 or 451, ok where the text is
+    full or partial, else degraded; ``cached`` marks pages with a column ``from_cache`` that says so."""
+    out = pages.withColumn("text", html_to_text("html")).withColumn("score", quality_score("text")).withColumn("tier", tier(F.char_length("text"), F.col("score"), least))
+    if fallback or summary:
+        own = normalize_paragraphs(longer_text(fallback or F.lit(None).cast("string"), summary or F.lit(None).cast("string")))
         use = (F.col("tier") == "meta_only") & (F.char_length(own) >= 80)
         out = out.withColumn("text", F.when(use, own).otherwise(F.col("text"))).withColumn("score", quality_score("text")).withColumn("tier", tier(F.char_length("text"), F.col("score"), least))
-    return out
+    failed = F.col("error").isNotNull() if "error" in pages.columns else F.lit(False)
+    barred = F.coalesce(F.col("status").isin(401, 403, 451), F.lit(False)) if "status" in pages.columns else F.lit(False)
+    outcome = F.when(failed, "error").when(barred, "blocked").when(F.col("tier").isin("full", "partial"), "ok").otherwise("degraded")
+    cached = F.coalesce(F.col("from_cache"), F.lit(False)) if "from_cache" in pages.columns else F.lit(False)
+    return out.withColumn("outcome", outcome).withColumn("cached", cached)
 
 
 def tier_counts(extracted: DataFrame) -> DataFrame:
     return extracted.groupBy("tier").agg(F.count(F.lit(1)).alias("pages"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
-def image_candidates(pages: DataFrame, most: int = MOST_IMAGES) -> DataFrame:
-    """(page_id, pos, url, role): og:image first, then img sources (lazy ones before src), absolute, no decoration, no small ones, each once."""
-    tag = lambda t, a: F.regexp_extract(t, rf"""(?is)\s{a}\s*=\s*["']([^"']+)["']""", 1)
-    cover = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)(<meta[^>]*og:image[^>]*>)"), 1), lambda t: F.struct(tag(t, "content").alias("src"), F.lit("cover").alias("role"), F.lit("").alias("w"), F.lit("").alias("h"), t.alias("tag")))
-    body = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)(<img\b[^>]*>)"), 1), lambda t: F.struct(F.coalesce(F.nullif(tag(t, "data-src"), F.lit("")), F.nullif(tag(t, "data-original"), F.lit("")), tag(t, "src")).alias("src"), F.lit("body").alias("role"), tag(t, "width").alias("w"), tag(t, "height").alias("h"), t.alias("tag")))
-    rows = pages.select("page_id", F.col("url").alias("page"), F.posexplode(F.concat(cover, body)).alias("at", "i")).select("page_id", "page", "at", "i.*")
+def outcome_counts(extracted: DataFrame, restored: DataFrame | None = None) -> DataFrame:
+    """One row: how many pages were ok, degraded, blocked, error and cached, and how many bodies of ``restored`` were restored."""
+    one = lambda c: F.count_if(F.col("outcome") == c).alias(c)
+    out = extracted.agg(*map(one, ("ok", "degraded", "blocked", "error")), F.count_if("cached").alias("cached"))
+    if restored is None:
+        return out.withColumn("restored", F.lit(0).cast("long"))
+    return out.join(F.broadcast(restored.agg(F.count_if("restored").alias("restored"))))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*["']([^"']+)["']""", 1)
+
+
+def prune_images(found: DataFrame, most: int = MOST_IMAGES) -> DataFrame:
+    """(page_id, pos, url, role) of ``found`` (page_id, page, at, src, role, tag, w, h): absolute links, no decoration, no small ones,
+    each once whatever its size parameters, in order, ``most`` of a page."""
     base = F.regexp_extract("page", r"^(https?://[^/?#]+)", 1)
     url = F.when(F.col("src").startswith("//"), F.concat(F.lit("https:"), "src")).when(F.col("src").startswith("/"), F.concat(base, "src")).otherwise(F.col("src"))
-    rows = rows.withColumn("url", url).where(F.col("url").startswith("http") & ~F.concat_ws(" ", "url", "tag").rlike(DECORATION))
-    side = F.least(F.col("w").try_cast("int"), F.col("h").try_cast("int"))
-    rows = rows.where(F.col("w").try_cast("int").isNull() | F.col("h").try_cast("int").isNull() | (side >= PHOTO_SIDE))
+    rows = found.withColumn("url", url).where(F.col("url").startswith("http") & ~F.concat_ws(" ", "url", "tag").rlike(DECORATION))
+    rows = rows.where(~_attribute(F.col("tag"), "class").rlike(DECORATION_CLASS))
+    sized = F.col("w").try_cast("int").isNotNull() & F.col("h").try_cast("int").isNotNull()
+    rows = rows.where(~sized | is_printable("w", "h", PHOTO_SIDE))
     plain = F.regexp_replace(F.regexp_replace("url", r"[?&](w|h|width|height|size|quality|q)=[^&#]*", ""), "#.*$", "")
     first = rows.withColumn("canon", plain).withColumn("k", F.row_number().over(Window.partitionBy("page_id", "canon").orderBy("at"))).where("k = 1")
     return first.withColumn("pos", F.row_number().over(Window.partitionBy("page_id").orderBy("at"))).where(F.col("pos") <= most).select("page_id", "pos", "url", "role")
 
 
+def _tags(html: Column) -> Column:
+    """Structs (src, role, w, h, tag) of a page's og:image metas, then of its images (lazy sources before src)."""
+    def of(tag: Column, src: Column, role: str) -> Column:
+        return F.struct(src.alias("src"), F.lit(role).alias("role"), _attribute(tag, "width").alias("w"), _attribute(tag, "height").alias("h"), tag.alias("tag"))
+
+    lazy = lambda t: F.coalesce(F.nullif(_attribute(t, "data-src"), F.lit("")), F.nullif(_attribute(t, "data-original"), F.lit("")), _attribute(t, "src"))
+    cover = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)(<meta[^>]*og:image[^>]*>)"), 1), lambda t: of(t, _attribute(t, "content"), "cover"))
+    body = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)(<img\b[^>]*>)"), 1), lambda t: of(t, lazy(t), "body"))
+    return F.concat(cover, body)
+
+
+def image_candidates(pages: DataFrame, most: int = MOST_IMAGES) -> DataFrame:
+    """(page_id, pos, url, role): og:image first, then img sources (lazy ones before src), pruned."""
+    rows = pages.select("page_id", F.col("url").alias("page"), F.posexplode(_tags(F.col("html"))).alias("at", "i")).select("page_id", "page", "at", "i.*")
+    return prune_images(rows, most)
+
+
+def payload_images(payloads: DataFrame, most: int = MOST_IMAGES) -> DataFrame:
+    """The same of article APIs' JSON ``payloads`` (page_id, url, payload): the cover, the list of images, then images of its HTML.
+
+    Fields stand under data or at the root; entries of the list are links or objects with one."""
+    fields = "image:string,image_uri:string,uri:string,cover:string,images:array<string>,content:string,content_text:string"
+    p = F.from_json("payload", f"data struct<{fields}>, {fields.replace(':string', ' string').replace('images:array', 'images array')}")
+    get = lambda c: F.when(p["data"].isNotNull(), p["data"][c]).otherwise(p[c])
+    web = lambda v: F.when(v.startswith("http"), v)
+    link = lambda v: F.when(v.startswith("{"), F.coalesce(*[web(F.get_json_object(v, f"$.{k}")) for k in ("uri", "url", "src", "image")])).otherwise(web(v))
+    of = lambda src, role: F.struct(src.alias("src"), F.lit(role).alias("role"), F.lit("").alias("w"), F.lit("").alias("h"), F.lit("").alias("tag"))
+    cover = F.filter(F.transform(F.array(*[get(c) for c in ("image", "image_uri", "uri", "cover")]), link), lambda v: v.isNotNull())
+    listed = F.coalesce(F.transform(get("images"), lambda v: of(link(v), "body")), F.array().cast("array<struct<src:string,role:string,w:string,h:string,tag:string>>"))
+    html = F.coalesce(F.nullif(get("content"), F.lit("")), get("content_text"), F.lit(""))
+    found = F.concat(F.transform(F.slice(cover, 1, 1), lambda v: of(v, "cover")), listed, F.filter(_tags(html), lambda t: t["role"] == "body"))
+    rows = payloads.select("page_id", F.col("url").alias("page"), F.posexplode(found).alias("at", "i")).select("page_id", "page", "at", "i.*")
+    return prune_images(rows, most)
+
+
+def feed_images(entries: DataFrame, most: int = MOST_IMAGES) -> DataFrame:
+    """The same of feed entries ``entries`` (page_id, url, html), for hosts whose articles come with photos."""
+    return image_candidates(entries.where(is_photo_host("url", PHOTO_HOSTS)), most)
+
+
 def pick_images(candidates: DataFrame, most: int = 3) -> DataFrame:
     """Covers first, three in all, or two where there's no cover."""
     w = Window.partitionBy("page_id")

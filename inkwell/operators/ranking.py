@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.functions.fixed import BOARD_SOURCES, RANK_KINDS, SECTION_LIMITS, SECTION_ORDER, SECTION_PRIORITY
-from inkwell.functions.text import char_count, event_time, is_activity, is_blank, mapping, one_line, readable_body
+from inkwell.functions.fixed import BOARD_SOURCES, PHOTO_HOSTS, RANK_KINDS, SECTION_LIMITS, SECTION_ORDER, SECTION_PRIORITY
+from inkwell.functions.text import event_time, is_activity, is_blank, is_daily, mapping, readable_body, title_longer_than_body
 
 
 def body_of() -> Column:
@@ -42,8 +42,7 @@ def missing_content(items: DataFrame, limit: int = 50) -> DataFrame:
 
 def missing_images(items: DataFrame, limit: int = 50) -> DataFrame:
     """Items of photo hosts whose images were never looked for (null; an empty list was)."""
-    hosts = r"mp\.weixin\.qq\.com/s|wallstreetcn\.com/articles|wallstreetcn\.com/livenews|zhuanlan\.zhihu\.com/p/|zhihu\.com/p/|/answer/"
-    return items.where(F.col("url").startswith("http") & F.col("images").isNull() & F.col("url").rlike(hosts)).orderBy(F.desc("fetched_at"), "content_hash").limit(limit)
+    return items.where(F.col("url").startswith("http") & F.col("images").isNull() & F.col("url").rlike(PHOTO_HOSTS)).orderBy(F.desc("fetched_at"), "content_hash").limit(limit)
 
 
 def within_window(items: DataFrame, as_of: str, hours: int) -> DataFrame:
@@ -56,10 +55,22 @@ def rank_candidates(items: DataFrame, excludes: DataFrame | None = None, least_b
     """Articles and posts to be ranked: no boards, no activity entries, no excluded titles, no advertisements, enough body."""
     body = body_of()
     ok = F.col("kind").isin(*RANK_KINDS) & ~F.col("source").isin(*BOARD_SOURCES) & ~is_activity("source", "title", "collector")
-    ok &= ~(char_count("title") > char_count(body)) & (F.char_length(body) >= least_body)
+    ok &= ~title_longer_than_body("source", "title", "collector", body) & (F.char_length(body) >= least_body)
     return title_excludes(items.where(ok), excludes) if excludes is not None else items.where(ok)
 
 
+def viable(ranked: DataFrame, excludes: DataFrame | None = None, score: str = "total", least: float = 0.12) -> DataFrame:
+    """Ranked items that reach the absolute score and are still candidates: a weak day has a thin edition."""
+    return rank_candidates(ranked.where(F.col(score) >= least), excludes)
+
+
+def subscription_items(items: DataFrame, feeds: DataFrame, as_of: str, hours: int = 48, excludes: DataFrame | None = None) -> DataFrame:
+    """Items of the catalog's ``feeds`` (collector) within both clocks: no videos, no activity entries, no excluded titles, no advertisements."""
+    own = within_window(items, as_of, hours).join(feeds.select("collector").distinct(), "collector", "left_semi")
+    own = own.where((F.col("kind") != "video") & ~is_activity("source", "title", "collector") & ~title_longer_than_body("source", "title", "collector", body_of()))
+    return title_excludes(own, excludes) if excludes is not None else own
+
+
 def title_excludes(items: DataFrame, excludes: DataFrame) -> DataFrame:
     """Drops items whose title matches their collector's own pattern; ``excludes`` (collector, pattern) is a small catalog."""
     out = items.join(excludes.select("collector", F.col("pattern").alias("__p")), "collector", "left")
@@ -150,11 +161,12 @@ def explore(ranked: DataFrame, slots: int, ratio: float = 0.15, seed: int = 7, g
     return out.withColumn("slot", F.row_number().over(w)).select(group, "slot", "content_hash", "via")
 
 
-def diversify(ranked: DataFrame, slots: int, lam: float = 0.7, group: str = "edition", coarse: int = 150) -> DataFrame:
+def diversify(ranked: DataFrame, slots: int, lam: float = 0.7, group: str = "edition", coarse: int = 150, ties: str | None = None) -> DataFrame:
     """(group, slot, content_hash): picks one after another the item of greatest lam * score - (1 - lam) * closest cosine to those picked.
 
-    Only the best ``coarse`` items of a group come in, so a group's task is small; groups run side by side."""
-    bounded = top_k(ranked, [group], [F.desc("score"), "content_hash"], coarse)
+    Only the best ``coarse`` items of a group come in, so a group's task is small; groups run side by side.  Of equal values the
+    first in order of score, then of the column ``ties``, then of key is picked."""
+    bounded = top_k(ranked, [group], [F.desc("score"), *([ties] if ties else []), "content_hash"], coarse)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("place")
@@ -195,7 +207,7 @@ def pin_daily(sections: DataFrame, items: DataFrame, as_of: str, group: str = "e
     day = lambda t: F.to_date(F.from_utc_timestamp(t, "Asia/Shanghai"))
     now = F.lit(as_of).cast("timestamp")
     t = event_time("published_at", "fetched_at")
-    digest = F.col("collector").contains("知乎日报") | ((F.col("source") == "zhihu") & F.col("title").contains("早报"))
+    digest = is_daily("source", "title", "collector")
     pick = items.where(digest & (day(t) == day(now)) & (F.char_length(body_of()) >= 80)).agg(F.max_by("content_hash", F.struct(t, "content_hash")).alias("pin")).where("pin is not null")
     editions = sections.select(group).distinct().join(F.broadcast(pick))
     free = editions.join(sections.select(group, F.col("content_hash").alias("pin")), [group, "pin"], "left_anti")
@@ -224,7 +236,3 @@ def article_priority(articles: DataFrame, group: str = "edition") -> DataFrame:
     order = mapping({s: i for i, s in enumerate(SECTION_PRIORITY)})[F.col("section")]
     out = articles.withColumn("seq", F.row_number().over(Window.partitionBy(group).orderBy(F.coalesce(order, F.lit(99)), "pos")))
     return out.withColumn("priority", F.round(F.coalesce(mapping(SECTION_PRIORITY)[F.col("section")], F.lit(0.5)) - F.col("seq") * 0.001, 4))
-
-
-def oneline_title(c: Column) -> Column:
-    return one_line(c)

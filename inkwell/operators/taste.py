@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Estimator, Model
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.scoring import length_score, taste_similarity
+from inkwell.operators.graph import cut
+from inkwell.operators.vectors import NgramEmbedder, NgramEmbedderModel
 
 
 def weighted_centroids(rows: DataFrame, cluster: str = "cluster", vector: str = "vector", weight: str = "weight", least: int = 3) -> DataFrame:
@@ -51,31 +54,34 @@ def label_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
 
-class Taste:
+class Taste(Estimator):
     """Estimator: ``fit`` on liked rows (vector, length, weight) gives a TasteModel."""
 
     def __init__(self, k: int | None = None, seeds: int = 8, least: int = 3):
+        super().__init__()
         self.k, self.seeds, self.least = k, seeds, least
 
-    def fit(self, rows: DataFrame) -> TasteModel:
+    def _fit(self, rows: DataFrame) -> TasteModel:
         grouped = cluster(rows, k=self.k, seeds=self.seeds)
         return TasteModel(weighted_centroids(grouped, least=self.least), length_stats(rows))
 
 
-class TasteModel:
+class TasteModel(Model):
     """At most eight centroids and one row of length statistics; saved and loaded as Parquet."""
 
-    def __init__(self, centroids: DataFrame, lengths: DataFrame):
+    def __init__(self, centroids: DataFrame, lengths: DataFrame, vector: str = "vector", length: str = "length"):
+        super().__init__()
+        self.vector, self.length = vector, length
         self.centroids, self.lengths = centroids, lengths
 
     def profile(self) -> DataFrame:
         held = self.centroids.agg(F.array_sort(F.collect_list(F.struct("cluster", "centroid", "size"))).alias("p"))
         return held.select(F.col("p.centroid").alias("centroids"), F.transform(F.col("p.size"), lambda n: n.cast("double")).alias("sizes")).join(F.broadcast(self.lengths))
 
-    def transform(self, items: DataFrame, vector: str = "vector", length: str = "length") -> DataFrame:
+    def _transform(self, items: DataFrame) -> DataFrame:
         """``items`` with ``sim`` and ``len_score``."""
         out = items.join(F.broadcast(self.profile()))
-        return out.withColumn("sim", taste_similarity(vector, "centroids", "sizes")).withColumn("len_score", length_score(length, "mu", "sigma")).drop("centroids", "sizes", "mu", "sigma")
+        return out.withColumn("sim", taste_similarity(self.vector, "centroids", "sizes")).withColumn("len_score", length_score(self.length, "mu", "sigma")).drop("centroids", "sizes", "mu", "sigma")
 
     def save(self, folder: str) -> None:
         self.centroids.write.mode("overwrite").parquet(f"{folder}/centroids")
@@ -86,9 +92,13 @@ class TasteModel:
         return cls(spark.read.parquet(f"{folder}/centroids"), spark.read.parquet(f"{folder}/lengths"))
 
 
-def load_or_fit(spark, folder: str, rows: DataFrame, **how) -> TasteModel:
-    """The model in ``folder``, fitted and saved there first if it's absent."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/lengths")
+def load_or_fit(spark, folder: str, rows: DataFrame, embedder: NgramEmbedder | None = None, **how) -> tuple[TasteModel, NgramEmbedderModel]:
+    """(taste, embedder) of ``folder``, fitted on ``rows`` (id, text, length, weight) and saved there first if they're absent.
+
+    The vocabulary, its idf and the projection are saved beside the profile; the lengths, written last, say that all is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/lengths/_SUCCESS")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        Taste(**how).fit(rows).save(folder)
-    return TasteModel.load(spark, folder)
+        own = (embedder or NgramEmbedder()).fit(rows)
+        own.save(f"{folder}/embedder")
+        Taste(**how).fit(cut(own.transform(rows))).save(folder)
+    return TasteModel.load(spark, folder), NgramEmbedderModel.load(spark, f"{folder}/embedder")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _since(as_of: str, hours: int) -> Column:
@@ -65,6 +66,17 @@ def _alert(drop_ratio: float) -> Column:
     return F.when(F.col("state") == "never_ok", failed).when(F.col("state") == "volume_drop", F.concat(F.col("collector"), F.lit(" 产出骤降:24h="), F.col("new_24h"), F.lit(f" < {drop_ratio:.0%} × 7日日均 "), F.format_number(mean, 1)))
 
 
+def alerts(diagnosed: DataFrame, left: DataFrame, hours: float = 72.0, least: int = 5) -> DataFrame:
+    """(pos, alert): what failed or dropped by collector, how many collectors weren't run, and readable items that pile up.
+
+    ``diagnosed`` is the bounded catalog of collectors with their state, ``left`` a backlog (what, n, hours)."""
+    own = diagnosed.where(F.col("alert").isNotNull()).select(F.row_number().over(Window.orderBy("collector")).alias("pos"), "alert")
+    idle = diagnosed.agg(F.count_if(F.col("state") == "idle").alias("n")).where("n > 0").select(F.lit(1_000_000).alias("pos"), F.concat(F.col("n").cast("string"), F.lit(" 张网 24h 未调度")).alias("alert"))
+    old = left.where((F.col("what") == "readable") & (F.col("hours") >= hours) & (F.col("n") >= least))
+    pile = old.select(F.lit(1_000_001).alias("pos"), F.format_string("%d 篇有正文的未读已积压 %.0fh,该出报了", F.col("n"), F.bround("hours")).alias("alert"))
+    return own.unionByName(idle).unionByName(pile)
+
+
 def item_stats(items: DataFrame) -> DataFrame:
     """Items of each source and in all (source null): how many, unused, with content."""
     return items.rollup("source").agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("used_in").isNull()).alias("unused"), F.count("content").alias("with_content"))

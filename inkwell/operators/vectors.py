@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions.text import char_ngrams, col
+from inkwell.operators.graph import cut
 
 
 def gram_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -24,15 +26,21 @@ def fit_vocabulary(docs: DataFrame, key: str, text: str, most: int = 4096) -> Da
     return top.withColumn("idx", idx).withColumn("idf", F.ln((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
+def weighted_counts(docs: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, idx, x): share of each known gram among all grams of a text, times its idf."""
+    counts = gram_counts(docs, key, text)
+    total = counts.groupBy(key).agg(F.sum("n").alias("total"))
+    known = counts.join(F.broadcast(vocabulary.select("gram", "idx", "idf")), "gram")
+    return known.join(total.hint("merge"), key).select(key, "idx", (F.col("n") / F.col("total") * F.col("idf")).alias("x"))
+
+
 def tfidf(docs: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
     """(key, idx, weight): sparse unit vectors; the count is divided by all grams of the text, known or not.
 
     The vocabulary's size is bounded by its fit, so it's broadcast."""
-    counts = gram_counts(docs, key, text)
-    total = counts.groupBy(key).agg(F.sum("n").alias("total"))
-    raw = counts.join(total, key).join(F.broadcast(vocabulary.select("gram", "idx", "idf")), "gram").select(key, "idx", (F.col("n") / F.col("total") * F.col("idf")).alias("x"))
+    raw = weighted_counts(docs, vocabulary, key, text)
     norm = raw.groupBy(key).agg((F.sqrt(F.sum(F.col("x") * F.col("x"))) + 1e-9).alias("norm"))
-    return raw.join(norm, key).select(key, "idx", (F.col("x") / F.col("norm")).alias("weight"))
+    return raw.join(norm.hint("merge"), key).select(key, "idx", (F.col("x") / F.col("norm")).alias("weight"))
 
 
 def project(sparse: DataFrame, projection: DataFrame, key: str) -> DataFrame:
@@ -67,17 +75,26 @@ def lookup(keys: DataFrame, embeddings: DataFrame, model: str | None = None) ->
     return keys.join(own, "content_hash")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, most_queries: int = 10_000) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 10_000) -> DataFrame:
     """(query, id, cosine, place): the ``k`` vectors of highest cosine for each of ``queries`` (id, vector), ties by id.
 
-    Queries are a stated set: their number is checked, they are sent out, and each task keeps its own best ``k`` before the
-    shuffle."""
-    held = [(r["id"], np.array(r["vector"], np.float64)) for r in queries.limit(most_queries + 1).collect()]
-    if len(held) > most_queries:
-        raise ValueError(f"more than {most_queries} queries; give them in blocks")
+    Queries are dealt into blocks of about ``block``; each block in turn is sent out, and each task keeps its own best ``k`` of a
+    query before the shuffle."""
+    n = queries.count()
+    parts = max(1, -(-n // block))
+    out = None
+    for b in range(parts):
+        own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == b)
+        found = _nearest_of([(r["id"], np.array(r["vector"], np.float64)) for r in own.select("id", "vector").collect()], vectors, k)
+        out = found if out is None else out.unionByName(found)
+    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
+    return out.withColumn("place", F.row_number().over(w)).where(col("place") <= k)
+
+
+def _nearest_of(held: list[tuple[int, np.ndarray]], vectors: DataFrame, k: int) -> DataFrame:
     ids = [i for i, _ in held]
     q = np.stack([v for _, v in held]) if held else np.zeros((0, 1))
-    q = q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-9)
+    sent = vectors.sparkSession.sparkContext.broadcast(q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-9))
 
     def search(frames):
         for pdf in frames:
@@ -85,11 +102,81 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, most_queries: i
                 continue
             m = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
             m /= np.linalg.norm(m, axis=1, keepdims=True) + 1e-9
-            s = np.round(m @ q.T, 9)
+            s = np.round(m @ sent.value.T, 9)
             for j, query in enumerate(ids):
                 best = np.lexsort((pdf["id"].to_numpy(), -s[:, j]))[:k]
                 yield pd.DataFrame({"query": query, "id": pdf["id"].to_numpy()[best], "cosine": s[best, j]})
 
-    found = vectors.select("id", "vector").mapInPandas(search, "query long, id long, cosine double")
-    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
-    return found.withColumn("place", F.row_number().over(w)).where(col("place") <= k)
+    return vectors.select("id", "vector").mapInPandas(search, "query long, id long, cosine double")
+
+
+class HashEmbedder(Estimator):
+    """Vectors by hashing pairs of characters; nothing is learned from the corpus.  Adds ``vector`` to rows (key, text)."""
+
+    def __init__(self, key: str = "id", text: str = "text", dim: int = 128):
+        super().__init__()
+        self.key, self.text, self.dim = key, text, dim
+
+    def _fit(self, dataset: DataFrame) -> HashEmbedderModel:
+        return HashEmbedderModel(self.key, self.text, self.dim)
+
+
+class HashEmbedderModel(Model):
+    def __init__(self, key: str, text: str, dim: int):
+        super().__init__()
+        self.key, self.text, self.dim = key, text, dim
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        own = hash_vectors(dataset, self.key, self.text, self.dim).hint("merge")
+        return dataset.join(own, self.key, "left")
+
+
+class NgramEmbedder(Estimator):
+    """Vectors of character n-grams weighted by tf-idf, projected on the leading directions of the texts that it was fitted on.
+
+    ``fit`` is meant for a golden set: its vocabulary of ``most`` grams and its projection are bounded.  With fewer than nine texts
+    nothing is projected and the vectors have one place for each gram."""
+
+    def __init__(self, key: str = "id", text: str = "text", dim: int = 64, most: int = 4096, most_texts: int = 10_000):
+        super().__init__()
+        self.key, self.text, self.dim, self.most, self.most_texts = key, text, dim, most, most_texts
+
+    def _fit(self, dataset: DataFrame) -> NgramEmbedderModel:
+        vocabulary = cut(fit_vocabulary(dataset, self.key, self.text, self.most))
+        n, width = dataset.count(), vocabulary.count()
+        target = min(self.dim, n - 1, width)
+        if n > self.most_texts:
+            raise ValueError(f"a golden set of more than {self.most_texts} texts")
+        if target < 8:
+            eye = vocabulary.select("idx", F.transform(F.sequence(F.lit(0), F.lit(max(width - 1, 0))), lambda i: (i == F.col("idx")).cast("double")).alias("row"))
+            return NgramEmbedderModel(vocabulary, eye, self.key, self.text)
+        # the right singular vectors are the eigenvectors of the grams' product matrix, which sums of outer products give
+        raw = weighted_counts(dataset, vocabulary, self.key, self.text)
+        pairs = raw.alias("x").join(raw.alias("y").hint("merge"), self.key).groupBy(F.col("x.idx").alias("i"), F.col("y.idx").alias("j")).agg(F.sum(F.col("x.x") * F.col("y.x")).alias("v")).toPandas()
+        gram = np.zeros((width, width))
+        gram[pairs["i"], pairs["j"]] = pairs["v"]
+        values, vectors = np.linalg.eigh(gram)
+        top = vectors[:, np.argsort(-values, kind="stable")[:target]]
+        top = top * np.where(top[np.abs(top).argmax(axis=0), np.arange(target)] < 0, -1, 1)
+        rows = [(i, [float(v) for v in top[i]]) for i in range(width)]
+        return NgramEmbedderModel(vocabulary, dataset.sparkSession.createDataFrame(rows, "idx int, row array<double>"), self.key, self.text)
+
+
+class NgramEmbedderModel(Model):
+    """A vocabulary (gram, idx, df, idf) and a projection (idx, row); saved and loaded as Parquet."""
+
+    def __init__(self, vocabulary: DataFrame, projection: DataFrame, key: str = "id", text: str = "text"):
+        super().__init__()
+        self.vocabulary, self.projection, self.key, self.text = vocabulary, projection, key, text
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        own = project(tfidf(dataset, self.vocabulary, self.key, self.text), self.projection, self.key).hint("merge")
+        return dataset.join(own, self.key, "left")
+
+    def save(self, folder: str) -> None:
+        self.vocabulary.write.mode("overwrite").parquet(f"{folder}/vocabulary")
+        self.projection.write.mode("overwrite").parquet(f"{folder}/projection")
+
+    @classmethod
+    def load(cls, spark, folder: str, key: str = "id", text: str = "text") -> NgramEmbedderModel:
+        return cls(spark.read.parquet(f"{folder}/vocabulary"), spark.read.parquet(f"{folder}/projection"), key, text)

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from inkwell.functions import scoring
 from inkwell.functions import text as X
-from inkwell.operators import edition, merge, packing, ranking, taste
-from inkwell.operators.graph import cut
+from inkwell.operators import edition, merge, newsroom, packing, ranking, taste
+from inkwell.operators.graph import cut, shared_folder
+from inkwell.operators.vectors import HashEmbedder
 from inkwell.plans.tables import AS_OF_ITEMS, ITEMS_SQL, items, table
 from inkwell.sources import dumps
 
@@ -31,27 +35,40 @@ def query(sql: str | None = None):
 
 
 _BLANK = r"[\s\v\p{Z}]+"
+PLAIN_TITLE = "trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(title, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#39;', chr(39)), '&amp;', '&'), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'))"
 BODY_SQL = f"""{ITEMS_SQL},
-bodies AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(nullif(content, ''), summary, ''), '[ \\t\\f\\v\\p{{Zs}}]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[\\s]+|[\\s]+$', '', 'g') AS body FROM items)"""
+bodies AS (SELECT *, {PLAIN_TITLE} AS shown, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(nullif(content, ''), summary, ''), '[ \\t\\f\\v\\p{{Zs}}]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[\\s]+|[\\s]+$', '', 'g') AS body FROM items)"""
 
 
 @query(f"""WITH {BODY_SQL} SELECT content_hash, kind, length(body) AS n FROM bodies WHERE kind IN ('article', 'post') AND source NOT IN ('toutiao', 'douyin', 'weibo', 'thepaper', 'bilibili')
-  AND length(regexp_replace(title, '{_BLANK}', '', 'g')) <= length(regexp_replace(body, '{_BLANK}', '', 'g')) AND length(body) >= 80 AND fetched_at >= TIMESTAMP '2024-01-28' AND coalesce(published_at, fetched_at) >= TIMESTAMP '2024-01-29' AND collector NOT IN ('src3')""")
+  AND length(regexp_replace(shown, '{_BLANK}', '', 'g')) <= length(regexp_replace(body, '{_BLANK}', '', 'g')) AND length(body) >= 80 AND fetched_at >= TIMESTAMP '2024-01-28' AND coalesce(published_at, fetched_at) >= TIMESTAMP '2024-01-29' AND collector NOT IN ('src3')""")
 def f1_f2_rank_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     excludes = spark.sql("SELECT * FROM VALUES ('src3', '.'), ('src4', '^zzz') AS t(collector, pattern)")
     own = ranking.rank_candidates(ranking.within_window(items(spark, sf_dir), AS_OF_ITEMS, 48), excludes)
     return own.select("content_hash", "kind", F.char_length(ranking.body_of()).cast("long").alias("n"))
 
 
-@query(f"""WITH {BODY_SQL}, k AS (SELECT * FROM bodies WHERE kind <> 'video' AND length(regexp_replace(title, '{_BLANK}', '', 'g')) <= length(regexp_replace(body, '{_BLANK}', '', 'g')) AND fetched_at >= TIMESTAMP '2024-01-28' AND coalesce(published_at, fetched_at) >= TIMESTAMP '2024-01-29'),
+@query(f"""WITH {BODY_SQL}, k AS (SELECT * FROM bodies WHERE collector IN (SELECT 'src' || n_nationkey FROM nation WHERE n_regionkey <> 3) AND kind <> 'video' AND length(regexp_replace(shown, '{_BLANK}', '', 'g')) <= length(regexp_replace(body, '{_BLANK}', '', 'g')) AND fetched_at >= TIMESTAMP '2024-01-28' AND coalesce(published_at, fetched_at) >= TIMESTAMP '2024-01-29'),
   r AS (SELECT *, row_number() OVER (PARTITION BY collector ORDER BY body <> '' DESC, coalesce(published_at, fetched_at) DESC, content_hash) AS place FROM k QUALIFY place <= 5),
   w AS (SELECT 'src' || n_nationkey AS collector, 1.0 + n_regionkey AS weight FROM nation)
   SELECT content_hash, r.collector, place FROM r LEFT JOIN w ON w.collector = r.collector ORDER BY place, coalesce(weight, 1.0) DESC, r.collector LIMIT 40""")
 def f9_w1_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = ranking.within_window(items(spark, sf_dir), AS_OF_ITEMS, 48)
-    own = own.where((F.col("kind") != "video") & ~X.is_activity("source", "title", "collector") & ~(X.char_count("title") > X.char_count(ranking.body_of())))
-    weights = table(spark, sf_dir, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("collector"), (1.0 + F.col("n_regionkey")).alias("weight"))
-    return ranking.round_robin(own, weights).select("content_hash", "collector", "place")
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("collector"), (1.0 + F.col("n_regionkey")).alias("weight"), "n_regionkey")
+    own = ranking.subscription_items(items(spark, sf_dir), n.where("n_regionkey <> 3"), AS_OF_ITEMS)
+    return ranking.round_robin(own, n.select("collector", "weight")).select("content_hash", "collector", "place")
+
+
+@query(f"""WITH {ITEMS_SQL}, t AS (SELECT content_hash, doc_id, 'zhihu' AS source, CASE WHEN doc_id % 13 = 0 THEN '赞同了回答 ' WHEN doc_id % 13 = 1 THEN '关注了 ' ELSE '' END || title AS title, CASE WHEN doc_id % 17 = 0 THEN collector || '_动态' ELSE collector END AS collector, summary FROM items),
+  f AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'zhihu' ELSE 'rss' END AS src FROM t)
+  SELECT content_hash FROM f WHERE NOT (src = 'zhihu' AND (regexp_matches(title, '赞同了|关注了|喜欢了') OR ends_with(collector, '_动态'))) AND NOT (collector = 'src3' AND regexp_matches(title, '^[A-F]')) AND NOT (collector = 'src5')
+    AND (collector <> 'src1' OR regexp_matches(concat_ws(chr(10), title, summary), '(?i)the|und'))""")
+def f5_f6_f7_feed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    own = items(spark, sf_dir).withColumn("source", F.when(n % 2 == 0, "zhihu").otherwise("rss")).withColumn("title", F.concat(F.when(n % 13 == 0, "赞同了回答 ").when(n % 13 == 1, "关注了 ").otherwise(""), "title"))
+    own = own.withColumn("collector", F.when(n % 17 == 0, F.concat("collector", F.lit("_动态"))).otherwise(F.col("collector")))
+    own = own.where(~X.is_activity("source", "title", "collector"))
+    own = ranking.title_excludes(own, spark.sql("SELECT * FROM VALUES ('src3', '^[A-F]'), ('src5', '.') AS t(collector, pattern)"))
+    return ranking.title_includes(own, spark.sql("SELECT * FROM VALUES ('src1', '(?i)the|und') AS t(collector, pattern)")).select("content_hash")
 
 
 def _has(word: str, of: str) -> str:
@@ -88,6 +105,13 @@ def x18_x21_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("content_hash", F.round("total", 6).alias("total"), F.round("s.len", 6).alias("len_score"), F.round("s.hot", 6).alias("hot"))
 
 
+@query(f"""WITH {SCORED_SQL}, {BODY_SQL.removeprefix(ITEMS_SQL + ',').strip()}
+  SELECT s.content_hash, round(total, 6) AS total FROM scored s JOIN bodies b USING (doc_id) WHERE total >= 0.12 AND b.kind IN ('article', 'post') AND b.source NOT IN ('toutiao', 'douyin', 'weibo', 'thepaper', 'bilibili')
+  AND length(regexp_replace(shown, '{_BLANK}', '', 'g')) <= length(regexp_replace(body, '{_BLANK}', '', 'g')) AND length(body) >= 80""")
+def f12_viable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.viable(_scored(spark, sf_dir)).select("content_hash", F.round("total", 6).alias("total"))
+
+
 @query(f"WITH {SCORED_SQL} SELECT collector, content_hash, row_number() OVER (PARTITION BY collector ORDER BY total DESC, content_hash) AS place FROM scored QUALIFY row_number() OVER (PARTITION BY collector ORDER BY total DESC, content_hash) <= 10")
 def k1_coarse_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.top_k(_scored(spark, sf_dir), ["collector"], [F.desc("total"), "content_hash"], 10).select("collector", "content_hash", "place")
@@ -149,13 +173,24 @@ def w3_w5_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.manifest(ranking.split_sections(_ranked(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH {SECTIONS_SQL}, {BODY_SQL.removeprefix(ITEMS_SQL + ',').strip()},
+  pin AS (SELECT arg_max(content_hash, (coalesce(published_at, fetched_at), content_hash)) AS pin FROM bodies WHERE doc_id % 97 = 0 AND (coalesce(published_at, fetched_at) + INTERVAL 8 HOUR)::DATE = DATE '2024-01-20' AND length(body) >= 80),
+  both_ AS (SELECT edition, section, pos, content_hash FROM sections UNION ALL SELECT e.edition, 'deepread', 0, pin FROM (SELECT DISTINCT edition FROM sections) e, pin WHERE pin IS NOT NULL AND NOT EXISTS (SELECT 1 FROM sections s WHERE s.edition = e.edition AND s.content_hash = pin)),
+  n AS (SELECT edition, section, content_hash, row_number() OVER (PARTITION BY edition, section ORDER BY pos) AS pos FROM both_) SELECT * FROM n WHERE section <> 'deepread' OR pos <= 8""")
 def w7_pin_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = items(spark, sf_dir)
     daily = own.withColumn("collector", F.when(F.col("doc_id") % 97 == 0, "知乎日报").otherwise(F.col("collector")))
     return ranking.pin_daily(ranking.split_sections(_ranked(spark, sf_dir)), daily, "2024-01-20 12:00:00")
 
 
+@query(f"WITH {SECTIONS_SQL} SELECT edition AS edition_id, section, content_hash, row_number() OVER (PARTITION BY edition ORDER BY CASE section WHEN 'headline' THEN 0 WHEN 'deepread' THEN 1 ELSE 2 END, pos) AS n FROM sections")
+def s9_manifest_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ranking.manifest(ranking.split_sections(_ranked(spark, sf_dir))).select(F.col("edition").alias("edition_id"), "section", "n", "content_hash")
+    folder = f"{shared_folder(spark)}/manifests-{uuid.uuid4().hex}"
+    edition.write_edition(rows, folder)
+    return spark.read.schema("edition_id string, section string, n long, content_hash string").json(folder)
+
+
 @query(f"""WITH {BODY_SQL}, k AS (SELECT * FROM bodies WHERE fetched_at >= TIMESTAMP '2024-01-28' AND coalesce(published_at, fetched_at) >= TIMESTAMP '2024-01-29')
   SELECT collector, content_hash FROM k QUALIFY row_number() OVER (PARTITION BY collector ORDER BY body <> '' DESC, coalesce(published_at, fetched_at) DESC, content_hash) = 1""")
 def w6_newest_per_creator(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,10 +200,10 @@ def w6_newest_per_creator(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     section = F.element_at(F.array(*map(F.lit, ("headline", "deepread", "critical", "subscribe", "lede", "hotlist", "oral", "health"))), (F.col("doc_id") % 8 + 1).cast("int"))
-    return d.select(F.concat(F.lit("2024-"), F.lpad((F.col("doc_id") % 12).cast("string"), 2, "0")).alias("edition_id"), F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("id"), section.alias("section"), F.lit("story").alias("role"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 23 != 0, F.substring_index("text", "\n", 1)).alias("title"), F.col("text").alias("markdown"), F.col("text").alias("body"), "source")
+    return d.select(F.concat(F.lit("2024-"), F.lpad(F.floor(F.col("doc_id") / 40).cast("string"), 8, "0"), F.when(F.floor(F.col("doc_id") / 40) % 2 == 0, "-am").otherwise("-pm")).alias("edition_id"), F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("id"), section.alias("section"), F.lit("story").alias("role"), F.col("doc_id").alias("pos"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 23 != 0, F.substring_index("text", "\n", 1)).alias("title"), F.col("text").alias("markdown"), F.col("text").alias("body"), "source")
 
 
-ARTICLES_SQL = """articles AS (SELECT '2024-' || lpad((doc_id % 12)::VARCHAR, 2, '0') AS edition_id, 'a' || doc_id AS id, ['headline','deepread','critical','subscribe','lede','hotlist','oral','health'][doc_id % 8 + 1] AS section, doc_id AS pos, CASE WHEN doc_id % 23 <> 0 THEN split_part(text, chr(10), 1) END AS title, text FROM documents),
+ARTICLES_SQL = """articles AS (SELECT '2024-' || lpad((doc_id // 40)::VARCHAR, 8, '0') || CASE WHEN doc_id // 40 % 2 = 0 THEN '-am' ELSE '-pm' END AS edition_id, 'a' || doc_id AS id, ['headline','deepread','critical','subscribe','lede','hotlist','oral','health'][doc_id % 8 + 1] AS section, doc_id AS pos, CASE WHEN doc_id % 23 <> 0 THEN split_part(text, chr(10), 1) END AS title, text, source FROM documents),
   lim AS (SELECT * FROM (VALUES ('lede', 1, 0), ('headline', 6, 1), ('deepread', 8, 2), ('oral', 2, 3), ('critical', 3, 4), ('subscribe', 6, 5), ('hotlist', 1, 6)) t(section, most, o))"""
 
 
@@ -184,28 +219,102 @@ def w8_s10_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.article_priority(_articles(spark, sf_dir), "edition_id").select("edition_id", "id", "seq", "priority")
 
 
-@query()
+CAPPED_SQL = f"""{ARTICLES_SQL}, k AS (SELECT a.*, most, o, row_number() OVER (PARTITION BY edition_id, a.section ORDER BY pos) AS place FROM articles a JOIN lim USING (section) WHERE trim(coalesce(title, '')) <> '' QUALIFY place <= most),
+  base AS (SELECT * FROM (VALUES ('headline', 0.97, 0), ('lede', 0.88, 1), ('deepread', 0.86, 2), ('oral', 0.80, 3), ('critical', 0.72, 4), ('subscribe', 0.60, 5), ('hotlist', 0.28, 6), ('health', 0.18, 7)) t(section, base, bo))"""
+
+
+@query(rf"""WITH {CAPPED_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY edition_id ORDER BY bo, pos) AS seq, trim(regexp_replace(regexp_replace(text, '[#>*`]', '', 'g'), '\s+', ' ', 'g')) AS plain FROM k JOIN base USING (section)),
+  d AS (SELECT edition_id, seq, id || '|' || title || '|' || section || '|' || CASE WHEN section = 'health' THEN 'system_report' WHEN section = 'lede' THEN 'brief' WHEN section = 'critical' AND length(text) >= 2500 THEN 'report' WHEN length(text) < 400 THEN 'brief' WHEN length(text) >= 2500 THEN 'long' ELSE 'normal' END || '|'
+    || CASE WHEN length(plain) <= 120 THEN plain ELSE regexp_replace(left(plain, 119), '\s+$', '') || '…' END || '|' || greatest(1, round_even(length(replace(text, ' ', '')) / 400.0, 0))::INT AS line FROM c)
+  SELECT edition_id, count(*) AS n, edition_id = max(edition_id) OVER () AS latest, sha256(string_agg(line, chr(10) ORDER BY seq)) AS digest FROM d GROUP BY edition_id""")
 def s11_client_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = edition.client_editions(edition.client_articles(ranking.article_priority(_articles(spark, sf_dir), "edition_id")))
-    return out.select("edition_id", F.size("articles").alias("n"), "latest", F.sha2(F.to_json("articles").cast("binary"), 256).alias("digest"))
+    stories = ranking.cap_stories(_articles(spark, sf_dir), "edition_id").drop("place", "n")
+    out = edition.client_editions(edition.client_articles(ranking.article_priority(stories, "edition_id")))
+    line = F.transform("articles", lambda a: F.concat_ws("|", a["id"], a["title"], a["section"], a["kind"], a["summary"], a["reading_minutes"].cast("string")))
+    return out.select("edition_id", F.size("articles").alias("n"), "latest", F.sha2(F.array_join(line, "\n").cast("binary"), 256).alias("digest"))
+
+
+@query(rf"""WITH {ARTICLES_SQL}, b AS (SELECT * FROM (VALUES ('headline', 0.97, 0), ('lede', 0.88, 1), ('deepread', 0.86, 2), ('oral', 0.80, 3), ('critical', 0.72, 4), ('subscribe', 0.60, 5), ('hotlist', 0.28, 6), ('health', 0.18, 7)) t(section, base, o)),
+  r AS (SELECT item_id AS pos, split_part(text, ' ', 1) AS t, round(item_id / 100.0, 2)::DOUBLE AS score FROM benchmark), e AS (SELECT a.id, arg_min(score, r.pos) AS score FROM articles a JOIN r ON r.t = a.title GROUP BY a.id),
+  n AS (SELECT a.id, arg_min(score, r.pos) AS score FROM articles a JOIN r ON contains(a.title, r.t) OR contains(r.t, a.title) WHERE a.id NOT IN (SELECT id FROM e) AND r.t <> '' GROUP BY a.id),
+  s AS (SELECT a.*, base, row_number() OVER (PARTITION BY edition_id ORDER BY b.o, a.pos, a.id) AS seq, regexp_replace(text, '^\s+|\s+$', '', 'g') AS md FROM articles a JOIN b USING (section))
+  SELECT edition_id, right(edition_id, 2) || lpad(seq::VARCHAR, 2, '0') AS id, s.title, round(base::DOUBLE - seq * 0.001, 4)::DOUBLE AS priority, section,
+    CASE WHEN section = 'health' THEN 'system_report' WHEN section = 'lede' THEN 'brief' WHEN section = 'critical' AND length(md) >= 2500 THEN 'report' WHEN length(md) < 400 THEN 'brief' WHEN length(md) >= 2500 THEN 'long' ELSE 'normal' END AS kind,
+    source, coalesce(e.score, n.score, 0.2)::DOUBLE AS ranking_score, sha256(md) AS digest FROM s LEFT JOIN e ON e.id = s.id LEFT JOIN n ON n.id = s.id""")
+def s10_print_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.substring_index("text", " ", 1).alias("title"), F.round(F.col("item_id") / 100.0, 2).alias("score"))
+    out = edition.print_articles(_articles(spark, sf_dir).withColumn("images", F.array().cast("array<string>")), r)
+    folder = f"{shared_folder(spark)}/articles-{uuid.uuid4().hex}"
+    edition.write_edition(out, folder)  # the sink, read back
+    back = spark.read.schema("edition_id string, id string, title string, markdown string, images array<string>, priority double, kind string, metadata struct<section:string,source:string,ranking_score:double>").json(folder)
+    return back.select("edition_id", "id", "title", "priority", "metadata.section", "kind", "metadata.source", "metadata.ranking_score", F.sha2(F.col("markdown").cast("binary"), 256).alias("digest"))
+
+
+@query(rf"""WITH {ARTICLES_SQL}, a AS (SELECT *, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM articles WHERE trim(coalesce(title, '')) <> '' AND trim(text) <> '' AND section <> 'health'),
+  f AS (SELECT *, CASE {" ".join(f"WHEN instr(t, '{m}') - 1 BETWEEN 8 AND 56 THEN left(t, instr(t, '{m}'))" for m in "。！？.!?")} {" ".join(f"WHEN instr(t, '{m}') - 1 BETWEEN 16 AND 56 THEN left(t, instr(t, '{m}') - 1) || '。'" for m in "，、,；;")} ELSE regexp_replace(left(t, 56), '[…。 ]+$', '') || '。' END AS sent FROM a),
+  o AS (SELECT *, row_number() OVER (PARTITION BY edition_id ORDER BY seq, id) AS p, sum((section = 'headline')::INT) OVER (PARTITION BY edition_id ORDER BY seq, id) AS h FROM (SELECT *, pos AS seq FROM f)),
+  m AS (SELECT *, section = 'headline' AND h <= 3 AS lead FROM o),
+  e AS (SELECT *, row_number() OVER (PARTITION BY edition_id ORDER BY seq) AS k FROM m WHERE NOT lead AND p <= 20),
+  l AS (SELECT edition_id, string_agg(CASE WHEN sent = '' THEN regexp_replace(left(title, 22), '。+$', '') || '。' WHEN regexp_matches(sent, '[。！？.!?]$') THEN sent ELSE sent || '。' END, '' ORDER BY seq) AS lead FROM m WHERE lead GROUP BY edition_id),
+  x AS (SELECT edition_id, string_agg(left(title, 14), '、' ORDER BY seq) FILTER (WHERE k <= 3) AS more FROM e GROUP BY edition_id), i AS (SELECT DISTINCT edition_id FROM articles),
+  z AS (SELECT i.edition_id, coalesce(lead, '') AS lead, more, l.edition_id IS NULL AND x.edition_id IS NULL AS none FROM i LEFT JOIN l USING (edition_id) LEFT JOIN x USING (edition_id))
+  SELECT edition_id, CASE WHEN none THEN '本期晚报稿件不足,请先看体检页,再决定要不要当它是一份报。' ELSE left('今日：' || CASE WHEN more IS NOT NULL AND length(lead) < 140 THEN regexp_replace(lead, '。+$', '') || '。内页还有' || more || '。' ELSE lead END, 180) END AS lede FROM z""")
+def w9_lede(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _articles(spark, sf_dir)
+    return edition.lede(own, "pm", own)
+
+
+DATELINE_SQL = "CASE WHEN d = 0 THEN '今天 ' || strftime(l, '%H:%M') WHEN d = 1 THEN '昨天 ' || strftime(l, '%H:%M') ELSE year(l) || '年' || month(l) || '月' || day(l) || '日' END"
+
+
+def _dated(own: DataFrame) -> DataFrame:
+    return own.withColumn("dateline", X.dateline(X.event_time("published_at", "fetched_at"), F.lit(AS_OF_ITEMS).cast("timestamp")))
+
+
+DATED_SQL = f"""{BODY_SQL}, local AS (SELECT *, coalesce(published_at, fetched_at) + INTERVAL 8 HOUR AS l, date_diff('day', (coalesce(published_at, fetched_at) + INTERVAL 8 HOUR)::DATE, DATE '2024-01-31') AS d FROM bodies), dated AS (SELECT *, {DATELINE_SQL} AS dateline FROM local)"""
+
+
+@query(f"""WITH {DATED_SQL} SELECT doc_id, sha256('# ' || shown || chr(10) || chr(10) || '> ' || dateline || ' · ' || source || ' · ' || author || chr(10) || chr(10)
+    || CASE WHEN doc_id % 6 = 1 THEN '_' || '头版' || '，此处不重复全文。_' || chr(10) WHEN body <> '' THEN body || chr(10) WHEN kind = 'video' THEN '_视频暂不转写，只保留标题和链接。_' || chr(10) ELSE '_库里没有正文。热榜/视频常如此;文章则多半是抽取失败。_' || chr(10) END
+    || CASE WHEN url LIKE 'http%' THEN chr(10) || '原文地址(需上网,纸上看不到点): `' || url || '`' || chr(10) ELSE '' END) AS digest FROM dated""")
+def s12_item_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _dated(items(spark, sf_dir)).withColumn("already", F.when(F.col("doc_id") % 6 == 1, "头版"))
+    return own.select("doc_id", F.sha2(edition.item_text(1, "already").cast("binary"), 256).alias("digest"))
+
+
+@query(f"""WITH {RANKED_SQL}, {DATED_SQL.removeprefix(ITEMS_SQL + ',').strip()}, j AS (SELECT r.edition, r.place, b.*  FROM ranked r JOIN dated b USING (doc_id)),
+  t AS (SELECT edition, place, '## F' || lpad(place::VARCHAR, 2, '0') || ' · ' || shown || chr(10) || chr(10) || '> 总分 ' || printf('%.3f', place / 8.0) || ' · sim ' || printf('%.2f', doc_id % 4 / 4.0) || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '> 挑战了: a — r' ELSE '' END || chr(10) || '> ' || dateline || chr(10)
+    || CASE WHEN kind = 'video' THEN chr(10) || '_视频暂不转写。_' || chr(10) ELSE '' END || chr(10) || CASE WHEN body <> '' THEN body ELSE '_没有正文,只保留标题。_' END || chr(10) || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '**相关报道(已折叠):** one；two' || chr(10) ELSE '' END
+    || CASE WHEN url LIKE 'http%' THEN chr(10) || '原文地址(需上网): `' || url || '`' || chr(10) ELSE '' END || chr(10) || '读完再打点: --edition ' || edition || ' --n ' || place || ' --label 1 有用, --label -1 无用。没读不要标。' || chr(10) || chr(10) || '---' || chr(10) AS t FROM j),
+  p AS (SELECT edition, string_agg(t, chr(10) ORDER BY place) AS t FROM t WHERE place <= 20 GROUP BY edition)
+  SELECT edition AS edition_id, sha256('# 头版' || chr(10) || chr(10) || '> 今日打分最高的几条,不是热度最高的几条。' || chr(10) || '> 生成于 now' || chr(10) || chr(10) || t) AS digest FROM p""")
+def s12_ranked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _ranked(spark, sf_dir).select("edition", "place", "content_hash").where("place <= 20")
+    own = _dated(items(spark, sf_dir)).drop("score").join(r.hint("merge"), "content_hash")
+    k = F.col("doc_id")
+    own = own.select(F.col("edition").alias("edition_id"), F.col("place").alias("pos"), F.col("place").alias("n"), (F.col("place") / 8.0).alias("total"), (k % 4 / 4.0).alias("sim"), F.when(k % 3 == 0, "a").alias("angle"), F.when(k % 3 == 0, "r").alias("reason"), F.when(k % 2 == 0, F.array(F.lit("one"), F.lit("two"))).alias("related"), "kind", "title", "source", "collector", "content", "summary", "url", "dateline")
+    return edition.section_pages(own, "headline", "now", edition.ranked_text()).select("edition_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
 @query()
-def w9_lede(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edition.lede(_articles(spark, sf_dir).where("title is not null"))
+def s12_subscription_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("collector"), F.lit("rss").alias("source"), F.lit("article").alias("kind"), (1.0 + F.col("n_regionkey")).alias("weight"))
+    own = ranking.round_robin(ranking.subscription_items(_dated(items(spark, sf_dir)), n, AS_OF_ITEMS), n.select("collector", "weight"))
+    own = own.withColumn("pos", F.row_number().over(Window.orderBy("place", "collector"))).withColumn("edition_id", F.lit("2024-01-31-am")).withColumn("already", F.when(F.col("doc_id") % 4 == 0, "头版"))
+    return edition.subscription_pages(own, n, "now").select("edition_id", F.char_length("text").alias("n"))
 
 
-@query(f"""WITH {RANKED_SQL}, l AS (SELECT edition, place, place || '. ' || title || ' · ' || source || ' · ' || CASE WHEN heat IS NULL THEN '-' WHEN heat >= 10000 THEN printf('%.1f万', floor(heat / 1000.0) / 10.0) ELSE printf('%.0f', heat) END || CASE WHEN coalesce(summary, '') <> '' THEN chr(10) || '   ' || summary ELSE '' END AS line FROM ranked)
-  SELECT edition AS edition_id, sha256('# hotlist' || chr(10) || string_agg(line, chr(10) ORDER BY place)) AS digest FROM l GROUP BY edition""")
-def s12_section_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _ranked(spark, sf_dir).select(F.col("edition").alias("edition_id"), F.lit("hotlist").alias("section"), F.col("place").alias("pos"), "title", "source", F.when(F.col("heat") >= 10000, F.floor(F.col("heat") / 1000) * 1000.0).otherwise(F.col("heat")).alias("heat"), "summary")
-    return edition.section_texts(rows).select("edition_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+@query(f"""WITH {RANKED_SQL}, l AS (SELECT edition, place, place || '. **' || title || '** · ' || source || ' · 热度 ' || CASE WHEN heat IS NULL THEN '-' WHEN heat >= 10000 THEN printf('%.1f万', floor(heat / 1000.0) / 10.0) ELSE printf('%.0f', heat) END || CASE WHEN trim(coalesce(summary, '')) <> '' THEN chr(10) || '   ' || trim(summary) ELSE '' END || chr(10) AS line FROM ranked)
+  SELECT edition AS edition_id, sha256('# 今日新上榜 Top 20' || chr(10) || chr(10) || '> 生成于 now' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY place)) AS digest FROM l GROUP BY edition""")
+def s12_hot_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _ranked(spark, sf_dir).select(F.col("edition").alias("edition_id"), F.col("place").alias("pos"), "title", "source", F.when(F.col("heat") >= 10000, F.floor(F.col("heat") / 1000) * 1000.0).otherwise(F.col("heat")).alias("heat"), "summary", F.lit("").alias("dateline"))
+    return edition.section_pages(rows, "hotlist", "now", edition.hot_text()).select("edition_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
-@query("""WITH s AS (SELECT '2024-' || user_id % 10 AS edition_id, event_type <> 'error' AND value > 5 AS has_content, CASE WHEN event_type = 'error' AND value > 15 THEN 'x' END AS error FROM events WHERE event_id % 7 = 0)
+@query("""WITH s AS (SELECT '2024-' || user_id % 10 AS edition_id, event_type <> 'error' AND value > 5 AS has_content, CASE WHEN event_type = 'error' AND value > 15 THEN 'x' END AS error FROM events)
   SELECT edition_id, count(error) AS errors, CASE WHEN NOT bool_or(has_content) THEN 'failed' WHEN count(error) > 0 THEN 'partial' ELSE 'ok' END AS status FROM s GROUP BY edition_id""")
 def a13_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_id % 7 = 0")
+    e = table(spark, sf_dir, "events")
     bad = F.col("event_type") == "error"
     return edition.roll_up(e.select(F.concat(F.lit("2024-"), (F.col("user_id") % 10).cast("string")).alias("edition_id"), (~bad & (F.col("value") > 5)).alias("has_content"), F.when(bad & (F.col("value") > 15), "x").alias("error")))
 
@@ -216,10 +325,11 @@ def s15_latest_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edition.latest_edition(e.select(F.concat(F.when(F.col("event_id") % 5 == 0, "_").otherwise(""), F.date_format("ts", "yyyy-MM-dd")).alias("edition_id")))
 
 
-@query("SELECT 'h' || l.doc_id % 200 AS content_hash, 'e' || l.doc_id % 4 AS edition_id, CASE WHEN quality = 1 THEN 1 ELSE -1 END AS label FROM labels l WHERE l.doc_id % 200 < 150")
+@query("SELECT 'h' || d.doc_id AS content_hash, 'e' || d.doc_id % 4 AS edition_id, CASE WHEN quality = 1 THEN 1 ELSE -1 END AS label FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.doc_id % 8 = d.doc_id % 4")
 def j11_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "labels").select(F.concat(F.lit("e"), (F.col("doc_id") % 4).cast("string")).alias("edition_id"), (F.col("doc_id") % 200).alias("n"), F.when(F.col("quality") == 1, 1).otherwise(-1).alias("label"))
-    m = table(spark, sf_dir, "documents").where("doc_id < 150").select((F.col("doc_id")).alias("n"), F.concat(F.lit("h"), F.col("doc_id").cast("string")).alias("content_hash")).withColumn("edition_id", F.explode(F.array(*[F.lit(f"e{i}") for i in range(4)])))
+    """Feedback of editions e4 to e7, which no manifest has, isn't answered."""
+    f = table(spark, sf_dir, "labels").select(F.concat(F.lit("e"), (F.col("doc_id") % 8).cast("string")).alias("edition_id"), F.col("doc_id").alias("n"), F.when(F.col("quality") == 1, 1).otherwise(-1).alias("label"))
+    m = table(spark, sf_dir, "documents").select(F.concat(F.lit("e"), (F.col("doc_id") % 4).cast("string")).alias("edition_id"), F.col("doc_id").alias("n"), F.concat(F.lit("h"), F.col("doc_id").cast("string")).alias("content_hash"))
     return edition.feedback_by_number(f, m)[0]
 
 
@@ -232,11 +342,11 @@ def j12_match_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edition.match_titles(a, r)
 
 
-@query("""WITH x AS (SELECT page_id % 50 AS k, 0 AS o, page_id AS p, 'u' || page_id % 7 AS url FROM pages UNION ALL SELECT page_id % 50, 1, page_id, 'u' || page_id % 11 FROM pages), f AS (SELECT k, url, min((o, p)) AS place FROM x GROUP BY ALL),
+@query("""WITH x AS (SELECT page_id // 5 AS k, 0 AS o, page_id AS p, 'u' || page_id % 7 AS url FROM pages UNION ALL SELECT page_id // 5, 1, page_id, 'u' || page_id % 11 FROM pages), f AS (SELECT k, url, min((o, p)) AS place FROM x GROUP BY ALL),
   n AS (SELECT k, url, row_number() OVER (PARTITION BY k ORDER BY place) AS i FROM f QUALIFY i <= 8) SELECT k AS content_hash, list(url ORDER BY i) AS urls FROM n GROUP BY k""")
 def j16_union_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    of = lambda m: p.groupBy((F.col("page_id") % 50).alias("content_hash")).agg(F.array_sort(F.collect_list(F.struct("page_id", F.concat(F.lit("u"), (F.col("page_id") % m).cast("string")).alias("u")))).alias("a")).select("content_hash", F.col("a.u").alias("images"))
+    of = lambda m: p.groupBy(F.floor(F.col("page_id") / 5).alias("content_hash")).agg(F.array_sort(F.collect_list(F.struct("page_id", F.concat(F.lit("u"), (F.col("page_id") % m).cast("string")).alias("u")))).alias("a")).select("content_hash", F.col("a.u").alias("images"))
     return edition.union_images(of(7), of(11))
 
 
@@ -275,7 +385,7 @@ def a11_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def a10_x20_taste(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), (F.col("vec_id") * 13 % 3000).alias("length"), F.lit(1.0).alias("weight"))
-    model = taste.Taste(seeds=2).fit(e)
+    model = taste.Taste().fit(e)
     model = taste.TasteModel(cut(model.centroids), cut(model.lengths))
     return model.transform(e).select("vec_id", F.round("sim", 6).alias("sim"), F.round("len_score", 6).alias("len_score"))
 
@@ -297,13 +407,18 @@ def u10_split_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.split_lists(d).select("id", "priority", "title")
 
 
-@query("""WITH p AS (SELECT doc_id % 200 AS k, list(length(text) ORDER BY doc_id) AS n FROM documents GROUP BY ALL)
-  SELECT doc_id, length(left(text, 100)) <= 500 AND list_max(n) > length(left(text, 100)) AS restored FROM documents JOIN p ON k = doc_id WHERE length(text) > 0""")
+@query(f"""WITH {BODY_SQL}, s AS (SELECT doc_id, body, CASE doc_id % 4 WHEN 0 THEN left(body, 100) WHEN 1 THEN left(body, 500) WHEN 2 THEN 'x' || left(body, 100) ELSE body END AS content, left(body, 500) AS summary FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \\t\\f\\v\\p{{Zs}}]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '^[\\s]+|[\\s]+$', '', 'g') AS body FROM documents WHERE NOT contains(text, '&'))),
+  t AS (SELECT *, trim(content, chr(10) || ' ') AS c, trim(summary, chr(10) || ' ') AS m FROM s), q AS (SELECT *, length(c) > 0 AND length(c) <= 500 AND ((m <> '' AND starts_with(m, c)) OR length(c) = 500) AND length(body) > length(c) AND doc_id % 5 <> 0 AS restored FROM t)
+  SELECT doc_id, restored, length(CASE WHEN restored THEN body ELSE content END) AS n FROM q""")
 def u9_j3_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    stubs = d.where("doc_id < 200").select("doc_id", F.col("doc_id").alias("content_hash"), F.left("text", F.lit(100)).alias("content"))
-    payloads = d.groupBy((F.col("doc_id") % 200).alias("content_hash")).agg(F.collect_list("text").alias("texts"))
-    return merge.restore_bodies(stubs, payloads).select("doc_id", "restored")
+    """Stubs of all kinds: a beginning of the summary, one cut at 500 characters, other short text, and the whole; four of five have a payload."""
+    n = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").where(~F.col("text").contains("&")).select("doc_id", X.normalize_paragraphs("text").alias("body"))
+    content = F.when(n % 4 == 0, F.left("body", F.lit(100))).when(n % 4 == 1, F.left("body", F.lit(500))).when(n % 4 == 2, F.concat(F.lit("x"), F.left("body", F.lit(100)))).otherwise(F.col("body"))
+    stubs = d.select("doc_id", n.alias("content_hash"), content.alias("content"), F.left("body", F.lit(500)).alias("summary"))
+    blob = F.concat(F.lit("<p>"), "body", F.lit("</p><img src='x'>"))
+    payload = F.to_json(F.struct(F.array(F.struct(blob.alias("value"))).alias("content"), F.left("body", F.lit(60)).alias("summary")))
+    return merge.restore_bodies(stubs, d.where(n % 5 != 0).select(n.alias("content_hash"), payload.alias("payload"))).select("doc_id", "restored", F.char_length("content").cast("long").alias("n"))
 
 
 @query("""WITH c AS (SELECT doc_id AS pos, 'BV' || doc_id % 150 AS bvid FROM documents), f AS (SELECT bvid, min(pos) AS pos FROM c GROUP BY bvid)
@@ -321,3 +436,25 @@ def x7_x30_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.col("source"), F.lit(" · ZHIHU"), F.when(F.col("doc_id") % 2 == 0, " · 昨天 07:00").otherwise(""), F.lit(" · sim 0.3 ·"))
     b = X.byline(line)
     return table(spark, sf_dir, "documents").select("doc_id", X.slugify(F.concat(F.lit(" Src "), n, F.lit("/"), F.col("lang"), F.lit("!"))).alias("slug"), b["published_label"].alias("label"), b["source_type"].alias("kind"), b["source_name"].alias("name"))
+
+
+@query()
+def rank_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One evening edition of all items: the whole ranking as one plan, by a taste learned from the documents marked as good."""
+    own = items(spark, sf_dir).withColumn("length", X.item_length("content", "summary", "title"))
+    texts = own.select("content_hash", X.text_for_embedding("title", "content", "summary").alias("t"))
+    vectors = cut(HashEmbedder("content_hash", "t", 64).fit(texts).transform(texts).where("vector is not null").select("content_hash", "vector"))
+    liked = own.join(table(spark, sf_dir, "labels").where("quality = 1").hint("merge"), "doc_id").join(vectors.hint("merge"), "content_hash")
+    centroids = taste.weighted_centroids(liked.select((F.col("doc_id") % 4).alias("cluster"), "vector", F.lit(1.0).alias("weight")))
+    model = taste.TasteModel(cut(centroids), cut(taste.length_stats(liked)))
+    out = newsroom.rank_edition(own, vectors, model, GROUPS, AS_OF_ITEMS, "pm")
+    return out.select("n", "section", "content_hash", "title", F.round("score", 6).alias("score"))
+
+
+@query()
+def s14_taste_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A taste and its embedder fitted on the benchmark's texts, saved, loaded and applied to all documents."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text", F.char_length("text").alias("length"), F.lit(1.0).alias("weight"))
+    model, embedder = taste.load_or_fit(spark, f"{shared_folder(spark)}/taste-{uuid.uuid4().hex}", b, k=3, seeds=2)
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.char_length("text").alias("length"))
+    return model.transform(embedder.transform(d)).select(F.col("id").alias("doc_id"), F.round("sim", 6).alias("sim"), F.round("len_score", 6).alias("len_score"))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.operators.graph import shared_folder
 from inkwell.plans.tables import RUNS_SQL, SNAPSHOTS_SQL, clock
 from inkwell.streaming import streams
 
@@ -23,29 +24,44 @@ def query(sql: str | None = None):
     return keep
 
 
+LATE = "40 days"  # no row of the table is later, so batch SQL sees what the streams see
+
+
 def _folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder, or below the warehouse where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _landing(spark: SparkSession, sf_dir: str, name: str, order: str, parts: int = 4) -> DataFrame:
+    """A stream of the table as it would land: ``parts`` drops in order of a column, one micro-batch each."""
+    rows, folder = spark.read.parquet(f"{sf_dir}/{name}.parquet"), f"{_folder(spark)}/{name}"
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    step = (high - low) / parts
+    for k in range(parts):
+        own = rows if k == parts - 1 else rows.where(F.col(order) < F.lit(low + step * (k + 1)))
+        own = own.where(F.col(order) >= F.lit(low + step * k)) if k else own
+        own.coalesce(1).write.parquet(f"{folder}/{k}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    return _landing(spark, sf_dir, "events", "ts")
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select(F.col("event_type").alias("board"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("content_hash"), F.col("ts").cast("timestamp").alias("observed_at"), (F.floor("value").cast("int") % 50 + 1).alias("rank"), F.col("value").alias("heat"))
+    e = _events(spark, sf_dir)
+    return e.select(F.col("event_type").alias("board"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("content_hash"), F.col("ts").cast("timestamp").alias("observed_at"), (F.floor("value").cast("int") % 50 + 1).alias("rank"), F.col("value").alias("heat"))
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.col("event_type") == "error"
-    return _events(spark, sf_dir).select(F.concat(F.lit("c"), (F.col("user_id") % 20).cast("string")).alias("collector"), F.col("ts").cast("timestamp").alias("started_at"), F.when(bad, "failed").otherwise("ok").alias("status"), F.get_json_object("props", "$.k").cast("long").alias("new_count"))
+    e = _events(spark, sf_dir)
+    return e.select(F.concat(F.lit("c"), (F.col("user_id") % 20).cast("string")).alias("collector"), F.col("ts").cast("timestamp").alias("started_at"), F.when(bad, "failed").otherwise("ok").alias("status"), F.get_json_object("props", "$.k").cast("long").alias("new_count"))
 
 
 @query(f"WITH {SNAPSHOTS_SQL} SELECT board, count(DISTINCT (content_hash, observed_at)) AS n FROM snapshots GROUP BY board")
 def t2_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.drain(streams.dedupe_snapshots(_snapshots(spark, sf_dir), "40 days"), _folder(spark))
+    out = streams.drain(streams.dedupe_snapshots(_snapshots(spark, sf_dir), LATE), _folder(spark))
     return out.groupBy("board").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -58,14 +74,14 @@ def t3_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SNAPSHOTS_SQL}, w AS (SELECT *, unnest(range(0, 12)) AS k FROM snapshots), x AS (SELECT board, content_hash, rank, observed_at, time_bucket(INTERVAL 30 MINUTE, observed_at) + INTERVAL 30 MINUTE + to_minutes(30 * k) AS e FROM w)
   SELECT strftime(e, '%Y-%m-%d %H:%M:%S') AS window_end, board, content_hash, arg_min(rank, (observed_at, rank)) - min(rank) AS delta FROM x GROUP BY e, board, content_hash HAVING arg_min(rank, (observed_at, rank)) - min(rank) >= 15""")
 def t4_rising(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.drain(streams.rising(_snapshots(spark, sf_dir)), _folder(spark), "complete")
-    return out.select(clock("window_end"), "board", "content_hash", "delta")
+    out = streams.drain(streams.rising(_snapshots(spark, sf_dir), late=LATE), _folder(spark), "update", ("window_end", "board", "content_hash"))
+    return out.where("delta >= 15").select(clock("window_end"), "board", "content_hash", "delta")
 
 
 @query(f"""WITH {RUNS_SQL}, w AS (SELECT *, unnest(range(0, 24)) AS k FROM runs), x AS (SELECT *, time_bucket(INTERVAL 1 HOUR, started_at) + INTERVAL 1 HOUR + to_hours(k) AS e FROM w)
   SELECT strftime(e, '%Y-%m-%d %H:%M:%S') AS window_end, collector, count(*) AS runs, count(*) FILTER (WHERE status = 'ok') AS ok_runs, sum(coalesce(new_count, 0))::BIGINT AS new_items FROM x GROUP BY e, collector""")
 def t5_rolling_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.drain(streams.rolling_health(_runs(spark, sf_dir)), _folder(spark), "complete")
+    out = streams.drain(streams.rolling_health(_runs(spark, sf_dir), late=LATE), _folder(spark), "update", ("window_end", "collector"))
     return out.select(clock("window_end"), "collector", "runs", "ok_runs", "new_items")
 
 
@@ -77,19 +93,17 @@ def t6_edition_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id::VARCHAR AS queue_id, max(turn) AS pos FROM conversations GROUP BY conv_id")
 def t7_drip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations.parquet*").select(F.col("conv_id").cast("string").alias("queue_id"), F.concat_ws("-", "conv_id", "turn").alias("unit_id"), F.col("turn").alias("pos"))
+    rows = _landing(spark, sf_dir, "conversations", "turn").select(F.col("conv_id").cast("string").alias("queue_id"), F.concat_ws("-", "conv_id", "turn").alias("unit_id"), F.col("turn").alias("pos"))
     out = streams.drain(streams.drip(rows), _folder(spark), "update")
     return out.groupBy("queue_id").agg(F.max("pos").alias("pos"))
 
 
 @query("SELECT (doc_id % 300)::VARCHAR AS content_hash, count(*) > 0 AS stored, length(arg_min(text, doc_id)) AS content_n, arg_max(doc_id % 50 + 1, doc_id) AS rank FROM documents GROUP BY doc_id % 300")
 def t1_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet*").select((F.col("doc_id") % 300).cast("string").alias("content_hash"), "source", (F.col("doc_id") % 50 + 1).alias("rank"), F.lit(None).cast("double").alias("heat"), F.col("text").alias("content"), F.col("doc_id").alias("seq"))
+    rows = _landing(spark, sf_dir, "documents", "doc_id").select((F.col("doc_id") % 300).cast("string").alias("content_hash"), "source", (F.col("doc_id") % 50 + 1).alias("rank"), F.lit(None).cast("double").alias("heat"), F.col("text").alias("content"), F.col("doc_id").alias("seq"))
     folder = _folder(spark)
     job = streams.ingest(rows, f"{folder}/items", f"{folder}/state")
     job.awaitTermination()
     last = max(p["batchId"] for p in job.recentProgress)
-    out = spark.read.parquet(f"{folder}/items/v{last}")
+    out = streams.read_items(spark, f"{folder}/items", last, rows.drop("seq").schema)
     return out.select("content_hash", F.lit(True).alias("stored"), F.char_length("content").cast("long").alias("content_n"), "rank")

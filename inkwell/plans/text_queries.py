@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
-from inkwell.functions.fixed import TITLE_NOISE, TRACKING_EXACT
+from inkwell.functions.fixed import PHOTO_HOSTS, TITLE_NOISE, TRACKING_EXACT
 from inkwell.operators import folding, graph, packing, pages, vectors
 from inkwell.plans.tables import ITEMS_SQL, items, table
 
@@ -106,10 +106,15 @@ def s6_fresh_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOKENS = r"string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{Nd}\p{Pc}]+', ' ', 'g')), ' ')"
 
 
-@query(f"SELECT doc_id, length(regexp_replace(text, '[\\s\\v\\p{{Z}}]+', '', 'g')) AS chars, len(list_filter({_TOKENS}, lambda t: regexp_matches(t, '^[a-z0-9]+$'))) AS tokens, greatest(2 * length(g) - 3, 0) AS grams FROM (SELECT *, regexp_replace(lower(text), '[\\s\\v\\p{{Z}}]+', '', 'g') AS g FROM documents) WHERE length(g) > 3")
+@query(rf"""WITH g AS (SELECT doc_id, text, regexp_replace(lower(text), '[\s\v\p{{Z}}]+', '', 'g') AS s FROM documents),
+  t AS (SELECT doc_id, text, s, length(s) AS n, list_filter({_TOKENS}, lambda t: regexp_matches(t, '^[a-z0-9]+$')) AS tokens FROM g)
+  SELECT doc_id, length(regexp_replace(text, '[\s\v\p{{Z}}]+', '', 'g')) AS chars, len(tokens) AS tokens, sha256(array_to_string(tokens, ' ')) AS token_digest,
+    CASE WHEN n = 0 THEN 1 ELSE greatest(n - 1, 1) + greatest(n - 2, 1) END AS grams,
+    sha256(CASE WHEN n = 0 THEN '_empty_' WHEN n < 3 THEN s || '|' || s ELSE array_to_string(list_concat(list_transform(range(1, n), lambda i: substr(s, i, 2)), list_transform(range(1, n - 1), lambda i: substr(s, i, 3))), '|') END) AS gram_digest FROM t""")
 def x10_x13_x14_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(X.char_count("text") > 3)
-    return d.select("doc_id", X.char_count("text").cast("long").alias("chars"), F.size(X.tokenize("text")).cast("long").alias("tokens"), F.size(X.char_ngrams("text")).cast("long").alias("grams"))
+    d = table(spark, sf_dir, "documents").select("doc_id", X.char_count("text").cast("long").alias("chars"), X.tokenize("text").alias("t"), X.char_ngrams("text").alias("g"))
+    digest = lambda c, by: F.sha2(F.array_join(c, by).cast("binary"), 256)
+    return d.select("doc_id", "chars", F.size("t").cast("long").alias("tokens"), digest("t", " ").alias("token_digest"), F.size("g").cast("long").alias("grams"), digest("g", "|").alias("gram_digest"))
 
 
 SIMHASH_SQL = f"""
@@ -132,14 +137,20 @@ PAIRS_SQL = f"{SIMHASH_SQL}, pairs AS (SELECT x.doc_id AS a, y.doc_id AS b FROM
 
 @query(f"WITH {PAIRS_SQL} SELECT * FROM pairs")
 def j6_near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folding.all_near_pairs(graph.cut(_simhash(spark, sf_dir)))
+    return folding.near_pairs(graph.cut(_simhash(spark, sf_dir)))
 
 
-@query()
+FOLD_SQL = f"""WITH RECURSIVE {ITEMS_SQL}, {SIMHASH_SQL},
+o AS (SELECT i.doc_id AS id, score, simhash, row_number() OVER (ORDER BY score DESC, i.doc_id) AS n FROM items i JOIN h USING (doc_id)),
+r AS (SELECT n, id, id AS leader, [{{'k': id, 's': simhash}}] AS kept FROM o WHERE n = 1
+  UNION ALL SELECT o.n, o.id, coalesce(list_filter(r.kept, lambda x: bit_count(xor(x.s, o.simhash)) <= 3)[1].k, o.id),
+    CASE WHEN len(list_filter(r.kept, lambda x: bit_count(xor(x.s, o.simhash)) <= 3)) > 0 THEN r.kept ELSE list_append(r.kept, {{'k': o.id, 's': o.simhash}}) END FROM r JOIN o ON o.n = r.n + 1)"""
+
+
+@query(f"{FOLD_SQL} SELECT id, leader FROM r")
 def d1_fold_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hashed = graph.cut(_simhash(spark, sf_dir))
     own = items(spark, sf_dir).select(F.col("doc_id").alias("id"), "score")
-    return folding.fold_simhash(own, folding.all_near_pairs(hashed))
+    return folding.fold_simhash(own, graph.cut(_simhash(spark, sf_dir)))
 
 
 @query("""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) + 1e-9 AS l FROM u)
@@ -157,38 +168,72 @@ def a14_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(v.select("id"), graph.cut(folding.cosine_pairs(v, 0.4)))
 
 
-@query()
+@query(f"""{FOLD_SQL}, u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), m AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) + 1e-9 AS l FROM u WHERE vec_id IN (SELECT leader FROM r)),
+  e AS (SELECT x.vec_id AS a, y.vec_id AS b FROM m x JOIN m y ON x.vec_id <> y.vec_id WHERE list_dot_product(x.v, y.v) / x.l / y.l >= 0.4),
+  c AS (SELECT DISTINCT leader AS id, leader AS label FROM r UNION SELECT e.b, c.label FROM c JOIN e ON e.a = c.id),
+  l AS (SELECT id, min(label) AS label FROM c GROUP BY id), p AS (SELECT label, arg_min(l.id, (-o.score, l.id)) AS lead FROM l JOIN o ON o.id = l.id GROUP BY label)
+  SELECT r.id, p.lead AS "primary" FROM r JOIN l ON l.id = r.leader JOIN p USING (label)""")
 def d2_fold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = items(spark, sf_dir).select(F.col("doc_id").alias("id"), "score")
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return folding.fold_events(own, folding.all_near_pairs(graph.cut(_simhash(spark, sf_dir))), v, 0.4)
+    return folding.fold_events(own, graph.cut(_simhash(spark, sf_dir)), v, 0.4)
+
+
+@query("""WITH d AS (SELECT doc_id AS id, doc_id - doc_id % 7 AS p, split_part(text, chr(10), 1) AS title FROM documents)
+  SELECT p AS "primary", list(title ORDER BY id) AS related, count(*) AS n FROM d WHERE id <> p GROUP BY p""")
+def j10_related(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") - F.col("doc_id") % 7).alias("primary"), F.substring_index("text", "\n", 1).alias("title"))
+    return folding.related(d.select("id", "primary"), d.select("id", "title"))
 
 
 GRAMS_SQL = r"""
-g AS (SELECT item_id, regexp_replace(lower(text), '[\s\v\p{Z}]+', '', 'g') AS s FROM benchmark),
-c AS (SELECT item_id, gram, count(*) AS n FROM (SELECT item_id, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS gram FROM g UNION ALL SELECT item_id, unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) FROM g) GROUP BY ALL),
+g AS (SELECT doc_id, regexp_replace(lower(text), '[\s\v\p{Z}]+', '', 'g') AS s FROM documents),
+c AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS gram FROM g UNION ALL SELECT doc_id, unnest(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) FROM g) GROUP BY ALL),
 v AS (SELECT gram, count(*) AS df FROM c GROUP BY gram ORDER BY df DESC, gram LIMIT 4096),
-i AS (SELECT gram, df, row_number() OVER (ORDER BY df DESC, gram) - 1 AS idx, ln(((SELECT count(*) FROM benchmark) + 1.0) / (df + 1.0)) + 1.0 AS idf FROM v)"""
+i AS (SELECT gram, df, row_number() OVER (ORDER BY df DESC, gram) - 1 AS idx, ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1.0)) + 1.0 AS idf FROM v)"""
 
 
 @query(f"WITH {GRAMS_SQL} SELECT gram, df, idx, round(idf, 6) AS idf FROM i")
 def a6_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.fit_vocabulary(table(spark, sf_dir, "benchmark"), "item_id", "text").select("gram", "df", F.col("idx").cast("long").alias("idx"), F.round("idf", 6).alias("idf"))
+    return vectors.fit_vocabulary(table(spark, sf_dir, "documents"), "doc_id", "text").select("gram", "df", F.col("idx").cast("long").alias("idx"), F.round("idf", 6).alias("idf"))
 
 
-@query(f"""WITH {GRAMS_SQL}, t AS (SELECT item_id, sum(n) AS total FROM c GROUP BY item_id), w AS (SELECT item_id, idx, n / total::DOUBLE * idf AS x FROM c JOIN t USING (item_id) JOIN i USING (gram)),
-  l AS (SELECT item_id, sqrt(sum(x * x)) + 1e-9 AS l FROM w GROUP BY item_id) SELECT item_id, count(*) AS cells, round(max(x / l), 6) AS top, round(sum(x / l), 4) AS total FROM w JOIN l USING (item_id) GROUP BY item_id""")
+@query(f"""WITH {GRAMS_SQL}, t AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY doc_id), w AS (SELECT doc_id, idx, n / total::DOUBLE * idf AS x FROM c JOIN t USING (doc_id) JOIN i USING (gram)),
+  l AS (SELECT doc_id, sqrt(sum(x * x)) + 1e-9 AS l FROM w GROUP BY doc_id) SELECT doc_id, count(*) AS cells, round(max(x / l), 6) AS top, round(sum(x / l), 4) AS total FROM w JOIN l USING (doc_id) GROUP BY doc_id""")
 def x15_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark")
-    w = vectors.tfidf(b, graph.cut(vectors.fit_vocabulary(b, "item_id", "text")), "item_id", "text")
-    return w.groupBy("item_id").agg(F.count(F.lit(1)).alias("cells"), F.round(F.max("weight"), 6).alias("top"), F.round(F.sum("weight"), 4).alias("total"))
+    b = table(spark, sf_dir, "documents")
+    w = vectors.tfidf(b, graph.cut(vectors.fit_vocabulary(b, "doc_id", "text")), "doc_id", "text")
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("cells"), F.round(F.max("weight"), 6).alias("top"), F.round(F.sum("weight"), 4).alias("total"))
+
+
+@query(f"""WITH {GRAMS_SQL}, t AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY doc_id), w AS (SELECT doc_id, idx, n / total::DOUBLE * idf AS x FROM c JOIN t USING (doc_id) JOIN i USING (gram)),
+  y AS (SELECT doc_id, d, sum(x * ((idx * 7919 + d * 104729) % 1000 / 500.0 - 1)) AS y FROM w, range(4) r(d) GROUP BY ALL), l AS (SELECT doc_id, sqrt(sum(y * y)) AS l FROM y GROUP BY doc_id)
+  SELECT doc_id, d, round(y / l, 4) AS x FROM y JOIN l USING (doc_id)""")
+def x15_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    vocabulary = graph.cut(vectors.fit_vocabulary(d, "doc_id", "text"))
+    matrix = vocabulary.select("idx", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (F.col("idx") * 7919 + k * 104729) % 1000 / 500.0 - 1).alias("row"))
+    out = vectors.project(vectors.tfidf(d, vocabulary, "doc_id", "text"), matrix, "doc_id")
+    return out.select("doc_id", F.posexplode("vector").alias("d", "x")).select("doc_id", F.col("d").cast("long").alias("d"), F.round("x", 4).alias("x"))
 
 
-@query(r"""WITH g AS (SELECT item_id, regexp_replace(lower(text), '[\s\v\p{Z}]+', '', 'g') AS s FROM benchmark),
-  c AS (SELECT item_id, ('0x' || left(md5(gram), 8))::BIGINT AS h FROM (SELECT item_id, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS gram FROM g)),
-  x AS (SELECT item_id, (h % 128)::INT AS idx, sum(CASE WHEN (h >> 1) & 1 = 1 THEN 1.0 ELSE -1.0 END) AS x FROM c GROUP BY ALL) SELECT item_id, idx, x::DOUBLE AS x FROM x WHERE x <> 0""")
+@query(r"""WITH g AS (SELECT doc_id, regexp_replace(lower(text), '[\s\v\p{Z}]+', '', 'g') AS s FROM documents),
+  c AS (SELECT doc_id, ('0x' || left(md5(gram), 8))::BIGINT AS h FROM (SELECT doc_id, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS gram FROM g)),
+  x AS (SELECT doc_id, (h % 128)::INT AS idx, sum(CASE WHEN (h >> 1) & 1 = 1 THEN 1.0 ELSE -1.0 END) AS x FROM c GROUP BY ALL) SELECT doc_id, idx, x::DOUBLE AS x FROM x WHERE x <> 0""")
 def x16_hash_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.hash_cells(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return vectors.hash_cells(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(r"""WITH g AS (SELECT doc_id, regexp_replace(lower(text), '[\s\v\p{Z}]+', '', 'g') AS s FROM documents),
+  c AS (SELECT doc_id, ('0x' || left(md5(gram), 8))::BIGINT AS h FROM (SELECT doc_id, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS gram FROM g)),
+  x AS (SELECT doc_id, (h % 128)::INT AS idx, sum(CASE WHEN (h >> 1) & 1 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM c GROUP BY ALL), l AS (SELECT doc_id, sqrt(sum(x * x)) AS l FROM x GROUP BY doc_id HAVING sum(x * x) > 0)
+  SELECT doc_id, 128 AS dim, round(max(x / l), 6) AS top, round(sum(x / l * idx), 4) AS moment FROM x JOIN l USING (doc_id) WHERE x <> 0 GROUP BY doc_id""")
+def x16_hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    out = vectors.HashEmbedder("doc_id", "text").fit(d).transform(d.where(F.char_length(F.regexp_replace("text", r"(?U)\s+", "")) >= 2)).where("vector is not null")
+    moment = F.aggregate(F.transform("vector", lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x)
+    top = F.array_max(F.filter("vector", lambda x: x != 0))
+    return out.select("doc_id", F.size("vector").alias("dim"), F.round(top, 6).alias("top"), F.round(moment, 4).alias("moment"))
 
 
 @query("""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) + 1e-9 AS l FROM u),
@@ -218,15 +263,43 @@ ORACLE["x29_pack"] = r"""WITH RECURSIVE s AS (SELECT conv_id, turn, length(regex
   SELECT conv_id, turn, batch FROM r"""
 
 
-@query()
+IMAGES_SQL = """b AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base, 100 + page_id % 200 AS w FROM pages),
+found AS (SELECT page_id, 0 AS o, base || '/cover/' || page_id || '.jpg' AS url, 'cover' AS role FROM b WHERE page_id % 5 <> 0
+  UNION ALL SELECT page_id, 1, 'https://cdn.example.com/a.jpg?w=640', 'body' FROM b WHERE page_id % 3 <> 0
+  UNION ALL SELECT page_id, 2, base || '/p/' || page_id || '.png', 'body' FROM b WHERE w >= 160
+  UNION ALL SELECT page_id, 3, 'https://cdn.example.com/a.jpg', 'body' FROM b WHERE page_id % 3 = 0
+  UNION ALL SELECT page_id, 4, 'https://img.example.com/' || k || '.jpg', 'body' FROM b, range(10) r(k))"""
+
+
+def _with_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with images of all kinds: a cover, a lazy one in an author's box on some pages, one of growing size, decoration, a
+    variant of the first, and more than are kept."""
+    n = F.col("page_id").cast("string")
+    size = (100 + F.col("page_id") % 200).cast("string")
+    cover = F.when(F.col("page_id") % 5 != 0, F.concat(F.lit('<meta property="og:image" content="/cover/'), n, F.lit('.jpg">'))).otherwise("")
+    box = F.when(F.col("page_id") % 3 == 0, ' class="ProfileHeader-x"').otherwise("")
+    more = "".join(f'<img src="https://img.example.com/{k}.jpg">' for k in range(10))
+    parts = [cover, F.concat(F.lit("<img"), box, F.lit(' data-src="//cdn.example.com/a.jpg?w=640" width="640" height="480">')), F.concat(F.lit('<img data-original="/p/'), n, F.lit('.png" width="'), size, F.lit('" height="900">'))]
+    parts += [F.lit('<img src="/icon/x.png"><img src="/b.jpg" width="20" height="20"><img src="https://cdn.example.com/a.jpg">'), F.lit(more)]
+    return table(spark, sf_dir, "pages").withColumn("html", F.concat(*parts, "html"))
+
+
+@query(f"""WITH {IMAGES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY o, CASE WHEN o = 4 THEN url END) AS pos FROM found QUALIFY pos <= 8), c AS (SELECT *, max((role = 'cover')::INT) OVER (PARTITION BY page_id) AS has FROM k)
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY (role = 'cover') DESC, pos) AS n, url, role FROM c QUALIFY n <= 2 + has""")
 def x27_image_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
-    grown = p.withColumn("html", F.concat(F.lit('<meta property="og:image" content="/cover/'), F.col("page_id").cast("string"), F.lit('.jpg"><img data-src="//cdn.example.com/a.jpg?w=640" width="640" height="480"><img src="/icon/x.png"><img src="/b.jpg" width="20" height="20"><img src="https://cdn.example.com/a.jpg">'), "html"))
-    return pages.pick_images(pages.image_candidates(grown))
+    return pages.pick_images(pages.image_candidates(_with_images(spark, sf_dir)))
 
 
-ORACLE["x27_image_candidates"] = """WITH b AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base FROM pages)
-  SELECT page_id, 1 AS n, base || '/cover/' || page_id || '.jpg' AS url, 'cover' AS role FROM b UNION ALL SELECT page_id, 2, 'https://cdn.example.com/a.jpg?w=640', 'body' FROM b"""
+@query("""WITH b AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base FROM pages),
+  found AS (SELECT page_id, 1 AS o, 'https://c.example.com/' || page_id || '.jpg' AS url, 'cover' AS role FROM b WHERE page_id % 4 <> 0
+    UNION ALL SELECT page_id, 2, 'https://l.example.com/1.jpg', 'body' FROM b UNION ALL SELECT page_id, 3, 'https://l.example.com/2.jpg', 'body' FROM b UNION ALL SELECT page_id, 4, base || '/in/' || page_id || '.jpg', 'body' FROM b)
+  SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY o) AS pos, url, role FROM found""")
+def x27_payload_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id").cast("string")
+    cover = F.when(F.col("page_id") % 4 == 0, F.lit("not a link")).otherwise(F.concat(F.lit("https://c.example.com/"), n, F.lit(".jpg")))
+    inner = F.to_json(F.struct(F.lit("").alias("image"), cover.alias("image_uri"), F.array(F.lit("https://l.example.com/1.jpg"), F.lit("https://l.example.com/2.jpg"), F.lit("gone")).alias("images"), F.concat(F.lit('<p><img src="/in/'), n, F.lit('.jpg"><img src="/x/avatar.png"></p>')).alias("content")))
+    payload = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('{"data":'), inner, F.lit("}"))).otherwise(inner)
+    return pages.payload_images(table(spark, sf_dir, "pages").select("page_id", "url", payload.alias("payload")))
 
 
 @query("""SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE regexp_replace(left(t, 119), '\\s+$', '') || '…' END AS summary, greatest(1, round_even(length(replace(text, ' ', '')) / 400.0, 0))::INT AS minutes,
@@ -237,7 +310,85 @@ def x25_x26_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.summary_of("text").alias("summary"), X.reading_minutes("text").alias("minutes"), X.article_kind(section, F.lit("story"), "text").alias("kind"))
 
 
-@query(f"WITH {ITEMS_SQL} SELECT doc_id, CASE WHEN url LIKE '%mp.weixin.qq.com%' THEN 'wechat_mp' WHEN url LIKE '%zhihu.com%' THEN 'zhihu' WHEN url LIKE '%weibo.c%' THEN 'weibo' ELSE 'rss' END AS guess, CASE WHEN doc_id * 1024 + 512 < 1024 THEN printf('%.0f B', doc_id * 1024 + 512.0) WHEN doc_id * 1024 + 512 < 1048576 THEN printf('%.1f KB', (doc_id * 1024 + 512) / 1024.0) ELSE printf('%.1f MB', (doc_id * 1024 + 512) / 1048576.0) END AS size FROM items")
+LINK_PLACES = ("https://www.zhihu.com/p/", "https://hub.example/zhihu/people/", "https://mp.weixin.qq.com/s/", "http://feeds.example/MP_WXS_", "http://feeds.example/mp_wxs_", "https://feeds.a.dj.com/", "https://x.example/Bangumi/", "https://weibo.com/")
+
+
+@query("""WITH u AS (SELECT doc_id, ['https://www.zhihu.com/p/','https://hub.example/zhihu/people/','https://mp.weixin.qq.com/s/','http://feeds.example/MP_WXS_','http://feeds.example/mp_wxs_','https://feeds.a.dj.com/','https://x.example/Bangumi/','https://weibo.com/'][doc_id % 8 + 1] || doc_id AS url FROM documents),
+  g AS (SELECT *, CASE WHEN contains(lower(url), 'zhihu.com') OR contains(lower(url), '/zhihu/') THEN 'zhihu' WHEN contains(lower(url), 'mp.weixin.qq.com') OR contains(lower(url), 'wechat_mp') OR contains(url, 'MP_WXS_') THEN 'wechat_mp'
+    WHEN contains(lower(url), 'dj.com') OR contains(lower(url), 'wsj.com') OR contains(lower(url), 'wallstreetcn') OR contains(lower(url), 'finance') THEN 'finance' WHEN contains(lower(url), 'bangumi') THEN 'bilibili' ELSE 'rss' END AS guess FROM u)
+  SELECT doc_id, guess, CASE WHEN guess = 'bilibili' THEN 'video' ELSE 'article' END AS kind, CASE guess WHEN 'zhihu' THEN 'zhihu' WHEN 'wechat_mp' THEN 'wechat' WHEN 'finance' THEN 'finance' ELSE 'other' END AS category,
+    CASE WHEN doc_id * 1024 + 512 < 1024 THEN printf('%.0f B', doc_id * 1024 + 512.0) WHEN doc_id * 1024 + 512 < 1048576 THEN printf('%.1f KB', (doc_id * 1024 + 512) / 1024.0) ELSE printf('%.1f MB', (doc_id * 1024 + 512) / 1048576.0) END AS size FROM g""")
 def x28_x31_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir).select("doc_id", X.source_of("url").alias("guess"), X.format_bytes(F.col("doc_id") * 1024 + 512).alias("size"))
+    place = F.element_at(F.array(*map(F.lit, LINK_PLACES)), (F.col("doc_id") % 8 + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(place, F.col("doc_id").cast("string")).alias("url"))
+    return d.select("doc_id", X.source_of("url").alias("guess"), X.kind_of("url").alias("kind"), X.category_of(X.source_of("url")).alias("category"), X.format_bytes(F.col("doc_id") * 1024 + 512).alias("size"))
+
+
+DAILY_SQL = f"""{ITEMS_SQL}, daily AS (SELECT doc_id, kind, CASE WHEN doc_id % 5 < 2 THEN 'zhihu' ELSE source END AS source, CASE WHEN doc_id % 5 = 0 THEN '早报 &amp; ' ELSE '' END || title AS title, CASE WHEN doc_id % 7 = 0 THEN '知乎日报_x' ELSE collector END AS collector,
+  '1. Why is the sky so blue today？ 背景 x 2、How do the birds sleep? 3. ab? 4、背景 of it all is what? ' || CASE WHEN doc_id % 3 = 0 THEN '小李精选 ' ELSE '' END || '5. Where does the wind come from?' || chr(10) || content AS content, summary FROM items)"""
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    head = F.concat(F.lit("1. Why is the sky so blue today？ 背景 x 2、How do the birds sleep? 3. ab? 4、背景 of it all is what? "), F.when(n % 3 == 0, "小李精选 ").otherwise(""), F.lit("5. Where does the wind come from?\n"))
+    own = items(spark, sf_dir)
+    return own.select("doc_id", "kind", F.when(n % 5 < 2, "zhihu").otherwise(F.col("source")).alias("source"), F.concat(F.when(n % 5 == 0, "早报 &amp; ").otherwise(""), "title").alias("title"), F.when(n % 7 == 0, "知乎日报_x").otherwise(F.col("collector")).alias("collector"), F.concat(head, "content").alias("content"), "summary")
+
+
+@query(rf"""WITH {DAILY_SQL}, b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(nullif(content, ''), summary, ''), '[ \t\f\v\p{{Zs}}]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[\s]+|[\s]+$', '', 'g') AS body,
+    trim(regexp_replace(replace(replace(title, '&lt;', '<'), '&amp;', '&'), '\s+', ' ', 'g')) AS plain, contains(collector, '知乎日报') OR (source = 'zhihu' AND contains(title, '早报')) AS is_daily FROM daily),
+  h AS (SELECT *, list_filter(list_transform(list_filter(list_transform(regexp_extract_all(split_part(body, '小李精选', 1), '[0-9]+[、.]\s*(.+?[？?])', 1), lambda x: trim(x)), lambda x: NOT starts_with(x, '背景')), lambda x: trim(split_part(x, '背景', 1))), lambda x: length(x) >= 8) AS heads FROM b),
+  c AS (SELECT *, CASE WHEN len(heads) >= 2 THEN array_to_string(heads[1:8], '；') ELSE plain END AS catalog FROM h)
+  SELECT doc_id, CASE WHEN is_daily THEN '今日知乎日报' ELSE plain END AS title, catalog, sha256(CASE WHEN is_daily AND body = '' THEN '**' || catalog || '**' WHEN is_daily THEN '**' || catalog || '**' || chr(10) || chr(10) || body ELSE body END) AS body_digest FROM c""")
+def x9_print_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _daily(spark, sf_dir)
+    body = X.readable_body("kind", "content", "summary", "source")
+    catalog = X.expand_daily_title(X.one_line(X.html_to_text("title")), body)
+    paper = X.newspaper_body("kind", "content", "summary", "source", "title", "collector")
+    return own.select("doc_id", X.display_title("source", "title", "collector").alias("title"), catalog.alias("catalog"), F.sha2(paper.cast("binary"), 256).alias("body_digest"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN regexp_replace(text, '\n', chr(10) || '风险提示：' || chr(10)) ELSE '# Head' || chr(10) || chr(10) || text END AS md, split_part(text, chr(10), 1) AS title FROM documents),
+  l AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) AS i FROM m), s AS (SELECT doc_id, i, line, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM l),
+  e AS (SELECT doc_id, min(i) FILTER (WHERE starts_with(t, '风险提示') OR starts_with(t, '以上精彩内容来自') OR contains(t, '年度会员')) AS stop FROM s GROUP BY doc_id),
+  k AS (SELECT s.doc_id, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS trimmed FROM s JOIN e USING (doc_id) WHERE stop IS NULL OR i < stop GROUP BY s.doc_id),
+  c AS (SELECT *, t <> '' AND NOT starts_with(t, '#') AND NOT starts_with(t, '>') AND NOT starts_with(t, '![') AS has, replace(regexp_replace(t, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '*', '') AS bare FROM s),
+  f AS (SELECT doc_id, min(i) FILTER (WHERE has) AS lo FROM c GROUP BY doc_id), b AS (SELECT c.doc_id, any_value(lo) AS lo, min(i) FILTER (WHERE t = '' AND i > lo) AS hi FROM c JOIN f USING (doc_id) GROUP BY c.doc_id),
+  w AS (SELECT c.doc_id, i, bare, coalesce(sum(length(bare)) OVER (PARTITION BY c.doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c JOIN b USING (doc_id) WHERE has AND (hi IS NULL OR i < hi)),
+  p AS (SELECT doc_id, trim(regexp_replace(string_agg(bare, ' ' ORDER BY i), '\s+', ' ', 'g')) AS para FROM w WHERE before < 140 GROUP BY doc_id)
+  SELECT m.doc_id, sha256(coalesce(trimmed, '')) AS trimmed, CASE WHEN length(para) > 140 THEN left(para, 139) || '…' ELSE coalesce(para, '') END AS paragraph,
+    lpad((m.doc_id % 90 + 10)::VARCHAR, 2, '0') || '-' || coalesce(nullif(regexp_replace(replace(left(CASE WHEN title = '' THEN 'h' || m.doc_id ELSE title END, 40), ' ', '-'), '[^\p{L}\p{M}\p{Nd}\p{Pc}\-]+', '', 'g'), ''), left('h' || m.doc_id, 8)) AS slug
+  FROM m LEFT JOIN k USING (doc_id) LEFT JOIN p USING (doc_id)""")
+def x25_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    first, rest = F.substring_index("text", "\n", 1), F.expr("substring(text, instr(text, '\\n') + 1)")
+    md = F.when(n % 4 == 0, F.when(F.instr("text", "\n") > 0, F.concat(first, F.lit("\n风险提示：\n"), rest)).otherwise(F.col("text"))).otherwise(F.concat(F.lit("# Head\n\n"), "text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", md.alias("md"), first.alias("title"))
+    slug = X.item_slug("title", F.concat(F.lit("h"), n.cast("string")), n % 90 + 10)
+    return d.select("doc_id", F.sha2(X.trim_boilerplate("md").cast("binary"), 256).alias("trimmed"), X.first_paragraph("md").alias("paragraph"), slug.alias("slug"))
+
+
+@query(f"""WITH {HTML_SQL}, {QUALITY_SQL.replace('nav|menu', pages.NAVIGATION)}, o AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'error' WHEN page_id % 7 = 0 THEN 'blocked' WHEN tier IN ('full', 'partial') THEN 'ok' ELSE 'degraded' END AS outcome FROM t)
+  SELECT count(*) FILTER (WHERE outcome = 'ok') AS ok, count(*) FILTER (WHERE outcome = 'degraded') AS degraded, count(*) FILTER (WHERE outcome = 'blocked') AS blocked, count(*) FILTER (WHERE outcome = 'error') AS error, count(*) FILTER (WHERE page_id % 3 = 0) AS cached, 0::BIGINT AS restored FROM o""")
+def a12_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    p = table(spark, sf_dir, "pages").withColumn("error", F.when(n % 11 == 0, "timeout")).withColumn("status", F.when(n % 7 == 0, 403).otherwise(200)).withColumn("from_cache", n % 3 == 0)
+    return pages.outcome_counts(pages.extract(p))
+
+
+@query(f"""WITH {HTML_SQL}, y AS (SELECT x.page_id, x.text, repeat('Words of a summary ' || x.page_id || ' ', 6) AS s, CASE WHEN x.page_id % 2 = 0 THEN left(x.text, 30) END AS f FROM x),
+  {QUALITY_SQL.replace('nav|menu', pages.NAVIGATION).replace('FROM x)', 'FROM y)')} SELECT page_id, CASE WHEN tier = 'meta_only' THEN trim(s) ELSE text END AS text FROM t JOIN y USING (page_id)""")
+def x12_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    p = table(spark, sf_dir, "pages")
+    p = p.withColumn("s", F.repeat(F.concat(F.lit("Words of a summary "), n.cast("string"), F.lit(" ")), 6)).withColumn("f", F.when(n % 2 == 0, F.left(X.html_to_text("html"), F.lit(30))))
+    return pages.extract(p, "f", "s").select("page_id", "text")
+
 
+@query(r"""SELECT doc_id, regexp_matches(['https://mp.weixin.qq.com/s/','http://m.zhihu.com/p/','https://Example.com/a/','http://m.weibo.cn/status/','https://www.zhihu.com/question/1/answer/'][doc_id % 5 + 1] || doc_id, 'mp\.weixin\.qq\.com/s|zhihu\.com/p/|/answer/') AS photo_host,
+  coalesce(CASE WHEN doc_id % 9 = 0 THEN NULL ELSE least(doc_id % 400, doc_id * 7 % 400) >= 160 END, false) AS printable FROM documents""")
+def f10_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    place = F.element_at(F.array(*map(F.lit, ("https://mp.weixin.qq.com/s/", "http://m.zhihu.com/p/", "https://Example.com/a/", "http://m.weibo.cn/status/", "https://www.zhihu.com/question/1/answer/"))), (n % 5 + 1).cast("int"))
+    width = F.when(n % 9 == 0, "wide").otherwise((n % 400).cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.is_photo_host(F.concat(place, n.cast("string")), PHOTO_HOSTS).alias("photo_host"), X.is_printable(width, n * 7 % 400, pages.PHOTO_SIDE).alias("printable"))

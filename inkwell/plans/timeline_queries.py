@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.operators import merge, ranking, timeline
+from inkwell.operators import edition, merge, ranking, timeline
 from inkwell.plans.tables import AS_OF_BOARD, AS_OF_ITEMS, AS_OF_RUNS, ITEMS_SQL, RUNS_SQL, SNAPSHOTS_SQL, clock, items, runs, snapshots, table
 
 QUERIES, ORACLE = {}, {}
@@ -78,6 +78,24 @@ def a4_diagnose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("collector", "runs", "ok_runs", "failed_runs", "new_24h", "new_7d", clock("last_run"), "state", "severity")
 
 
+@query(f"""WITH {RUNS_SQL}, {ITEMS_SQL}, d AS ({HEALTH.format(h=24)}), w AS ({HEALTH.format(h=168)}), e AS (SELECT DISTINCT 'c' || s_suppkey % 25 AS collector FROM supplier),
+  s AS (SELECT e.collector, coalesce(d.runs, 0) AS runs, coalesce(d.ok_runs, 0) AS ok_runs, coalesce(d.new_items, 0) AS new_24h, coalesce(w.new_items, 0) AS new_7d, d.last_error FROM e LEFT JOIN d USING (collector) LEFT JOIN w USING (collector)),
+  t AS (SELECT *, CASE WHEN runs = 0 THEN 'idle' WHEN ok_runs = 0 THEN 'never_ok' WHEN new_7d / 7.0 >= 3 AND new_24h < 0.2 * new_7d / 7.0 THEN 'volume_drop' ELSE 'ok' END AS state FROM s),
+  a AS (SELECT row_number() OVER (ORDER BY collector) AS pos, CASE state WHEN 'never_ok' THEN collector || ' 过去 24h 全失败' || coalesce(' · ' || last_error, '') ELSE collector || ' 产出骤降:24h=' || new_24h || ' < 20% × 7日日均 ' || printf('%.1f', new_7d / 7.0) END AS alert FROM t WHERE state IN ('never_ok', 'volume_drop')),
+  u AS (SELECT count(*) AS n, (epoch(TIMESTAMP '2024-01-31') - epoch(min(fetched_at))) / 3600.0 AS hours FROM items WHERE used_in IS NULL AND kind IN ('article', 'post') AND content IS NOT NULL AND trim(content) <> '')
+  SELECT * FROM a UNION ALL SELECT 1000000, count(*) || ' 张网 24h 未调度' FROM t WHERE state = 'idle' HAVING count(*) > 0 UNION ALL SELECT 1000001, n || ' 篇有正文的未读已积压 ' || round_even(hours, 0)::INT || 'h,该出报了' FROM u WHERE hours >= 72 AND n >= 5""")
+def a4_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = table(spark, sf_dir, "supplier").select(F.concat(F.lit("c"), (F.col("s_suppkey") % 25).cast("string")).alias("collector")).distinct()
+    return timeline.alerts(timeline.diagnose(expected, runs(spark, sf_dir), AS_OF_RUNS), timeline.backlog(items(spark, sf_dir), AS_OF_ITEMS))
+
+
+@query()
+def s12_health_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = table(spark, sf_dir, "supplier").select(F.concat(F.lit("c"), (F.col("s_suppkey") % 25).cast("string")).alias("collector")).distinct()
+    state, left = timeline.diagnose(expected, runs(spark, sf_dir), AS_OF_RUNS), timeline.backlog(items(spark, sf_dir), AS_OF_ITEMS)
+    return edition.health_page(state, timeline.alerts(state, left), left, "now").select("text")
+
+
 @query(f"WITH {ITEMS_SQL} SELECT source, count(*) AS items, count(*) FILTER (WHERE used_in IS NULL) AS unused, count(content) AS with_content FROM items GROUP BY ROLLUP (source)")
 def a1_item_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.item_stats(items(spark, sf_dir))
@@ -179,13 +197,13 @@ def u8_replace_if_longer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items(spark, sf_dir).select("content_hash", F.char_length(merge.longer(F.col("content"), F.col("summary"))).cast("long").alias("n"))
 
 
-@query("""WITH c AS (SELECT s_suppkey AS k, 's' || s_suppkey % 60 AS name, s_name AS url, s_nationkey AS weight FROM supplier WHERE s_suppkey < 60),
+@query("""WITH c AS (SELECT s_suppkey AS k, 's' || s_suppkey AS name, s_name AS url, s_nationkey AS weight FROM supplier),
   o AS (SELECT 's' || (n_nationkey * 3) AS name, n_name AS url, n_regionkey AS weight, n_nationkey % 4 = 0 AS disabled FROM nation)
   SELECT c.name, coalesce(o.url, c.url) AS url, coalesce(o.weight, c.weight) AS weight FROM c LEFT JOIN o ON c.name = o.name WHERE coalesce(NOT o.disabled, true)
   UNION ALL SELECT name, url, weight FROM o WHERE NOT disabled AND name NOT IN (SELECT name FROM c)
   UNION ALL SELECT 'r' || r_regionkey, r_name, r_regionkey FROM region""")
 def j15_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "supplier").where("s_suppkey < 60").select(F.concat(F.lit("s"), (F.col("s_suppkey") % 60).cast("string")).alias("name"), F.col("s_name").alias("url"), F.col("s_nationkey").alias("weight"))
+    c = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_name").alias("url"), F.col("s_nationkey").alias("weight"))
     o = table(spark, sf_dir, "nation").select(F.concat(F.lit("s"), (F.col("n_nationkey") * 3).cast("string")).alias("name"), F.col("n_name").alias("url"), F.col("n_regionkey").alias("weight"), (F.col("n_nationkey") % 4 == 0).alias("disabled"))
     extra = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("name"), F.col("r_name").alias("url"), F.col("r_regionkey").alias("weight"))
     return merge.overlay(c, o, extra)

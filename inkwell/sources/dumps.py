@@ -34,23 +34,41 @@ def parse_feed_date(raw: Column) -> Column:
 
 
 FEED = "title string, link string, description string, author string, pubDate string, category array<string>, `content:encoded` string"
+_LINK = "struct<_href:string,_rel:string>"
+ATOM = f"title string, link array<{_LINK}>, id string, summary string, content string, author struct<name:string>, published string, updated string, category array<struct<_term:string>>"
 
 
-def read_feed(spark: SparkSession, path: str, name: str, source: str = "rss", include: str | None = None, exclude: str | None = None) -> DataFrame:
-    """Items of a feed's XML; title patterns keep or drop entries; content is the long text, or a description of 80 characters or more."""
-    rows = spark.read.schema(FEED).format("xml").option("rowTag", "item").load(path)
-    title, link = one_line(html_to_text("title")), F.trim(F.coalesce("link", F.lit("")))
-    full, encoded = html_to_text("description"), html_to_text("`content:encoded`")
+def _rss(spark: SparkSession, path: str) -> DataFrame:
+    r = spark.read.schema(FEED).format("xml").option("rowTag", "item").load(path)
+    return r.select("title", "link", F.col("description").alias("full"), F.col("content:encoded").alias("encoded"), "author", parse_feed_date(F.col("pubDate")).alias("published_at"), F.col("category").alias("tags"))
+
+
+def _atom(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of an Atom feed: the alternate link, or else the first; content as markup or text; the author's name."""
+    r = spark.read.schema(ATOM).format("xml").option("rowTag", "entry").load(path)
+    other = F.filter("link", lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    link = F.coalesce(F.get(other, F.lit(0))["_href"], F.get("link", F.lit(0))["_href"])
+    time = F.coalesce(F.try_to_timestamp("published"), F.try_to_timestamp("updated"))
+    return r.select("title", link.alias("link"), F.coalesce("summary", F.lit("")).alias("full"), F.col("content").alias("encoded"), F.col("author.name").alias("author"), time.alias("published_at"), F.transform("category", lambda c: c["_term"]).alias("tags"))
+
+
+def read_feed(spark: SparkSession, path: str, name: str, source: str = "rss", include: str | None = None, exclude: str | None = None, atom: bool = False) -> DataFrame:
+    """Items of a feed's XML (RSS, or Atom); title patterns keep or drop entries; content is the long text, or a description of 80 characters or more."""
+    entries = _atom(spark, path) if atom else _rss(spark, path)
+    full, encoded = html_to_text("full"), html_to_text("encoded")
     if source == "zhihu":
         full, encoded = strip_footer(full), strip_footer(encoded)
-    out = rows.select(title.alias("title"), link.alias("url"), full.alias("full"), encoded.alias("encoded"), "author", parse_feed_date(F.col("pubDate")).alias("published_at"), F.col("category").alias("tags"))
+    out = entries.select(one_line(html_to_text("title")).alias("title"), F.trim(F.coalesce("link", F.lit(""))).alias("url"), full.alias("full"), encoded.alias("encoded"), "author", "published_at", "tags")
     out = out.where((F.col("title") != "") | (F.col("url") != "")).where(~is_activity(F.lit(source), "title", F.lit(name)))
     if exclude:
         out = out.where(~F.col("title").rlike(exclude))
     if include:
         out = out.where(F.concat_ws("\n", "title", "full").rlike(include))
     content = F.when(F.char_length("encoded") > 80, F.col("encoded")).when(F.char_length("full") >= 80, F.col("full"))
-    return out.select(F.lit(source).alias("source"), F.lit("article").alias("kind"), F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), F.coalesce(F.nullif("url", F.lit("")), F.concat(F.lit(f"urn:rss:{name}:"), "title")).alias("url"), F.nullif(F.left("full", F.lit(500)), F.lit("")).alias("summary"), content.alias("content"), F.coalesce("author", F.lit(name)).alias("author"), "published_at", F.lit(name).alias("collector"), "tags")
+    return out.select(
+        F.lit(source).alias("source"), F.lit("article").alias("kind"), F.coalesce(F.nullif("title", F.lit("")), "url").alias("title"), F.coalesce(F.nullif("url", F.lit("")), F.concat(F.lit(f"urn:rss:{name}:"), "title")).alias("url"),
+        F.nullif(F.left("full", F.lit(500)), F.lit("")).alias("summary"), content.alias("content"), F.coalesce("author", F.lit(name)).alias("author"), "published_at", F.lit(name).alias("collector"), "tags",
+    )
 
 
 NOTE = "note_id string, type string, title string, desc string, time string, nickname string, user_id string, liked_count string, note_url string, tag_list string, user struct<nickname:string,user_id:string>, interact_info struct<liked_count:string>"

@@ -36,14 +36,18 @@ def first_seen(stream: DataFrame) -> DataFrame:
     return stream.groupBy("board", "content_hash").applyInPandasWithState(run, "board string, content_hash string, first_seen timestamp", "first timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
-def rising(stream: DataFrame, hours: int = 6, slide_minutes: int = 30, min_delta: int = 15, late: str = "1 hour") -> DataFrame:
-    """(window, board, content_hash, delta) of sliding windows, as the batch operator has them for one window."""
+def rising(stream: DataFrame, hours: int = 6, slide_minutes: int = 30, late: str = "1 hour") -> DataFrame:
+    """(window_end, board, content_hash, delta) of sliding windows: the first place less the best one.
+
+    Run in update mode: a window's row is written again whenever it changes, until the watermark passes its end and its state is
+    dropped; rows that come later than ``late`` don't count.  Which deltas are large enough is asked of the last rows."""
     own = stream.withWatermark("observed_at", late).groupBy(F.window("observed_at", f"{hours} hours", f"{slide_minutes} minutes"), "board", "content_hash")
     out = own.agg(F.min_by("rank", F.struct("observed_at", "rank")).alias("first"), F.min("rank").alias("best"))
-    return out.select(F.col("window.end").alias("window_end"), "board", "content_hash", (F.col("first") - F.col("best")).alias("delta")).where(F.col("delta") >= min_delta)
+    return out.select(F.col("window.end").alias("window_end"), "board", "content_hash", (F.col("first") - F.col("best")).alias("delta"))
 
 
 def rolling_health(stream: DataFrame, hours: int = 24, slide_hours: int = 1, late: str = "1 hour") -> DataFrame:
+    """(window_end, collector, runs, ok_runs, new_items) of rolling windows; for update mode, as ``rising``."""
     own = stream.withWatermark("started_at", late).groupBy(F.window("started_at", f"{hours} hours", f"{slide_hours} hours"), "collector")
     return own.agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "ok").alias("ok_runs"), F.sum(F.coalesce("new_count", F.lit(0))).alias("new_items")).select(F.col("window.end").alias("window_end"), "collector", "runs", "ok_runs", "new_items")
 
@@ -66,24 +70,65 @@ def drip(stream: DataFrame) -> DataFrame:
     return stream.groupBy("queue_id").applyInPandasWithState(run, "queue_id string, unit_id string, pos long", "pos long", "update", GroupStateTimeout.NoTimeout)
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str, seq: str = "seq"):
-    """Merges every micro-batch into the versioned Parquet table below ``table``; a batch that is run again writes the same version."""
+def ingest(stream: DataFrame, table: str, checkpoint: str, seq: str = "seq", key: str = "content_hash", buckets: int = 64):
+    """Merges every micro-batch into the table below ``table``; read it with ``read_items``.
+
+    Rows are kept in ``buckets`` by hash of their key.  A batch reads and writes only the buckets that it touches, under its own
+    version, and then a manifest that says which version of each bucket counts (one row a bucket, so it's small).  A batch that is
+    run again after a failure starts from the same manifest and writes the same version; versions that no manifest of the last
+    batches names can be removed at any time."""
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        now = spark.read.parquet(f"{table}/v{epoch - 1}") if epoch else spark.createDataFrame([], batch.drop(seq).schema)
-        upsert_items(now, batch).drop("is_new", "duplicates").write.mode("overwrite").parquet(f"{table}/v{epoch}")
+        rows = batch.withColumn("bucket", _bucket(key, buckets))
+        touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most ``buckets``
+        held = _manifest(spark, table, epoch - 1) if epoch else {}
+        old = [held[b] for b in touched if b in held]
+        now = _read_parts(spark, old, batch.drop(seq).schema)
+        merged = upsert_items(now, batch).drop("is_new", "duplicates").withColumn("bucket", _bucket(key, buckets))
+        merged.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/data/v{epoch}")
+        held |= {b: f"{table}/data/v{epoch}/bucket={b}" for b in touched}
+        spark.createDataFrame(sorted(held.items()), "bucket int, path string").coalesce(1).write.mode("overwrite").parquet(f"{table}/manifest/v{epoch}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that has landed and reads back what it wrote below ``folder``; in complete mode that is the last state, in update mode all rows that changed."""
+def _bucket(key: str, buckets: int):
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _manifest(spark: SparkSession, table: str, version: int) -> dict[int, str]:
+    return {r["bucket"]: r["path"] for r in spark.read.parquet(f"{table}/manifest/v{version}").collect()}
+
+
+def _read_parts(spark: SparkSession, paths: list[str], schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def read_items(spark: SparkSession, table: str, version: int, schema) -> DataFrame:
+    """The table as it was after a batch."""
+    return _read_parts(spark, list(_manifest(spark, table, version).values()), schema)
+
+
+def drain(stream: DataFrame, folder: str, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Runs a stream over all that has landed and reads back what it wrote below ``folder``.
+
+    In complete mode that is the last state; in update mode the last row of each of ``keys``, or all rows that changed without them."""
     spark = stream.sparkSession
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
     else:
-        query = stream.writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/{n:06d}" if mode == "update" else f"{folder}/out/all")).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
+
+        def land(batch: DataFrame, n: int) -> None:
+            place = f"{folder}/out/batch={n}" if mode == "update" else f"{folder}/out/batch=0"
+            batch.write.mode("overwrite").parquet(place)
+
+        query = stream.writeStream.foreachBatch(land).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    out = spark.read.schema(stream.schema).parquet(f"{folder}/out" if mode == "append" else f"{folder}/out/*")
-    return out
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    out = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*")
+    if not keys:
+        return out.drop("batch")
+    rest = [c for c in stream.columns if c not in keys]
+    return out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*").select(*stream.columns)
