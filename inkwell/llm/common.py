@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Documents are taken in blocks of about this many bytes, so that a task's memory does not follow its batch.
 BLOCK_BYTES = 500_000
+#: A worker keeps so many powers of either base from one task to the next (8 MB each).
+HELD_POWERS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -25,14 +27,15 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of the hash base (or of its inverse) modulo 2**64."""
+    """The first n powers of the hash base (or of its inverse) modulo 2**64; up to HELD_POWERS of them are kept for later calls."""
     key, base = ("inverse", _INVERSE) if inverse else ("base", _BASE)
     have = _powers.get(key)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16, 0 if have is None else 2 * len(have))
-        have = np.full(size, base, dtype=np.uint64)
+        have = np.full(max(n, min(1 << 16 if have is None else 2 * len(have), HELD_POWERS)), base, dtype=np.uint64)
         have[0] = 1
-        _powers[key] = have = np.cumprod(have, dtype=np.uint64)
+        have = np.cumprod(have, dtype=np.uint64, out=have)
+        if len(have) <= HELD_POWERS:
+            _powers[key] = have
     return have[:n]
 
 

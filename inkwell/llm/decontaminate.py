@@ -23,11 +23,21 @@ RESULT = f"doc_id long, n_words long, hit_words array<int>, items array<long>, m
 
 
 def words_of(column: pa.Array, size: int = SHARD_BYTES):
-    """(first row, row after the last, word hashes, first word of each row and one more) of blocks of rows."""
-    for at, to, data, offs in text_blocks(column, size):
+    """(first row, row after the last, word hashes, first word of each row and one more) of runs of rows of about ``size`` bytes.
+
+    Words are hashed a small block at a time, so that a shard costs little more than its hashes."""
+    held: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    begin, taken = 0, 0
+    for _, to, data, offs in text_blocks(column):
         data = lower_ascii(data)
         starts, ends, first = word_spans(data, offs, _PARTS)
-        yield at, to, word_hashes(data, starts, ends), first
+        held.append(word_hashes(data, starts, ends))
+        counts.append(np.diff(first))
+        taken += len(data)
+        if taken >= size or to == len(column):
+            yield begin, to, np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+            held, counts, begin, taken = [], [], to, 0
 
 
 class TestSuffixes:
