@@ -345,8 +345,9 @@ def packed_schema(*columns: str) -> str:
 
 
 def by_bucket(packed: DataFrame) -> DataFrame:
-    """Each bucket in the partition of its number; there are as many buckets as shuffle partitions."""
-    return packed.repartitionById(partitions(packed.sparkSession), F.col("bucket")).sortWithinPartitions("bucket")
+    """Each bucket whole in one of as many partitions as a shuffle has, by its number; buckets in order."""
+    parts = partitions(packed.sparkSession)
+    return packed.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket")
 
 
 def unpack(batches: Iterator[pa.RecordBatch], **kinds) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
