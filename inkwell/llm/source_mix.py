@@ -13,13 +13,23 @@ PHASES = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _placed(rows: DataFrame, by: str) -> DataFrame:
+    """``rows`` with their place (from 0) in order of a column without repeats: a range partitioning, and one sum over its partitions."""
+    ranged = rows.repartitionByRange(partitions(rows.sparkSession), by).sortWithinPartitions(by)
+    ranged = cut(ranged.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
+    counts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(F.broadcast(counts.select("part", before.alias("before"))), "part").withColumn("place", F.col("at") + F.col("before")).drop("part", "at", "before")
+
+
 def source_targets(totals: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
     """Adds ``target`` to one row per source (skey, source_size): shares of all tokens by weight, at most ``cap`` times a source.
 
     Sources take the weights in order of ``skey``, repeating.  What a source can't take is shared out among the others by
     weight until none is above its cap; each round brings two sums to the driver."""
-    turn = (F.row_number().over(Window.orderBy("skey")) - 1) % len(weights)
-    totals = cut(totals.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (turn + 1).cast("int")).cast("double")).withColumn("most", F.col("source_size") * F.lit(float(cap))))
+    turn = F.col("place") % len(weights)
+    totals = _placed(totals, "skey").withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (turn + 1).cast("int")).cast("double"))
+    totals = cut(totals.drop("place").withColumn("most", F.col("source_size") * F.lit(float(cap))))
     share = 0.0
     while True:
         full = F.col("weight") * F.lit(share) > F.col("most")
@@ -57,6 +67,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     spark = docs.sparkSession
     sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = sized.withColumn("skey", F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source")))
+    sized = cut(sized)  # words are counted once; sampling for the ranges reads the counts alone
     ranged = sized.repartitionByRange(partitions(spark), "skey", "size", "key").sortWithinPartitions("skey", "size", "key")
     ranged = cut(ranged.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
     runs = ranged.groupBy("skey", "part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("start"), F.sum("size").alias("words"))
