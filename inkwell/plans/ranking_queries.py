@@ -71,6 +71,11 @@ def f5_f6_f7_feed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.title_includes(own, spark.sql("SELECT * FROM VALUES ('src1', '(?i)the|und') AS t(collector, pattern)")).select("content_hash")
 
 
+def _newest(rows: DataFrame) -> str:
+    """The time of the newest item: an edition of it closes then."""
+    return str(rows.agg(F.max("fetched_at")).first()[0])
+
+
 def _has(word: str, of: str) -> str:
     return f"regexp_matches({of}, '(?:^|[^a-z0-9]){word}(?:[^a-z0-9]|$)')"
 
@@ -299,7 +304,8 @@ def s12_ranked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def s12_subscription_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("src"), F.col("n_nationkey").cast("string")).alias("collector"), F.lit("rss").alias("source"), F.lit("article").alias("kind"), (1.0 + F.col("n_regionkey")).alias("weight"))
-    own = ranking.round_robin(ranking.subscription_items(_dated(items(spark, sf_dir)), n, AS_OF_ITEMS), n.select("collector", "weight"))
+    every = _dated(items(spark, sf_dir))
+    own = ranking.round_robin(ranking.subscription_items(every, n, _newest(every)), n.select("collector", "weight"))
     own = own.withColumn("pos", F.row_number().over(Window.orderBy("place", "collector"))).withColumn("edition_id", F.lit("2024-01-31-am")).withColumn("already", F.when(F.col("doc_id") % 4 == 0, "头版"))
     return edition.subscription_pages(own, n, "now").select("edition_id", F.char_length("text").alias("n"))
 
@@ -447,7 +453,7 @@ def rank_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
     liked = own.join(table(spark, sf_dir, "labels").where("quality = 1").hint("merge"), "doc_id").join(vectors.hint("merge"), "content_hash")
     centroids = taste.weighted_centroids(liked.select((F.col("doc_id") % 4).alias("cluster"), "vector", F.lit(1.0).alias("weight")))
     model = taste.TasteModel(cut(centroids), cut(taste.length_stats(liked)))
-    out = newsroom.rank_edition(own, vectors, model, GROUPS, AS_OF_ITEMS, "pm")
+    out = newsroom.rank_edition(own, vectors, model, GROUPS, _newest(own), "pm")
     return out.select("n", "section", "content_hash", "title", F.round("score", 6).alias("score"))
 
 
