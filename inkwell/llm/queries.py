@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import decontaminate, fertility, language, line_dedup, near_duplicates, pitman_yor, source_mix, substring_dedup, toxicity, warc
+from inkwell.llm import decontaminate, fertility, language, line_dedup, near_duplicates, pitman_yor, source_mix, substring_dedup, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +67,16 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_line_dedup, op4_near_duplicates, op5_toxicity, op6_source_mix, op7_fertility, op8_decontaminate, op9_warc, op10_pitman_yor)}
+#: The contract's rules: host, path, verdict.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_line_dedup, op4_near_duplicates, op5_toxicity, op6_source_mix, op7_fertility, op8_decontaminate, op9_warc, op10_pitman_yor, op13_url_filter)}
 
 ORACLE_SQL = {
     "op6_source_mix": r"""
@@ -112,5 +121,18 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM r
+""",
+    "op13_url_filter": r"""
+WITH p AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+r(h, q, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fits AS (
+  SELECT page_id, arg_max(h || q, len(h || q)) AS rule, arg_max(v, len(h || q)) AS v
+  FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict
+FROM p LEFT JOIN fits USING (page_id)
 """,
 }
