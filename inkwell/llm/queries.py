@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import decontaminate, fertility, language, line_dedup, near_duplicates, pitman_yor, source_mix, substring_dedup, toxicity, url_filter, warc
+from inkwell.llm import decontaminate, fertility, language, line_dedup, near_duplicates, pitman_yor, source_mix, spelling, substring_dedup, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,17 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z\u00C0-\u00FF]{6,}"), 0)).alias("run"))
+    # lower() leaves alone what has no capital at all; else only A-Z are lowered
+    runs = runs.select("doc_id", F.when(F.col("run") == F.lower("run"), F.col("run")).otherwise(F.translate("run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).alias("run"))
+    h, run = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "run").cast("binary")), F.col("run")
+    at = (h % F.char_length(run)).cast("int")
+    words = runs.select(F.when(h % 199 == 0, F.concat(F.substr(run, F.lit(1), at), F.substr(run, at + 2))).otherwise(run).alias("word"))
+    return spelling.spelling_variants(spelling.count_words(words, min_chars=6, min_count=5))
+
+
 #: The contract's rules: host, path, verdict.
 URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
@@ -76,7 +87,7 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_line_dedup, op4_near_duplicates, op5_toxicity, op6_source_mix, op7_fertility, op8_decontaminate, op9_warc, op10_pitman_yor, op13_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_line_dedup, op4_near_duplicates, op5_toxicity, op6_source_mix, op7_fertility, op8_decontaminate, op9_warc, op10_pitman_yor, op12_spelling_variants, op13_url_filter)}
 
 ORACLE_SQL = {
     "op6_source_mix": r"""
@@ -121,6 +132,37 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM r
+""",
+    "op12_spelling_variants": r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS k, hex(encode(doc_id || ':' || run)) AS x FROM runs WHERE len(run) >= 6 GROUP BY ALL),
+hashed AS (
+  SELECT run, k, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(1, len(x), 2), lambda j: ('0x' || substr(x, j, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS h
+  FROM counted, crc_table),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % len(run))::INT) || substr(run, (h % len(run))::INT + 2) ELSE run END AS word, k FROM hashed),
+vocabulary AS (SELECT word, sum(k)::BIGINT AS n FROM words WHERE len(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+dropped AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, len(word) + 1)) AS i FROM vocabulary)),
+pairs AS (
+  SELECT DISTINCT a.word, b.word AS near, b.n AS m FROM dropped a JOIN dropped b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT DISTINCT a.word, b.word, b.n FROM dropped a JOIN vocabulary b ON a.rest = b.word
+  UNION SELECT DISTINCT a.word, b.word, b.n FROM vocabulary a JOIN dropped b ON a.word = b.rest),
+ranked AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY m DESC, near) AS place FROM pairs),
+formed AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN near END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n
+  FROM vocabulary v LEFT JOIN ranked r ON r.word = v.word AND place = 1),
+walk AS (
+  SELECT word, word AS here, 0 AS depth FROM formed
+  UNION ALL SELECT w.word, f.form, depth + 1 FROM walk w JOIN formed f ON f.word = w.here WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(here, depth) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
 """,
     "op13_url_filter": r"""
 WITH p AS (
