@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import decontaminate, fertility, language, line_dedup, near_duplicates, pitman_yor, source_mix, spelling, substring_dedup, toxicity, url_filter, warc
+from inkwell.llm import decontaminate, fertility, language, lexical_search, line_dedup, near_duplicates, pitman_yor, source_mix, spelling, substring_dedup, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,10 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", language.held_out("doc_id", 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     runs = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z\u00C0-\u00FF]{6,}"), 0)).alias("run"))
@@ -87,7 +91,7 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_line_dedup, op4_near_duplicates, op5_toxicity, op6_source_mix, op7_fertility, op8_decontaminate, op9_warc, op10_pitman_yor, op12_spelling_variants, op13_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_line_dedup, op4_near_duplicates, op5_toxicity, op6_source_mix, op7_fertility, op8_decontaminate, op9_warc, op10_pitman_yor, op11_lexical_search, op12_spelling_variants, op13_url_filter)}
 
 ORACLE_SQL = {
     "op6_source_mix": r"""
@@ -132,6 +136,23 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM r
+""",
+    "op11_lexical_search": r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+tf AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_words FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY term),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_words))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), totals GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
 """,
     "op12_spelling_variants": r"""
 WITH RECURSIVE crc_table AS (
