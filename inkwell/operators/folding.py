@@ -41,17 +41,22 @@ def simhash(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("id").cast("long").alias("id"), "tokens").mapInArrow(run, "id long, h long")
 
 
+def block_keys(h: str, most: int = 3) -> Column:
+    """The ten keys of a hash: each pair of its five blocks, about 26 bits, under the pair's number."""
+    if most > 3:
+        raise ValueError("five blocks find hashes up to three bits apart")
+    blocks = [(0, 13), (13, 26), (26, 39), (39, 52), (52, 64)]
+    part = lambda lo, hi: F.call_function("shiftrightunsigned", F.col(h), F.lit(lo)).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+    keys = [F.lit(n << 26).bitwiseOR(F.call_function("shiftleft", part(*x), F.lit(13))).bitwiseOR(part(*y)) for n, (x, y) in enumerate(combinations(blocks, 2))]
+    return F.array(*keys)
+
+
 def near_hashes(hashed: DataFrame, most: int = 3) -> DataFrame:
     """(h, g), h < g: the distinct hashes of ``hashed`` (h) that differ in at most ``most`` of 64 bits, three at most.
 
     Hashes that differ in three bits agree on two of five blocks, so each is met under ten keys of about 26 bits; equal hashes are
     one from the start."""
-    if most > 3:
-        raise ValueError("five blocks find hashes up to three bits apart")
-    blocks = [(0, 13), (13, 26), (26, 39), (39, 52), (52, 64)]
-    part = lambda lo, hi: F.call_function("shiftrightunsigned", F.col("h"), F.lit(lo)).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-    keys = [F.lit(n << 26).bitwiseOR(F.call_function("shiftleft", part(*x), F.lit(13))).bitwiseOR(part(*y)) for n, (x, y) in enumerate(combinations(blocks, 2))]
-    rows = cut(hashed.select("h").distinct()).select("h", F.explode(F.array(*keys)).alias("k"))
+    rows = cut(hashed.select("h").distinct()).select("h", F.explode(block_keys("h", most)).alias("k"))
     left, right = rows.alias("x"), rows.alias("y")
     near = F.bit_count(F.col("x.h").bitwiseXOR(F.col("y.h"))) <= most
     return cut(left.join(right.hint("merge"), (F.col("x.k") == F.col("y.k")) & (F.col("x.h") < F.col("y.h")) & near).select("x.h", F.col("y.h").alias("g")).distinct())

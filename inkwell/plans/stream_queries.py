@@ -7,8 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.functions import text as X
+from inkwell.operators.folding import simhash
 from inkwell.operators.graph import shared_folder
+from inkwell.operators.near_index import NearIndex, link_stream
 from inkwell.plans.tables import RUNS_SQL, SNAPSHOTS_SQL, clock
+from inkwell.plans.text_queries import PAIRS_SQL
 from inkwell.streaming import streams
 
 QUERIES, ORACLE = {}, {}
@@ -107,3 +111,12 @@ def t1_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = max(p["batchId"] for p in job.recentProgress)
     out = streams.read_items(spark, f"{folder}/items", last, rows.drop("seq").schema)
     return out.select("content_hash", F.lit(True).alias("stored"), F.char_length("content").cast("long").alias("content_n"), "rank")
+
+
+@query(f"WITH {PAIRS_SQL} SELECT * FROM pairs")
+def j6_index_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents land in four drops; each is linked to the index of those before it and then added."""
+    folder = _folder(spark)
+    rows = _landing(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("id"), X.tokenize("text").alias("tokens"))
+    link_stream(simhash(rows), NearIndex(spark, f"{folder}/index", buckets=8), folder).awaitTermination()
+    return spark.read.schema("a long, b long").parquet(f"{folder}/pairs/*")
