@@ -13,7 +13,7 @@ from inkwell.operators.graph import shared_folder
 from inkwell.operators.near_index import NearIndex, link_stream
 from inkwell.plans.tables import RUNS_SQL, SNAPSHOTS_SQL, clock
 from inkwell.plans.text_queries import PAIRS_SQL
-from inkwell.streaming import streams
+from inkwell.streaming import late, state, streams
 
 QUERIES, ORACLE = {}, {}
 
@@ -36,16 +36,30 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _landing(spark: SparkSession, sf_dir: str, name: str, order: str, parts: int = 4) -> DataFrame:
-    """A stream of the table as it would land: ``parts`` drops in order of a column, one micro-batch each."""
-    rows, folder = spark.read.parquet(f"{sf_dir}/{name}.parquet"), f"{_folder(spark)}/{name}"
+def _drops(spark: SparkSession, sf_dir: str, name: str, order: str, parts: int = 4, held: str | None = None) -> list[DataFrame]:
+    """The table as it would land: ``parts`` drops in order of a column.
+
+    Rows of which ``held`` is true are held back and all land in a further drop after the others."""
+    rows, out = spark.read.parquet(f"{sf_dir}/{name}.parquet"), []
     low, high = rows.agg(F.min(order), F.max(order)).first()
     step = (high - low) / parts
     for k in range(parts):
         own = rows if k == parts - 1 else rows.where(F.col(order) < F.lit(low + step * (k + 1)))
         own = own.where(F.col(order) >= F.lit(low + step * k)) if k else own
+        out.append(own.where(f"not ({held})") if held else own)
+    return out + [rows.where(held)] if held else out
+
+
+def _stream(spark: SparkSession, folder: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+
+
+def _landing(spark: SparkSession, sf_dir: str, name: str, order: str, parts: int = 4, held: str | None = None) -> DataFrame:
+    """A stream of all ``_drops``, one micro-batch each."""
+    drops, folder = _drops(spark, sf_dir, name, order, parts, held), f"{_folder(spark)}/{name}"
+    for k, own in enumerate(drops):
         own.coalesce(1).write.parquet(f"{folder}/{k}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    return _stream(spark, folder, drops[0].schema)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,13 +67,16 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir)
+    return _as_snapshots(_events(spark, sf_dir))
+
+
+def _as_snapshots(e: DataFrame) -> DataFrame:
     return e.select(F.col("event_type").alias("board"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("content_hash"), F.col("ts").cast("timestamp").alias("observed_at"), (F.floor("value").cast("int") % 50 + 1).alias("rank"), F.col("value").alias("heat"))
 
 
-def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _runs(spark: SparkSession, sf_dir: str, held: str | None = None) -> DataFrame:
     bad = F.col("event_type") == "error"
-    e = _events(spark, sf_dir)
+    e = _landing(spark, sf_dir, "events", "ts", held=held)
     return e.select(F.concat(F.lit("c"), (F.col("user_id") % 20).cast("string")).alias("collector"), F.col("ts").cast("timestamp").alias("started_at"), F.when(bad, "failed").otherwise("ok").alias("status"), F.get_json_object("props", "$.k").cast("long").alias("new_count"))
 
 
@@ -71,7 +88,12 @@ def t2_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {SNAPSHOTS_SQL} SELECT board, content_hash, strftime(min(observed_at), '%Y-%m-%d %H:%M:%S') AS first_seen FROM snapshots GROUP BY ALL")
 def t3_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.drain(streams.first_seen(_snapshots(spark, sf_dir)), _folder(spark))
+    """The stream stops after two drops and starts again from its checkpoint for the other two."""
+    folder, drops = _folder(spark), _drops(spark, sf_dir, "events", "ts")
+    for k, own in enumerate(drops):
+        own.coalesce(1).write.parquet(f"{folder}/in/{k}")
+        if k % 2:
+            out = streams.drain(state.first_seen(_as_snapshots(_stream(spark, f"{folder}/in", own.schema))), folder)
     return out.select("board", "content_hash", clock("first_seen"))
 
 
@@ -82,8 +104,11 @@ def t4_rising(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("delta >= 15").select(clock("window_end"), "board", "content_hash", "delta")
 
 
-@query(f"""WITH {RUNS_SQL}, w AS (SELECT *, unnest(range(0, 24)) AS k FROM runs), x AS (SELECT *, time_bucket(INTERVAL 1 HOUR, started_at) + INTERVAL 1 HOUR + to_hours(k) AS e FROM w)
-  SELECT strftime(e, '%Y-%m-%d %H:%M:%S') AS window_end, collector, count(*) AS runs, count(*) FILTER (WHERE status = 'ok') AS ok_runs, sum(coalesce(new_count, 0))::BIGINT AS new_items FROM x GROUP BY e, collector""")
+HEALTH_SQL = f"""WITH {RUNS_SQL}, w AS (SELECT *, unnest(range(0, 24)) AS k FROM runs), x AS (SELECT *, time_bucket(INTERVAL 1 HOUR, started_at) + INTERVAL 1 HOUR + to_hours(k) AS e FROM w)
+  SELECT strftime(e, '%Y-%m-%d %H:%M:%S') AS window_end, collector, count(*) AS runs, count(*) FILTER (WHERE status = 'ok') AS ok_runs, sum(coalesce(new_count, 0))::BIGINT AS new_items FROM x GROUP BY e, collector"""
+
+
+@query(HEALTH_SQL)
 def t5_rolling_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = streams.drain(streams.rolling_health(_runs(spark, sf_dir), late=LATE), _folder(spark), "update", ("window_end", "collector"))
     return out.select(clock("window_end"), "collector", "runs", "ok_runs", "new_items")
@@ -98,10 +123,19 @@ def t6_edition_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id::VARCHAR AS queue_id, max(turn) AS pos FROM conversations GROUP BY conv_id")
 def t7_drip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _landing(spark, sf_dir, "conversations", "turn").select(F.col("conv_id").cast("string").alias("queue_id"), F.concat_ws("-", "conv_id", "turn").alias("unit_id"), F.col("turn").alias("pos"))
-    out = streams.drain(streams.drip(rows), _folder(spark), "update")
+    out = streams.drain(state.drip(rows), _folder(spark), "update")
     return out.groupBy("queue_id").agg(F.max("pos").alias("pos"))
 
 
+@query("""WITH q AS (SELECT 'u' || user_id AS queue_id, max(event_id) AS pos, max(ts) AS last FROM events GROUP BY user_id)
+  SELECT queue_id, pos, last + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS due FROM q""")
+def t7_due_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queues whose last print is twelve hours behind the watermark when all has landed; a timer for each tells."""
+    rows = _events(spark, sf_dir).select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("queue_id"), F.col("event_id").cast("string").alias("unit_id"), F.col("event_id").alias("pos"), F.col("ts").cast("timestamp").alias("printed_at"))
+    out = streams.drain(state.drip(rows, due_hours=12), _folder(spark), "update", ("queue_id",))
+    return out.select("queue_id", "pos", (F.col("state") == "due").alias("due"))
+
+
 @query("SELECT (doc_id % 300)::VARCHAR AS content_hash, count(*) > 0 AS stored, length(arg_min(text, doc_id)) AS content_n, arg_max(doc_id % 50 + 1, doc_id) AS rank FROM documents GROUP BY doc_id % 300")
 def t1_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _landing(spark, sf_dir, "documents", "doc_id").select((F.col("doc_id") % 300).cast("string").alias("content_hash"), "source", (F.col("doc_id") % 50 + 1).alias("rank"), F.lit(None).cast("double").alias("heat"), F.col("text").alias("content"), F.col("doc_id").alias("seq"))
@@ -120,3 +154,15 @@ def j6_index_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _landing(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("id"), X.tokenize("text").alias("tokens"))
     link_stream(simhash(rows), NearIndex(spark, f"{folder}/index", buckets=8), folder).awaitTermination()
     return spark.read.schema("a long, b long").parquet(f"{folder}/pairs/*")
+
+
+@query(HEALTH_SQL)
+def t8_late_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the runs lands after all others, most of it far behind the watermark; the windows that it touches are repaired."""
+    folder, windows = _folder(spark), streams.health_windows()
+    rows = _runs(spark, sf_dir, held="event_id % 10 = 7")
+    written = streams.drain(streams.rolling_health(rows), f"{folder}/stream", "update", ("window_end", "collector"))
+    late.keep_late(rows, windows, f"{folder}/kept").awaitTermination()
+    again = late.recompute(spark, f"{folder}/kept", rows.schema, late.read_late(spark, f"{folder}/kept", rows.schema), windows)
+    out = late.repair(written, again, windows)
+    return out.select(clock("window_end"), "collector", "runs", "ok_runs", "new_items")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkwell.operators.merge import upsert_items
+from inkwell.streaming.late import Windows, with_columns
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -21,35 +18,30 @@ def dedupe_snapshots(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return stream.where("rank is not null").withWatermark("observed_at", late).dropDuplicatesWithinWatermark(["content_hash", "board", "observed_at"])
 
 
-def first_seen(stream: DataFrame) -> DataFrame:
-    """Emits (board, content_hash, first_seen) once for every item of a board.
-
-    State holds a time for each item ever seen, so it grows with distinct items; a time-to-live would call a returning item new."""
+def rising_windows(hours: int = 6, slide_minutes: int = 30) -> Windows:
+    """(delta) for each item of a board: the first place less the best one."""
+    delta = F.min_by("rank", F.struct("observed_at", "rank")) - F.min("rank")
+    return Windows("observed_at", ("board", "content_hash"), f"{hours} hours", f"{slide_minutes} minutes", (delta.alias("delta"),))
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = [f["observed_at"].min() for f in frames if len(f)]
-        if not state.exists and times:
-            first = min(times)
-            state.update((first.to_pydatetime(),))
-            yield pd.DataFrame({"board": [key[0]], "content_hash": [key[1]], "first_seen": [first]})
 
-    return stream.groupBy("board", "content_hash").applyInPandasWithState(run, "board string, content_hash string, first_seen timestamp", "first timestamp", "append", GroupStateTimeout.NoTimeout)
+def health_windows(hours: int = 24, slide_hours: int = 1) -> Windows:
+    """(runs, ok_runs, new_items) for each collector."""
+    values = (F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "ok").alias("ok_runs"), F.sum(F.coalesce("new_count", F.lit(0))).alias("new_items"))
+    return Windows("started_at", ("collector",), f"{hours} hours", f"{slide_hours} hours", values)
 
 
 def rising(stream: DataFrame, hours: int = 6, slide_minutes: int = 30, late: str = "1 hour") -> DataFrame:
     """(window_end, board, content_hash, delta) of sliding windows: the first place less the best one.
 
     Run in update mode: a window's row is written again whenever it changes, until the watermark passes its end and its state is
-    dropped; rows that come later than ``late`` don't count.  Which deltas are large enough is asked of the last rows."""
-    own = stream.withWatermark("observed_at", late).groupBy(F.window("observed_at", f"{hours} hours", f"{slide_minutes} minutes"), "board", "content_hash")
-    out = own.agg(F.min_by("rank", F.struct("observed_at", "rank")).alias("first"), F.min("rank").alias("best"))
-    return out.select(F.col("window.end").alias("window_end"), "board", "content_hash", (F.col("first") - F.col("best")).alias("delta"))
+    dropped; rows that come later than ``late`` don't count (``late.keep_late`` keeps them).  Which deltas are large enough is asked
+    of the last rows."""
+    return rising_windows(hours, slide_minutes).reckon(stream.withWatermark("observed_at", late))
 
 
 def rolling_health(stream: DataFrame, hours: int = 24, slide_hours: int = 1, late: str = "1 hour") -> DataFrame:
     """(window_end, collector, runs, ok_runs, new_items) of rolling windows; for update mode, as ``rising``."""
-    own = stream.withWatermark("started_at", late).groupBy(F.window("started_at", f"{hours} hours", f"{slide_hours} hours"), "collector")
-    return own.agg(F.count(F.lit(1)).alias("runs"), F.count_if(F.col("status") == "ok").alias("ok_runs"), F.sum(F.coalesce("new_count", F.lit(0))).alias("new_items")).select(F.col("window.end").alias("window_end"), "collector", "runs", "ok_runs", "new_items")
+    return health_windows(hours, slide_hours).reckon(stream.withWatermark("started_at", late))
 
 
 def edition_slots(rows: DataFrame, time: str = "observed_at") -> DataFrame:
@@ -57,19 +49,6 @@ def edition_slots(rows: DataFrame, time: str = "observed_at") -> DataFrame:
     return rows.groupBy(F.window(time, "12 hours", "12 hours", "11 hours").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("slot"), F.when(F.hour("w.end") == 23, "am").otherwise("pm").alias("edition"), "n")
 
 
-def drip(stream: DataFrame) -> DataFrame:
-    """(queue_id, unit_id, pos): the cursor of each queue after every confirmed print (queue_id, unit_id, pos); it never goes back."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames))
-        best = rows.sort_values("pos").iloc[-1]
-        if not state.exists or int(best["pos"]) > state.get[0]:
-            state.update((int(best["pos"]),))
-            yield pd.DataFrame({"queue_id": [key[0]], "unit_id": [best["unit_id"]], "pos": [int(best["pos"])]})
-
-    return stream.groupBy("queue_id").applyInPandasWithState(run, "queue_id string, unit_id string, pos long", "pos long", "update", GroupStateTimeout.NoTimeout)
-
-
 def ingest(stream: DataFrame, table: str, checkpoint: str, seq: str = "seq", key: str = "content_hash", buckets: int = 64):
     """Merges every micro-batch into the table below ``table``; read it with ``read_items``.
 
@@ -127,7 +106,7 @@ def drain(stream: DataFrame, folder: str, mode: str = "append", keys: tuple[str,
     query.awaitTermination()
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(f"{folder}/out")
-    out = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*")
+    out = spark.read.schema(with_columns(stream.schema, batch="long")).option("basePath", f"{folder}/out").parquet(f"{folder}/out/batch=*")
     if not keys:
         return out.drop("batch")
     rest = [c for c in stream.columns if c not in keys]
