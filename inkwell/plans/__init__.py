@@ -5,10 +5,10 @@ from inkwell.plans.timeline_queries import board_watch
 
 def all_queries() -> tuple[dict, dict]:
     """(queries, SQL by name)."""
-    from inkwell.plans import ranking_queries, stream_queries, text_queries, timeline_queries
+    from inkwell.plans import dump_queries, ranking_queries, stream_queries, text_queries, timeline_queries
 
     queries, sql = {}, {}
-    for module in (timeline_queries, text_queries, ranking_queries, stream_queries):
+    for module in (timeline_queries, text_queries, ranking_queries, stream_queries, dump_queries):
         queries |= module.QUERIES
         sql |= module.ORACLE
     return queries, sql

@@ -82,7 +82,7 @@ def test_atom_creator_and_api_dumps(spark, tmp_path):
     assert got == [("Atom one", "http://x/1", "Ann", long.strip(), "2024-01-02 03:04:05", ["t1"]), ("Two", "http://x/2", "n", None, "2024-01-03 00:00:00", None)]
     (tmp_path / "c.jsonl").write_text('{"note_id":"1","type":"video","title":" ","desc":"Long text of a note","time":"1700000000000","user":{"nickname":"N","user_id":"u"},"interact_info":{"liked_count":"1.2万"}}\n{"title":"no id"}\n')
     r = dumps.read_creator(spark, str(tmp_path / "c.jsonl"), "n").collect()
-    assert [(x.title, x.kind, x.author, x.author_id, x.heat, x.url) for x in r] == [("Long text of a note", "video", "N", "u", 12000.0, "https://www.xiaohongshu.com/explore/1")]
+    assert [(x.title, x.kind, x.author, x.author_id, x.heat, x.url) for x in r] == [("https://www.xiaohongshu.com/explore/1", "post", "N", "u", None, "https://www.xiaohongshu.com/explore/1"), ("no id", "post", None, None, None, "urn:xhs:n:no id")]
     (tmp_path / "p.json").write_text('{"code":20000,"data":{"title":" A ","content":"<p>x</p><p>y</p>"}}')
     assert [(x.title, x.text) for x in dumps.read_article_api(spark, str(tmp_path / "p.json")).collect()] == [("A", "x\n\ny")]
     (tmp_path / "q.json").write_text('{"code":404,"data":{"title":"A"}}')
