@@ -11,6 +11,7 @@ from inkwell.functions.fixed import (
     PRINT_NO_BODY, PRINT_RELATED, PRINT_VIDEO, SECTION_INTROS, SECTION_ORDER, SECTION_PRIORITY, SECTION_TITLES,
 )
 from inkwell.functions.text import article_kind, display_title, first_sentence, format_heat, is_blank, mapping, newspaper_body, reading_minutes, summary_of
+from inkwell.operators.titles import match_titles
 
 
 def roll_up(sections: DataFrame) -> DataFrame:
@@ -36,20 +37,6 @@ def feedback_by_number(feedback: DataFrame, manifest: DataFrame) -> tuple[DataFr
     return feedback.join(known, keys).select("content_hash", "edition_id", "label"), feedback.join(known.select(*keys), keys, "left_anti")
 
 
-def match_titles(articles: DataFrame, ranking: DataFrame, default: float = 0.2, most_ranked: int = 10_000) -> DataFrame:
-    """``articles`` (id, title) with the score of the ranked title (pos, title, score) that is equal, else of the first that holds it or is held by it.
-
-    Equal titles are an equi join; only the rest meets the ranking, an edition's bounded list whose size is checked, for substrings."""
-    if ranking.limit(most_ranked + 1).count() > most_ranked:
-        raise ValueError(f"a ranking of more than {most_ranked} titles")
-    exact = ranking.groupBy("title").agg(F.min_by("score", "pos").alias("score"))
-    same = articles.join(exact, "title").select("id", "score")
-    rest = articles.join(exact.select("title"), "title", "left_anti")
-    some = ranking.where(F.col("title") != "").select(F.col("title").alias("t"), "pos", "score")
-    near = rest.join(F.broadcast(some), F.contains("title", "t") | F.contains("t", "title")).groupBy("id").agg(F.min_by("score", "pos").alias("score"))
-    return articles.join(same.unionByName(near), "id", "left").withColumn("score", F.coalesce("score", F.lit(default)))
-
-
 def union_images(first: DataFrame, second: DataFrame, most: int = 8) -> DataFrame:
     """(content_hash, urls): images of two tables (content_hash, images array<string>), each once, in order."""
     rows = first.select("content_hash", F.lit(0).alias("o"), F.posexplode("images").alias("p", "url")).unionByName(second.select("content_hash", F.lit(1).alias("o"), F.posexplode("images").alias("p", "url")))

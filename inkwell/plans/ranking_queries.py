@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from inkwell.functions import scoring
 from inkwell.functions import text as X
-from inkwell.operators import edition, merge, newsroom, packing, ranking, taste
+from inkwell.operators import edition, merge, newsroom, packing, ranking, rules, taste, titles
 from inkwell.operators.graph import cut, shared_folder
 from inkwell.operators.vectors import HashEmbedder
 from inkwell.plans.tables import AS_OF_ITEMS, ITEMS_SQL, items, table
@@ -80,16 +80,48 @@ def _has(word: str, of: str) -> str:
     return f"regexp_matches({of}, '(?:^|[^a-z0-9]){word}(?:[^a-z0-9]|$)')"
 
 
-@query(f"""WITH {ITEMS_SQL}, t AS (SELECT content_hash, lower(title) AS title, lower(title || chr(10) || concat_ws(' ', summary, content)) AS f FROM items),
+KEYWORDS_SQL = f"""WITH {ITEMS_SQL}, t AS (SELECT content_hash, lower(title) AS title, lower(title || chr(10) || concat_ws(' ', summary, content)) AS f FROM items),
   m AS (SELECT content_hash, 'g1' AS g, CASE WHEN ({_has('the', 'f')} AND {_has('the', 'title')}) OR ({_has('und', 'f')} AND {_has('und', 'title')}) THEN 1.5 ELSE 1.0 END AS w FROM t WHERE ({_has('the', 'f')} OR {_has('und', 'f')}) AND NOT {_has('stupid', 'f')}
     UNION ALL SELECT content_hash, 'g2', CASE WHEN ({_has('of', 'f')} AND {_has('of', 'title')}) OR (NOT {_has('of', 'f')} AND {_has('des', 'title')}) OR {_has('licensed', 'title')} THEN 3.0 ELSE 2.0 END FROM t WHERE {_has('of', 'f')} OR {_has('des', 'f')}
     UNION ALL SELECT content_hash, 'g3', CASE WHEN {_has('para', 'title')} THEN 0.75 ELSE 0.5 END FROM t WHERE {_has('para', 'f')} AND NOT {_has('idiot', 'f')})
-  SELECT content_hash, arg_min(g, (-w, g)) AS best, count(*) AS hits, round(sum(w)::DOUBLE / (sum(w)::DOUBLE + 2.0), 6) AS keyword FROM m GROUP BY content_hash""")
+  SELECT content_hash, arg_min(g, (-w, g)) AS best, count(*) AS hits, round(sum(w)::DOUBLE / (sum(w)::DOUBLE + 2.0), 6) AS keyword FROM m GROUP BY content_hash"""
+
+
+@query(KEYWORDS_SQL)
 def x22_f11_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ranking.keyword_matches(items(spark, sf_dir), GROUPS).where(F.size("matches") > 0)
     return out.select("content_hash", F.col("matches")[0]["group"].alias("best"), F.size("matches").cast("long").alias("hits"), F.round("keyword", 6).alias("keyword"))
 
 
+@query(KEYWORDS_SQL)
+def x22_rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same groups as rows of a table."""
+    fields = ("name", "must", "any", "exclude", "weight", "aliases")
+    table_of = spark.createDataFrame([tuple(g.get(f) for f in fields) for g in GROUPS], rules.RULES)
+    out = rules.match_rules(items(spark, sf_dir), table_of).where(F.size("matches") > 0)
+    return out.select("content_hash", F.col("matches")[0]["group"].alias("best"), F.size("matches").cast("long").alias("hits"), F.round("keyword", 6).alias("keyword"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+'), lambda w: len(w) >= 7) AS w FROM documents),
+  r AS (SELECT doc_id || '-' || k AS name, lower(w[5 * k + 1]) AS must, [lower(w[5 * k + 2]), lower(w[5 * k + 3])] AS some, lower(w[5 * k + 4]) AS out, lower(w[5 * k + 5]) AS alias, w[5 * k + 4] = w[5 * k + 1] AS same, 1.0 + doc_id % 3 AS weight FROM d, range(5) x(k) WHERE len(w) >= 5 * k + 5),
+  t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '|', 'g') AS text FROM d)),
+  h AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+')) AS t FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', '|', 'g') AS text FROM d)),
+  must AS (SELECT DISTINCT r.*, t.doc_id AS item, CASE WHEN EXISTS (SELECT 1 FROM t u WHERE u.doc_id = t.doc_id AND u.t = r.must) THEN must ELSE alias END AS hit FROM r JOIN t ON t.t = r.must OR t.t = r.alias),
+  fit AS (SELECT * FROM must m WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = m.item AND (t.t = m.out OR m.same AND t.t = m.alias))),
+  m AS (SELECT item, name, weight * CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.doc_id = f.item AND (h.t = f.hit OR h.t = f.some[1] OR h.t = f.some[2])) THEN 1.5 ELSE 1.0 END AS w FROM fit f)
+  SELECT item AS doc_id, arg_min(name, (-w, name)) AS best, count(*) AS hits, round(sum(w)::DOUBLE, 6) AS total FROM m GROUP BY item""")
+def x22_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to five rules of each document's long words, so as many rules as five times the documents, over all documents."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    long = F.filter(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), lambda w: F.char_length(w) >= 7)
+    own = d.select("doc_id", long.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n")).where(F.size("w") >= 5 * F.col("n") + 5)
+    at = lambda i: F.get("w", 5 * F.col("n") + i)
+    made = own.select(F.concat_ws("-", "doc_id", "n").alias("name"), F.array(at(0)).alias("must"), F.array(at(1), at(2)).alias("any"), F.array(at(3)).alias("exclude"), (1.0 + F.col("doc_id") % 3).alias("weight"), F.create_map(at(0), F.array(at(4))).alias("aliases"))
+    named = d.withColumn("title", F.substring_index("text", "\n", 1))
+    out = rules.match_rules(named, made, "doc_id", body=F.col("text")).where(F.size("matches") > 0)
+    return out.select("doc_id", F.col("matches")[0]["group"].alias("best"), F.size("matches").cast("long").alias("hits"), F.round(F.aggregate("matches", F.lit(0.0), lambda s, m: s + m["weight"]), 6).alias("total"))
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = items(spark, sf_dir)
     age = (F.unix_timestamp(F.lit(AS_OF_ITEMS).cast("timestamp")) - F.unix_timestamp(X.event_time("published_at", "fetched_at"))) / 3600.0
@@ -345,7 +377,18 @@ def j11_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j12_match_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", " ", 1).alias("title"))
     r = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), F.substring_index("text", " ", 1).alias("title"), F.round(F.col("item_id") / 100.0, 2).alias("score"))
-    return edition.match_titles(a, r)
+    return titles.match_titles(a, r)
+
+
+@query("""WITH a AS (SELECT doc_id AS id, split_part(text, ' ', 1) AS title FROM documents), r AS (SELECT doc_id AS pos, split_part(text, ' ', 2) AS title, round(doc_id / 100.0, 2)::DOUBLE AS score FROM documents),
+  e AS (SELECT id, arg_min(score, pos) AS score FROM a JOIN r USING (title) GROUP BY id), n AS (SELECT id, arg_min(score, pos) AS score FROM a JOIN r ON contains(a.title, r.title) OR contains(r.title, a.title) WHERE id NOT IN (SELECT id FROM e) AND r.title <> '' GROUP BY id)
+  SELECT a.id, a.title, coalesce(e.score, n.score, 0.2)::DOUBLE AS score FROM a LEFT JOIN e USING (id) LEFT JOIN n USING (id)""")
+def j12_match_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First words of all documents against a ranking of all second words, sent in small blocks."""
+    d = table(spark, sf_dir, "documents")
+    word = lambda n: F.coalesce(F.get(F.split("text", " "), F.lit(n)), F.when(F.col("text").isNotNull(), ""))
+    a, r = d.select(F.col("doc_id").alias("id"), word(0).alias("title")), d.select(F.col("doc_id").alias("pos"), word(1).alias("title"), F.round(F.col("doc_id") / 100.0, 2).alias("score"))
+    return titles.match_titles(a, r, block_bytes=4_000)
 
 
 @query("""WITH x AS (SELECT page_id // 5 AS k, 0 AS o, page_id AS p, 'u' || page_id % 7 AS url FROM pages UNION ALL SELECT page_id // 5, 1, page_id, 'u' || page_id % 11 FROM pages), f AS (SELECT k, url, min((o, p)) AS place FROM x GROUP BY ALL),
