@@ -43,7 +43,8 @@ def rank_edition(
     least: float = 0.12,
     near: float = 0.82,
 ) -> DataFrame:
-    """(n, section, content_hash, title, score): headline, deep-read and critical articles of an edition, numbered from 1.
+    """(n, section, content_hash, title, score, related, reason): headline, deep-read and critical articles of an edition, numbered from 1,
+    with the titles of the reports that were folded into each (at most twenty, in order of score) and what the critic said.
 
     ``items`` with a column length; ``vectors`` (content_hash, vector).  Candidates are scored with a neutral critic; the best
     ``coarse`` of them are judged, scored again, and folded into events; what reaches ``least`` is diversified into ``slots``, some of
@@ -60,6 +61,9 @@ def rank_edition(
 
     hashed = cut(folding.simhash(top.select("id", tokenize(text_for_embedding("title", "content", "summary")).alias("tokens"))))
     events = folding.fold_events(top.select("id", F.col("total").alias("score")), hashed, top.select("id", "vector"), near)
+    events = cut(events)
+    folded = events.where("id <> primary").join(top.select("id", "total", display_title("source", "title", "collector").alias("t")).hint("merge"), "id")
+    folded = folded.groupBy(F.col("primary").alias("id")).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("o"), "id", "t")))["t"], 1, 20).alias("related"))  # of the best ``coarse``
     leads = cut(top.join(events.select(F.col("primary").alias("id")).distinct().hint("merge"), "id", "left_semi"))
     good = cut(ranking.viable(leads, excludes, least=least).withColumn("edition", F.lit(edition)))
     n = min(slots, good.count())
@@ -70,5 +74,5 @@ def rank_edition(
     ranked = chosen.join(good.select("content_hash", "kind", "length", F.col("critic.score").alias("critic")).hint("merge"), "content_hash")
     sections = ranking.manifest(ranking.pin_daily(ranking.split_sections(ranked), items, as_of))
     title = items.select("content_hash", display_title("source", "title", "collector").alias("title"))
-    out = sections.join(title.hint("merge"), "content_hash").join(good.select("content_hash", F.col("total").alias("score")).hint("merge"), "content_hash", "left")
-    return out.select("n", "section", "content_hash", "title", F.coalesce("score", F.lit(0.0)).alias("score"))
+    out = sections.join(title.hint("merge"), "content_hash").join(good.join(folded.hint("merge"), "id", "left").select("content_hash", F.col("total").alias("score"), "related", F.col("critic.reason").alias("reason")).hint("merge"), "content_hash", "left")
+    return out.select("n", "section", "content_hash", "title", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("related", F.array().cast("array<string>")).alias("related"), "reason")

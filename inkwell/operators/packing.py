@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,33 +32,50 @@ def pack(rows: DataFrame, limit: int = 4000, key: str = "conv_id", order: str =
 
 
 def pack_sections(sections: DataFrame, limit: int = 4000, key: str = "doc") -> DataFrame:
-    """(key, job, sid, first, last): sections (key, pos, sid, paras array<string>) share a job up to ``limit`` characters; a longer
-    one is cut at paragraphs into jobs of its own."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, job, size, open_ = [], 0, 0, False
-        for _, r in pdf.sort_values("pos").iterrows():
-            sizes = [len("".join(p.split())) for p in r["paras"]]
-            total = sum(sizes)
-            if not sizes:
-                continue
-            if total > limit:
-                job, open_, size, first, held = job + open_, False, 0, 0, 0
-                for i, n in enumerate(sizes):
-                    if i > first and held + n > limit:
-                        out.append((r[key], job, r["sid"], first, i - 1))
-                        job, first, held = job + 1, i, 0
-                    held += n
-                out.append((r[key], job, r["sid"], first, len(sizes) - 1))
-                job += 1
-                continue
-            if open_ and size + total > limit:
-                job, size = job + 1, 0
-            out.append((r[key], job, r["sid"], 0, len(sizes) - 1))
-            size, open_ = size + total, True
-        return pd.DataFrame(out, columns=[key, "job", "sid", "first", "last"])
-
-    return sections.groupBy(key).applyInPandas(run, f"{key} {dict(sections.dtypes)[key]}, job int, sid string, first int, last int")
+    """(key, job, pos, sid, first, last): sections (key, pos, sid, paras array<string>) share a job up to ``limit`` characters; a longer
+    one is cut at paragraphs into jobs of its own.  Sections without paragraphs have no job.
+
+    A document's section sizes are folded as one array; texts stay where they are."""
+    sizes = F.transform("paras", char_count)
+    rows = sections.where(F.size("paras") > 0).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "sid", sizes.alias("n")))).alias("s"))
+    kinds = dict(sections.dtypes)
+    slices = F.array().cast(f"array<struct<job:int,pos:{kinds['pos']},sid:{kinds['sid']},first:int,last:int>>")
+    piece = lambda job, x, first, last: F.array(F.struct(job.cast("int").alias("job"), x["pos"].alias("pos"), x["sid"].alias("sid"), first.cast("int").alias("first"), last.cast("int").alias("last")))
+    state = lambda job, open_, size, out: F.struct(job.cast("int").alias("job"), open_.alias("open"), size.cast("int").alias("size"), out.alias("out"))
+    total = lambda x: F.aggregate(x["n"], F.lit(0), lambda a, b: a + b)
+
+    def cut_up(acc, x):
+        """A section over the limit: like ``pack`` over its paragraphs, from a new job on."""
+        start = F.struct((acc["job"] + acc["open"].cast("int")).alias("job"), F.lit(0).alias("first"), F.lit(0).alias("held"), acc["out"].alias("out"))
+
+        def step(a, i):
+            n = F.get(x["n"], i)
+            full = (i > a["first"]) & (a["held"] + n > limit)
+            out = F.when(full, F.concat(a["out"], piece(a["job"], x, a["first"], i - 1))).otherwise(a["out"])
+            return F.struct((a["job"] + full.cast("int")).alias("job"), F.when(full, i).otherwise(a["first"]).alias("first"), F.when(full, n).otherwise(a["held"] + n).alias("held"), out.alias("out"))
+
+        end = lambda a: state(a["job"] + 1, F.lit(False), F.lit(0), F.concat(a["out"], piece(a["job"], x, a["first"], F.size(x["n"]) - 1)))
+        return F.aggregate(F.sequence(F.lit(0), F.size(x["n"]) - 1), start, step, end)
+
+    def take(acc, x):
+        opens = acc["open"] & (acc["size"] + total(x) > limit)
+        job = acc["job"] + opens.cast("int")
+        out = F.concat(acc["out"], piece(job, x, F.lit(0), F.size(x["n"]) - 1))
+        return F.when(total(x) > limit, cut_up(acc, x)).otherwise(state(job, F.lit(True), F.when(opens, 0).otherwise(acc["size"]) + total(x), out))
+
+    packed = F.aggregate("s", state(F.lit(0), F.lit(False), F.lit(0), slices), take, lambda acc: acc["out"])
+    return rows.select(key, F.explode(packed).alias("j")).select(key, "j.*")
+
+
+def merge_slices(slices: DataFrame, key: str = "doc") -> DataFrame:
+    """(key, seq, sid, paras): slices (key, seq, sid, paras array<string>) in order of seq; neighbours of one section are joined again.
+
+    Slices of one section that others part stay apart.  Null sections are one another's equals; a document's slices are ordered by
+    one window, their paragraphs joined run by run."""
+    own = slices.withColumn("opens", (F.row_number().over(Window.partitionBy(key).orderBy("seq")) == 1) | ~F.col("sid").eqNullSafe(F.lag("sid").over(Window.partitionBy(key).orderBy("seq"))))
+    run = F.sum(F.col("opens").cast("int")).over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    joined = own.withColumn("run", run).groupBy(key, "run").agg(F.min("seq").alias("seq"), F.first("sid").alias("sid"), F.array_sort(F.collect_list(F.struct("seq", "paras"))).alias("p"))
+    return joined.select(key, "seq", "sid", F.flatten("p.paras").alias("paras"))
 
 
 def next_units(queue: DataFrame, state: DataFrame, used: DataFrame, most_skips: int = 5) -> DataFrame:

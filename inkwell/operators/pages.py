@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -129,3 +132,57 @@ def pick_images(candidates: DataFrame, most: int = 3) -> DataFrame:
     cover = F.max((F.col("role") == "cover").cast("int")).over(w)
     n = F.row_number().over(w.orderBy((F.col("role") == "cover").desc(), "pos"))
     return candidates.withColumn("cover", cover).withColumn("n", n).where(F.col("n") <= F.when(F.col("cover") == 1, most).otherwise(most - 1)).select("page_id", "n", "url", "role")
+
+
+def choose_images(candidates: DataFrame, articles: DataFrame, scorer: Callable[[pd.DataFrame], list] | None = None, most: int = 3, rows: int = 64) -> DataFrame:
+    """(page_id, n, url, role, caption): the photos that ``scorer`` keeps of each page's candidates (page_id, pos, url, role), else those of ``pick_images``.
+
+    The scorer gets frames of at most ``rows`` pages (page_id, title, body, photos: a list of (url, role)) and answers for each with
+    ``{"keep": [places from 0], "captions": [texts]}``.  Places that don't exist are skipped, an empty list keeps nothing, captions are
+    cut at 24 characters; an answer without a list falls back.  Where a call fails its pages are asked one by one, and only those
+    that fail again fall back.  ``articles`` (page_id, title, body) are the pages' texts; page ids are distinct, a page without candidates has no photo."""
+    photos = candidates.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "url", "role"))).alias("p")).select("page_id", F.transform("p", lambda x: F.struct(x["url"].alias("url"), x["role"].alias("role"))).alias("photos"))
+    own = photos.join(articles.select("page_id", "title", "body").hint("merge"), "page_id", "left").select("page_id", "title", "body", "photos")
+    kind = f"page_id {dict(own.dtypes)['page_id']}, photos {dict(own.dtypes)['photos']}, keep array<int>, captions array<string>"
+
+    def ask(frame: pd.DataFrame) -> list:
+        try:
+            out = list(scorer(frame))
+            if len(out) != len(frame):
+                raise ValueError("an answer for each page is needed")
+            return out
+        except Exception:
+            return [None] if len(frame) == 1 else [ask(frame.iloc[i : i + 1])[0] for i in range(len(frame))]
+
+    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), rows):
+                part = frame.iloc[at : at + rows]
+                checked = [_kept(a, len(p), most) for a, p in zip(ask(part), part["photos"], strict=True)]
+                yield pd.DataFrame({"page_id": part["page_id"].to_numpy(), "photos": part["photos"].to_numpy(), "keep": [c and c[0] for c in checked], "captions": [c and c[1] for c in checked]})
+
+    asked = own.mapInPandas(answer, kind) if scorer else own.withColumn("keep", F.lit(None).cast("array<int>")).withColumn("captions", F.lit(None).cast("array<string>"))
+    cover = lambda p: p["role"] == "cover"
+    of = lambda p, caption: F.struct(p["url"].alias("url"), p["role"].alias("role"), caption.alias("caption"))
+    plain = F.concat(F.filter("photos", cover), F.filter("photos", lambda p: ~cover(p)))
+    plain = F.transform(F.slice(plain, 1, F.when(F.exists("photos", cover), most).otherwise(most - 1)), lambda p: of(p, F.lit(None).cast("string")))
+    chosen = F.transform("keep", lambda k, i: of(F.get("photos", k), F.get("captions", i)))
+    return asked.select("page_id", F.posexplode(F.coalesce(chosen, plain)).alias("n", "p")).select("page_id", (F.col("n") + 1).alias("n"), "p.*")
+
+
+def _kept(answer, photos: int, most: int) -> tuple[list[int], list[str | None]] | None:
+    """(places, captions) of an answer, or None where it has no list."""
+    keep = answer.get("keep") if isinstance(answer, dict) else None
+    if not isinstance(keep, list):
+        return None
+    said = answer.get("captions") if isinstance(answer.get("captions"), list) else []
+    places, captions = [], []
+    for j, k in enumerate(keep):
+        try:
+            k = int(k)
+        except (TypeError, ValueError):
+            continue
+        if 0 <= k < photos and len(places) < most:
+            places.append(k)
+            captions.append(str(said[j])[:24] if j < len(said) and said[j] else None)
+    return places, captions

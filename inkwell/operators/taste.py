@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Estimator, Model
+from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable, MLReadable, MLWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.scoring import length_score, taste_similarity
 from inkwell.operators.graph import cut
-from inkwell.operators.vectors import NgramEmbedder, NgramEmbedderModel
+from inkwell.operators.vectors import NgramEmbedder, NgramEmbedderModel, TablesReader, TablesWriter
 
 
 def weighted_centroids(rows: DataFrame, cluster: str = "cluster", vector: str = "vector", weight: str = "weight", least: int = 3) -> DataFrame:
@@ -47,6 +49,7 @@ def cluster(rows: DataFrame, vector: str = "vector", k: int | None = None, seeds
     data = rows.withColumn("features", array_to_vector(F.transform(vector, lambda x: x.cast("double")))).cache()
     fits = [KMeans(k=k, seed=s, maxIter=40).fit(data) for s in range(1, seeds + 1)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
+    data.unpersist()
     return best.transform(data).withColumnRenamed("prediction", "cluster").drop("features")
 
 
@@ -54,24 +57,44 @@ def label_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
 
-class Taste(Estimator):
-    """Estimator: ``fit`` on liked rows (vector, length, weight) gives a TasteModel."""
+class _TasteColumns(Params):
+    vectorCol = Param(Params._dummy(), "vectorCol", "vector", TypeConverters.toString)
+    lengthCol = Param(Params._dummy(), "lengthCol", "length of the text", TypeConverters.toString)
 
-    def __init__(self, k: int | None = None, seeds: int = 8, least: int = 3):
+    def _columns(self, vector: str, length: str) -> None:
+        self._set(vectorCol=vector, lengthCol=length)
+
+    vector = property(lambda self: self.getOrDefault("vectorCol"))
+    length = property(lambda self: self.getOrDefault("lengthCol"))
+
+
+class Taste(_TasteColumns, Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """Estimator: ``fit`` on liked rows (vector, length, and weight, 1 where there is none) gives a TasteModel.  ``k`` 0 goes by the rows."""
+
+    k = Param(Params._dummy(), "k", "clusters", TypeConverters.toInt)
+    seeds = Param(Params._dummy(), "seeds", "starts of k-means", TypeConverters.toInt)
+    least = Param(Params._dummy(), "least", "members of a cluster", TypeConverters.toInt)
+
+    def __init__(self, k: int | None = None, seeds: int = 8, least: int = 3, vector: str = "vector", length: str = "length"):
         super().__init__()
-        self.k, self.seeds, self.least = k, seeds, least
+        self._columns(vector, length)
+        self._set(k=k or 0, seeds=seeds, least=least)
 
     def _fit(self, rows: DataFrame) -> TasteModel:
-        grouped = cluster(rows, k=self.k, seeds=self.seeds)
-        return TasteModel(weighted_centroids(grouped, least=self.least), length_stats(rows))
+        rows = rows if "weight" in rows.columns else rows.withColumn("weight", F.lit(1.0))
+        grouped = cut(cluster(rows, self.vector, self.getOrDefault("k") or None, self.getOrDefault("seeds")))
+        centroids = weighted_centroids(grouped, vector=self.vector, least=self.getOrDefault("least"))
+        return TasteModel(centroids, length_stats(rows, self.length), self.vector, self.length)
+
 
+class TasteModel(_TasteColumns, Model, MLReadable, MLWritable):
+    """At most eight centroids and one row of length statistics; saved and loaded with its params."""
 
-class TasteModel(Model):
-    """At most eight centroids and one row of length statistics; saved and loaded as Parquet."""
+    TABLES = ("centroids", "lengths")
 
     def __init__(self, centroids: DataFrame, lengths: DataFrame, vector: str = "vector", length: str = "length"):
         super().__init__()
-        self.vector, self.length = vector, length
+        self._columns(vector, length)
         self.centroids, self.lengths = centroids, lengths
 
     def profile(self) -> DataFrame:
@@ -83,22 +106,23 @@ class TasteModel(Model):
         out = items.join(F.broadcast(self.profile()))
         return out.withColumn("sim", taste_similarity(self.vector, "centroids", "sizes")).withColumn("len_score", length_score(self.length, "mu", "sigma")).drop("centroids", "sizes", "mu", "sigma")
 
-    def save(self, folder: str) -> None:
-        self.centroids.write.mode("overwrite").parquet(f"{folder}/centroids")
-        self.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+    def write(self) -> TablesWriter:
+        return TablesWriter(self, self.TABLES)
 
     @classmethod
-    def load(cls, spark, folder: str) -> TasteModel:
-        return cls(spark.read.parquet(f"{folder}/centroids"), spark.read.parquet(f"{folder}/lengths"))
+    def read(cls) -> TablesReader:
+        return TablesReader(cls, cls.TABLES)
 
 
 def load_or_fit(spark, folder: str, rows: DataFrame, embedder: NgramEmbedder | None = None, **how) -> tuple[TasteModel, NgramEmbedderModel]:
-    """(taste, embedder) of ``folder``, fitted on ``rows`` (id, text, length, weight) and saved there first if they're absent.
+    """(taste, embedder) of ``folder``, fitted on ``rows`` (id, text, length, weight) and saved there as one pipeline first if it is absent.
 
-    The vocabulary, its idf and the projection are saved beside the profile; the lengths, written last, say that all is there."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/lengths/_SUCCESS")
+    A mark that is written last says that all is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/whole/_SUCCESS")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         own = (embedder or NgramEmbedder()).fit(rows)
-        own.save(f"{folder}/embedder")
-        Taste(**how).fit(cut(own.transform(rows))).save(folder)
-    return TasteModel.load(spark, folder), NgramEmbedderModel.load(spark, f"{folder}/embedder")
+        model = PipelineModel([own, Taste(**how).fit(cut(own.transform(rows)))])
+        model.write().overwrite().save(f"{folder}/model")
+        spark.range(1).write.mode("overwrite").parquet(f"{folder}/whole")
+    stages = PipelineModel.load(f"{folder}/model").stages
+    return stages[1], stages[0]

@@ -4,70 +4,60 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwell.functions.text import char_ngrams, col
+from inkwell.functions.text import col
+from inkwell.operators import grams
 from inkwell.operators.graph import cut
 
 
-def gram_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, gram, n): the count of every character n-gram of each text."""
-    return docs.select(key, F.explode(char_ngrams(text)).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n"))
-
-
 def fit_vocabulary(docs: DataFrame, key: str, text: str, most: int = 4096) -> DataFrame:
-    """(gram, idx, df, idf) of the ``most`` grams of highest document frequency, ties by gram."""
+    """(gram, idx, df, idf) of the ``most`` grams of highest document frequency, ties by gram; every row is a document."""
     n = docs.count()
-    top = gram_counts(docs, key, text).groupBy("gram").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "gram").limit(most)
+    top = grams.document_frequency(docs, text).orderBy(F.desc("df"), "gram").limit(most)
     idx = F.row_number().over(Window.orderBy(F.desc("df"), "gram")) - 1
     return top.withColumn("idx", idx).withColumn("idf", F.ln((F.lit(n) + 1.0) / (F.col("df") + 1.0)) + 1.0)
 
 
-def weighted_counts(docs: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, idx, x): share of each known gram among all grams of a text, times its idf."""
-    counts = gram_counts(docs, key, text)
-    total = counts.groupBy(key).agg(F.sum("n").alias("total"))
-    known = counts.join(F.broadcast(vocabulary.select("gram", "idx", "idf")), "gram")
-    return known.join(total.hint("merge"), key).select(key, "idx", (F.col("n") / F.col("total") * F.col("idf")).alias("x"))
+def tfidf(docs: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, idx, weight): sparse unit vectors, a row for each cell; the count is divided by all grams of the text, known or not.
 
+    The vocabulary's size is bounded by its fit, so it's broadcast; ``grams.sparse_rows`` gives one row for each text instead."""
+    rows = grams.sparse_rows(docs, vocabulary, key, text)
+    return rows.select(key, "norm", F.explode(F.arrays_zip("idx", "x")).alias("c")).select(key, F.col("c.idx").alias("idx"), (F.col("c.x") / F.col("norm")).alias("weight"))
 
-def tfidf(docs: DataFrame, vocabulary: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, idx, weight): sparse unit vectors; the count is divided by all grams of the text, known or not.
 
-    The vocabulary's size is bounded by its fit, so it's broadcast."""
-    raw = weighted_counts(docs, vocabulary, key, text)
-    norm = raw.groupBy(key).agg((F.sqrt(F.sum(F.col("x") * F.col("x"))) + 1e-9).alias("norm"))
-    return raw.join(norm.hint("merge"), key).select(key, "idx", (F.col("x") / F.col("norm")).alias("weight"))
+def project(docs: DataFrame, vocabulary: DataFrame, projection: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, vector): the texts' weights times a matrix (idx, row array<double>), of unit length."""
+    return grams.projected(docs, vocabulary, _matrix(projection), key, text)
 
 
-def project(sparse: DataFrame, projection: DataFrame, key: str) -> DataFrame:
-    """(key, vector): sparse vectors times a matrix (idx, row array<double>), unit length."""
-    cells = sparse.join(F.broadcast(projection), "idx").select(key, F.posexplode("row").alias("d", "p"), "weight")
-    dense = cells.groupBy(key, "d").agg(F.sum(F.col("weight") * F.col("p")).alias("x"))
-    rows = dense.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v")).select(key, F.col("v.x").alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)) + 1e-9
-    return rows.select(key, F.transform("v", lambda x: x / norm).alias("vector"))
+def _matrix(projection: DataFrame) -> np.ndarray:
+    """A projection's rows in order of idx; it's as small as the vocabulary."""
+    rows = {r.idx: r.row for r in projection.select("idx", "row").collect()}
+    out = np.zeros((max(rows, default=-1) + 1, len(next(iter(rows.values()), []))))
+    for i, row in rows.items():
+        out[i] = row
+    return out
 
 
 def hash_cells(docs: DataFrame, key: str, text: str, dim: int = 128) -> DataFrame:
     """(key, idx, x): signed counts of character pairs by hash, sparse; cells that cancel out are dropped."""
-    h = F.conv(F.substring(F.md5("gram"), 1, 8), 16, 10).cast("long")
-    grams = docs.select(key, F.explode(char_ngrams(text, (2,))).alias("gram")).groupBy(key, "gram").agg(F.count(F.lit(1)).alias("n")).withColumn("h", h)
-    sign = F.when(F.call_function("shiftright", F.col("h"), F.lit(1)).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)
-    cells = grams.groupBy(key, (F.col("h") % dim).cast("int").alias("idx")).agg(F.sum(sign * F.col("n")).alias("x"))
-    return cells.where("x <> 0")
+    rows = grams.hashed(docs, key, text, dim, unit=False)
+    return rows.select(key, F.posexplode("vector").alias("idx", "x")).where("x <> 0")
 
 
 def hash_vectors(docs: DataFrame, key: str, text: str, dim: int = 128) -> DataFrame:
-    """(key, vector): dense unit vectors of ``hash_cells``."""
-    cells = hash_cells(docs, key, text, dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("idx", "x"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
-    out = cells.withColumn("v", dense)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)) + 1e-9
-    return out.select(key, F.transform("v", lambda x: x / norm).alias("vector"))
+    """(key, vector): dense vectors of ``hash_cells`` for each row where it is, of unit length; where all cells cancel out, all are 0."""
+    return grams.hashed(docs, key, text, dim)
 
 
 def lookup(keys: DataFrame, embeddings: DataFrame, model: str | None = None) -> DataFrame:
@@ -110,73 +100,199 @@ def _nearest_of(held: list[tuple[int, np.ndarray]], vectors: DataFrame, k: int)
     return vectors.select("id", "vector").mapInPandas(search, "query long, id long, cosine double")
 
 
-class HashEmbedder(Estimator):
+class _TextColumns(Params):
+    """Columns of an embedder: the key that goes along, the text, and where the vector goes."""
+
+    keyCol = Param(Params._dummy(), "keyCol", "key of a row", TypeConverters.toString)
+    textCol = Param(Params._dummy(), "textCol", "text", TypeConverters.toString)
+    vectorCol = Param(Params._dummy(), "vectorCol", "vector", TypeConverters.toString)
+
+    def _columns(self, key: str, text: str, vector: str) -> None:
+        self._setDefault(keyCol="id", textCol="text", vectorCol="vector")
+        self._set(keyCol=key, textCol=text, vectorCol=vector)
+
+    key = property(lambda self: self.getOrDefault("keyCol"))
+    text = property(lambda self: self.getOrDefault("textCol"))
+    vector = property(lambda self: self.getOrDefault("vectorCol"))
+
+    def _beside(self, dataset: DataFrame, vectors: DataFrame) -> DataFrame:
+        own = vectors.withColumnRenamed("vector", self.vector) if self.vector != "vector" else vectors
+        return dataset.join(own.hint("merge"), self.key, "left")
+
+
+class HashEmbedder(_TextColumns, Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """Vectors by hashing pairs of characters; nothing is learned from the corpus.  Adds ``vector`` to rows (key, text)."""
 
-    def __init__(self, key: str = "id", text: str = "text", dim: int = 128):
+    dim = Param(Params._dummy(), "dim", "places of a vector", TypeConverters.toInt)
+
+    def __init__(self, key: str = "id", text: str = "text", dim: int = 128, vector: str = "vector"):
         super().__init__()
-        self.key, self.text, self.dim = key, text, dim
+        self._columns(key, text, vector)
+        self._set(dim=dim)
 
     def _fit(self, dataset: DataFrame) -> HashEmbedderModel:
-        return HashEmbedderModel(self.key, self.text, self.dim)
+        return HashEmbedderModel(self.key, self.text, self.getOrDefault("dim"), self.vector)
+
 
+class HashEmbedderModel(_TextColumns, Model, DefaultParamsReadable, DefaultParamsWritable):
+    dim = Param(Params._dummy(), "dim", "places of a vector", TypeConverters.toInt)
 
-class HashEmbedderModel(Model):
-    def __init__(self, key: str, text: str, dim: int):
+    def __init__(self, key: str = "id", text: str = "text", dim: int = 128, vector: str = "vector"):
         super().__init__()
-        self.key, self.text, self.dim = key, text, dim
+        self._columns(key, text, vector)
+        self._set(dim=dim)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        own = hash_vectors(dataset, self.key, self.text, self.dim).hint("merge")
-        return dataset.join(own, self.key, "left")
+        return self._beside(dataset, hash_vectors(dataset, self.key, self.text, self.getOrDefault("dim")))
 
 
-class NgramEmbedder(Estimator):
+class NgramEmbedder(_TextColumns, Estimator, DefaultParamsReadable, DefaultParamsWritable):
     """Vectors of character n-grams weighted by tf-idf, projected on the leading directions of the texts that it was fitted on.
 
-    ``fit`` is meant for a golden set: its vocabulary of ``most`` grams and its projection are bounded.  With fewer than nine texts
-    nothing is projected and the vectors have one place for each gram."""
+    The vocabulary of ``most`` grams and the projection are bounded, whatever the texts.  With fewer than nine texts nothing is
+    projected and the vectors have one place for each gram."""
+
+    dim = Param(Params._dummy(), "dim", "directions kept", TypeConverters.toInt)
+    most = Param(Params._dummy(), "most", "grams kept", TypeConverters.toInt)
 
-    def __init__(self, key: str = "id", text: str = "text", dim: int = 64, most: int = 4096, most_texts: int = 10_000):
+    def __init__(self, key: str = "id", text: str = "text", dim: int = 64, most: int = 4096, vector: str = "vector"):
         super().__init__()
-        self.key, self.text, self.dim, self.most, self.most_texts = key, text, dim, most, most_texts
+        self._columns(key, text, vector)
+        self._set(dim=dim, most=most)
 
     def _fit(self, dataset: DataFrame) -> NgramEmbedderModel:
-        vocabulary = cut(fit_vocabulary(dataset, self.key, self.text, self.most))
+        spark = dataset.sparkSession
+        vocabulary = cut(fit_vocabulary(dataset, self.key, self.text, self.getOrDefault("most")))
         n, width = dataset.count(), vocabulary.count()
-        target = min(self.dim, n - 1, width)
-        if n > self.most_texts:
-            raise ValueError(f"a golden set of more than {self.most_texts} texts")
-        if target < 8:
-            eye = vocabulary.select("idx", F.transform(F.sequence(F.lit(0), F.lit(max(width - 1, 0))), lambda i: (i == F.col("idx")).cast("double")).alias("row"))
-            return NgramEmbedderModel(vocabulary, eye, self.key, self.text)
-        # the right singular vectors are the eigenvectors of the grams' product matrix, which sums of outer products give
-        raw = weighted_counts(dataset, vocabulary, self.key, self.text)
-        pairs = raw.alias("x").join(raw.alias("y").hint("merge"), self.key).groupBy(F.col("x.idx").alias("i"), F.col("y.idx").alias("j")).agg(F.sum(F.col("x.x") * F.col("y.x")).alias("v")).toPandas()
-        gram = np.zeros((width, width))
-        gram[pairs["i"], pairs["j"]] = pairs["v"]
-        values, vectors = np.linalg.eigh(gram)
-        top = vectors[:, np.argsort(-values, kind="stable")[:target]]
-        top = top * np.where(top[np.abs(top).argmax(axis=0), np.arange(target)] < 0, -1, 1)
-        rows = [(i, [float(v) for v in top[i]]) for i in range(width)]
-        return NgramEmbedderModel(vocabulary, dataset.sparkSession.createDataFrame(rows, "idx int, row array<double>"), self.key, self.text)
-
-
-class NgramEmbedderModel(Model):
-    """A vocabulary (gram, idx, df, idf) and a projection (idx, row); saved and loaded as Parquet."""
-
-    def __init__(self, vocabulary: DataFrame, projection: DataFrame, key: str = "id", text: str = "text"):
+        target = min(self.getOrDefault("dim"), n - 1, width)
+        top = np.eye(width) if target < 8 else grams.leading_directions(dataset, vocabulary, self.text, target)
+        projection = spark.createDataFrame([(i, row) for i, row in enumerate(top.tolist())], "idx int, row array<double>")
+        return NgramEmbedderModel(vocabulary, projection, self.key, self.text, self.vector)
+
+
+class TablesWriter(MLWriter):
+    """A stage's params as metadata, and its tables as Parquet beside them."""
+
+    def __init__(self, stage, tables: tuple[str, ...]):
+        super().__init__()
+        self.stage, self.tables = stage, tables
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.stage, path, self.sparkSession)
+        for name in self.tables:
+            getattr(self.stage, name).write.parquet(f"{path}/{name}")
+
+
+class TablesReader(MLReader):
+    def __init__(self, kind, tables: tuple[str, ...]):
+        super().__init__()
+        self.kind, self.tables = kind, tables
+
+    def load(self, path: str):
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        out = self.kind(*[self.sparkSession.read.parquet(f"{path}/{name}") for name in self.tables])
+        out._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(out, metadata)
+        return out
+
+
+class NgramEmbedderModel(_TextColumns, Model, MLReadable, MLWritable):
+    """A vocabulary (gram, idx, df, idf) and a projection (idx, row), saved and loaded with its params."""
+
+    TABLES = ("vocabulary", "projection")
+
+    def __init__(self, vocabulary: DataFrame, projection: DataFrame, key: str = "id", text: str = "text", vector: str = "vector"):
         super().__init__()
-        self.vocabulary, self.projection, self.key, self.text = vocabulary, projection, key, text
+        self.vocabulary, self.projection = vocabulary, projection
+        self._columns(key, text, vector)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        own = project(tfidf(dataset, self.vocabulary, self.key, self.text), self.projection, self.key).hint("merge")
-        return dataset.join(own, self.key, "left")
+        return self._beside(dataset, project(dataset, self.vocabulary, self.projection, self.key, self.text))
 
-    def save(self, folder: str) -> None:
-        self.vocabulary.write.mode("overwrite").parquet(f"{folder}/vocabulary")
-        self.projection.write.mode("overwrite").parquet(f"{folder}/projection")
+    def write(self) -> TablesWriter:
+        return TablesWriter(self, self.TABLES)
 
     @classmethod
-    def load(cls, spark, folder: str, key: str = "id", text: str = "text") -> NgramEmbedderModel:
-        return cls(spark.read.parquet(f"{folder}/vocabulary"), spark.read.parquet(f"{folder}/projection"), key, text)
+    def read(cls) -> TablesReader:
+        return TablesReader(cls, cls.TABLES)
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-9)
+
+
+class InvertedLists:
+    """Coarse centroids of vectors (at most ``most_lists``, fitted on about ``sample`` of them); a vector stands in the list of its nearest one."""
+
+    def __init__(self, vectors: DataFrame, lists: int | None = None, sample: int = 100_000, most_lists: int = 4096, seed: int = 7):
+        n = vectors.count()
+        self.lists = max(1, min(lists or round(n**0.5), most_lists, n))
+        data = vectors.select("vector") if n <= sample else vectors.select("vector").sample(sample / n, seed)
+        norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))) + 1e-9
+        data = cut(data.select(array_to_vector(F.transform("vector", lambda x: x.cast("double") / norm)).alias("features")))
+        centres = KMeans(k=self.lists, seed=seed, maxIter=15).fit(data).clusterCenters() if n > 1 else [np.ones(1)]
+        self.sent = vectors.sparkSession.sparkContext.broadcast(_unit(np.array(centres, np.float64)))
+        self.lists = len(centres)
+
+    def deal(self, rows: DataFrame, probes: int) -> DataFrame:
+        """``rows`` (id, vector) once for each of their ``probes`` nearest lists: (id, vector, list, place)."""
+        sent, probes = self.sent, min(probes, self.lists)
+
+        def run(batches):
+            for batch in batches:
+                for at in range(0, batch.num_rows, 1024):
+                    part = batch.slice(at, 1024)
+                    m = np.array(part.column(1).to_pylist(), np.float64)
+                    s = _unit(m) @ sent.value.T if len(sent.value) > 1 else np.zeros((len(m), 1))
+                    order = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :probes]
+                    row = pa.array(np.repeat(np.arange(len(m)), order.shape[1]))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(order.ravel().astype(np.int32)), pa.array(np.tile(np.arange(order.shape[1], dtype=np.int32), len(m)))], ["id", "vector", "list", "place"])
+
+        return rows.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "id long, vector array<double>, list int, place int")
+
+
+def probes_for(index: InvertedLists, queries: DataFrame, vectors: DataFrame, k: int, recall: float = 0.95, sample: int = 200, seed: int = 7) -> int:
+    """How many lists a query must probe so that about ``recall`` of its ``k`` nearest are met, measured on about ``sample`` queries exactly."""
+    n = queries.count()
+    some = cut(queries.select("id", "vector") if n <= sample else queries.select("id", "vector").sample(min(1.0, sample / n), seed).limit(2 * sample))
+    found = nearest(some, vectors, k).select("query", "id")
+    own = index.deal(vectors, 1).select("id", "list")
+    order = index.deal(some, index.lists).select(F.col("id").alias("query"), "list", "place")
+    places = found.join(own.hint("merge"), "id").join(order.hint("merge"), ["query", "list"])
+    got = places.agg(F.percentile("place", F.lit(recall)).alias("p")).first().p
+    return index.lists if got is None else min(index.lists, int(got) + 1)
+
+
+def nearest_in_lists(queries: DataFrame, vectors: DataFrame, k: int = 20, lists: int | None = None, probes: int | None = None, block: int = 1024, recall: float = 0.95) -> DataFrame:
+    """(query, id, cosine, place) as ``nearest`` has it, for two tables of any size: a query is compared with the vectors of its ``probes`` nearest lists.
+
+    What is compared is compared exactly.  Without ``probes`` their number is set so that about ``recall`` of the neighbours are met
+    (``probes_for``); with as many probes as lists all are.  A list is dealt into blocks of about ``block`` vectors and of as many
+    queries, so no task holds a large one whole, and neither side comes to the driver.  Null vectors are nobody's neighbours."""
+    queries, vectors = (df.select("id", "vector").where("vector is not null") for df in (queries, vectors))
+    index = InvertedLists(vectors, lists)
+    probes = probes or probes_for(index, queries, vectors, k, recall)
+
+    def dealt(rows: DataFrame, name: str) -> DataFrame:
+        sizes = rows.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(f"n_{name}"))
+        own = rows.join(F.broadcast(sizes), "list")  # a row for each list, at most ``most_lists``
+        return own.withColumn(name, F.pmod(F.xxhash64("id"), F.col(f"n_{name}")).cast("int"))
+
+    here, there = dealt(cut(index.deal(queries, probes)), "i"), dealt(cut(index.deal(vectors, 1)), "j")
+    count = lambda rows, name: rows.select("list", F.col(f"n_{name}").alias("n")).distinct()
+    left = here.join(F.broadcast(count(there, "j")), "list").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("list", "i", "j", "id", "vector")
+    right = there.join(F.broadcast(count(here, "i")), "list").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("list", "i", "j", "id", "vector")
+
+    def compare(q: pa.Table, v: pa.Table) -> pa.Table:
+        names, kinds = ["query", "id", "cosine"], [pa.int64(), pa.int64(), pa.float64()]
+        if not q.num_rows or not v.num_rows:
+            return pa.table([pa.array([], t) for t in kinds], names)
+        a, b = (_unit(np.array(t.column("vector").to_pylist(), np.float64)) for t in (q, v))
+        ids, s = v.column("id").to_numpy(), np.round(a @ b.T, 9)
+        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
+        return pa.table([pa.array(np.repeat(q.column("id").to_numpy(), order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, axis=1).ravel())], names)
+
+    by = ["list", "i", "j"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "query long, id long, cosine double")
+    w = Window.partitionBy("query").orderBy(F.desc("cosine"), "id")
+    return found.withColumn("place", F.row_number().over(w)).where(col("place") <= k)

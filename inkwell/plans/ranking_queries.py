@@ -497,13 +497,13 @@ def rank_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
     centroids = taste.weighted_centroids(liked.select((F.col("doc_id") % 4).alias("cluster"), "vector", F.lit(1.0).alias("weight")))
     model = taste.TasteModel(cut(centroids), cut(taste.length_stats(liked)))
     out = newsroom.rank_edition(own, vectors, model, GROUPS, _newest(own), "pm")
-    return out.select("n", "section", "content_hash", "title", F.round("score", 6).alias("score"))
+    return out.select("n", "section", "content_hash", "title", F.round("score", 6).alias("score"), F.size("related").alias("related"), "reason")
 
 
 @query()
 def s14_taste_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A taste and its embedder fitted on the benchmark's texts, saved, loaded and applied to all documents."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text", F.char_length("text").alias("length"), F.lit(1.0).alias("weight"))
-    model, embedder = taste.load_or_fit(spark, f"{shared_folder(spark)}/taste-{uuid.uuid4().hex}", b, k=3, seeds=2)
+    model, embedder = taste.load_or_fit(spark, f"{shared_folder(spark)}/taste-{uuid.uuid4().hex}", b)
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.char_length("text").alias("length"))
     return model.transform(embedder.transform(d)).select(F.col("id").alias("doc_id"), F.round("sim", 6).alias("sim"), F.round("len_score", 6).alias("len_score"))

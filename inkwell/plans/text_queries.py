@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import text as X
 from inkwell.functions.fixed import PHOTO_HOSTS, TITLE_NOISE, TRACKING_EXACT
-from inkwell.operators import folding, graph, packing, pages, vectors
+from inkwell.operators import folding, grams, graph, packing, pages, vectors
 from inkwell.plans.tables import ITEMS_SQL, items, table
 
 QUERIES, ORACLE = {}, {}
@@ -202,8 +202,9 @@ def a6_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
   l AS (SELECT doc_id, sqrt(sum(x * x)) + 1e-9 AS l FROM w GROUP BY doc_id) SELECT doc_id, count(*) AS cells, round(max(x / l), 6) AS top, round(sum(x / l), 4) AS total FROM w JOIN l USING (doc_id) GROUP BY doc_id""")
 def x15_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "documents")
-    w = vectors.tfidf(b, graph.cut(vectors.fit_vocabulary(b, "doc_id", "text")), "doc_id", "text")
-    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("cells"), F.round(F.max("weight"), 6).alias("top"), F.round(F.sum("weight"), 4).alias("total"))
+    w = grams.sparse_rows(b, graph.cut(vectors.fit_vocabulary(b, "doc_id", "text")), "doc_id", "text").where(F.size("idx") > 0)
+    total = F.aggregate("x", F.lit(0.0), lambda s, x: s + x)
+    return w.select("doc_id", F.size("idx").cast("long").alias("cells"), F.round(F.array_max("x") / F.col("norm"), 6).alias("top"), F.round(total / F.col("norm"), 4).alias("total"))
 
 
 @query(f"""WITH {GRAMS_SQL}, t AS (SELECT doc_id, sum(n) AS total FROM c GROUP BY doc_id), w AS (SELECT doc_id, idx, n / total::DOUBLE * idf AS x FROM c JOIN t USING (doc_id) JOIN i USING (gram)),
@@ -213,7 +214,8 @@ def x15_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     vocabulary = graph.cut(vectors.fit_vocabulary(d, "doc_id", "text"))
     matrix = vocabulary.select("idx", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (F.col("idx") * 7919 + k * 104729) % 1000 / 500.0 - 1).alias("row"))
-    out = vectors.project(vectors.tfidf(d, vocabulary, "doc_id", "text"), matrix, "doc_id")
+    known = grams.sparse_rows(d, vocabulary, "doc_id", "text").where(F.size("idx") > 0).select("doc_id")
+    out = vectors.project(d, vocabulary, matrix, "doc_id", "text").join(known.hint("merge"), "doc_id", "left_semi")
     return out.select("doc_id", F.posexplode("vector").alias("d", "x")).select("doc_id", F.col("d").cast("long").alias("d"), F.round("x", 4).alias("x"))
 
 
@@ -225,12 +227,12 @@ def x16_hash_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH g AS (SELECT doc_id, regexp_replace(lower(text), '[\s\v\p{Z}]+', '', 'g') AS s FROM documents),
-  c AS (SELECT doc_id, ('0x' || left(md5(gram), 8))::BIGINT AS h FROM (SELECT doc_id, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS gram FROM g)),
-  x AS (SELECT doc_id, (h % 128)::INT AS idx, sum(CASE WHEN (h >> 1) & 1 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM c GROUP BY ALL), l AS (SELECT doc_id, sqrt(sum(x * x)) AS l FROM x GROUP BY doc_id HAVING sum(x * x) > 0)
-  SELECT doc_id, 128 AS dim, round(max(x / l), 6) AS top, round(sum(x / l * idx), 4) AS moment FROM x JOIN l USING (doc_id) WHERE x <> 0 GROUP BY doc_id""")
+  c AS (SELECT doc_id, ('0x' || left(md5(gram), 8))::BIGINT AS h FROM (SELECT doc_id, unnest(CASE WHEN coalesce(s, '') = '' THEN ['_empty_'] WHEN length(s) < 2 THEN [s] ELSE list_transform(range(1, length(s)), lambda i: substr(s, i, 2)) END) AS gram FROM g)),
+  x AS (SELECT doc_id, (h % 128)::INT AS idx, sum(CASE WHEN (h >> 1) & 1 = 1 THEN 1.0 ELSE -1.0 END)::DOUBLE AS x FROM c GROUP BY ALL), l AS (SELECT doc_id, sqrt(sum(x * x)) + 1e-9 AS l FROM x GROUP BY doc_id)
+  SELECT doc_id, 128 AS dim, round(max(x / l) FILTER (WHERE x <> 0), 6) AS top, round(sum(x / l * idx), 4) AS moment FROM x JOIN l USING (doc_id) GROUP BY doc_id""")
 def x16_hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    out = vectors.HashEmbedder("doc_id", "text").fit(d).transform(d.where(F.char_length(F.regexp_replace("text", r"(?U)\s+", "")) >= 2)).where("vector is not null")
+    out = vectors.HashEmbedder("doc_id", "text").fit(d).transform(d)
     moment = F.aggregate(F.transform("vector", lambda x, i: x * i), F.lit(0.0), lambda s, x: s + x)
     top = F.array_max(F.filter("vector", lambda x: x != 0))
     return out.select("doc_id", F.size("vector").alias("dim"), F.round(top, 6).alias("top"), F.round(moment, 4).alias("moment"))
@@ -244,6 +246,13 @@ def j9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(v.where("id % 100 = 0"), v).select("query", "id", F.round("cosine", 6).alias("cosine"), "place")
 
 
+@query()
+def j9_nearest_in_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors against all, by inverted lists; a test measures the recall."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.nearest_in_lists(v, v, 10).select("query", "id", F.round("cosine", 6).alias("cosine"), "place")
+
+
 @query("SELECT doc_id, label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS norm2 FROM documents JOIN embeddings ON vec_id = doc_id WHERE label < 5")
 def j8_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("content_hash"), "embedding", "label", F.when(F.col("label") < 5, "m1").otherwise("m2").alias("model"))
@@ -263,6 +272,20 @@ ORACLE["x29_pack"] = r"""WITH RECURSIVE s AS (SELECT conv_id, turn, length(regex
   SELECT conv_id, turn, batch FROM r"""
 
 
+@query(r"""WITH s AS (SELECT conv_id, turn, turn // 2 AS sid, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, replace(regexp_replace(text, '[\s\v\p{Z}]+', '', 'g'), '.', '。') AS flat FROM conversations),
+  p AS (SELECT *, regexp_extract_all(flat, '[^。！？]*[。！？]|[^。！？]+$') AS paras FROM s WHERE flat <> ''),
+  c AS (SELECT *, CASE WHEN sid IS DISTINCT FROM lag(sid) OVER (PARTITION BY conv_id ORDER BY i) THEN 1 ELSE 0 END AS opens FROM p),
+  r AS (SELECT *, sum(opens) OVER (PARTITION BY conv_id ORDER BY i) AS run FROM c)
+  SELECT conv_id, any_value(sid)::VARCHAR AS sid, sum(len(paras))::BIGINT AS paras, sha256(string_agg(array_to_string(paras, '|'), '|' ORDER BY i)) AS digest FROM r GROUP BY conv_id, run""")
+def x29_split_pack_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns split into sentences, packed into jobs of 300 characters, and the jobs' slices put together again by section."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), F.floor(F.col("turn") / 2).cast("string").alias("sid"), packing.split_sentences(F.replace(F.coalesce("text", F.lit("")), F.lit("."), F.lit("。"))).alias("paras"))
+    jobs = graph.cut(packing.pack_sections(c, 300))
+    cutout = jobs.join(c.hint("merge"), ["doc", "pos", "sid"]).select("doc", F.struct("job", "pos", "first").alias("seq"), "sid", F.slice("paras", F.col("first") + 1, F.col("last") - F.col("first") + 1).alias("paras"))
+    out = packing.merge_slices(cutout)
+    return out.select(F.col("doc").alias("conv_id"), "sid", F.size("paras").cast("long").alias("paras"), F.sha2(F.array_join("paras", "|").cast("binary"), 256).alias("digest"))
+
+
 IMAGES_SQL = """b AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base, 100 + page_id % 200 AS w FROM pages),
 found AS (SELECT page_id, 0 AS o, base || '/cover/' || page_id || '.jpg' AS url, 'cover' AS role FROM b WHERE page_id % 5 <> 0
   UNION ALL SELECT page_id, 1, 'https://cdn.example.com/a.jpg?w=640', 'body' FROM b WHERE page_id % 3 <> 0
@@ -290,6 +313,22 @@ def x27_image_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.pick_images(pages.image_candidates(_with_images(spark, sf_dir)))
 
 
+@query(f"""WITH {IMAGES_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY o, CASE WHEN o = 4 THEN url END) AS pos FROM found QUALIFY pos <= 8), c AS (SELECT *, max((role = 'cover')::INT) OVER (PARTITION BY page_id) AS has, count(*) OVER (PARTITION BY page_id) AS m FROM k),
+  plain AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY (role = 'cover') DESC, pos) AS n, url, role, NULL AS caption, has FROM c WHERE page_id % 4 <> 1 QUALIFY n <= 2 + has),
+  asked AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos DESC) AS n, url, role, CASE WHEN pos = m THEN 'p' || page_id END AS caption FROM c WHERE page_id % 4 = 1 QUALIFY n <= 2)
+  SELECT page_id, n, url, role, caption FROM plain UNION ALL SELECT * FROM asked""")
+def v4_picker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorer that keeps the last two photos of every fourth page, fails on another fourth and answers nonsense for the rest."""
+
+    def scorer(frame):
+        if (frame["page_id"] % 4 == 2).any():
+            raise ValueError("no answer")
+        return [{"keep": [99, len(p) - 1, "x", len(p) - 2], "captions": ["", f"p{i}"]} if i % 4 == 1 else {"keep": "all"} if i % 4 == 3 else None for i, p in zip(frame["page_id"], frame["photos"], strict=True)]
+
+    own = _with_images(spark, sf_dir)
+    return pages.choose_images(pages.image_candidates(own), own.select("page_id", F.lit("t").alias("title"), F.left("html", F.lit(200)).alias("body")), scorer)
+
+
 @query("""WITH b AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base FROM pages),
   found AS (SELECT page_id, 1 AS o, 'https://c.example.com/' || page_id || '.jpg' AS url, 'cover' AS role FROM b WHERE page_id % 4 <> 0
     UNION ALL SELECT page_id, 2, 'https://l.example.com/1.jpg', 'body' FROM b UNION ALL SELECT page_id, 3, 'https://l.example.com/2.jpg', 'body' FROM b UNION ALL SELECT page_id, 4, base || '/in/' || page_id || '.jpg', 'body' FROM b)
