@@ -155,6 +155,41 @@ def fold_events(items: DataFrame, hashed: DataFrame, vectors: DataFrame, least:
     return folded.join(of.hint("merge"), "leader").select("id", "primary")
 
 
+def fold_few(items: DataFrame, hashed: DataFrame, vectors: DataFrame, least: float = 0.82, most: int = 3, score: str | Column = "score", limit: int = 5_000) -> DataFrame:
+    """(id, primary) as ``fold_events`` has it, for a list that a limit has bounded: all pairs in one task, in two matrix products.
+
+    For tables of over ``limit`` rows, which are counted, ``fold_events`` is used."""
+    own = items.select("id", F.coalesce(col(score), F.lit(0.0)).alias("s")).join(hashed.select("id", "h").hint("merge"), "id").join(vectors.select("id", "vector").hint("merge"), "id")
+    own = cut(own)
+    if own.count() > limit:
+        return fold_events(items, hashed, vectors, least, score)
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["s", "id"], ascending=[False, True]).reset_index(drop=True)
+        bits = np.unpackbits(rows["h"].to_numpy().astype(np.int64).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
+        ones = bits.sum(axis=1)
+        near = ones[:, None] + ones[None, :] - 2 * (bits @ bits.T) <= most
+        kept, leader = np.zeros(len(rows), bool), np.arange(len(rows))
+        for i in range(len(rows)):
+            before = np.flatnonzero(near[i, :i] & kept[:i])
+            leader[i], kept[i] = (before[0], False) if len(before) else (i, True)
+        lead = np.flatnonzero(kept)
+        m = np.stack(rows["vector"].to_numpy()[lead]).astype(np.float64)
+        m /= np.linalg.norm(m, axis=1, keepdims=True) + 1e-9
+        alike = m @ m.T >= least
+        first = np.arange(len(lead))  # rows are in order of score, so the least number of a component leads it
+        while True:
+            now = np.array([first[alike[k]].min() if alike[k].any() else first[k] for k in range(len(lead))])
+            now = np.minimum(now, first)
+            if (now == first).all():
+                break
+            first = now
+        primary = dict(zip(lead.tolist(), lead[first].tolist(), strict=True))
+        return pd.DataFrame({"id": rows["id"], "primary": rows["id"].to_numpy()[[primary[k] for k in leader.tolist()]]})
+
+    return own.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fold, "id long, primary long")
+
+
 def related(folded: DataFrame, items: DataFrame, most: int = 20) -> DataFrame:
     """(primary, related, n): of what was folded into each primary the first ``most`` titles in order of id, and how many there are."""
     own = folded.where("id <> primary").join(items.select("id", "title").hint("merge"), "id")

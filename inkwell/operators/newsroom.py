@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import scoring
 from inkwell.functions.text import display_title, event_time, text_for_embedding, tokenize
-from inkwell.operators import folding, ranking
+from inkwell.operators import folding, ranking, rules
 from inkwell.operators.graph import cut
 from inkwell.operators.taste import TasteModel
 
@@ -33,7 +33,7 @@ def rank_edition(
     items: DataFrame,
     vectors: DataFrame,
     taste: TasteModel,
-    groups: list[dict],
+    groups: list[dict] | DataFrame,
     as_of: str,
     edition: str = "am",
     excludes: DataFrame | None = None,
@@ -46,12 +46,13 @@ def rank_edition(
     """(n, section, content_hash, title, score, related, reason): headline, deep-read and critical articles of an edition, numbered from 1,
     with the titles of the reports that were folded into each (at most twenty, in order of score) and what the critic said.
 
-    ``items`` with a column length; ``vectors`` (content_hash, vector).  Candidates are scored with a neutral critic; the best
+    ``items`` with a column length; ``vectors`` (content_hash, vector); ``groups`` of keywords as a list or, where there are many, a table of rules.  Candidates are scored with a neutral critic; the best
     ``coarse`` of them are judged, scored again, and folded into events; what reaches ``least`` is diversified into ``slots``, some of
     them open to good items unlike the reader's taste, and dealt to sections; the day's digest is pinned.  All that follows
     the first limit is a small table."""
     own = ranking.rank_candidates(items, excludes).join(vectors.hint("merge"), "content_hash")
-    own = ranking.keyword_matches(taste.transform(own), groups, body=ranking.body_of())
+    own = taste.transform(own)
+    own = rules.match_rules(own, groups, body=ranking.body_of()) if isinstance(groups, DataFrame) else ranking.keyword_matches(own, groups, body=ranking.body_of())
     now = F.unix_timestamp(F.lit(as_of).cast("timestamp"))
     age = F.greatest(F.lit(0.0), (now - F.unix_timestamp(event_time("published_at", "fetched_at"))) / 3600.0)
     hot = scoring.item_hot("source", "kind", "heat", "rank")
@@ -60,7 +61,7 @@ def rank_edition(
     top = cut(judged(cut(top.withColumn("id", F.xxhash64("content_hash"))), scorer).withColumn("total", F.round(score(F.col("critic.score")), 9)))
 
     hashed = cut(folding.simhash(top.select("id", tokenize(text_for_embedding("title", "content", "summary")).alias("tokens"))))
-    events = folding.fold_events(top.select("id", F.col("total").alias("score")), hashed, top.select("id", "vector"), near)
+    events = folding.fold_few(top.select("id", F.col("total").alias("score")), hashed, top.select("id", "vector"), near)
     events = cut(events)
     folded = events.where("id <> primary").join(top.select("id", "total", display_title("source", "title", "collector").alias("t")).hint("merge"), "id")
     folded = folded.groupBy(F.col("primary").alias("id")).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("total")).alias("o"), "id", "t")))["t"], 1, 20).alias("related"))  # of the best ``coarse``

@@ -93,12 +93,15 @@ def x22_f11_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("content_hash", F.col("matches")[0]["group"].alias("best"), F.size("matches").cast("long").alias("hits"), F.round("keyword", 6).alias("keyword"))
 
 
+def _rules(spark: SparkSession) -> DataFrame:
+    fields = ("name", "must", "any", "exclude", "weight", "aliases")
+    return spark.createDataFrame([tuple(g.get(f) for f in fields) for g in GROUPS], rules.RULES)
+
+
 @query(KEYWORDS_SQL)
 def x22_rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same groups as rows of a table."""
-    fields = ("name", "must", "any", "exclude", "weight", "aliases")
-    table_of = spark.createDataFrame([tuple(g.get(f) for f in fields) for g in GROUPS], rules.RULES)
-    out = rules.match_rules(items(spark, sf_dir), table_of).where(F.size("matches") > 0)
+    out = rules.match_rules(items(spark, sf_dir), _rules(spark)).where(F.size("matches") > 0)
     return out.select("content_hash", F.col("matches")[0]["group"].alias("best"), F.size("matches").cast("long").alias("hits"), F.round("keyword", 6).alias("keyword"))
 
 
@@ -496,7 +499,7 @@ def rank_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
     liked = own.join(table(spark, sf_dir, "labels").where("quality = 1").hint("merge"), "doc_id").join(vectors.hint("merge"), "content_hash")
     centroids = taste.weighted_centroids(liked.select((F.col("doc_id") % 4).alias("cluster"), "vector", F.lit(1.0).alias("weight")))
     model = taste.TasteModel(cut(centroids), cut(taste.length_stats(liked)))
-    out = newsroom.rank_edition(own, vectors, model, GROUPS, _newest(own), "pm")
+    out = newsroom.rank_edition(own, vectors, model, _rules(spark), _newest(own), "pm")
     return out.select("n", "section", "content_hash", "title", F.round("score", 6).alias("score"), F.size("related").alias("related"), "reason")
 
 

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from inkwell.operators import packing, pages, vectors
+from inkwell.operators import folding, packing, pages, vectors
 
 SECTIONS = "doc string, pos int, sid string, paras array<string>"
 
@@ -92,3 +92,21 @@ def test_neighbours_by_lists(spark):
     assert len(found & {(k[0], x[0]) for k, x in exact.items()}) >= 0.9 * len(exact)
     odd = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0, 0.0])], "id long, vector array<double>")
     assert [(r.query, r.id, r.place) for r in vectors.nearest_in_lists(odd.where("id = 1"), odd, 2, lists=2, probes=2).orderBy("place").collect()] == [(1, 1, 1), (1, 4, 2)]
+
+
+def test_few_fold_as_many_do(spark):
+    """A bounded list folds in one task as the rounds of joins fold it, ties and copies of copies among them."""
+    rng = np.random.default_rng(6)
+    h, rows = [0], []
+    for i in range(60):
+        base = int(h[rng.integers(len(h))]) if rng.random() < 0.6 else int(rng.integers(-(2**63), 2**63 - 1))
+        for b in rng.choice(64, rng.integers(0, 4), replace=False):
+            base ^= 1 << int(b) if b < 63 else -(1 << 63)
+        h.append(base)
+    for i, x in enumerate(h):
+        rows.append((i, x, [float(v) for v in rng.standard_normal(3)], None if i % 9 == 0 else float(rng.integers(4))))
+    d = spark.createDataFrame(rows, "id long, h long, vector array<double>, score double")
+    for least in (0.82, 0.97):
+        many = {r.id: r.primary for r in folding.fold_events(d, d, d, least).collect()}
+        assert {r.id: r.primary for r in folding.fold_few(d, d, d, least).collect()} == many
+    assert {r.id: r.primary for r in folding.fold_few(d, d, d, 0.97, limit=10).collect()} == many and len(set(many.values())) < len(many)
