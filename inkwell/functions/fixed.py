@@ -62,3 +62,5 @@ SECTION_EMPTY = {"headline": "_本栏目今日无入选。_", "deepread": "_本
 PRINT_LINK, PRINT_VIDEO, PRINT_NO_BODY, PRINT_RELATED = "原文地址(需上网)", "_视频暂不转写。_", "_没有正文,只保留标题。_", "**相关报道(已折叠):** "
 ITEM_LINK, ITEM_VIDEO, ITEM_NO_BODY, ITEM_NO_DATE = "原文地址(需上网,纸上看不到点)", "_视频暂不转写，只保留标题和链接。_", "_库里没有正文。热榜/视频常如此;文章则多半是抽取失败。_", "时间未知"
 HEALTH_GOOD, HEALTH_BAD = "**全部正常。** 已配置的采集器在 24h 内有成功记录,产出无明显骤降。", ("**告警 ", " 项** —— 读报时请扫一眼。")
+ORAL_INTRO = "合集按天滴灌，订阅 UP 新片转写后见报。不进头版打分。"
+DIGEST_TITLE, DIGEST_ISSUE, DIGEST_MADE, DIGEST_PARTS, DIGEST_FAILED, DIGEST_GAPS = "自动日报", "期号", "生成于", "版面", "失败", "**本期残缺。** 失败版面:"

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions.fixed import (
-    EDITION_NAMES, HEALTH_BAD, HEALTH_GOOD, ITEM_LINK, ITEM_NO_BODY, ITEM_NO_DATE, ITEM_VIDEO, LEDE_EMPTY, LEDE_LABELS, LEDE_MORE, PRINT_LINK,
-    PRINT_NO_BODY, PRINT_RELATED, PRINT_VIDEO, SECTION_INTROS, SECTION_ORDER, SECTION_PRIORITY, SECTION_TITLES,
+    DIGEST_FAILED, DIGEST_GAPS, DIGEST_ISSUE, DIGEST_MADE, DIGEST_PARTS, DIGEST_TITLE, EDITION_NAMES, HEALTH_BAD, HEALTH_GOOD, ITEM_LINK, ITEM_NO_BODY, ITEM_NO_DATE, ITEM_VIDEO, LEDE_EMPTY, LEDE_LABELS, LEDE_MORE, ORAL_INTRO, PRINT_LINK,
+    PRINT_NO_BODY, PRINT_RELATED, PRINT_VIDEO, SECTION_EMPTY, SECTION_INTROS, SECTION_ORDER, SECTION_PRIORITY, SECTION_TITLES,
 )
 from inkwell.functions.text import article_kind, display_title, first_sentence, format_heat, is_blank, mapping, newspaper_body, reading_minutes, summary_of
 from inkwell.operators.titles import match_titles
@@ -175,11 +175,44 @@ def health_page(diagnosed: DataFrame, alerts: DataFrame, backlog: DataFrame, gen
     return table.join(F.broadcast(said)).join(F.broadcast(left)).select(F.concat_ws("\n", *whole).alias("text"))
 
 
-def digest(sections: DataFrame) -> DataFrame:
-    """(edition_id, text): section texts (edition_id, section, text) one after another, in the order of sections."""
+def oral_pages(rows: DataFrame, editions: DataFrame, generated: str, notes: tuple[str, ...] = ()) -> DataFrame:
+    """(edition_id, text) of the oral section for each of ``editions`` (edition_id): every item's text, or that there is none today.
+
+    ``rows`` (edition_id, pos, images, and what ``item_text`` reads), where ``images`` holds the item's image lines, are what
+    ``cap_stories`` lets in."""
+    head = "\n".join([f"# {SECTION_TITLES['oral']}", "", f"> {ORAL_INTRO} · {generated}", "", *(f"> {x}" for x in notes), *([""] if notes else []), ""])
+    own = rows.select("edition_id", "pos", rstrip(item_text(images="images")).alias("t")).groupBy("edition_id").agg(F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("a"))
+    body = F.array_join(F.transform("a", lambda x: F.concat(x["t"], F.lit("\n\n---"))), "\n\n")
+    out = editions.select("edition_id").distinct().join(own, "edition_id", "left")
+    return out.select("edition_id", F.concat(F.lit(head), F.coalesce(body, F.lit(SECTION_EMPTY["oral"])), F.lit("\n")).alias("text"))
+
+
+def rstrip(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\s+$", "")
+
+
+def digest(sections: DataFrame, failures: DataFrame | None = None, generated: str | None = None) -> DataFrame:
+    """(edition_id, text): section texts (edition_id, section, text) one after another, in the order of sections.
+
+    With ``generated``, the time that is printed, an edition begins with its name and counts, and with what failed:
+    ``failures`` (edition_id, section, error), in the order of sections; parts are ruled off.  Ids that end in am are morning editions."""
     order = mapping({s: i for i, s in enumerate(SECTION_ORDER)})[F.col("section")]
-    own = sections.groupBy("edition_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce(order, F.lit(99)).alias("o"), "section", "text"))).alias("a"))
-    return own.select("edition_id", F.array_join(F.col("a.text"), "\n\n").alias("text"))
+    placed = F.coalesce(order, F.lit(99)).alias("o")
+    own = sections.groupBy("edition_id").agg(F.array_sort(F.collect_list(F.struct(placed, "section", "text"))).alias("a"))
+    if generated is None:
+        return own.select("edition_id", F.array_join(F.col("a.text"), "\n\n").alias("text"))
+    if failures is None:
+        failures = sections.select("edition_id", "section", F.lit("").alias("error")).limit(0)
+    lost = failures.groupBy("edition_id").agg(F.array_sort(F.collect_list(F.struct(placed, "section", F.coalesce("error", F.lit("")).alias("error")))).alias("f"))
+    out = own.join(lost, "edition_id", "full").withColumn("f", F.coalesce("f", F.array().cast("array<struct<o:int,section:string,error:string>>")))
+    name = F.when(F.col("edition_id").endswith("am"), EDITION_NAMES["am"]).otherwise(EDITION_NAMES["pm"])
+    head = F.concat(
+        F.lit(f"# {DIGEST_TITLE} · "), name, F.lit(" · "), "edition_id", F.lit(f"\n\n> {DIGEST_ISSUE} `"), "edition_id", F.lit(f"` · {DIGEST_MADE} {generated}\n> {DIGEST_PARTS} "),
+        F.when(F.col("a").isNull(), "0").otherwise(F.size("a").cast("string")), F.lit(f" · {DIGEST_FAILED} "), F.size("f").cast("string"),
+    )
+    failed = F.when(F.size("f") > 0, F.concat(F.lit(f"{DIGEST_GAPS}\n\n"), F.array_join(F.transform("f", lambda x: F.concat(F.lit("- `"), x["section"], F.lit("`: "), x["error"])), "\n"), F.when(F.col("a").isNotNull(), "\n\n---").otherwise("")))
+    parts = F.array_join(F.transform("a", lambda x: rstrip(x["text"])), "\n\n---\n\n")
+    return out.select("edition_id", F.concat(rstrip(F.concat_ws("\n\n", head, failed, parts)), F.lit("\n")).alias("text"))
 
 
 def lede(articles: DataFrame, kind: str = "pm", editions: DataFrame | None = None) -> DataFrame:

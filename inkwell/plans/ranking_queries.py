@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from inkwell.functions import scoring
 from inkwell.functions import text as X
+from inkwell.functions.fixed import ITEM_LINK, ITEM_NO_BODY, ORAL_INTRO
 from inkwell.operators import edition, merge, newsroom, packing, ranking, rules, taste, titles
 from inkwell.operators.graph import cut, shared_folder
 from inkwell.operators.vectors import HashEmbedder
@@ -352,6 +353,41 @@ def s12_hot_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edition.section_pages(rows, "hotlist", "now", edition.hot_text()).select("edition_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
+ORAL_SQL = f"""{DATED_SQL}, e AS (SELECT DISTINCT '2024-01-' || lpad((1 + doc_id % 7)::VARCHAR, 2, '0') || CASE WHEN doc_id % 2 = 0 THEN '-am' ELSE '-pm' END AS edition_id FROM documents),
+  o AS (SELECT '2024-01-' || lpad((1 + doc_id % 7)::VARCHAR, 2, '0') || CASE WHEN doc_id % 2 = 0 THEN '-am' ELSE '-pm' END AS edition_id, *, row_number() OVER (PARTITION BY doc_id % 7, doc_id % 2 ORDER BY doc_id) AS pos FROM dated WHERE kind = 'article' AND doc_id % 7 <> 3 QUALIFY pos <= 2),
+  t AS (SELECT edition_id, pos, regexp_replace('## ' || shown || chr(10) || chr(10) || '> ' || concat_ws(' · ', dateline, source, author) || chr(10) || chr(10) || '![](i' || doc_id || ')' || chr(10) || chr(10)
+    || CASE WHEN body <> '' THEN body ELSE '{ITEM_NO_BODY}' END || chr(10) || CASE WHEN url LIKE 'http%' THEN chr(10) || '{ITEM_LINK}: `' || url || '`' || chr(10) ELSE '' END, '[\\s\\v\\p{{Z}}]+$', '') AS t FROM o),
+  p AS (SELECT edition_id, '# 口播' || chr(10) || chr(10) || '> {ORAL_INTRO} · now' || chr(10) || chr(10) || coalesce(string_agg(t || chr(10) || chr(10) || '---', chr(10) || chr(10) ORDER BY pos), '_今日口播未成。_') || chr(10) AS text FROM e LEFT JOIN t USING (edition_id) GROUP BY edition_id)"""
+
+
+def _oral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    edition_id = F.concat(F.lit("2024-01-"), F.lpad((1 + k % 7).cast("string"), 2, "0"), F.when(k % 2 == 0, "-am").otherwise("-pm"))
+    own = _dated(items(spark, sf_dir)).withColumn("edition_id", edition_id)
+    capped = ranking.top_k(own.where((F.col("kind") == "article") & (k % 7 != 3)), ["edition_id"], [F.col("doc_id")], 2)
+    return edition.oral_pages(capped.withColumn("pos", F.col("place")).withColumn("images", F.concat(F.lit("![](i"), k.cast("string"), F.lit(")"))), own, "now")
+
+
+@query(f"WITH {ORAL_SQL} SELECT edition_id, sha256(text) AS digest FROM p")
+def s12_oral_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two articles for each of fourteen editions, but two that have none."""
+    return _oral(spark, sf_dir).select("edition_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+@query(f"""WITH {ORAL_SQL}, s AS (SELECT edition_id, 3 AS o, regexp_replace(text, '\\s+$', '') AS text FROM p UNION ALL SELECT edition_id, 0, '# L' FROM p WHERE edition_id LIKE '%am' UNION ALL SELECT edition_id, 7, '# H' FROM p),
+  d AS (SELECT edition_id, count(*) AS n, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY o) AS body FROM s GROUP BY edition_id)
+  SELECT edition_id, sha256('# 自动日报 · ' || CASE WHEN edition_id LIKE '%am' THEN '早报' ELSE '晚报' END || ' · ' || edition_id || chr(10) || chr(10) || '> 期号 `' || edition_id || '` · 生成于 now' || chr(10) || '> 版面 ' || n || ' · 失败 ' || CASE WHEN edition_id LIKE '%pm' THEN 1 ELSE 0 END || chr(10) || chr(10)
+    || CASE WHEN edition_id LIKE '%pm' THEN '**本期残缺。** 失败版面:' || chr(10) || chr(10) || '- `lede`: down' || chr(10) || chr(10) || '---' || chr(10) || chr(10) ELSE '' END || body || chr(10)) AS digest FROM d""")
+def s12_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Editions of an oral section, a lede that failed in the evening, and a health page."""
+    oral = cut(_oral(spark, sf_dir))
+    of = lambda name, text, rows: rows.select("edition_id", F.lit(name).alias("section"), text.alias("text"))
+    am = F.col("edition_id").endswith("am")
+    sections = of("oral", F.col("text"), oral).unionByName(of("lede", F.lit("# L\n\n"), oral.where(am))).unionByName(of("health", F.lit("# H\n"), oral))
+    out = edition.digest(sections, oral.where(~am).select("edition_id", F.lit("lede").alias("section"), F.lit("down").alias("error")), "now")
+    return out.select("edition_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
 @query("""WITH s AS (SELECT '2024-' || user_id % 10 AS edition_id, event_type <> 'error' AND value > 5 AS has_content, CASE WHEN event_type = 'error' AND value > 15 THEN 'x' END AS error FROM events)
   SELECT edition_id, count(error) AS errors, CASE WHEN NOT bool_or(has_content) THEN 'failed' WHEN count(error) > 0 THEN 'partial' ELSE 'ok' END AS status FROM s GROUP BY edition_id""")
 def a13_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,3 +203,18 @@ def test_threshold_leaves_a_thin_edition(spark):
     rows, _ = _edition_rows()
     d = spark.createDataFrame([r[:8] for r in rows[:8]], "content_hash string, source string, kind string, title string, url string, summary string, content string, collector string").withColumn("total", F.when(F.col("content_hash") == "h001", 0.12).otherwise(0.1199))
     assert [r.content_hash for r in ranking.viable(d).collect()] == ["h001"]
+
+
+def test_oral_section_and_digest(spark):
+    """Notes come under the head, an edition without items says so; a digest names what failed, also where nothing else is there."""
+    row = "SELECT 'e-am' AS edition_id, 1 AS pos, 'article' AS kind, 'T' AS title, 'rss' AS source, 'me' AS author, 'c' AS collector, 'Body.' AS content, CAST(NULL AS STRING) AS summary, '' AS url, 'today' AS dateline, '![](i)' AS images"
+    editions = spark.createDataFrame([("e-am",), ("f-pm",)], "edition_id string")
+    got = {r.edition_id: r.text for r in edition.oral_pages(spark.sql(row), editions, "now", ("one",)).collect()}
+    head = "# 口播\n\n> 合集按天滴灌，订阅 UP 新片转写后见报。不进头版打分。 · now\n\n> one\n\n"
+    assert got == {"e-am": head + "## T\n\n> today · rss · me\n\n![](i)\n\nBody.\n\n---\n", "f-pm": head + "_今日口播未成。_\n"}
+    sections = spark.createDataFrame([("e-am", "hotlist", "H\n\n"), ("e-am", "oral", "O")], "edition_id string, section string, text string")
+    failed = spark.createDataFrame([("f-pm", "health", None), ("f-pm", "lede", "down")], "edition_id string, section string, error string")
+    got = {r.edition_id: r.text for r in edition.digest(sections, failed, "now").collect()}
+    assert got["e-am"] == "# 自动日报 · 早报 · e-am\n\n> 期号 `e-am` · 生成于 now\n> 版面 2 · 失败 0\n\nO\n\n---\n\nH\n"
+    assert got["f-pm"] == "# 自动日报 · 晚报 · f-pm\n\n> 期号 `f-pm` · 生成于 now\n> 版面 0 · 失败 2\n\n**本期残缺。** 失败版面:\n\n- `lede`: down\n- `health`:\n"
+    assert {r.edition_id for r in edition.digest(sections, generated="now").collect()} == {"e-am"}
