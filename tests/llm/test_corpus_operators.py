@@ -385,9 +385,34 @@ def test_components_and_filters(spark):
     assert {r.id for r in without(rows, ids, "id").collect()} == set(range(3000)) - set(range(0, 1000, 7))
 
 
-def test_pipeline(spark):
-    """Every stage keeps what it should of its own input, on the small tables."""
+def line_key(line):
+    """What two lines share where one is removed as the other's exact repeat: their words, digits alike; none for short lines."""
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[0-9]", "0", lower(line)))
+    return tuple(words) if len(words) >= 5 else None
+
+
+def contaminated_brute(rows, bench):
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    windows = set()
+    for t in bench:
+        w = word.findall(lower(t))
+        n = min(13, len(w))
+        windows |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1 if n else 0)}
+    out = set()
+    for d, t in rows.items():
+        w, hit = word.findall(lower(t)), set()
+        for n in {len(k) for k in windows}:
+            hit |= {i for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in windows for i in range(k, k + n)}
+        if hit and 20 * len(hit) >= len(w):
+            out.add(d)
+    return out
+
+
+def test_pipeline(spark, tmp_path):
+    """Every stage against brute force (the first, a model, against its own scores) on what the stage before it kept of the small tables."""
     import corpus_pipeline
+    import duckdb
+    from inkwell.llm import queries
 
     from ..conftest import SF
 
@@ -397,9 +422,33 @@ def test_pipeline(spark):
         out = cut(stage(spark, docs, SF))
         before, after = ({r.doc_id: r.text for r in df.collect()} for df in (docs, out))
         assert out.columns[: len(columns)] == columns and set(after) <= set(before)
+        if k == 0:
+            model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+            assert set(after) == {r.doc_id for r in toxicity.score_toxicity(docs, model).collect() if r.score < 0.7}
         if k == 1:
-            assert set(after) == set(before) and all(len(after[d] or "") <= len(before[d] or "") for d in after)
+            assert set(after) == set(before)
+            seen = set()
+            for d in sorted(before):
+                left = iter((after[d] or "").split("\n"))
+                here = next(left, None)
+                for line in (before[d] or "").split("\n"):
+                    kept = here == line
+                    here = next(left, None) if kept else here
+                    key = line_key(line)
+                    assert not (kept and key in seen) and (kept or key is not None)
+                    seen |= {key} if key else set()
+                assert here is None or not after[d]
         if k == 2:
             assert set(after) == {d for d, (_, c) in near_brute(before).items() if c == d}
+        if k == 3:
+            assert set(before) - set(after) == contaminated_brute(before, [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+        if k == 4:
+            docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+            con = duckdb.connect()
+            con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+            taken = {d: n for d, size, n in con.execute(f"SELECT doc_id, size, taken FROM ({queries.ORACLE_SQL['op6_source_mix']})").fetchall() if n}
+            copies = Counter(r.doc_id for r in out.collect())
+            sizes = {d: len(WORD.findall(t or "")) for d, t in before.items()}
+            assert {d: copies[d] * sizes[d] for d in copies if sizes[d]} == taken
         docs = out
     assert docs.count() == docs.select("doc_id", "copy").distinct().count()
