@@ -400,7 +400,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     Words are what blanks part, with A-Z lower-cased; a document's set are its distinct runs of ``size`` words, a shorter text's
     whole sequence; links join sets with 100 * intersection >= percent * union.  Documents with equal sets are one from the
     start, so groups of copies of any size cost one row.  Null and blank texts have an empty set and no link.  Rows with a null
-    key have no link and a null component_id; repeated rows have the same result.  An empty table gives an empty result."""
+    key have no link and a null component_id; repeated rows have the same result.  Texts are taken
+    whole, a block at a time; other columns are not looked at.  An empty table gives an empty result."""
     rows = cut(sketch(docs, key, text, size))
     keyed = rows.where("id is not null")
     sets = cut(keyed.where("n > 0").groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("w")))

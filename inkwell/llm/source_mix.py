@@ -63,7 +63,8 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     rate systematically along the documents of a source in order of (size, key): the k-th running total of copies is the
     running total of rates, rounded at one of 32 phases, whichever brings the source's words nearest to its target.  The order comes from a
     range partitioning on (source, size, key) with one prefix sum over partitions, so a source of any size is spread over many
-    tasks.  Repeated rows count each time; equal rows may swap places.  An empty table gives an empty result."""
+    tasks.  Repeated rows count each time; equal rows may swap places.  Other columns are not looked at, so
+    their names can't clash.  An empty table gives an empty result."""
     spark = docs.sparkSession
     sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sized = sized.withColumn("skey", F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), "source")))

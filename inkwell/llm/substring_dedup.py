@@ -369,7 +369,8 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     Strings are judged on the input.  Texts are UTF-8 bytes, null is empty, and matches never cross documents.  A text equal to
     an earlier one, of ``length`` bytes or more, repeats it throughout and needs no sorting.  Keys should be unique and not
     null: a row with a null key is returned whole, and rows with one key count as copies of one document, each returned with
-    the spans of that key.  An empty table gives an empty result."""
+    the spans of that key.  Texts of any length are taken whole, long ones in parts that share a seam; other columns are not looked
+    at.  An empty table gives an empty result."""
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     long = rows.where((F.octet_length("text") >= length) & F.col("doc").isNotNull()).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     firsts = long.groupBy("digest").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("w"))
