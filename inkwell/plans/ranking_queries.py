@@ -529,7 +529,7 @@ def x7_x30_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rank_edition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One evening edition of all items: the whole ranking as one plan, by a taste learned from the documents marked as good."""
-    own = items(spark, sf_dir).withColumn("length", X.item_length("content", "summary", "title"))
+    own = cut(items(spark, sf_dir).withColumn("length", X.item_length("content", "summary", "title")))  # as items are kept, a table
     texts = own.select("content_hash", X.text_for_embedding("title", "content", "summary").alias("t"))
     vectors = cut(HashEmbedder("content_hash", "t", 64).fit(texts).transform(texts).where("vector is not null").select("content_hash", "vector"))
     liked = own.join(table(spark, sf_dir, "labels").where("quality = 1").hint("merge"), "doc_id").join(vectors.hint("merge"), "content_hash")
