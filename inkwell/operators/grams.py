@@ -70,6 +70,12 @@ def grams(points: np.ndarray, lengths: np.ndarray, sizes: tuple[int, ...] = (2,
     return np.concatenate([*rows, none]), np.concatenate([*codes, np.zeros(len(none), np.int64)])
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to all cores where they come from fewer files than there are cores; tables of many files stay where they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def document_frequency(docs: DataFrame, text: str, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
     """(gram, df): how many rows hold each gram.  Rows are counted by slice before anything is shuffled."""
 
@@ -85,7 +91,7 @@ def document_frequency(docs: DataFrame, text: str, sizes: tuple[int, ...] = (2,
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([decode(c) for c in batch.column(0).to_pylist()], pa.string()), batch.column(1)], ["gram", "df"])
 
-    counted = docs.select(plain(text).alias("s")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("df"))
+    counted = spread(docs.select(plain(text).alias("s"))).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("df"))
     return counted.mapInArrow(name, "gram string, df long")
 
 
@@ -136,7 +142,7 @@ def sparse_rows(docs: DataFrame, vocabulary: DataFrame, key: str, text: str) ->
                 norm = np.sqrt(np.bincount(row, x * x, minlength=len(lengths))) + 1e-9
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(lengths)), pa.ListArray.from_arrays(offs, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(offs, pa.array(x)), pa.array(norm)], [key, "idx", "x", "norm"])
 
-    return docs.select(key, plain(text).alias("s")).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, idx array<int>, x array<double>, norm double")
+    return spread(docs.select(key, plain(text).alias("s"))).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, idx array<int>, x array<double>, norm double")
 
 
 def projected(docs: DataFrame, vocabulary: DataFrame, projection: np.ndarray | None, key: str, text: str) -> DataFrame:
@@ -152,7 +158,7 @@ def projected(docs: DataFrame, vocabulary: DataFrame, projection: np.ndarray | N
                 offs = pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(y)), pa.ListArray.from_arrays(offs, pa.array(y.ravel()))], [key, "vector"])
 
-    return docs.select(key, plain(text).alias("s")).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, vector array<double>")
+    return spread(docs.select(key, plain(text).alias("s"))).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, vector array<double>")
 
 
 def hashed(docs: DataFrame, key: str, text: str, dim: int = 128, unit: bool = True) -> DataFrame:
@@ -171,7 +177,7 @@ def hashed(docs: DataFrame, key: str, text: str, dim: int = 128, unit: bool = Tr
                 offs = pa.array(np.arange(len(out) + 1, dtype=np.int32) * dim)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(out)), pa.ListArray.from_arrays(offs, pa.array(out.ravel()))], [key, "vector"])
 
-    return docs.select(key, plain(text).alias("s")).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, vector array<double>")
+    return spread(docs.select(key, plain(text).alias("s"))).mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, vector array<double>")
 
 
 def leading_directions(docs: DataFrame, vocabulary: DataFrame, text: str, target: int, more: int = 32, rounds: int = 6, seed: int = 20240103) -> np.ndarray:
