@@ -84,20 +84,21 @@ def _one_by_one(edges: DataFrame, kind: str) -> DataFrame:
 
 
 def _in_rounds(both: DataFrame) -> DataFrame:
-    """The same for edges (a, b, pa, pb) in either direction, all nodes at a time."""
+    """The same for edges (a, b, pa, pb) in either direction, all nodes at a time.
+
+    Rounds only tell which nodes fold; leaders are looked up when all kept ones are known, since an earlier neighbour may be kept in a
+    later round."""
     nodes = both.select(F.col("a").alias("id")).distinct()
     if both.isEmpty():
         return nodes.select("id", F.col("id").alias("leader"))
-    decided, open_ = None, both
+    folded, open_ = None, both
     while not open_.isEmpty():
-        kept = cut(open_.groupBy("a").agg(F.min("pb").alias("first"), F.min("pa").alias("pa")).where("pa < first").select(F.col("a").alias("k"), "pa"))
-        near = both.join(kept.select(F.col("k").alias("a")).hint("merge"), "a")
-        if decided is not None:
-            near = near.join(decided.select(F.col("id").alias("b")).hint("merge"), "b", "left_anti")
-        folded = near.groupBy("b").agg(F.min_by("a", "pa").alias("leader")).select(F.col("b").alias("id"), "leader")
-        new = kept.select(F.col("k").alias("id"), F.col("k").alias("leader")).unionByName(folded)
-        decided = cut(new if decided is None else decided.unionByName(new))
-        gone = decided.select("id")
+        kept = cut(open_.groupBy("a").agg(F.min("pb").alias("first"), F.min("pa").alias("pa")).where("pa < first").select("a"))
+        near = cut(open_.join(kept.hint("merge"), "a", "left_semi").select(F.col("b").alias("id")).distinct())
+        folded = near if folded is None else cut(folded.unionByName(near))
+        gone = kept.select(F.col("a").alias("id")).unionByName(near)
         open_ = cut(open_.join(gone.select(F.col("id").alias("a")).hint("merge"), "a", "left_anti").join(gone.select(F.col("id").alias("b")).hint("merge"), "b", "left_anti"))
-    left = nodes.join(decided.select("id").hint("merge"), "id", "left_anti")
-    return decided.unionByName(left.select("id", F.col("id").alias("leader")))
+    to = both.join(folded.select(F.col("id").alias("b")).hint("merge"), "b", "left_semi").join(folded.select(F.col("id").alias("a")).hint("merge"), "a", "left_anti")
+    leaders = to.groupBy("b").agg(F.min_by("a", "pa").alias("leader")).select(F.col("b").alias("id"), "leader")
+    left = nodes.join(folded.hint("merge"), "id", "left_anti")
+    return leaders.unionByName(left.select("id", F.col("id").alias("leader")))
