@@ -110,7 +110,7 @@ def s2_feed_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {DOCUMENTS_SQL}
-SELECT CASE WHEN doc_id % 6 = 0 AND words <> '' THEN words WHEN doc_id % 6 = 0 THEN 'https://www.xiaohongshu.com/explore/n' || doc_id ELSE 'T' || doc_id END AS title,
+SELECT CASE WHEN doc_id % 6 = 0 AND words <> '' THEN words WHEN doc_id % 12 = 0 THEN 'https://e/' || doc_id WHEN doc_id % 6 = 0 THEN 'https://www.xiaohongshu.com/explore/n' || doc_id ELSE 'T' || doc_id END AS title,
   CASE WHEN doc_id % 4 = 0 THEN 'https://e/' || doc_id ELSE 'https://www.xiaohongshu.com/explore/n' || doc_id END AS url, nullif(left(words, 500), '') AS summary,
   'a' || doc_id % 30 AS author, 'u' || doc_id % 30 AS author_id, strftime(TIMESTAMP '2023-11-14 22:13:20' + to_seconds(doc_id), '%Y-%m-%d %H:%M:%S') AS published_at,
   CASE WHEN doc_id % 5 < 4 THEN (1000 + doc_id)::DOUBLE END AS heat, CASE WHEN doc_id % 3 = 0 THEN 'a|b' WHEN doc_id % 3 = 1 THEN 'c|d e' ELSE '' END AS tags FROM d""")
