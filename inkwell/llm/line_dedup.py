@@ -30,6 +30,8 @@ LEAST_WORDS, CHOICE, COUNT_BITS = 5, 3, 16
 NARROW = 30
 #: Groups of candidates up to this size are compared pair by pair; larger ones with a few leaders first.
 PAIRWISE = 8
+#: Members of large groups that one task compares with as many others, and classes of characters that are counted before.
+BLOCK, BINS = 1_000, 61
 
 
 def lines_of(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -264,7 +266,8 @@ def choice_keys(least: np.ndarray) -> Iterator[np.ndarray]:
 def proposed(table: pa.Table, pairwise: int, similarity: float = SIMILARITY) -> pa.RecordBatch:
     """Pairs (g, a, b, whole) of the members (g, key, size) of groups, those alone whose lengths may be similar.
 
-    Groups of up to ``pairwise`` members are whole: all pairs; in larger ones each member meets the first quarter as many."""
+    Groups of up to ``pairwise`` members are whole: all pairs; in larger ones each member meets the first quarter as many, and the
+    rest is for ``across``."""
     g, key, size = (table.column(c).to_numpy() for c in ("g", "key", "size"))
     order = np.lexsort((key, g))
     g, key, size = g[order], key[order], size[order]
@@ -279,17 +282,49 @@ def proposed(table: pa.Table, pairwise: int, similarity: float = SIMILARITY) ->
             right.append(other)
             whole.append(np.full(len(other), n <= pairwise))
     i, j, full = np.concatenate(left), np.concatenate(right), np.concatenate(whole)
-    near = (np.abs(size[i] - size[j]) <= (1 - similarity) * np.maximum(size[i], size[j]) + 1e-9) | ~full  # leaders stay known
+    near = (np.abs(size[i] - size[j]) <= (1 - similarity) * np.maximum(size[i], size[j]) + 1e-9) | ~full  # so that large groups stay known
     i, j, full = i[near], j[near], full[near]
     return pa.RecordBatch.from_arrays([pa.array(g[i]), pa.array(key[i]), pa.array(key[j]), pa.array(full)], ["g", "a", "b", "whole"])
 
 
+def letter_counts(lines: list[str]) -> np.ndarray:
+    """How often each line has characters of each of BINS classes; one edit takes from one class and adds to one, at most."""
+    return np.stack([np.bincount(np.frombuffer(line.encode("utf-32-le"), np.uint32) % BINS, minlength=BINS) for line in lines]).astype(np.int32)
+
+
+def across(table: pa.Table, similarity: float = SIMILARITY) -> pa.RecordBatch:
+    """Similar pairs (a, b) of the left and right members (t, key, part, left, right, words) of tasks, enough to connect the parts.
+
+    Parts that a pair has connected are one from there on; of others every pair is compared, unless their characters alone show too
+    many edits."""
+    t, key, part, left, right = (table.column(c).to_numpy() for c in ("t", "key", "part", "left", "right"))
+    words, a, b = table.column("words").to_pylist(), [], []
+    cut_at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1], [True]]))
+    for lo, hi in zip(cut_at[:-1].tolist(), cut_at[1:].tolist(), strict=True):
+        own, label = words[lo:hi], np.unique(part[lo:hi], return_inverse=True)[1]
+        counts = letter_counts(own)
+        size = counts.sum(axis=1)
+        mine, other = np.flatnonzero(left[lo:hi]), np.flatnonzero(right[lo:hi])
+        for i in mine.tolist():
+            near = other[(label[other] != label[i]) & ((other > i) | ~left[lo + other])]
+            most = (1 - similarity) * np.maximum(size[near], size[i]) + 1e-9
+            near, most = near[np.abs(size[near] - size[i]) <= most], most[np.abs(size[near] - size[i]) <= most]
+            more = counts[near] - counts[i]
+            near = near[np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)) <= most]
+            for j in near.tolist():
+                if label[j] != label[i] and edit_similarity(own[i], own[j], similarity):
+                    a.append(key[lo + i])
+                    b.append(key[lo + j])
+                    label[label == label[j]] = label[i]
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def similar_lines(lines: DataFrame, docs: DataFrame, hamming: int = HAMMING, similarity: float = SIMILARITY) -> DataFrame:
     """Verified pairs (a, b) of line keys out of distinct ``lines`` (key, sim, size, least, doc, line), enough of them to connect all found.
 
     Candidates are groups: lines that share a choice of words, lines of one SimHash, lines whose SimHash is near that of a star.
-    Small groups are compared pair by pair.  In larger ones lines meet leaders; those unlike all leaders meet four times as many
-    among themselves in the next round, until a round compares what is left pair by pair: rounds grow with the logarithm of a group."""
+    Small groups are compared pair by pair.  In larger ones lines meet a few leaders first; what isn't connected by then, through any
+    group, is compared pair by pair, in blocks.  So every pair of a group is either connected or was compared."""
     spark = lines.sparkSession
     buckets = partitions(spark)
 
@@ -358,21 +393,29 @@ def similar_lines(lines: DataFrame, docs: DataFrame, hamming: int = HAMMING, sim
         # dealt anew, so that no task has more than its share of long lines however few partitions the joins were given
         return met.select("a", "b", "aw", "bw").repartition(2 * buckets).mapInArrow(released(verify), "a long, b long")
 
-    found, pairwise = None, PAIRWISE
-    while True:
-        def propose(batches: Iterator[pa.RecordBatch], most: int = pairwise) -> Iterator[pa.RecordBatch]:
-            for table in whole_groups(batches, "g"):
-                yield proposed(table, most, similarity)
-
-        pairs = cut(members.repartition("g").sortWithinPartitions("g").mapInArrow(released(propose), "g long, a long, b long, whole boolean"))
-        good = cut(similar(pairs.select("a", "b").distinct()))
-        found = good if found is None else found.unionByName(good)
-        left = pairs.where("not whole")
-        if left.isEmpty():
-            return found
-        met = left.join(good.hint("merge"), ["a", "b"]).select("g", F.col("b").alias("key")).unionByName(left.select("g", F.col("a").alias("key"))).distinct()
-        members = cut(members.join(left.select("g").distinct().hint("merge"), "g", "left_semi").join(met.hint("merge"), ["g", "key"], "left_anti"))
-        pairwise *= 4
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "g"):
+            yield proposed(table, PAIRWISE, similarity)
+
+    pairs = cut(members.repartition("g").sortWithinPartitions("g").mapInArrow(released(propose), "g long, a long, b long, whole boolean"))
+    good = cut(similar(pairs.select("a", "b").distinct()))
+    large = cut(pairs.where("not whole").select("g").distinct())
+    if large.isEmpty():
+        return good
+    parts = cut(connected_components(good))
+    labels = parts.select(F.col("id").alias("key"), F.col("component").alias("part"))
+    rest = cut(members.join(large.hint("merge"), "g", "left_semi").join(labels.hint("merge"), "key", "left").select("g", "key", F.coalesce("part", "key").alias("part")))
+    sizes = rest.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("g", "n")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = rest.join(sizes.hint("merge"), "g").withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = own.select("key", "part", F.xxhash64("g", F.least("own", "k"), F.greatest("own", "k")).alias("t"), (F.col("own") <= F.col("k")).alias("left"), (F.col("own") >= F.col("k")).alias("right"))
+
+    def meet_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "t", BLOCK):
+            yield across(table, similarity)
+
+    met = dealt.join(words.hint("merge"), "key").repartition("t").sortWithinPartitions("t").select("t", "key", "part", "left", "right", "words")
+    return parts.select(F.col("id").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(cut(met.mapInArrow(released(meet_parts), "a long, b long")))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS, hamming: int = HAMMING, similarity: float = SIMILARITY) -> DataFrame:
