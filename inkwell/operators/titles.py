@@ -30,19 +30,20 @@ class RankedTitles:
         """The first ranked title that stands in ``title``."""
         return min((at for _, at in self.automaton.iter(title)), default=None) if len(self.automaton) else None
 
-    def around(self, titles: list[str]) -> dict[str, int]:
-        """For each of ``titles`` the first ranked title that it stands in: one automaton of them all reads the ranking once.
+    def around(self, titles: list[str], automaton) -> dict[str, int]:
+        """For each of ``titles`` the first ranked title that it stands in: one automaton of theirs (or more) reads the ranking once.
 
         A title that is found is left in the automaton, but read on past only until all are found."""
         found: dict[str, int] = {}
-        own = _automaton({t: t for t in titles if t})
+        wanted = set(titles)
         for at, (_, ranked, _) in enumerate(self.rows):
-            if ranked and len(own):
-                for _, title in own.iter(ranked):
-                    found.setdefault(title, at)
-            if ranked and "" in titles:
+            if ranked and len(automaton):
+                for _, title in automaton.iter(ranked):
+                    if title in wanted:
+                        found.setdefault(title, at)
+            if ranked and "" in wanted:
                 found.setdefault("", at)
-            if len(found) == len(titles):
+            if len(found) == len(wanted):
                 break
         return found
 
@@ -56,45 +57,52 @@ def _automaton(words: dict):
     return out
 
 
-def _match(batches: Iterator[pa.RecordBatch], ranked: RankedTitles) -> Iterator[pa.RecordBatch]:
+def _match(batches: Iterator[pa.RecordBatch], blocks: list[RankedTitles]) -> Iterator[pa.RecordBatch]:
+    """What distinct titles find in each block that holds any of them, or is held."""
     for batch in batches:
-        titles = batch.column(1).to_pylist()
-        held = {t for t in titles if t is not None}
-        equal = {t: ranked.first[t] for t in held if t in ranked.first}
-        rest = sorted(held - equal.keys())
-        around = ranked.around(rest)
-        near = {t: min(x for x in (ranked.inside(t), around.get(t)) if x is not None) for t in rest if t in around or ranked.inside(t) is not None}
-        columns = [batch.column(0), batch.column(1)]
-        for found in (equal, near):
-            rows = [ranked.rows[found[t]] if t in found else (None, None, None) for t in titles]
-            columns += [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())]
-        yield pa.RecordBatch.from_arrays(columns, ["id", "title", *_FOUND])
+        titles = batch.column(0).to_pylist()
+        automaton = _automaton({t: t for t in titles if t})
+        for ranked in blocks:
+            equal = {t: ranked.first[t] for t in titles if t in ranked.first}
+            around = ranked.around([t for t in titles if t not in equal], automaton)
+            near = {}
+            for t in titles:
+                places = [x for x in (ranked.inside(t), around.get(t)) if x is not None] if t not in equal else []
+                if places:
+                    near[t] = min(places)
+            found = [t for t in titles if t in equal or t in near]
+            columns = [pa.array(found, pa.string())]
+            for of in (equal, near):
+                rows = [ranked.rows[of[t]] if t in of else (None, None, None) for t in found]
+                columns += [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["title", *_FOUND])
 
 
 def match_titles(articles: DataFrame, ranking: DataFrame, default: float = 0.2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``articles`` (id, title, …) with the score of the ranked title (pos, title, score) that is equal, else of the first that holds it or is held by it.
 
-    The ranking is measured and goes out in blocks of about ``block_bytes`` of titles, whatever its size; every article meets each
-    block where it is, in both directions by Aho-Corasick automata.  An empty title stands in every ranked one that isn't empty; an
+    Equal titles are matched once, and of equal ranked ones only the first can count, so both are made distinct.  What is left of the
+    ranking is measured and goes out in blocks of about ``block_bytes`` of titles, as many at once as BLOCK_BYTES hold; each title meets
+    each block where it is, in both directions by Aho-Corasick automata.  An empty title stands in every ranked one that isn't empty; an
     empty ranked title stands in none, but is equal to an empty one.  Null titles, and ranked titles without a place, match nothing;
-    of ranked titles on one place the lesser text counts.  Articles that share an id must share their title."""
+    of ranked titles on one place the lesser text counts."""
     ranked = ranking.select(F.col("pos").cast("long").alias("pos"), "title", F.col("score").cast("double").alias("score")).where("pos is not null and title is not null")
+    # of equal titles the first counts, whatever it is matched with
+    place = F.struct("pos", F.col("score").isNull().alias("none"), "score")
+    ranked = cut(ranked.groupBy("title").agg(F.min(place).alias("r")).select("r.pos", "title", "r.score"))
+    own = cut(articles.select("title").where("title is not null").distinct())
     blocks = max(1, -(-(ranked.agg(F.sum(F.octet_length("title"))).first()[0] or 0) // block_bytes))
-    sc, own, parts = articles.sparkSession.sparkContext, articles.select("id", "title"), []
-    kind = dict(own.dtypes)["id"]
-    for b in range(blocks):
-        rows = ranked if blocks == 1 else ranked.where(F.pmod(F.xxhash64("pos"), F.lit(blocks)) == b)
-        held = sc.broadcast(sorted(map(tuple, rows.collect()), key=lambda r: (r[0], r[1])))
-        parts.append(own.mapInArrow(lambda batches, held=held: _match(batches, RankedTitles(held.value)), f"id {kind}, title string, equal_pos long, equal_score double, near_pos long, near_score double"))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    if blocks > 1 or "score" in articles.columns or len(articles.columns) > 2:
-        best = [F.min_by(f"{k}_score", F.struct(F.col(f"{k}_pos").isNull().alias("n"), f"{k}_pos")).alias(f"{k}_score") for k in ("equal", "near")]
-        best += [F.count(f"{k}_pos").alias(f"{k}_pos") for k in ("equal", "near")]
-        found = cut(found.groupBy("id").agg(*best)).withColumns({f"{k}_pos": F.when(F.col(f"{k}_pos") > 0, F.col(f"{k}_pos")) for k in ("equal", "near")})
-    score = F.when(F.col("equal_pos").isNotNull(), F.col("equal_score")).when(F.col("near_pos").isNotNull(), F.col("near_score"))
-    out = found.withColumn("score", F.coalesce(score, F.lit(default)))
-    if "title" in out.columns:
-        return out.select("id", "title", "score")
-    return articles.join(out.select("id", "score").hint("merge"), "id", "left").withColumn("score", F.coalesce("score", F.lit(default)))
+    numbered, found, sc = ranked.withColumn("b", F.pmod(F.xxhash64("pos"), F.lit(blocks))), None, articles.sparkSession.sparkContext
+    together = max(1, BLOCK_BYTES // block_bytes)  # blocks that go out in one broadcast
+    for first in range(0, blocks, together):
+        held: list[list[tuple]] = [[] for _ in range(min(together, blocks - first))]
+        for b, *row in numbered.where(F.col("b").between(first, first + len(held) - 1)).select("b", "pos", "title", "score").toLocalIterator():
+            held[b - first].append(tuple(row))
+        sent = sc.broadcast(held)
+        part = own.mapInArrow(lambda batches, sent=sent: _match(batches, [RankedTitles(rows) for rows in sent.value]), "title string, equal_pos long, equal_score double, near_pos long, near_score double")
+        found = part if found is None else found.unionByName(part)
+    best = [F.min_by(F.struct(f"{k}_pos", f"{k}_score"), F.struct(F.col(f"{k}_pos").isNull().alias("n"), f"{k}_pos")).alias(k) for k in ("equal", "near")]
+    found = cut(found.groupBy("title").agg(*best))
+    score = F.when(F.col("equal.equal_pos").isNotNull(), F.col("equal.equal_score")).when(F.col("near.near_pos").isNotNull(), F.col("near.near_score"))
+    scored = found.select("title", score.alias("__score"))
+    return articles.join(scored.hint("merge"), "title", "left").withColumn("score", F.coalesce("__score", F.lit(default))).select(*articles.columns, *([] if "score" in articles.columns else ["score"]))
