@@ -28,6 +28,8 @@ def query(sql: str | None = None):
     return keep
 
 
+#: A drop of more rows is landed as several files, so that no task writes or reads more than a few times so many.
+DROP_ROWS = 20_000
 LATE = "40 days"  # no row of the table is later, so batch SQL sees what the streams see
 
 
@@ -50,16 +52,22 @@ def _drops(spark: SparkSession, sf_dir: str, name: str, order: str, parts: int =
     return out + [rows.where(held)] if held else out
 
 
-def _stream(spark: SparkSession, folder: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+def _files(drops: list[DataFrame], most: int = DROP_ROWS) -> int:
+    """How many files each drop is landed as: as many for all, so that a trigger of that many takes a drop."""
+    return sum(d.count() for d in drops) // (most * len(drops)) + 1
+
+
+def _stream(spark: SparkSession, folder: str, schema, files: int = 1) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/*")
 
 
 def _landing(spark: SparkSession, sf_dir: str, name: str, order: str, parts: int = 4, held: str | None = None) -> DataFrame:
     """A stream of all ``_drops``, one micro-batch each."""
     drops, folder = _drops(spark, sf_dir, name, order, parts, held), f"{_folder(spark)}/{name}"
+    files = _files(drops)
     for k, own in enumerate(drops):
-        own.coalesce(1).write.parquet(f"{folder}/{k}")
-    return _stream(spark, folder, drops[0].schema)
+        own.repartition(files).write.parquet(f"{folder}/{k}")
+    return _stream(spark, folder, drops[0].schema, files)
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,10 +98,11 @@ def t2_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t3_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream stops after two drops and starts again from its checkpoint for the other two."""
     folder, drops = _folder(spark), _drops(spark, sf_dir, "events", "ts")
+    files = _files(drops)
     for k, own in enumerate(drops):
-        own.coalesce(1).write.parquet(f"{folder}/in/{k}")
+        own.repartition(files).write.parquet(f"{folder}/in/{k}")
         if k % 2:
-            out = streams.drain(state.first_seen(_as_snapshots(_stream(spark, f"{folder}/in", own.schema))), folder)
+            out = streams.drain(state.first_seen(_as_snapshots(_stream(spark, f"{folder}/in", own.schema, files))), folder)
     return out.select("board", "content_hash", clock("first_seen"))
 
 
