@@ -109,8 +109,9 @@ def t3_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SNAPSHOTS_SQL}, w AS (SELECT *, unnest(range(0, 12)) AS k FROM snapshots), x AS (SELECT board, content_hash, rank, observed_at, time_bucket(INTERVAL 30 MINUTE, observed_at) + INTERVAL 30 MINUTE + to_minutes(30 * k) AS e FROM w)
   SELECT strftime(e, '%Y-%m-%d %H:%M:%S') AS window_end, board, content_hash, arg_min(rank, (observed_at, rank)) - min(rank) AS delta FROM x GROUP BY e, board, content_hash HAVING arg_min(rank, (observed_at, rank)) - min(rank) >= 15""")
 def t4_rising(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.drain(streams.rising(_snapshots(spark, sf_dir), late=LATE), _folder(spark), "update", ("window_end", "board", "content_hash"))
-    return out.where("delta >= 15").select(clock("window_end"), "board", "content_hash", "delta")
+    """The stream keeps panes of half an hour; windows of six hours are put together out of the panes that it wrote."""
+    panes = streams.drain(streams.rising_panes(_snapshots(spark, sf_dir), late=LATE), _folder(spark), "update", ("pane_end", "board", "content_hash"))
+    return streams.rising_of(panes).where("delta >= 15").select(clock("window_end"), "board", "content_hash", "delta")
 
 
 HEALTH_SQL = f"""WITH {RUNS_SQL}, w AS (SELECT *, unnest(range(0, 24)) AS k FROM runs), x AS (SELECT *, time_bucket(INTERVAL 1 HOUR, started_at) + INTERVAL 1 HOUR + to_hours(k) AS e FROM w)

@@ -39,6 +39,30 @@ def rising(stream: DataFrame, hours: int = 6, slide_minutes: int = 30, late: str
     return rising_windows(hours, slide_minutes).reckon(stream.withWatermark("observed_at", late))
 
 
+def rising_panes(stream: DataFrame, hours: int = 6, slide_minutes: int = 30, late: str = "1 hour") -> DataFrame:
+    """(pane_end, board, content_hash, first, best) of panes as long as the slide of ``rising``, for ``rising_of``; for update mode.
+
+    State has one row for what ``rising`` keeps in each of a row's windows.  A pane stays open until ``late`` after the last window
+    that holds it, so every row that counts in one of the windows of ``rising`` counts here."""
+    if hours * 60 % slide_minutes:
+        raise ValueError("panes make up windows whose length is a multiple of the slide")
+    spark = stream.sparkSession
+    seconds = spark.range(1).select(F.expr(f"unix_micros(timestamp '1970-01-01 00:00:00' + INTERVAL {late}) - unix_micros(timestamp '1970-01-01 00:00:00')").alias("us")).first().us // 1_000_000
+    values = (F.min(F.struct("observed_at", "rank")).alias("first"), F.min("rank").alias("best"))
+    panes = Windows("observed_at", ("board", "content_hash"), f"{slide_minutes} minutes", f"{slide_minutes} minutes", values)
+    return panes.reckon(stream.withWatermark("observed_at", f"{seconds + hours * 3600} seconds")).withColumnRenamed("window_end", "pane_end")
+
+
+def rising_of(panes: DataFrame, hours: int = 6, slide_minutes: int = 30) -> DataFrame:
+    """What ``rising`` has, out of a table of ``rising_panes``: each pane stands in all windows that hold it.
+
+    Panes are dealt by item before they are repeated, so only panes are shuffled."""
+    ends = F.transform(F.sequence(F.lit(0), F.lit(hours * 60 // slide_minutes - 1)), lambda k: F.col("pane_end") + F.make_dt_interval(mins=k * slide_minutes))
+    rows = panes.repartition("board", "content_hash").select(F.explode(ends).alias("window_end"), "board", "content_hash", "first", "best")
+    out = rows.groupBy("board", "content_hash", "window_end").agg((F.min("first")["rank"] - F.min("best")).alias("delta"))
+    return out.select("window_end", "board", "content_hash", "delta")
+
+
 def rolling_health(stream: DataFrame, hours: int = 24, slide_hours: int = 1, late: str = "1 hour") -> DataFrame:
     """(window_end, collector, runs, ok_runs, new_items) of rolling windows; for update mode, as ``rising``."""
     return health_windows(hours, slide_hours).reckon(stream.withWatermark("started_at", late))

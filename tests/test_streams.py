@@ -114,3 +114,16 @@ def test_cursor_counts_and_timers(spark, tmp_path):
     assert sorted((str(r.queue_id), r.unit_id, r.pos, r.again) for r in out.collect()) == [("None", "n", 5, 0), ("q", "b", 1, 0), ("q", "b", 1, 2), ("r", "a", 0, 0), ("r", "c", 2, 0), ("s", "k", 3, 0)]
     out = streams.drain(state.drip(land(spark, f"{tmp_path}/b", batches, s), due_hours=10), f"{tmp_path}/b/w", "update", ("queue_id",))
     assert sorted((str(r.queue_id), r.pos, r.state) for r in out.collect()) == [("None", 5, "due"), ("q", 1, "due"), ("r", 2, "printed"), ("s", 3, "printed")]
+
+
+def test_windows_put_together_out_of_panes_are_those_of_rising(spark, tmp_path):
+    """State has one row for each item and half hour, not one for each of the twelve windows that hold it."""
+    s = "board string, content_hash string, observed_at timestamp, rank int"
+    row = lambda k, m, rank: ("b", k, T0 + timedelta(minutes=m), rank)
+    batches = [[row("x", 0, 40), row("x", 29, 9), row("y", 30, None)], [row("x", 100, 3), row("y", 200, 7), row(None, 0, 1)], [row("x", 10, 50), row("y", 420, 2), row("x", 359, 1)]]
+    rows = land(spark, str(tmp_path), batches, s)
+    panes = streams.drain(streams.rising_panes(rows, late="2 days"), f"{tmp_path}/p", "update", ("pane_end", "board", "content_hash"))
+    keys = ("window_end", "board", "content_hash")
+    want = streams.drain(streams.rising(rows, late="2 days"), f"{tmp_path}/w", "update", keys)
+    assert panes.count() == 7 and want.count() > 40
+    assert sorted(map(str, streams.rising_of(panes).collect())) == sorted(map(str, want.collect()))
