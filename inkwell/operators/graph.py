@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,17 +24,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written below the shared folder and read back, for loops of joins.
+
+    The estimated size of a checkpoint is still that of its plan, a product over all joins before it: from round to round its digits
+    multiply until the driver's memory is full.  That of files is their own."""
+    place = f"{shared_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, label): the least id of each node's component; ``nodes`` (id), ``edges`` (a, b).
 
     Minimum labels spread along edges and then jump to their label's label, so long chains halve each round."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = cut(nodes.select("id").distinct().withColumn("label", F.col("id")))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = written(edges.where("a <> b").select(F.explode(ways).alias("e")).select("e.*").distinct())
+    labels = written(nodes.select("id").distinct().withColumn("label", F.col("id")))
     for _ in range(rounds):
         near = both.join(labels.hint("merge"), both["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("m"))
         once = labels.join(near.hint("merge"), labels["id"] == near["a"], "left").select("id", "label", F.least("label", F.coalesce("m", "label")).alias("m"))
         jump = once.select(F.col("id").alias("m"), F.col("m").alias("mm"))
-        moved = cut(once.join(jump.hint("merge"), "m", "left").select("id", "label", F.least("m", F.coalesce("mm", "m")).alias("next")))
+        moved = written(once.join(jump.hint("merge"), "m", "left").select("id", "label", F.least("m", F.coalesce("mm", "m")).alias("next")))
         changed = moved.where("next <> label").limit(1).count()
         labels = moved.select("id", F.col("next").alias("label"))
         if not changed:

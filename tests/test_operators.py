@@ -136,3 +136,11 @@ def test_board_and_feed_dumps(spark, tmp_path):
     assert [(r.title, r.author, r.content is not None, str(r.published_at)) for r in rows] == [("Keep", "n", True, "2024-01-02 03:04:05")]
     with pytest.raises(dumps.EmptyDump):
         dumps.require_rows(dumps.read_feed(spark, str(tmp_path / "f.xml"), "n", include="zzz"), "n")
+
+
+def test_size_estimates_do_not_grow_with_the_rounds_of_components(spark):
+    """They are whole numbers of any length at the driver; a chain takes many rounds, each of several joins."""
+    nodes = spark.range(64)
+    out = graph.components(nodes, spark.range(63).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert {r.label for r in out.collect()} == {0} and out.count() == 64
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**60
