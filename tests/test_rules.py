@@ -75,3 +75,23 @@ def test_titles_both_ways(spark):
     wide = titles.match_titles(a.selectExpr("id", "title", "id * 2 AS pos"), r)
     assert wide.columns == ["id", "title", "pos", "score"] and {x.id: (x.pos, x.score) for x in wide.collect()} == {i: (2 * i, score(t)) for i, t in articles}
     assert {x.score for x in titles.match_titles(a, r.limit(0)).collect()} == {0.2} and titles.match_titles(a.limit(0), r).count() == 0
+
+
+def test_blocks_of_rules_and_totals(spark):
+    """Rules that go out in blocks match the same; totals are those of the lists, and no row for a match or a hit is shuffled for them."""
+    rng = random.Random(5)
+    stock = [f"w{i}" for i in range(30)]
+    pick = lambda lo, n: [rng.choice(stock) for _ in range(rng.randrange(lo, n))]
+    made = [{"name": f"r{i}", "must": pick(0, 4), "any": pick(0, 3), "exclude": pick(0, 2), "weight": rng.choice([1.0, 2.0]), "aliases": {rng.choice(stock): pick(1, 3)}} for i in range(200)]
+    items = [(i, " ".join(pick(0, 4)), " ".join(pick(0, 25))) for i in range(60)]
+    frame = spark.createDataFrame(items, "content_hash long, title string, summary string").selectExpr("*", "cast(null as string) content")
+    own = spark.createDataFrame([tuple(g[k] for k in ("name", "must", "any", "exclude", "weight", "aliases")) for g in made], rules.RULES)
+    want = {h: sorted((-w, n, t) for g in made if (m := match(g, title, text)) for n, w, t in [m]) for h, title, text in items}
+    sums = {h: (m[0][1], len(m), -sum(w for w, _, _ in m)) for h, m in want.items() if m}
+    for block in (rules.BLOCK_WORDS, 100):
+        got = {r.content_hash: [(-m.weight, m.group, m.in_title) for m in r.matches] for r in rules.match_rules(frame, own, block_words=block).collect()}
+        assert got == want
+        totals = rules.rule_totals(frame, own, block_words=block)
+        assert {r.content_hash: (r.group, r.hits, r.total) for r in totals.collect()} == sums
+    assert len(sums) > 20 and max(n for _, n, _ in sums.values()) > 20
+    assert rules.rule_totals(frame, own.limit(0)).count() == 0
