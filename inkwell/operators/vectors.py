@@ -19,6 +19,39 @@ from inkwell.operators import grams
 from inkwell.operators.graph import cut
 
 
+#: Cosines that a task holds at once.
+CELLS = 2_000_000
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-9)
+
+
+def _dense(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def _best(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cosines, ids) of the ``k`` greatest of each row of ``s``, ties by id, in no order; ``ids`` are of columns or of cells."""
+    if s.shape[1] <= k:
+        return s, np.broadcast_to(ids, s.shape)
+    bar = np.partition(s, -k, axis=1)[:, -k, None]
+    over = s > bar
+    short = k - over.sum(axis=1)
+    ties = s == bar
+    many = np.flatnonzero(ties.sum(axis=1) > short)
+    if len(many):
+        of = np.where(ties[many], np.broadcast_to(ids, s.shape)[many], np.iinfo(np.int64).max)
+        order = np.argsort(of, axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(s.shape[1])[None], axis=1)
+        ties[many] &= place < short[many, None]
+    keep = over | ties
+    return s[keep].reshape(len(s), k), np.broadcast_to(ids, s.shape)[keep].reshape(len(s), k)
+
+
 def fit_vocabulary(docs: DataFrame, key: str, text: str, most: int = 4096) -> DataFrame:
     """(gram, idx, df, idf) of the ``most`` grams of highest document frequency, ties by gram; every row is a document."""
     n = docs.count()
@@ -68,8 +101,8 @@ def lookup(keys: DataFrame, embeddings: DataFrame, model: str | None = None) ->
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 10_000) -> DataFrame:
     """(query, id, cosine, place): the ``k`` vectors of highest cosine for each of ``queries`` (id, vector), ties by id.
 
-    Queries are dealt into blocks of about ``block``; each block in turn is sent out, and each task keeps its own best ``k`` of a
-    query before the shuffle."""
+    Queries are dealt into blocks of about ``block``; each block in turn is sent out.  A task compares it with some vectors at a time
+    and keeps its own best ``k`` of a query, so it holds no more than ``CELLS`` cosines, and so many rows are shuffled."""
     n = queries.count()
     parts = max(1, -(-n // block))
     out = None
@@ -86,18 +119,22 @@ def _nearest_of(held: list[tuple[int, np.ndarray]], vectors: DataFrame, k: int)
     q = np.stack([v for _, v in held]) if held else np.zeros((0, 1))
     sent = vectors.sparkSession.sparkContext.broadcast(q / (np.linalg.norm(q, axis=1, keepdims=True) + 1e-9))
 
-    def search(frames):
-        for pdf in frames:
-            if not len(pdf) or not len(ids):
-                continue
-            m = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-            m /= np.linalg.norm(m, axis=1, keepdims=True) + 1e-9
-            s = np.round(m @ sent.value.T, 9)
-            for j, query in enumerate(ids):
-                best = np.lexsort((pdf["id"].to_numpy(), -s[:, j]))[:k]
-                yield pd.DataFrame({"query": query, "id": pdf["id"].to_numpy()[best], "cosine": s[best, j]})
+    def search(batches):
+        if not ids:
+            return
+        best, rows = None, max(k, CELLS // len(ids))
+        for batch in batches:
+            own, m = batch.column(0).to_numpy(), _unit(_dense(batch.column(1)))
+            for at in range(0, len(m), rows):
+                found = _best(np.round(sent.value @ m[at : at + rows].T, 9), own[at : at + rows], k)
+                best = found if best is None else _best(*(np.concatenate(x, axis=1) for x in zip(best, found, strict=True)), k)
+        if best is not None:
+            s, own = best
+            for at in range(0, len(ids), 10_000):
+                part = own[at : at + 10_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at : at + 10_000], part.shape[1])), pa.array(part.ravel()), pa.array(s[at : at + 10_000].ravel())], ["query", "id", "cosine"])
 
-    return vectors.select("id", "vector").mapInPandas(search, "query long, id long, cosine double")
+    return vectors.select(F.col("id").cast("long").alias("id"), "vector").mapInArrow(search, "query long, id long, cosine double")
 
 
 class _TextColumns(Params):
@@ -217,10 +254,6 @@ class NgramEmbedderModel(_TextColumns, Model, MLReadable, MLWritable):
         return TablesReader(cls, cls.TABLES)
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
-    return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-9)
-
-
 class InvertedLists:
     """Coarse centroids of vectors (at most ``most_lists``, fitted on about ``sample`` of them); a vector stands in the list of its nearest one."""
 
@@ -242,7 +275,7 @@ class InvertedLists:
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
-                    m = np.array(part.column(1).to_pylist(), np.float64)
+                    m = _dense(part.column(1))
                     s = _unit(m) @ sent.value.T if len(sent.value) > 1 else np.zeros((len(m), 1))
                     order = np.argsort(-np.round(s, 9), axis=1, kind="stable")[:, :probes]
                     row = pa.array(np.repeat(np.arange(len(m)), order.shape[1]))
@@ -287,10 +320,12 @@ def nearest_in_lists(queries: DataFrame, vectors: DataFrame, k: int = 20, lists:
         names, kinds = ["query", "id", "cosine"], [pa.int64(), pa.int64(), pa.float64()]
         if not q.num_rows or not v.num_rows:
             return pa.table([pa.array([], t) for t in kinds], names)
-        a, b = (_unit(np.array(t.column("vector").to_pylist(), np.float64)) for t in (q, v))
-        ids, s = v.column("id").to_numpy(), np.round(a @ b.T, 9)
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
-        return pa.table([pa.array(np.repeat(q.column("id").to_numpy(), order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(s, order, axis=1).ravel())], names)
+        (a, b), queries = (_unit(_dense(t.column("vector"))) for t in (q, v)), q.column("id").to_numpy()
+        step, parts = max(1, CELLS // len(b)), []
+        for at in range(0, len(a), step):
+            s, ids = _best(np.round(a[at : at + step] @ b.T, 9), v.column("id").to_numpy(), k)
+            parts.append(pa.table([pa.array(np.repeat(queries[at : at + step], s.shape[1])), pa.array(ids.ravel()), pa.array(s.ravel())], names))
+        return pa.concat_tables(parts)
 
     by = ["list", "i", "j"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(compare, "query long, id long, cosine double")

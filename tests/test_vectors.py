@@ -73,3 +73,27 @@ def test_pipelines_are_saved_and_loaded(spark, tmp_path):
     h = vectors.HashEmbedder("n", "body", 16)
     h.write().overwrite().save(f"{tmp_path}/h")
     assert len(vectors.HashEmbedder.load(f"{tmp_path}/h").fit(d).transform(d).first().vector) == 16
+
+
+def test_best_of_rows_with_ties(monkeypatch, spark):
+    """The best of each row are those of a whole sort, ties by id, whatever is compared at once; a task holds few cosines and gives few rows."""
+    rng = np.random.default_rng(3)
+    for ids in (rng.permutation(40), np.stack([rng.permutation(40) for _ in range(25)])):
+        s = rng.integers(0, 4, (25, 40)) / 4.0
+        for k in (1, 7, 40, 50):
+            c, got = vectors._best(s, ids, k)
+            cells = np.broadcast_to(ids, s.shape)
+            for r in range(25):
+                assert sorted(zip(-c[r], got[r])) == sorted(zip(-s[r], cells[r]))[:k]
+    rows = [(i, [float(x) for x in rng.integers(-1, 2, 4)]) for i in range(300)]
+    v = spark.createDataFrame(rows, "id int, vector array<float>").coalesce(1)
+    q = v.where("id % 10 = 0")
+    want = {(r.query, r.place): (r.id, r.cosine) for r in vectors.nearest(q, v, 5).collect()}
+    m = np.array([x for _, x in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True) + 1e-9
+    s = np.round(m @ m.T, 9)
+    assert {k: i for k, (i, _) in want.items()} == {(a, p + 1): int(b) for a in range(0, 300, 10) for p, b in enumerate(np.lexsort((np.arange(300), -s[a]))[:5])}
+    monkeypatch.setattr(vectors, "CELLS", 200)
+    assert {(r.query, r.place): (r.id, r.cosine) for r in vectors.nearest(q, v, 5).collect()} == want
+    sent = [(r["id"], np.array(r["vector"], np.float64)) for r in q.collect()]
+    assert vectors._nearest_of(sent, v, 5).count() == 30 * 5  # not that many for each batch or slice
