@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from inkwell.operators import grams, taste, vectors
+from inkwell.operators import folding, grams, taste, vectors
 
 from .conftest import SF
 
@@ -97,3 +97,17 @@ def test_best_of_rows_with_ties(monkeypatch, spark):
     assert {(r.query, r.place): (r.id, r.cosine) for r in vectors.nearest(q, v, 5).collect()} == want
     sent = [(r["id"], np.array(r["vector"], np.float64)) for r in q.collect()]
     assert vectors._nearest_of(sent, v, 5).count() == 30 * 5  # not that many for each batch or slice
+
+
+def test_pairs_of_growing_blocks(spark, monkeypatch):
+    """Blocks grow with the table, so a vector is sent to a bounded number of tasks for long; the pairs are all and each comes once."""
+    rng = np.random.default_rng(8)
+    m = np.concatenate([rng.standard_normal((90, 6)), np.ones((30, 6))])
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, vector array<double>")
+    u = m / (np.linalg.norm(m, axis=1, keepdims=True) + 1e-9)
+    want = sorted((i, j) for i in range(120) for j in range(i + 1, 120) if u[i] @ u[j] >= 0.5)
+    for block, cells in ((2, folding.CELLS), (512, 50), (5, 7)):
+        monkeypatch.setattr(folding, "CELLS", cells)
+        assert sorted((r.a, r.b) for r in folding.cosine_pairs(v, 0.5, block=block).collect()) == want
+    dealt = folding._in_blocks(v.selectExpr("id", "vector", "0L AS bucket", "120 AS size"), 2)
+    assert dealt.count() == 16 * 120  # one for each of 60 blocks before
