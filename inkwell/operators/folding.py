@@ -19,27 +19,33 @@ from inkwell.operators.vectors import CELLS, _dense, _unit
 
 #: Blocks of a table that all cores have work with, and how far a block may grow from there on.
 BLOCKS, LARGE = 16, 16
+#: Tokens whose distinct ones are held as rows of bits at once.
+TOKENS = 500_000
 
 
 def simhash(rows: DataFrame) -> DataFrame:
     """(id, h) of ``rows`` (id, tokens): 64-bit SimHash, each token weighted by its count; no token gives 0.
 
-    Votes are sums of bit rows over a batch's distinct tokens; each distinct token of a batch is hashed once."""
+    Votes are sums of bit rows over the distinct tokens of some rows of a batch, about ``TOKENS`` tokens; each of these is hashed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens = batch.column(1)
-            flat = tokens.flatten().dictionary_encode()
-            words = flat.dictionary.to_pylist()
-            raw = b"".join(hashlib.md5(w.encode()).digest()[:8] for w in words)
-            bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).astype(np.int8) * 2 - 1
-            codes = flat.indices.to_numpy()
-            sizes = np.array([0 if n is None else n for n in tokens.value_lengths().to_pylist()], np.int64)
+            sizes = batch.column(1).value_lengths().fill_null(0).to_numpy().astype(np.int64)
             ends = np.cumsum(sizes)
-            out = np.zeros(len(sizes), np.int64)
-            for k in np.flatnonzero(sizes):
-                votes = bits[codes[ends[k] - sizes[k] : ends[k]]].sum(axis=0, dtype=np.int64)
-                out[k] = int.from_bytes(np.packbits(votes > 0).tobytes(), "big", signed=True)
+            out, at = np.zeros(len(sizes), np.int64), 0
+            while at < len(sizes):
+                begin = ends[at] - sizes[at]
+                to = max(at + 1, int(np.searchsorted(ends, begin + TOKENS, "right")))
+                flat = batch.column(1).slice(at, to - at).flatten().dictionary_encode()
+                raw = b"".join(hashlib.md5(w.as_py().encode()).digest()[:8] for w in flat.dictionary)
+                bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).view(np.int8)
+                bits *= 2
+                bits -= 1
+                codes = flat.indices.to_numpy()
+                for k in at + np.flatnonzero(sizes[at:to]):
+                    votes = bits[codes[ends[k] - sizes[k] - begin : ends[k] - begin]].sum(axis=0, dtype=np.int64)
+                    out[k] = int.from_bytes(np.packbits(votes > 0).tobytes(), "big", signed=True)
+                at = to
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["id", "h"])
 
     return rows.select(F.col("id").cast("long").alias("id"), "tokens").mapInArrow(run, "id long, h long")
