@@ -19,9 +19,16 @@ def mapping(pairs: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once for a row, also where ``use`` names it within a lambda.
+
+    Columns that ``use`` needs go in with the value, as a struct: a column's name within a lambda may mean an alias of the same select."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(c: Column | str) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    return let(col(c), lambda t: F.when(F.concat(F.left(t, F.lit(1)), F.right(t, F.lit(1))).rlike(r"(?U)\s"), F.regexp_replace(t, r"(?U)^\s+|\s+$", "")).otherwise(t))
 
 
 def _decode(c: Column) -> Column:
@@ -122,9 +129,10 @@ def slugify(name: Column | str) -> Column:
 
 def normalize_paragraphs(text: Column | str) -> Column:
     """Runs of blanks become one, lines are trimmed, one empty line at most parts paragraphs."""
-    t = F.regexp_replace(F.coalesce(col(text), F.lit("")), " ", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"\r\n?", "\n"), r"(?U)[^\S\n]+", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?m)^ +| +$", ""), r"\n{3,}", "\n\n")
+    t = F.replace(F.replace(F.coalesce(col(text), F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    t = F.regexp_replace(t, r"(?U)[^\S\n](?:[^\S\n]+|(?<! ))", " ")  # single spaces stay, so most texts are read only
+    t = F.replace(F.replace(t, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
     return strip(t)
 
 
@@ -143,10 +151,12 @@ def one_line(text: Column | str) -> Column:
 
 def strip_footer(text: Column | str) -> Column:
     """Without the recommendations at the end: from the last 1500 characters' ``author`` that related articles follow."""
-    t = F.coalesce(col(text), F.lit(""))
-    window = F.when(F.char_length(t) > 1500, F.right(t, F.lit(1500))).otherwise(t)
-    at = F.regexp_instr(window, F.lit(r"(?is)author\s*[:：]?.{0,160}相关文章"))
-    return F.when(at > 0, F.regexp_replace(F.left(t, F.char_length(t) - F.char_length(window) + at - 1), r"(?U)\s+$", "")).otherwise(strip(t))
+
+    def of(t: Column, window: Column) -> Column:
+        found = F.regexp_instr(window, F.lit(r"(?is)author\s*[:：]?.{0,160}相关文章"))
+        return let(found, lambda at: F.when(at > 0, F.regexp_replace(F.left(t, F.char_length(t) - F.char_length(window) + at - 1), r"(?U)\s+$", "")).otherwise(strip(t)))
+
+    return let(F.coalesce(col(text), F.lit("")), lambda t: let(F.right(t, F.lit(1500)), lambda window: of(t, window)))
 
 
 def char_count(text: Column | str) -> Column:
@@ -169,11 +179,6 @@ def item_length(content, summary, title) -> Column:
     return F.char_length(F.coalesce(F.nullif(col(content), F.lit("")), F.nullif(col(summary), F.lit("")), col(title), F.lit("")))
 
 
-def let(value: Column, use) -> Column:
-    """``use`` of a value that is computed once for a row, also where ``use`` names it within a lambda."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _runs(chars: Column, k: int) -> Column:
     """All runs of k neighbours in an array of characters."""
     last = F.greatest(F.size(chars) - k + 1, F.lit(1))
@@ -182,21 +187,21 @@ def _runs(chars: Column, k: int) -> Column:
 
 def tokenize(text: Column | str) -> Column:
     """ASCII words whole, Chinese characters in pairs; segments of other letters give no token."""
-    parts = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), r"(?U)[^\w一-鿿]+", " ")), " ")
+    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), r"(?U)[^\w一-鿿]+", " "))
 
     def of(segment: Column) -> Column:
         pairs = let(F.filter(F.split(segment, ""), lambda c: c.rlike("^[一-鿿]$")), lambda chars: F.when(F.size(chars) > 1, _runs(chars, 2)).otherwise(F.array().cast("array<string>")))
         return F.when(segment.rlike("^[a-z0-9]+$"), F.array(segment)).when(segment.rlike("[一-鿿]"), pairs).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(F.filter(parts, lambda p: p != ""), of))
+    each = lambda s: F.flatten(F.transform(F.filter(F.split(s, " "), lambda p: p != ""), of))
+    return let(plain, lambda s: F.when(s.rlike("[一-鿿]"), each(s)).otherwise(F.regexp_extract_all(s, F.lit(r"(?:^| )([a-z0-9]++)(?= |\z)"), 1)))
 
 
 def char_ngrams(text: Column | str, sizes: tuple[int, ...] = (2, 3)) -> Column:
     """Character n-grams of the text without white space; a text shorter than n is its own n-gram, an empty one ``_empty_``."""
     s = F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), r"(?U)\s+", "")
-    whole = lambda chars, k: F.when(F.size(chars) < k, F.array(F.array_join(chars, ""))).otherwise(_runs(chars, k))
-    chars = F.filter(F.split(s, ""), lambda c: c != "")
-    return let(chars, lambda c: F.when(F.size(c) == 0, F.array(F.lit("_empty_"))).otherwise(F.concat(*[whole(c, k) for k in sizes])))
+    whole = lambda s, k: F.when(F.char_length(s) < k, F.array(s)).otherwise(F.regexp_extract_all(s, F.lit(f"(?s)(?=({'.' * k}))."), 1))
+    return let(s, lambda s: F.when(s == "", F.array(F.lit("_empty_"))).otherwise(F.concat(*[whole(s, k) for k in sizes])))
 
 
 def reading_minutes(markdown: Column | str, per_minute: int = 400) -> Column:
@@ -284,15 +289,21 @@ def expand_daily_title(title, body) -> Column:
     found = F.transform(F.regexp_extract_all(region, F.lit(DAILY_ENTRY), 1), strip)
     found = F.filter(found, lambda h: ~h.contains(DAILY_END) & ~h.startswith(DAILY_BACKGROUND))
     heads = F.filter(F.transform(found, lambda h: strip(F.regexp_extract(h, rf"(?s)^(.*?)(?:\s*{DAILY_BACKGROUND}|$)", 1))), lambda h: F.char_length(h) >= 8)
-    return F.when(F.size(heads) >= 2, F.array_join(F.slice(heads, 1, 8), "；")).otherwise(col(title))
+    own = F.struct(heads.alias("heads"), col(title).alias("title"))
+    return let(own, lambda v: F.when(F.size(v["heads"]) >= 2, F.array_join(F.slice(v["heads"], 1, 8), "；")).otherwise(v["title"]))
 
 
 def newspaper_body(kind, content, summary, source, title, collector) -> Column:
     """The body in print: a daily digest's begins with its catalog."""
-    body = readable_body(kind, content, summary, source)
-    catalog = expand_daily_title(one_line(html_to_text(title)), body)
-    lead = F.concat(F.lit("**"), catalog, F.lit("**"))
-    return F.when(~is_daily(source, title, collector) | (catalog == ""), body).when(body == "", lead).otherwise(F.concat(lead, F.lit("\n\n"), body))
+    own = F.struct(readable_body(kind, content, summary, source).alias("body"), is_daily(source, title, collector).alias("daily"), one_line(html_to_text(title)).alias("title"))
+    return let(own, lambda v: F.when(v["daily"], with_catalog(expand_daily_title(v["title"], v["body"]), v["body"])).otherwise(v["body"]))
+
+
+def with_catalog(catalog: Column | str, body: Column | str) -> Column:
+    """A daily digest in print: its catalog, if there is one, and its body."""
+    lead = lambda v: F.concat(F.lit("**"), v["catalog"], F.lit("**"))
+    of = lambda v: F.when(v["catalog"] == "", v["body"]).when(v["body"] == "", lead(v)).otherwise(F.concat(lead(v), F.lit("\n\n"), v["body"]))
+    return let(F.struct(col(catalog).alias("catalog"), col(body).alias("body")), of)
 
 
 def title_longer_than_body(source, title, collector, body) -> Column:
@@ -336,22 +347,23 @@ def item_slug(title: Column | str, content_hash: Column | str, n: Column | None
 def is_stub(content: Column | str, summary: Column | str, most: int = 500) -> Column:
     """Content that is its summary or a beginning of it, or was cut at ``most`` characters."""
     c, s = strip(F.coalesce(col(content), F.lit(""))), strip(F.coalesce(col(summary), F.lit("")))
-    n = F.char_length(c)
-    return (n > 0) & (n <= most) & (((s != "") & s.startswith(c)) | (n == most))
+    of = lambda v: v["n"].between(1, most) & (((v["s"] != "") & v["s"].startswith(v["c"])) | (v["n"] == most))
+    return let(let(F.struct(c.alias("c"), s.alias("s")), lambda v: F.struct(F.char_length(v["c"]).alias("n"), v["c"].alias("c"), v["s"].alias("s"))), of)
 
 
 def longer_text(content: Column | str, summary: Column | str) -> Column:
     """The longer of two bodies, content where they are as long; null where both are blank."""
     c, s = strip(F.coalesce(col(content), F.lit(""))), strip(F.coalesce(col(summary), F.lit("")))
-    return F.nullif(F.when((F.char_length(c) >= F.char_length(s)) & (c != ""), c).otherwise(s), F.lit(""))
+    of = lambda v: F.when((F.char_length(v["c"]) >= F.char_length(v["s"])) & (v["c"] != ""), v["c"]).otherwise(v["s"])
+    return F.nullif(let(F.struct(c.alias("c"), s.alias("s")), of), F.lit(""))
 
 
 def payload_text(payload: Column | str) -> Column:
     """The longest plain text, without a footer, that a landed feed entry (JSON) holds; of equal ones the first."""
-    p = F.from_json(col(payload), "content array<string>, content_encoded string, summary string, description string")
-    blobs = F.concat(F.coalesce(p["content"], F.array().cast("array<string>")), F.array(p["content_encoded"], p["summary"], p["description"]))
+    entry = F.from_json(col(payload), "content array<string>, content_encoded string, summary string, description string")
+    blobs = let(entry, lambda p: F.concat(F.coalesce(p["content"], F.array().cast("array<string>")), F.array(p["content_encoded"], p["summary"], p["description"])))
     bare = F.transform(F.array_compact(blobs), lambda b: F.when(b.startswith("{"), F.coalesce(F.get_json_object(b, "$.value"), F.lit(""))).otherwise(b))
-    texts = F.transform(bare, lambda b, i: F.struct(F.char_length(strip_footer(html_to_text(b))).alias("n"), (-i).alias("i"), strip_footer(html_to_text(b)).alias("t")))
+    texts = F.transform(bare, lambda b, i: let(strip_footer(html_to_text(b)), lambda t: F.struct(F.char_length(t).alias("n"), (-i).alias("i"), t.alias("t"))))
     return F.coalesce(F.array_max(texts)["t"], F.lit(""))
 
 

@@ -100,13 +100,14 @@ def restore_bodies(items: DataFrame, payloads: DataFrame, stub: int = 500) -> Da
 
     ``payloads`` (content_hash, payload), JSON of feed entries.  Only payloads of stubs are joined and read; of several payloads of
     a key the longest text counts, by a partial aggregate."""
-    stubs = items.where(is_stub("content", "summary", stub)).select("content_hash").distinct()
+    items = items.withColumn("__stub", is_stub("content", "summary", stub))
+    stubs = items.where("__stub").select("content_hash").distinct()
     best = payloads.join(stubs, "content_hash", "left_semi").select("content_hash", payload_text("payload").alias("t"))
     best = best.groupBy("content_hash").agg(F.max_by("t", F.struct(F.char_length("t"), "t")).alias("__best"))
     out = items.join(best, "content_hash", "left")
-    better = is_stub("content", "summary", stub) & (F.char_length(strip(F.coalesce("__best", F.lit("")))) > F.char_length(strip("content")))
+    better = F.col("__stub") & (F.char_length(strip(F.coalesce("__best", F.lit("")))) > F.char_length(strip("content")))
     out = out.withColumn("restored", F.coalesce(better, F.lit(False)))
-    return out.withColumn("content", F.when(F.col("restored"), F.col("__best")).otherwise(F.col("content"))).drop("__best")
+    return out.withColumn("content", F.when(F.col("restored"), F.col("__best")).otherwise(F.col("content"))).drop("__best", "__stub")
 
 
 def split_lists(articles: DataFrame, entries: str = "entries") -> DataFrame:

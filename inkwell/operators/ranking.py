@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from inkwell.functions.fixed import BOARD_SOURCES, PHOTO_HOSTS, RANK_KINDS, SECTION_LIMITS, SECTION_ORDER, SECTION_PRIORITY
-from inkwell.functions.text import event_time, is_activity, is_blank, is_daily, mapping, readable_body, title_longer_than_body
+from inkwell.functions.text import char_count, display_title, event_time, is_activity, is_blank, is_daily, let, mapping, readable_body, title_longer_than_body
 
 
 def body_of() -> Column:
@@ -53,9 +53,9 @@ def within_window(items: DataFrame, as_of: str, hours: int) -> DataFrame:
 
 def rank_candidates(items: DataFrame, excludes: DataFrame | None = None, least_body: int = 80) -> DataFrame:
     """Articles and posts to be ranked: no boards, no activity entries, no excluded titles, no advertisements, enough body."""
-    body = body_of()
     ok = F.col("kind").isin(*RANK_KINDS) & ~F.col("source").isin(*BOARD_SOURCES) & ~is_activity("source", "title", "collector")
-    ok &= ~title_longer_than_body("source", "title", "collector", body) & (F.char_length(body) >= least_body)
+    parts = F.struct(body_of().alias("body"), char_count(display_title("source", "title", "collector")).alias("n"))
+    ok &= let(parts, lambda v: (F.char_length(v["body"]) >= least_body) & (v["n"] <= char_count(v["body"])))
     return title_excludes(items.where(ok), excludes) if excludes is not None else items.where(ok)
 
 
@@ -96,39 +96,56 @@ def newest_per_creator(items: DataFrame, as_of: str, hours: int = 48) -> DataFra
 
 
 def _word(variants: list[str], text: Column) -> Column:
-    """The first variant that the text holds: ASCII ones as whole words, others anywhere."""
-    found = [F.when(text.rlike(f"(?i)(?<![A-Za-z0-9]){re.escape(v)}(?![A-Za-z0-9])") if v.isascii() else F.contains(text, F.lit(v.lower())), F.lit(v)) for v in variants if v]
-    return F.coalesce(*found, F.lit(None).cast("string"))
+    """The first variant that a text in lower case holds: ASCII ones as whole words, others anywhere."""
+
+    def holds(v: str) -> Column:
+        own = v.lower()
+        inside = F.contains(text, F.lit(own))  # most texts need no pattern, and the pattern looks for the word's letters first
+        return inside & text.rlike(f"{re.escape(own)}(?<![a-z0-9]{re.escape(own)})(?![a-z0-9])") if v.isascii() else inside
+
+    return F.coalesce(*[F.when(holds(v), F.lit(v)) for v in variants if v], F.lit(None).cast("string"))
 
 
 def keyword_matches(items: DataFrame, groups: list[dict], title: str = "title", body: Column | None = None) -> DataFrame:
     """Adds ``matches`` (group, weight, in_title), heaviest first, and ``keyword`` = total / (total + 2).
 
     A group (name, must, any, exclude, weight, aliases) matches when no excluded word is there, all of ``must`` are, and, where
-    ``must`` is empty, one of ``any``; a hit in the title counts half as much again."""
+    ``must`` is empty, one of ``any``; a hit in the title counts half as much again.  Each text is lowered once and each word looked up once."""
     head = F.lower(F.coalesce(F.col(title), F.lit("")))
     full = F.lower(F.concat(F.coalesce(F.col(title), F.lit("")), F.lit("\n"), F.coalesce(body if body is not None else F.concat_ws(" ", "summary", "content"), F.lit(""))))
-    found = []
-    for g in groups:
-        expand = lambda words, g=g: [[w, *g.get("aliases", {}).get(w, [])] for w in words]
-        must, some = [_word(v, full) for v in expand(g.get("must", []))], [_word(v, full) for v in expand(g.get("any", []))]
-        out = F.lit(bool(must or some))
-        for v in expand(g.get("exclude", [])):
-            out &= _word(v, full).isNull()
-        for m in must:
-            out &= m.isNotNull()
-        if not must and some:
-            out &= F.coalesce(*some).isNotNull()
-        words = [w for v in [*expand(g.get("must", [])), *expand(g.get("any", []))] for w in v]
-        hits = [*must, *some]
-        in_title = F.lit(False)
-        for w in words:
-            used = F.lit(False)
-            for h in hits:
-                used |= F.coalesce(h == w, F.lit(False))
-            in_title |= used & _word([w], head).isNotNull()
-        found.append(F.when(out, F.struct((-F.lit(float(g.get("weight", 1.0))) * F.when(in_title, 1.5).otherwise(1.0)).alias("w"), F.lit(g["name"]).alias("group"), in_title.alias("in_title"))))
-    hits = F.array_sort(F.array_compact(F.array(*found)))
+    expanded = [{role: [[w, *g.get("aliases", {}).get(w, [])] for w in g.get(role, [])] for role in ("must", "any", "exclude")} for g in groups]
+    sought = sorted({tuple(v) for g in expanded for vs in g.values() for v in vs})
+    titled = sorted({w for g in expanded for v in [*g["must"], *g["any"]] for w in v})
+
+    def hit(name: str, weight: float):
+        return lambda t: F.struct((F.lit(weight) * F.when(t, 1.5).otherwise(1.0)).alias("w"), F.lit(name).alias("group"), t.alias("in_title"))
+
+    def match(f: Column) -> Column:
+        word, found = lambda v: f["found"][f"w{sought.index(tuple(v))}"], []
+        for g, own in zip(groups, expanded, strict=True):
+            must, some = [word(v) for v in own["must"]], [word(v) for v in own["any"]]
+            out = F.lit(bool(must or some))
+            for v in own["exclude"]:
+                out &= word(v).isNull()
+            for m in must:
+                out &= m.isNotNull()
+            if not must and some:
+                out &= F.coalesce(*some).isNotNull()
+            in_title = F.lit(False)
+            for w in [w for v in [*own["must"], *own["any"]] for w in v]:
+                used = F.lit(False)
+                for h in [*must, *some]:
+                    used |= F.coalesce(h == w, F.lit(False))
+                in_title |= used & f["titled"][f"w{titled.index(w)}"]
+            found.append(F.when(out, let(in_title, hit(g["name"], -float(g.get("weight", 1.0))))))
+        return F.array_sort(F.array_compact(F.array(*found)))
+
+    def look_up(v: Column) -> Column:
+        none = F.lit(None).cast("string").alias("none")
+        found = F.struct(none, *[_word(list(w), v["full"]).alias(f"w{i}") for i, w in enumerate(sought)])
+        return F.struct(found.alias("found"), F.struct(none, *[_word([w], v["head"]).isNotNull().alias(f"w{i}") for i, w in enumerate(titled)]).alias("titled"))
+
+    hits = let(let(F.struct(head.alias("head"), full.alias("full")), look_up), match) if groups else F.array().cast("array<struct<w: double, group: string, in_title: boolean>>")
     total = F.aggregate("__m", F.lit(0.0), lambda s, m: s - m["w"])
     out = items.withColumn("__m", hits)
     return out.withColumn("keyword", F.when(F.size("__m") > 0, total / (total + 2.0)).otherwise(0.0)).withColumn("matches", F.transform("__m", lambda m: F.struct(m["group"].alias("group"), (-m["w"]).alias("weight"), m["in_title"].alias("in_title")))).drop("__m")
