@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkwell.functions.fixed import BOARD_SOURCES, CRITIC_ANGLES, CRITIC_DATA, CRITIC_HIGH, CRITIC_LOW, CRITIC_NEWS, CRITIC_SAYS, WEIGHTS
-from inkwell.functions.text import col
+from inkwell.functions.text import col, let
 
 
 def dot(a, b) -> Column:
@@ -16,8 +16,9 @@ def dot(a, b) -> Column:
 
 
 def unit(v) -> Column:
-    norm = F.sqrt(dot(v, v)) + 1e-9
-    return F.transform(col(v), lambda x: x.cast("double") / norm)
+    """Of unit length; the length is computed once, not for each place."""
+    own = F.struct(col(v).alias("v"), (F.sqrt(dot(v, v)) + 1e-9).alias("norm"))
+    return let(own, lambda o: F.transform(o["v"], lambda x: x.cast("double") / o["norm"]))
 
 
 def cosine(a, b) -> Column:
@@ -56,9 +57,13 @@ def length_score(length, mu, sigma) -> Column:
 
 def taste_similarity(vector, centroids, sizes) -> Column:
     """Best cosine with a centroid, small clusters counting down to 70 %."""
-    total = F.aggregate(col(sizes), F.lit(0.0), lambda s, x: s + x)
-    largest = F.sqrt(F.array_max(col(sizes)) / total)
-    return F.array_max(F.zip_with(col(centroids), col(sizes), lambda c, n: dot(unit(vector), c) * (0.7 + 0.3 * F.sqrt(n / total) / largest)))
+    own = F.struct(unit(vector).alias("u"), col(centroids).alias("c"), col(sizes).alias("n"), F.aggregate(col(sizes), F.lit(0.0), lambda s, x: s + x).alias("total"), F.array_max(col(sizes)).alias("most"))
+
+    def best(o: Column) -> Column:
+        largest = F.sqrt(o["most"] / o["total"])
+        return F.array_max(F.zip_with(o["c"], o["n"], lambda c, n: dot(o["u"], c) * (0.7 + 0.3 * F.sqrt(n / o["total"]) / largest)))
+
+    return let(own, best)
 
 
 def final_score(sim, length, critic, hot, keyword, age_hours, edition: str = "default", duplicates=0) -> Column:

@@ -15,6 +15,8 @@ from inkwell.functions.text import col
 
 #: Code points that are counted at once, and rows that are multiplied at once.
 SLICE, DENSE_ROWS = 500_000, 128
+#: Letters of a vocabulary up to which its grams are found by tables (up to 32 MB); beyond, by search.
+MOST_LETTERS = 2000
 EMPTY = "_empty_"
 
 
@@ -70,22 +72,67 @@ def grams(points: np.ndarray, lengths: np.ndarray, sizes: tuple[int, ...] = (2,
     return np.concatenate([*rows, none]), np.concatenate([*codes, np.zeros(len(none), np.int64)])
 
 
+def apart(points: np.ndarray, lengths: np.ndarray, least: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of at least ``least`` code points, their points, their lengths; points and lengths with no others than shorter rows)."""
+    long = lengths >= least
+    if long.all():
+        return np.arange(len(lengths)), points, lengths, points[:0], np.zeros_like(lengths)
+    of = np.repeat(long, lengths)
+    return np.flatnonzero(long), points[of], lengths[long], points[~of], np.where(long, 0, lengths)
+
+
+def held_by(points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, in how many rows) of a slice's pairs and triples.  Letters are numbered first, so one sort of small numbers tells."""
+    rows, own, sizes, short, rest = apart(points, lengths)
+    codes, counts = [], []
+    letters = np.flatnonzero(np.bincount(own)) if len(own) else own
+    base = len(letters)
+    grams_all = base**2 + base**3
+    if len(rows) and len(rows) * grams_all < 2**62:
+        number = np.zeros(letters[-1] + 1, np.int64)
+        number[letters] = np.arange(base)
+        at, row = number[own], np.repeat(np.arange(len(rows)) * grams_all, sizes)
+        ends = np.cumsum(sizes) - 1
+        pair = at[:-1] * base + at[1:]
+        triple = base**2 + pair[:-1] * base + at[2:]
+        whole = np.ones(len(at), bool)
+        whole[ends] = False
+        two = whole[:-1]
+        three = two[:-1] & two[1:]
+        gram, n = np.unique(np.unique(np.concatenate([(row[:-1] + pair)[two], (row[:-2] + triple)[three]])) % grams_all, return_counts=True)
+        is_pair = gram < base**2
+        g = np.where(is_pair, gram, gram - base**2)
+        last, first = letters[g % base] + 1, g // base
+        codes.append(np.where(is_pair, (letters[np.minimum(first, base - 1)] + 1) | (last << 21), (letters[np.minimum(first // base, base - 1)] + 1) | ((letters[first % base] + 1) << 21) | (last << 42)))
+        counts.append(n)
+    elif len(rows):
+        row, code = grams(own, sizes)
+        known, which = np.unique(code, return_inverse=True)
+        codes.append(known)
+        counts.append(np.bincount(np.unique(row * len(known) + which) % len(known), minlength=len(known)))
+    if len(rows) < len(lengths):
+        row, code = grams(short, rest)
+        keep = lengths[row] < 3
+        pairs = np.unique(np.stack([row[keep], code[keep]]), axis=1)
+        known, n = np.unique(pairs[1], return_counts=True)
+        codes.append(known)
+        counts.append(n)
+    return (np.concatenate(codes), np.concatenate(counts).astype(np.int64)) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """``rows`` dealt to all cores where they come from fewer files than there are cores; tables of many files stay where they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
-def document_frequency(docs: DataFrame, text: str, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
+def document_frequency(docs: DataFrame, text: str) -> DataFrame:
     """(gram, df): how many rows hold each gram.  Rows are counted by slice before anything is shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, points, lengths in slices(batch.column(0)):
-                row, code = grams(points, lengths, sizes)
-                known, which = np.unique(code, return_inverse=True)
-                df = np.bincount(np.unique(row * len(known) + which) % len(known), minlength=len(known))
-                yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(df.astype(np.int64))], ["code", "n"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, held_by(points, lengths))], ["code", "n"])
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,14 +151,66 @@ class Vocabulary:
         self.width = width or int(self.places.max(initial=-1)) + 1
         self.idf = np.zeros(self.width)
         self.idf[self.places] = [r[2] for r in rows]
+        self._number_letters()
+
+    def _number_letters(self) -> None:
+        """Tables from numbered letters to pairs, and from pairs and letters to triples; none where the letters are too many for them."""
+        part = [(self.codes >> (21 * k)) & 0x1FFFFF for k in range(3)]
+        size = (part[0] > 0).astype(int) + (part[1] > 0) + (part[2] > 0)
+        letters = np.unique(np.concatenate([p[size >= 2] for p in part]))
+        letters = letters[letters > 0] - 1
+        self.base = len(letters) + 1
+        self.letter = None
+        if len(letters) == 0 or self.base > MOST_LETTERS:
+            return
+        self.letter = np.zeros(0x110000, np.int64)
+        self.letter[letters] = np.arange(1, self.base)
+        a, b, c = (np.where(p > 0, self.letter[p - 1], 0) for p in part)
+        pairs = np.unique((a * self.base + b)[size >= 2])
+        self.pair = np.zeros(self.base**2, np.int32)
+        self.pair[pairs] = np.arange(1, len(pairs) + 1)
+        self.of_pair, self.of_triple = np.full(len(pairs) + 1, -1, np.int32), np.full((len(pairs) + 1) * self.base, -1, np.int32)
+        own = self.pair[a * self.base + b].astype(np.int64)
+        self.of_pair[own[size == 2]] = self.places[size == 2]
+        self.of_triple[(own * self.base + c)[size == 3]] = self.places[size == 3]
+
+    def _sought(self, row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of those grams that are known."""
+        at = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))
+        hit = self.codes[at] == code if len(self.codes) else np.zeros(len(code), bool)
+        return row[hit], self.places[at[hit]]
+
+    def _found(self, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of every known gram of a slice; pairs and triples of texts of three letters or more by the tables."""
+        if self.letter is None:
+            return self._sought(*grams(points, lengths))
+        rows, own, sizes, short, rest = apart(points, lengths)
+        out = []
+        if len(rows):
+            at, ends, row = self.letter[own], np.cumsum(sizes) - 1, np.repeat(rows, sizes)
+            pair = self.pair[at[:-1] * self.base + at[1:]]
+            pair[ends[:-1]] = 0
+            two = self.of_pair[pair]
+            three = self.of_triple[pair[:-1].astype(np.int64) * self.base + at[2:]]
+            three[ends[:-1] - 1] = -1
+            out = [(row[i], place[i].astype(np.int64)) for place in (two, three) for i in [np.flatnonzero(place >= 0)]]
+        if len(rows) < len(lengths):
+            row, code = grams(short, rest)
+            keep = lengths[row] < 3
+            out.append(self._sought(row[keep], code[keep]))
+        return np.concatenate([r for r, _ in out]), np.concatenate([p for _, p in out])
 
     def weigh(self, points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, place, x) of a slice, in order: the share of each known gram among all grams of a text, times its idf."""
-        row, code = grams(points, lengths)
-        total = np.bincount(row, minlength=len(lengths))
-        at = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))
-        hit = self.codes[at] == code if len(self.codes) else np.zeros(len(code), bool)
-        cell, n = np.unique(row[hit] * max(self.width, 1) + self.places[at[hit]], return_counts=True)
+        row, place = self._found(points, lengths)
+        total = np.where(lengths > 2, 2 * lengths - 3, np.minimum(lengths, 1) + 1)
+        cell, cells = row * max(self.width, 1) + place, len(lengths) * max(self.width, 1)
+        if cells <= 8 * len(cell):  # dense enough to be counted without a sort
+            n = np.bincount(cell, minlength=cells)
+            cell = np.flatnonzero(n)
+            n = n[cell]
+        else:
+            cell, n = np.unique(cell, return_counts=True)
         row, place = np.divmod(cell, max(self.width, 1))
         return row, place, n / total[row] * self.idf[place]
 

@@ -10,7 +10,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable, MLRead
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.functions.scoring import length_score, taste_similarity
+from inkwell.functions.scoring import length_score, taste_similarity, unit
 from inkwell.operators.graph import cut
 from inkwell.operators.vectors import NgramEmbedder, NgramEmbedderModel, TablesReader, TablesWriter
 
@@ -19,14 +19,12 @@ def weighted_centroids(rows: DataFrame, cluster: str = "cluster", vector: str =
     """(cluster, centroid, size): weighted means of unit vectors, again of unit length; clusters under ``least`` members go.
 
     Where none is left, one centroid of all rows stands for them (cluster -1)."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))) + 1e-9
-    cells = rows.select(F.col(cluster).alias("cluster"), F.greatest(F.col(weight).cast("double"), F.lit(1e-9)).alias("w"), F.posexplode(F.transform(vector, lambda x: x.cast("double") / norm)).alias("d", "x"))
+    cells = rows.select(F.col(cluster).alias("cluster"), F.greatest(F.col(weight).cast("double"), F.lit(1e-9)).alias("w"), F.posexplode(unit(vector)).alias("d", "x"))
 
     def means(df: DataFrame, *by) -> DataFrame:
         dense = df.groupBy(*by, "d").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"), F.count(F.lit(1)).alias("size"))
         out = dense.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v"), F.max("size").alias("size")).withColumn("v", F.col("v.x"))
-        length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)) + 1e-9
-        return out.select(*by, F.transform("v", lambda x: x / length).alias("centroid"), "size")
+        return out.select(*by, unit("v").alias("centroid"), "size")
 
     own = means(cells, "cluster").where(F.col("size") >= least)
     alone = means(cells).withColumn("cluster", F.lit(-1)).select(*own.columns)

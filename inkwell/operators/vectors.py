@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkwell.functions.scoring import unit
 from inkwell.functions.text import col
 from inkwell.operators import grams
 from inkwell.operators.graph import cut
@@ -261,8 +262,7 @@ class InvertedLists:
         n = vectors.count()
         self.lists = max(1, min(lists or round(n**0.5), most_lists, n))
         data = vectors.select("vector") if n <= sample else vectors.select("vector").sample(sample / n, seed)
-        norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))) + 1e-9
-        data = cut(data.select(array_to_vector(F.transform("vector", lambda x: x.cast("double") / norm)).alias("features")))
+        data = cut(data.select(array_to_vector(unit("vector")).alias("features")))
         centres = KMeans(k=self.lists, seed=seed, maxIter=15).fit(data).clusterCenters() if n > 1 else [np.ones(1)]
         self.sent = vectors.sparkSession.sparkContext.broadcast(_unit(np.array(centres, np.float64)))
         self.lists = len(centres)
