@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -19,20 +19,19 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class FirstSeen(StatefulProcessor):
-    """One value for each (board, item): when it was first seen.  A row goes out when the value is set, and never again."""
+    """One value for each (board, item): when it was first seen, in microseconds.  A row goes out when the value is set, and never again."""
 
     def __init__(self, forget_hours: int | None = None):
         self.ttl = forget_hours and forget_hours * 3_600_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "first timestamp", self.ttl)
+        self.first = handle.getValueState("first", "first long", self.ttl)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        times = [f["observed_at"].min() for f in rows if len(f)]
-        if times and not self.first.exists():
-            first = min(times)
-            self.first.update((first.to_pydatetime(),))
-            yield pd.DataFrame({"board": [key[0]], "content_hash": [key[1]], "first_seen": [first]})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        first = min((r.us for r in rows), default=None)
+        if first is not None and not self.first.exists():
+            self.first.update((first,))
+            yield Row(board=key[0], content_hash=key[1], us=first)
 
     def close(self) -> None:
         pass
@@ -44,9 +43,9 @@ def first_seen(stream: DataFrame, forget_hours: int | None = None) -> DataFrame:
     State holds a time for each item ever seen, so it grows with distinct items.  With ``forget_hours`` an item is forgotten that
     long (by the clock) after it was first seen, which bounds the state and calls a returning item new."""
     use_rocksdb(stream.sparkSession)
-    rows = stream.where("observed_at is not null").select("board", "content_hash", "observed_at")
-    out = "board string, content_hash string, first_seen timestamp"
-    return rows.groupBy("board", "content_hash").transformWithStateInPandas(FirstSeen(forget_hours), out, "Append", "ProcessingTime" if forget_hours else "None")
+    rows = stream.where("observed_at is not null").select("board", "content_hash", F.unix_micros("observed_at").alias("us"))
+    out = rows.groupBy("board", "content_hash").transformWithState(FirstSeen(forget_hours), "board string, content_hash string, us long", "Append", "ProcessingTime" if forget_hours else "None")
+    return out.select("board", "content_hash", F.timestamp_micros("us").alias("first_seen"))
 
 
 class DripCursor(StatefulProcessor):
