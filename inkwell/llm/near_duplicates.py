@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import binary_rows, connected_components, cut, fixed_binary, likely_in, lower_ascii, mix, partitions, released, shingles, skew_join, text_blocks, whole_groups, without, word_hashes, word_spans
+from inkwell.llm.common import binary_rows, connected_components, cut, fixed_binary, likely_in, lower_ascii, mix, partitions, released, shingles, skew_join, text_blocks, whole_groups, without, word_hashes, word_spans, written
 
 #: Minwise tokens of each document, and those of them that paths are chosen by; trees; largest node that is compared exhaustively.
 TOKENS, PATHS, TREES, LEAF = 128, 48, 12, 256
@@ -158,10 +158,10 @@ def _compare(rows: DataFrame) -> DataFrame:
     return rows.repartition(parts, "node").sortWithinPartitions("node").mapInArrow(released(run), "node long, a long, b long")
 
 
-def _sized(rows: DataFrame) -> DataFrame:
-    """Nodes with members of more than one label, with their size."""
+def _sized(rows: DataFrame, settle: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """Nodes with members of more than one label, with their size; ``settle`` ends the plan."""
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
-    return cut(skew_join(rows, cut(sizes.select("node", "size", F.col("size").alias("w"))), "node", "w"))
+    return settle(skew_join(rows, cut(sizes.select("node", "size", F.col("size").alias("w"))), "node", "w"))
 
 
 class Texts:
@@ -344,7 +344,7 @@ def linked_pairs(sketches: DataFrame, texts: Texts, trees: int = TREES, leaf: in
         rest = large.where("id <> pivot").select("node", "tree", "id", "label").join(sketches.select("id", "tokens").hint("merge"), "id").select("node", "tree", "id", "label", "tokens")
         if large.isEmpty():
             break
-        rows = _sized(rest.mapInArrow(released(branch(level)), "node long, tree short, id long, label long"))
+        rows = _sized(rest.mapInArrow(released(branch(level)), "node long, tree short, id long, label long"), written)
         leaves.append(rows.where(F.col("size") <= leaf).select("node", "id", "label"))
         large = rows.where(F.col("size") > leaf)
     small = _all(leaves)
